@@ -70,17 +70,24 @@ def flatten_struct(df: DataFrame, root: str = "data") -> DataFrame:
 
 
 def extract_choice(
-    df: DataFrame, column: str, arm: str = "double", strict: bool = True
+    df: DataFrame,
+    column: str,
+    arm: str = "double",
+    strict: bool = True,
+    missing_ok: bool = False,
 ) -> DataFrame:
     """Keep one arm of a multi-typed ("choice") struct column, in place.
 
     ``strict=True`` is the reference behaviour: values stored in another arm
     become NULL.  ``strict=False`` falls back to the other numeric arms cast to
     the chosen type.  A column that is already a plain value (not a struct) is
-    cast to ``arm`` unchanged (H3).
+    cast to ``arm`` unchanged (H3).  A missing column raises unless
+    ``missing_ok`` (documents that never carried the field).
     """
     name = _lookup(df.columns, column)
     if name is None:
+        if missing_ok:
+            return df
         raise ValueError(f"no column {column!r}")
     dtype = df.schema[name].dataType
     if isinstance(dtype, StructType):

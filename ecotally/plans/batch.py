@@ -73,7 +73,7 @@ def flatten_activity(df: DataFrame, strict_choice: bool = True) -> DataFrame:
     """P1 + P2: flatten ``data`` and keep the double arm of the emissions."""
     flat = flatten_struct(df, "data")
     for field in EMISSION_FIELDS:
-        flat = extract_choice(flat, field, "double", strict=strict_choice)
+        flat = extract_choice(flat, field, "double", strict=strict_choice, missing_ok=True)
     return flat
 
 

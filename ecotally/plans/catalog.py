@@ -183,20 +183,28 @@ def q_decimal_contribution(spark, sf):
     )
 
 
+def latest_view(spark, sf) -> DataFrame:
+    """V as the reference reads it: written once as the dated snapshot, then
+    the newest partition of the snapshot folder (a partition-pruned scan)."""
+    path = scratch_path(spark, "view-snapshots")
+    write_snapshot(fx.rollup_view(spark, sf), path, SNAPSHOT_DATE)
+    return latest_partition(read_snapshots(spark, path))
+
+
 def q_rollup_contributions(spark, sf):
-    return rollup_contributions(fx.rollup_view(spark, sf))
+    return rollup_contributions(latest_view(spark, sf))
 
 
 def q_rollup_by_level(spark, sf):
-    return rollup_by_level(fx.rollup_view(spark, sf))
+    return rollup_by_level(latest_view(spark, sf))
 
 
 def q_entity_totals(spark, sf):
-    return rollup_totals(fx.rollup_view(spark, sf))
+    return rollup_totals(latest_view(spark, sf))
 
 
 def q_total_attach(spark, sf):
-    v = fx.rollup_view(spark, sf)
+    v = latest_view(spark, sf)
     return attach_totals(v, rollup_totals(v))
 
 
@@ -205,7 +213,7 @@ def q_report_sorted(spark, sf):
 
 
 def q_rollup_report(spark, sf):
-    return rollup_report(fx.rollup_view(spark, sf))
+    return rollup_report(latest_view(spark, sf))
 
 
 # ---------------------------------------------------------------- security
@@ -411,7 +419,8 @@ FROM c GROUP BY id"""
 _REPORT = f"""
 SELECT t.*, s.cumulative_marketbased AS total_emissions_marketbased,
        s.cumulative_locationbased AS total_emissions_locationbased
-FROM v t JOIN ({_TOTALS}) s ON t.entityid = s.id"""
+FROM (SELECT *, '{SNAPSHOT_DATE}' AS partition_0 FROM v) t JOIN ({_TOTALS}) s
+  ON t.entityid = s.id"""
 
 _RULES = """
 rules AS (
@@ -529,7 +538,7 @@ ORACLES: dict[str, str] = {
         SELECT * FROM events WHERE ts >= (SELECT c FROM cut)""",
     "batch_report": f"""
         WITH RECURSIVE {_JOINED_CTE},
-        v AS (SELECT *, '{SNAPSHOT_DATE}' AS partition_0 FROM joined),
+        v AS (SELECT * FROM joined),
         {_C},
         rep AS ({_REPORT})
         SELECT * REPLACE (strptime(date, '%Y/%m/%d') AS date) FROM rep""",

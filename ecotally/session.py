@@ -104,11 +104,15 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS):
+def broadcast_if_small(
+    df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, rows: int | None = None
+):
     """Return ``(df_or_broadcast_df, rows)``; hint a broadcast only when the
-    counted size is within ``max_rows``.  Call on checkpointed input so the
-    count does not recompute the lineage."""
-    rows = df.count()
+    counted size is within ``max_rows``.  ``rows`` may be passed when already
+    known; otherwise ``df`` is counted (call it on persisted or checkpointed
+    input so the count does not recompute the lineage)."""
+    if rows is None:
+        rows = df.count()
     if rows <= max_rows:
         return F.broadcast(df), rows
     return df, rows

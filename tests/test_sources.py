@@ -1,0 +1,90 @@
+"""Scans, snapshots, latest partition, join."""
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from ecotally.operators.join import join_activity_entity
+from ecotally.operators.latest import create_latest_view, latest_partition
+from ecotally.sources.documents import read_documents, read_rules
+from ecotally.sources.snapshot import publish, read_snapshots, write_snapshot
+
+
+def small(spark, tag):
+    return spark.createDataFrame([(1, tag), (2, tag)], "id int, tag string")
+
+
+def test_snapshot_roundtrip_and_rerun_modes(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "snap")
+    write_snapshot(small(spark, "a"), path, "2024-01-01")
+    write_snapshot(small(spark, "b"), path, "2024-01-02")
+    write_snapshot(small(spark, "c"), path, "2024-01-02")  # same-day rerun replaces
+    df = read_snapshots(spark, path)
+    assert dict(df.dtypes)["partition_0"] == "string"
+    got = sorted((r["partition_0"], r["tag"]) for r in df.collect())
+    assert got == [("2024-01-01", "a")] * 2 + [("2024-01-02", "c")] * 2
+    write_snapshot(small(spark, "d"), path, "2024-01-02", mode="append")
+    assert read_snapshots(spark, path).filter("partition_0 = '2024-01-02'").count() == 4
+
+
+def test_latest_partition_prunes_folders(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "snap")
+    for d, tag in [("2023-12-31", "old"), ("2024-01-09", "mid"), ("2024-01-10", "new")]:
+        write_snapshot(small(spark, tag), path, d)
+    latest = latest_partition(read_snapshots(spark, path))
+    assert {r["tag"] for r in latest.collect()} == {"new"}
+    plan = latest._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "partition_0" in plan
+    view = create_latest_view(read_snapshots(spark, path), "latest_partition_data")
+    assert spark.table("latest_partition_data").count() == 2 and view.count() == 2
+
+
+def test_bare_date_layout(spark, tmp_dir):
+    base = os.path.join(tmp_dir, "bare")
+    small(spark, "x").write.parquet(os.path.join(base, "2024-02-01"))
+    small(spark, "y").write.parquet(os.path.join(base, "2024-02-03"))
+    df = read_snapshots(spark, base, layout="bare")
+    assert sorted({(r["partition_0"], r["tag"]) for r in df.collect()}) == [
+        ("2024-02-01", "x"), ("2024-02-03", "y")]
+    assert {r["tag"] for r in latest_partition(df).collect()} == {"y"}
+
+
+def test_read_documents_merges_fields(spark, tmp_dir):
+    a = os.path.join(tmp_dir, "a")
+    b = os.path.join(tmp_dir, "b")
+    spark.createDataFrame([(1, "x")], "id int, f1 string").write.json(a)
+    spark.createDataFrame([(2, 3.5)], "id int, f2 double").write.json(b)
+    df = read_documents(spark, [a, b])
+    assert sorted(df.columns) == ["f1", "f2", "id"]
+    assert df.count() == 2
+
+
+def test_read_rules_renames_key(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "rules")
+    spark.createDataFrame([("u1", "t1", "x")], "userarn string, tenantid string, other string").write.parquet(p)
+    r = read_rules(spark, p)
+    assert r.columns == ["UserArn", "tenantid"] and r.first()["UserArn"] == "u1"
+
+
+def test_join_drops_right_keys_and_null_keys_never_match(spark):
+    a = spark.createDataFrame([("e1", "t1", 1), (None, "t1", 2), ("e2", None, 3)], "entityid string, tenantid string, v int")
+    e = spark.createDataFrame([("e1", "t1", "n1"), (None, "t1", "n0")], "entity_id string, tenant_id string, name string")
+    j = join_activity_entity(a, e)
+    assert j.columns == ["entityid", "tenantid", "v", "name"]
+    assert [tuple(r) for r in j.collect()] == [("e1", "t1", 1, "n1")]
+
+
+def test_join_collisions(spark):
+    a = spark.createDataFrame([("e1", "t1", "x")], "entityid string, tenantid string, name string")
+    e = spark.createDataFrame([("e1", "t1", "n1")], "entity_id string, tenant_id string, name string")
+    with pytest.raises(ValueError):
+        join_activity_entity(a, e)
+    j = join_activity_entity(a, e, on_collision="prefix")
+    assert j.columns == ["entityid", "tenantid", "name", "entity_name"]
+
+
+def test_publish_overwrites(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "pub")
+    publish(small(spark, "a"), p)
+    publish(small(spark, "b"), p)
+    assert {r["tag"] for r in spark.read.parquet(p).collect()} == {"b"}
