@@ -34,6 +34,7 @@ Work is ``O(|V| * D)`` column arithmetic plus entity-grain joins, against
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -103,9 +104,16 @@ def ancestor_closure(
     *,
     broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
     max_depth: int | None = None,
+    method: str = "auto",
 ) -> Closure:
     """All ``(tenantid, rootid, ancestorid, distance, paths)`` with distance >= 1.
 
+    ``method="auto"``: a single-parent hierarchy whose edge table passed the
+    broadcast size check runs as one native ``WITH RECURSIVE`` query over the
+    edge table (iterations stay in the JVM; one row per root and ancestor).
+    Everything else — DAGs, large edge tables, cycles, very deep trees — runs
+    the path-doubling loop below (``method="doubling"`` forces it).
+
     Path doubling: ``jump`` holds the paths of length exactly ``k`` and
     ``closure`` all paths of length ``<= k``.  One round extends every known
     path by a jump (lengths ``k+1 .. 2k``) and squares the jump table, so a
@@ -117,16 +125,33 @@ def ancestor_closure(
     its counted size allows, else a shuffle join.  When every entity has a
     single parent no two paths can meet, so the per-round regrouping is
     skipped.  The edge table (derived from the big input) is reliably
-    checkpointed first; rounds are persisted (lineage is only ``log2(D)``
-    rounds deep) and the finished closure is reliably checkpointed.
+    checkpointed first; rounds are persisted, and the finished closure is
+    reliably checkpointed from the cache.  A lost executor therefore
+    recomputes at most ``log2(D)`` entity-grain rounds, never the big input.
     """
-    e = edges.filter(F.col("tenantid").isNotNull() & F.col("entityid").isNotNull())
-    e = reliable_checkpoint(e)
-    shape = e.agg(
+    e = edges.filter(
+        F.col("tenantid").isNotNull() & F.col("entityid").isNotNull()
+    ).persist(StorageLevel.MEMORY_AND_DISK)
+    cached: list[DataFrame] = [e]
+    first = e.agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_distinct("tenantid", "entityid").alias("nodes"),
+        _cycle_flag("entityid", "parententityid"),
     ).first()
-    single_parent = shape["rows"] == shape["nodes"]
+    single_parent = first["rows"] == first["nodes"]
+    e = reliable_checkpoint(e)  # reads the cache: the big input is aggregated once
+    if (
+        method in ("auto", "recursive")
+        and single_parent
+        and not first["cycle"]
+        and first["rows"] <= broadcast_rows
+    ):
+        found = _closure_by_recursion(e, first["rows"], max_depth)
+        if found is not None:
+            _release(cached)
+            return found
+    if method == "recursive":
+        raise ValueError("recursive closure needs a small single-parent hierarchy")
     jump = e.select(
         "tenantid",
         F.col("entityid").alias("rootid"),
@@ -136,25 +161,18 @@ def ancestor_closure(
     closure = jump.select(
         "tenantid", "rootid", "ancestorid", F.lit(1).alias("distance"), "paths"
     )
-    cached: list[DataFrame] = []
+    jump_rows, cycle = first["rows"], first["cycle"]
+    parts = int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     k = 1
     depth = 0
-    while True:
-        stats = jump.agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.max(F.when(F.col("ancestorid") == F.col("rootid"), 1).otherwise(0)).alias(
-                "cycle"
-            ),
-        ).first()
-        if stats["rows"] == 0:
-            break
-        depth = 2 * k - 1  # upper bound of the longest path once this round ran
-        if stats["cycle"]:
+    while jump_rows:
+        if cycle:
             _release(cached)
             raise HierarchyCycleError(f"an entity is its own ancestor within {k} steps")
         if max_depth is not None and k > max_depth:
             _release(cached)
             raise HierarchyCycleError(f"hierarchy deeper than max_depth={max_depth}")
+        depth = 2 * k - 1  # upper bound of the longest path once this round ran
         j_side, _ = broadcast_if_small(
             jump.select(
                 F.col("tenantid").alias("j_tenant"),
@@ -163,7 +181,7 @@ def ancestor_closure(
                 F.col("paths").alias("j_paths"),
             ),
             broadcast_rows,
-            rows=stats["rows"],
+            rows=jump_rows,
         )
 
         def extend(left: DataFrame, key_cols: list[str]) -> DataFrame:
@@ -188,17 +206,99 @@ def ancestor_closure(
             ),
             ["tenantid", "rootid", "ancestorid", "distance"],
         )
-        new_jump = extend(jump, ["tenantid", "rootid", "ancestorid"])
-        closure = closure.unionByName(longer).persist(StorageLevel.MEMORY_AND_DISK)
-        cached.append(closure)
-        jump = new_jump.persist(StorageLevel.MEMORY_AND_DISK)
-        cached.append(jump)
+        # A map-side join keeps the partition count, so the union would double
+        # it every round; coalesce (no shuffle) to the configured parallelism.
+        closure = _cut(closure.unionByName(longer).coalesce(parts), cached)
+        jump = _cut(extend(jump, ["tenantid", "rootid", "ancestorid"]), cached)
+        # One action computes both (the jump side's broadcast is reused), fills
+        # the caches the checkpoint files are then written from, and returns
+        # the loop state.
+        stats = (
+            jump.select(F.lit(1).alias("is_jump"), _is_cycle("rootid", "ancestorid"))
+            # a cycle of length L shows in the closure once 2k >= L (jump
+            # tables only hold lengths that are powers of two)
+            .unionByName(
+                closure.select(F.lit(0).alias("is_jump"), _is_cycle("rootid", "ancestorid"))
+            )
+            .agg(F.sum("is_jump").alias("rows"), F.max("cycle").alias("cycle"))
+            .first()
+        )
+        jump_rows, cycle = stats["rows"], stats["cycle"]
         k *= 2
-    closure = reliable_checkpoint(closure)
+    closure = reliable_checkpoint(closure)  # written from the cache
     _release(cached)
     return Closure(closure, depth)
 
 
+# Session settings that bound Spark's native recursion (restored afterwards).
+_LEVEL_LIMIT = "spark.sql.cteRecursionLevelLimit"
+_ROW_LIMIT = "spark.sql.cteRecursionRowLimit"
+_DEFAULT_LEVEL_LIMIT = 100
+
+_RECURSIVE_CLOSURE_SQL = """
+WITH RECURSIVE cl(tenantid, rootid, ancestorid, distance, paths) AS (
+  SELECT tenantid, entityid, parententityid, 1, CAST(mult AS BIGINT) FROM {edges}
+  UNION ALL
+  SELECT cl.tenantid, cl.rootid, e.parententityid, cl.distance + 1, cl.paths * e.mult
+  FROM cl JOIN {edges} e ON e.tenantid = cl.tenantid AND e.entityid = cl.ancestorid
+)
+SELECT tenantid, rootid, ancestorid, distance, paths FROM cl"""
+
+
+def _closure_by_recursion(e: DataFrame, edges: int, max_depth: int | None) -> Closure | None:
+    """Native recursive query over a small single-parent edge table.
+
+    Returns None when the level limit is reached (a cycle or a very deep
+    tree); the caller then runs the doubling loop, which tells them apart.
+    """
+    spark = e.sparkSession
+    # Without a cycle a single-parent path visits each edge at most once.
+    levels = max_depth if max_depth is not None else min(_DEFAULT_LEVEL_LIMIT, edges + 1)
+    view = f"__ecotally_edges_{uuid.uuid4().hex[:12]}"
+    e.createOrReplaceTempView(view)
+    saved = {k: spark.conf.get(k, None) for k in (_LEVEL_LIMIT, _ROW_LIMIT)}
+    try:
+        spark.conf.set(_LEVEL_LIMIT, str(levels))
+        # single parent: at most one row per (root, distance)
+        spark.conf.set(_ROW_LIMIT, str(max(edges * (levels + 1), 1_000_000)))
+        found = (
+            spark.sql(_RECURSIVE_CLOSURE_SQL.format(edges=view))
+            .coalesce(int(spark.conf.get("spark.sql.shuffle.partitions")))
+            .persist(StorageLevel.MEMORY_AND_DISK)
+        )
+        depth = found.agg(F.max("distance")).first()[0] or 0  # runs the recursion once
+        closure = reliable_checkpoint(found)  # written from the cache
+        found.unpersist()
+    except Exception as err:  # noqa: BLE001 - only the level limit is expected
+        if "RECURSION_LEVEL_LIMIT_EXCEEDED" in str(err):
+            return None
+        raise
+    finally:
+        for k, val in saved.items():
+            if val is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, val)
+        spark.catalog.dropTempView(view)
+    return Closure(closure, depth)
+
+
+def _cut(df: DataFrame, cached: list[DataFrame]) -> DataFrame:
+    """Persist one round's table (released once the closure is checkpointed)."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    cached.append(df)
+    return df
+
+
+def _is_cycle(root: str, ancestor: str) -> F.Column:
+    """Per row: 1 when the path returns to its root."""
+    return F.when(F.col(ancestor) == F.col(root), 1).otherwise(0).alias("cycle")
+
+
+def _cycle_flag(root: str, ancestor: str) -> F.Column:
+    return F.max(_is_cycle(root, ancestor)).alias("cycle")
+
+
 def _release(frames: list[DataFrame]) -> None:
     for df in frames:
         df.unpersist()
@@ -239,20 +339,32 @@ def level_amounts(
     return df.select("tenantid", "entityid", "percentage", F.inline(levels))
 
 
-def _up_join(left: DataFrame, closure: Closure) -> DataFrame:
+def _attach_ancestors(left: DataFrame, closure: Closure) -> DataFrame:
+    """Give every ``(tenantid, entityid, level)`` row its ancestor ``id``.
+
+    Level 0 keeps its own entity (``paths = 1``, whatever the tenant, NULLs
+    included); level ``n > 0`` joins the closure on ``(tenant, root, n)``.
+    One left join over one aggregate: the big input is scanned once.
+    """
     cl = closure.df.select(
         F.col("tenantid").alias("c_tenant"),
         F.col("rootid").alias("c_root"),
-        F.col("ancestorid"),
+        F.col("ancestorid").alias("c_ancestor"),
         F.col("distance").alias("c_distance"),
-        F.col("paths"),
+        F.col("paths").alias("c_paths"),
     )
-    return left.filter(F.col("level") > 0).join(
+    joined = left.join(
         cl,
         (F.col("tenantid") == F.col("c_tenant"))
         & (F.col("entityid") == F.col("c_root"))
         & (F.col("level") == F.col("c_distance")),
-        "inner",
+        "left",
+    )
+    own = F.col("level") == 0
+    return joined.filter(own | F.col("c_root").isNotNull()).select(
+        "*",
+        F.when(own, F.col("entityid")).otherwise(F.col("c_ancestor")).alias("id"),
+        F.when(own, F.lit(1).cast("long")).otherwise(F.col("c_paths")).alias("paths"),
     )
 
 
@@ -261,7 +373,8 @@ def _times_paths(amount: str) -> F.Column:
 
 
 def level_totals(v: DataFrame, closure: Closure, cols=DEFAULT_COLUMNS) -> DataFrame:
-    """Per ``(id, level)``: summed amounts and number of contributions ``n``."""
+    """Per ``(id, level)`` contribution: summed amounts and their count ``n``
+    (not yet summed over roots)."""
     sums = (
         level_amounts(v, closure.depth, cols)
         .groupBy("tenantid", "entityid", "level")
@@ -271,21 +384,13 @@ def level_totals(v: DataFrame, closure: Closure, cols=DEFAULT_COLUMNS) -> DataFr
             F.count(F.lit(1)).alias("rows"),
         )
     )
-    own = sums.filter(F.col("level") == 0).select(
-        F.col("entityid").alias("id"),
-        "level",
-        F.col("s_loc").cast(_WIDE_TYPE).alias("loc"),
-        F.col("s_mkt").cast(_WIDE_TYPE).alias("mkt"),
-        F.col("rows").alias("n"),
-    )
-    up = _up_join(sums, closure).select(
-        F.col("ancestorid").alias("id"),
+    return _attach_ancestors(sums, closure).select(
+        "id",
         "level",
         _times_paths("s_loc").alias("loc"),
         _times_paths("s_mkt").alias("mkt"),
         (F.col("rows") * F.col("paths")).alias("n"),
     )
-    return own.unionByName(up)
 
 
 def rollup_by_level(
@@ -345,21 +450,16 @@ def rollup_contributions(
         )
         .agg(F.count(F.lit(1)).alias("rows"))
     )
-    out = [
+    return _attach_ancestors(detail, closure).select(
+        "id",
         "tenantid",
         F.col("entityid").alias("rootid"),
         "amount_locationbased",
         "amount_marketbased",
         "percentage",
         "level",
-    ]
-    own = detail.filter(F.col("level") == 0).select(
-        F.col("entityid").alias("id"), *out, F.col("rows").alias("n")
-    )
-    up = _up_join(detail, closure).select(
-        F.col("ancestorid").alias("id"), *out, (F.col("rows") * F.col("paths")).alias("n")
+        (F.col("rows") * F.col("paths")).alias("n"),
     )
-    return own.unionByName(up)
 
 
 def attach_totals(
@@ -410,10 +510,12 @@ def rollup_report(
     sort: bool = True,
     broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
     max_depth: int | None = None,
+    method: str = "auto",
 ) -> DataFrame:
     """R2 (flagship): roll-up -> totals -> attach -> order."""
     closure = ancestor_closure(
-        edge_table(v, cols), broadcast_rows=broadcast_rows, max_depth=max_depth
+        edge_table(v, cols), broadcast_rows=broadcast_rows, max_depth=max_depth,
+        method=method,
     )
     totals = rollup_totals(v, cols, closure=closure)
     report = attach_totals(v, totals, cols, broadcast_rows=broadcast_rows)

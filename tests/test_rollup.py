@@ -107,8 +107,8 @@ def test_no_parents_depth_zero(spark):
     assert got["A"] == (Decimal("1"), Decimal("1"))
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_random_forests_match_recursive_sql(spark, seed):
+@pytest.mark.parametrize("seed,method", [(1, "auto"), (2, "auto"), (3, "doubling"), (4, "doubling")])
+def test_random_forests_match_recursive_sql(spark, seed, method):
     """Property: the closure form equals the literal recursion (fan-out,
     several tenants, shared entity ids across tenants, NULL amounts/p)."""
     rnd = random.Random(seed)
@@ -123,11 +123,28 @@ def test_random_forests_match_recursive_sql(spark, seed):
                 mkt = rnd.choice([None, round(rnd.uniform(0, 50), 3)])
                 p = rnd.choice([None, 0.25, 0.33, 0.5, 0.75, 1.0])
                 rows.append((t, str(i), parent, tot, loc, mkt, p))
-    got = totals_of(rollup_totals(view(spark, rows)))
+    got = totals_of(rollup_totals(view(spark, rows), method=method))
     ref = duck_recursive_totals(rows)
     assert {k: (v[0], v[1]) for k, v in ref.items()} == got
 
 
+def test_closure_methods_agree(spark):
+    rows = [("t", str(i), str(i // 2) if i else None, 1, None, None, 0.5) for i in range(40)]
+    e = edge_table(view(spark, rows))
+    a = ancestor_closure(e, method="recursive")
+    b = ancestor_closure(e, method="doubling")
+    canon = lambda c: sorted((tuple(r) for r in c.df.collect()), key=repr)
+    assert canon(a) == canon(b)
+    assert a.depth <= b.depth and a.depth == 7  # 39-19-9-4-2-1-0 and the NULL step
+
+
+def test_cycle_raises_with_doubling_directly(spark):
+    rows = [("t", "A", "B", 1, None, None, 0.5), ("t", "B", "C", 1, None, None, 0.5),
+            ("t", "C", "A", 1, None, None, 0.5)]
+    with pytest.raises(HierarchyCycleError):
+        ancestor_closure(edge_table(view(spark, rows)), method="doubling")
+
+
 def test_single_tenant_one_row_per_entity_level_sums(spark):
     rows = [("t", "r", None, 8, None, None, 0.5), ("t", "a", "r", 4, None, None, 0.5),
             ("t", "b", "a", 2, None, None, 0.5)]
