@@ -522,8 +522,142 @@ def rollup_report(
     return sort_report(report, cols) if sort else report
 
 
+# --------------------------------------------------------------- entity mode
+def entity_table(v: DataFrame, cols: HierarchyColumns = DEFAULT_COLUMNS) -> DataFrame:
+    """Distinct ``(tenantid, entityid, parententityid, percentage)`` of V."""
+    return v.select(
+        F.col(cols.tenant).alias("tenantid"),
+        F.col(cols.entity).alias("entityid"),
+        F.col(cols.parent).alias("parententityid"),
+        F.col(cols.percentage).alias("percentage"),
+    ).distinct()
+
+
+def entity_rollup_totals(
+    v: DataFrame,
+    entities: DataFrame | None = None,
+    cols: HierarchyColumns = DEFAULT_COLUMNS,
+    **closure_opts,
+) -> DataFrame:
+    """Totals with the reference's quirks fixed (``mode="entity"``).
+
+    One edge per (tenant, entity) from ``entities`` (default: V's distinct
+    entity rows), so activity rows do not multiply what passes through (Q1);
+    each step applies the percentage of the entity it leaves (Q2); totals are
+    per ``(tenantid, id)`` (Q3); the climb goes through the entity table, so
+    parents without activity rows pass contributions on (Q5).  Rounding per
+    step and NULL percentages behave as in the reference.
+
+    Plan: the closure of the entity edges; per root, the percentages along its
+    path as an array ordered by distance (at most depth-many elements); per V
+    row one chain of rounded amounts over that array; sums per (tenant,
+    entity, level); then ancestors by distance.
+    """
+    if entities is None:
+        entities = entity_table(v, cols)
+    ent = entities.select("tenantid", "entityid", "parententityid", "percentage")
+    dup = ent.groupBy("tenantid", "entityid").count().filter("count > 1").limit(1)
+    if not dup.isEmpty():
+        raise ValueError("entity mode needs one parent and percentage per (tenant, entity)")
+    edges = ent.select("tenantid", "entityid", "parententityid", F.lit(1).cast("long").alias("mult"))
+    closure = ancestor_closure(edges, **closure_opts)
+    pct = ent.select(
+        F.col("tenantid").alias("p_tenant"),
+        F.col("entityid").alias("p_entity"),
+        F.col("percentage").alias("p_pct"),
+    )
+    own = ent.select(
+        "tenantid", F.col("entityid").alias("rootid"), F.lit(0).alias("distance"),
+        F.col("percentage").alias("p_pct"),
+    )
+    # percentage of the node at distance d (d = 0 is the root itself)
+    along = own.unionByName(
+        closure.df.join(
+            pct,
+            (F.col("tenantid") == F.col("p_tenant")) & (F.col("ancestorid") == F.col("p_entity")),
+            "inner",
+        ).select("tenantid", "rootid", "distance", "p_pct")
+    )
+    path = along.groupBy("tenantid", "rootid").agg(
+        F.array_sort(F.collect_list(F.struct("distance", "p_pct"))).getField("p_pct").alias("ps")
+    )
+    depth = closure.depth
+    rows = v.select(
+        F.col(cols.tenant).alias("tenantid"),
+        F.col(cols.entity).alias("entityid"),
+        coalesce_amount(cols.total, cols.location).alias("l0"),
+        coalesce_amount(cols.total, cols.market).alias("m0"),
+    ).join(
+        path.select(F.col("tenantid").alias("x_tenant"), F.col("rootid").alias("x_root"), "ps"),
+        (F.col("tenantid") == F.col("x_tenant")) & (F.col("entityid") == F.col("x_root")),
+        "left",
+    )
+    for k in range(1, depth + 1):
+        p_k = F.try_element_at(F.col("ps"), F.lit(k))  # percentage of the node left at step k
+        rows = rows.select(
+            "*",
+            contribution(f"l{k - 1}", p_k).alias(f"l{k}"),
+            contribution(f"m{k - 1}", p_k).alias(f"m{k}"),
+        )
+    levels = F.array(
+        *[
+            F.struct(
+                F.lit(k).alias("level"),
+                F.col(f"l{k}").alias("amount_locationbased"),
+                F.col(f"m{k}").alias("amount_marketbased"),
+            )
+            for k in range(depth + 1)
+        ]
+    )
+    sums = (
+        rows.select("tenantid", "entityid", F.inline(levels))
+        .groupBy("tenantid", "entityid", "level")
+        .agg(
+            F.sum("amount_locationbased").alias("s_loc"),
+            F.sum("amount_marketbased").alias("s_mkt"),
+            F.count(F.lit(1)).alias("rows"),
+        )
+    )
+    return (
+        _attach_ancestors(sums, closure)
+        .groupBy("tenantid", "id")
+        .agg(
+            F.sum(_times_paths("s_loc")).cast(TOTAL_TYPE).alias("cumulative_locationbased"),
+            F.sum(_times_paths("s_mkt")).cast(TOTAL_TYPE).alias("cumulative_marketbased"),
+        )
+    )
+
+
+def entity_rollup_report(
+    v: DataFrame,
+    entities: DataFrame | None = None,
+    cols: HierarchyColumns = DEFAULT_COLUMNS,
+    *,
+    sort: bool = True,
+    **closure_opts,
+) -> DataFrame:
+    """R2 with ``mode="entity"``: totals attached on (tenant, entity)."""
+    totals = entity_rollup_totals(v, entities, cols, **closure_opts).filter(
+        F.col("id").isNotNull()
+    ).select(
+        F.col("tenantid").alias("__total_tenant"),
+        F.col("id").alias("__total_id"),
+        F.col("cumulative_marketbased").alias("total_emissions_marketbased"),
+        F.col("cumulative_locationbased").alias("total_emissions_locationbased"),
+    )
+    report = v.join(
+        totals,
+        (F.col(cols.tenant) == F.col("__total_tenant")) & (F.col(cols.entity) == F.col("__total_id")),
+        "inner",
+    ).drop("__total_tenant", "__total_id")
+    return sort_report(report, cols) if sort else report
+
+
 __all__ = [
     "AMOUNT_TYPE",
+    "entity_rollup_report",
+    "entity_rollup_totals",
+    "entity_table",
     "Closure",
     "DEFAULT_COLUMNS",
     "HierarchyColumns",

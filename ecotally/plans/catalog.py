@@ -19,6 +19,7 @@ from ..operators.refresh import incremental_refresh, lookback
 from ..operators.report_schema import report_schema
 from ..operators.rollup import (
     attach_totals,
+    entity_rollup_report,
     rollup_by_level,
     rollup_contributions,
     rollup_report,
@@ -216,6 +217,11 @@ def q_rollup_report(spark, sf):
     return rollup_report(latest_view(spark, sf))
 
 
+def q_rollup_report_entity(spark, sf):
+    """The roll-up with the reference's quirks fixed (never the default)."""
+    return entity_rollup_report(latest_view(spark, sf))
+
+
 # ---------------------------------------------------------------- security
 def _rls(spark, sf, principal: str) -> DataFrame:
     rules = read_rules_frame(spark, sf)
@@ -318,6 +324,7 @@ QUERIES: dict[str, Query] = {
     "total_attach": q_total_attach,
     "report_sorted": q_report_sorted,
     "rollup_report": q_rollup_report,
+    "rollup_report_entity": q_rollup_report_entity,
     "rls_tenant": q_rls_tenant,
     "rls_admin": q_rls_admin,
     "rls_no_rule": q_rls_no_rule,
@@ -507,6 +514,31 @@ ORACLES: dict[str, str] = {
     "total_attach": f"WITH RECURSIVE {_V}, {_C} {_REPORT}",
     "report_sorted": f"WITH {_V} SELECT * FROM v ORDER BY entityid, parententityid",
     "rollup_report": f"WITH RECURSIVE {_V}, {_C} {_REPORT} ORDER BY t.entityid, t.parententityid",
+    "rollup_report_entity": f"""
+        WITH RECURSIVE {_V},
+        ent AS (SELECT DISTINCT tenantid, entityid, parententityid,
+                       parentcontributionpercentage AS percentage FROM v),
+        ce(id, tenantid, amount_locationbased, amount_marketbased, percentage) AS (
+          SELECT entityid, tenantid,
+                 COALESCE(emissioninkgco2, emissioninkgco2_forlocationbased, 0),
+                 COALESCE(emissioninkgco2, emissioninkgco2_formarketbased, 0),
+                 parentcontributionpercentage
+          FROM v
+          UNION ALL
+          SELECT e.parententityid, ce.tenantid,
+                 CAST(ce.amount_locationbased * ce.percentage AS DECIMAL(20,10)),
+                 CAST(ce.amount_marketbased * ce.percentage AS DECIMAL(20,10)),
+                 pe.percentage
+          FROM ce JOIN ent e ON e.entityid = ce.id AND e.tenantid = ce.tenantid
+          LEFT JOIN ent pe ON pe.entityid = e.parententityid AND pe.tenantid = ce.tenantid
+        )
+        SELECT t.*, '{SNAPSHOT_DATE}' AS partition_0,
+               CAST(s.m AS DECIMAL(30,10)) AS total_emissions_marketbased,
+               CAST(s.l AS DECIMAL(30,10)) AS total_emissions_locationbased
+        FROM v t JOIN (SELECT tenantid, id, SUM(amount_locationbased) AS l,
+                              SUM(amount_marketbased) AS m
+                       FROM ce GROUP BY tenantid, id) s
+          ON t.tenantid = s.tenantid AND t.entityid = s.id""",
     "rls_tenant": f"""
         {_ACTIVITY_ROWS}
         WHERE 't' || CAST(l_suppkey % 4 AS VARCHAR) IN (
