@@ -46,6 +46,50 @@ def incremental_refresh(
     return keep.unionByName(fresh)
 
 
+DAY_PARTITION = "date_day"
+
+
+def publish_by_day(
+    report: DataFrame, target: str, column: str = "date", day_column: str = DAY_PARTITION
+) -> None:
+    """First import of a published dataset: every row, partitioned by day."""
+    (
+        report.withColumn(day_column, F.to_date(F.col(column)))
+        .write.mode("overwrite")
+        .partitionBy(day_column)
+        .parquet(target)
+    )
+
+
+def refresh_published(
+    report: DataFrame,
+    target: str,
+    column: str = "date",
+    as_of=None,
+    days: int = 1,
+    day_column: str = DAY_PARTITION,
+) -> None:
+    """M1 on disk: re-import only the lookback window of ``target``.
+
+    The published dataset is partitioned by day, so the refresh writes the
+    window's rows with dynamic partition overwrite: only the day folders it
+    writes are replaced, older days and the NULL-date folder stay, and the
+    target is never read.  ``as_of`` defaults to the newest ``column`` value
+    of ``report`` (a scalar subquery, not a driver round trip).
+    """
+    if as_of is None:
+        as_of = report.select(F.max(column)).scalar()
+    fresh = lookback(report, column, as_of, days).withColumn(
+        day_column, F.to_date(F.col(column))
+    )
+    (
+        fresh.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(day_column)
+        .parquet(target)
+    )
+
+
 def full_refresh(source: DataFrame, target: str) -> None:
     """M2: replace the published dataset with ``source``."""
     from ..sources.snapshot import publish
