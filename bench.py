@@ -23,6 +23,7 @@ from ecotally.session import build_session  # noqa: E402
 
 HEADLINE = [
     "rollup_report",
+    "rollup_report_entity",
     "batch_report",
     "rollup_contributions",
     "rollup_by_level",

@@ -221,3 +221,19 @@ def test_entity_report_attaches_on_tenant_and_entity(spark):
     rep = entity_rollup_report(view(spark, WORKED)).collect()
     a_rows = {r["tenantid"]: r["total_emissions_locationbased"] for r in rep if r["entityid"] == "A"}
     assert a_rows == {"t1": Decimal("16.5"), "t2": Decimal("100")}
+
+
+def test_hot_entity_third_of_rows(spark):
+    """One leaf entity holds a third of all activity rows: results stay exact
+    and the totals reach V through a broadcast (no shuffle of the hot key)."""
+    rows = [("t", "root", None, 1, None, None, 0.5)]
+    rows += [("t", f"m{i}", "root", 2, None, None, 0.5) for i in range(6)]
+    rows += [("t", f"l{i}", f"m{i % 6}", 1, None, None, 0.25) for i in range(400)]
+    rows += [("t", "hot", "m0", round(0.01 * i, 2), None, None, 0.5) for i in range(210)]
+    got = totals_of(rollup_totals(view(spark, rows)))
+    ref = duck_recursive_totals(rows)
+    assert {k: (v[0], v[1]) for k, v in ref.items()} == got
+    report = rollup_report(view(spark, rows), sort=False)
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert report.count() == len(rows)
