@@ -47,7 +47,7 @@ def test_entry_smoke(spark):
 def test_every_query_has_oracle_or_is_rows_only():
     q, o = entry_mod.queries(), entry_mod.oracle_sql()
     assert set(o) <= set(q)
-    assert set(q) - set(o) == {"infer_schema", "geo_tag", "report_schema"}
+    assert set(q) - set(o) == {"infer_schema", "report_schema"}
 
 
 @pytest.mark.parametrize("name", sorted(entry_mod.oracle_sql()))
@@ -61,6 +61,13 @@ def test_query_matches_oracle(spark, duck, name):
     assert _canon(cols, rows) == _canon(ocols, orows)
 
 
-@pytest.mark.parametrize("name", ["infer_schema", "geo_tag", "report_schema"])
+@pytest.mark.parametrize("name", ["infer_schema", "report_schema"])
 def test_rows_only_queries_run(spark, name):
     assert entry_mod.queries()[name](spark, SF).count() > 0
+
+
+def test_geo_tag_query_carries_roles(spark):
+    from ecotally.operators.shape import geo_roles
+
+    df = entry_mod.queries()["geo_tag"](spark, SF)
+    assert geo_roles(df) == {"country": "COUNTRY", "province": "STATE"}
