@@ -227,6 +227,8 @@ def ancestor_closure(
         k *= 2
     closure = reliable_checkpoint(closure)  # written from the cache
     _release(cached)
+    if depth:  # exact longest path (the loop only knows a bound below 2k)
+        depth = closure.agg(F.max("distance")).first()[0] or 0
     return Closure(closure, depth)
 
 

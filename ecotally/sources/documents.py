@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def _is_path(source: str) -> bool:
@@ -18,25 +19,37 @@ def _is_path(source: str) -> bool:
 
 
 def read_table(
-    spark: SparkSession, source: str, fmt: str | None = None, **options
+    spark: SparkSession,
+    source: str,
+    fmt: str | None = None,
+    schema: StructType | str | None = None,
+    **options,
 ) -> DataFrame:
     """Read ``source`` as a path (format from ``fmt`` or the extension) or as a
-    catalog table name."""
+    catalog table name.  A given ``schema`` skips inference (one pass less
+    over the files)."""
     if not _is_path(source):
         return spark.table(source)
     if fmt is None:
         fmt = "json" if source.rstrip("/").endswith(".json") else "parquet"
-    return spark.read.options(**options).format(fmt).load(source)
+    reader = spark.read.options(**options).format(fmt)
+    if schema is not None:
+        reader = reader.schema(schema)
+    return reader.load(source)
 
 
-def read_activity(spark: SparkSession, source: str, fmt: str | None = None) -> DataFrame:
+def read_activity(
+    spark: SparkSession, source: str, fmt: str | None = None, schema=None
+) -> DataFrame:
     """Raw activity documents."""
-    return read_table(spark, source, fmt)
+    return read_table(spark, source, fmt, schema)
 
 
-def read_entity(spark: SparkSession, source: str, fmt: str | None = None) -> DataFrame:
+def read_entity(
+    spark: SparkSession, source: str, fmt: str | None = None, schema=None
+) -> DataFrame:
     """Raw entity (organisation) documents."""
-    return read_table(spark, source, fmt)
+    return read_table(spark, source, fmt, schema)
 
 
 def read_documents(
@@ -47,10 +60,12 @@ def read_documents(
 ) -> DataFrame:
     """S3: full re-inference of a document set whose records differ in fields.
 
-    JSON: every record is sampled (``samplingRatio=1.0``) and the field sets
-    are merged into one schema; fields absent from a record read as NULL.
-    Parquet: footers are merged with ``mergeSchema``.  Inference is a Spark
-    job over the files, not a driver-side pass.
+    JSON: every record is sampled (``samplingRatio=1.0``, like a crawler that
+    re-reads everything) and the field sets are merged into one schema; fields
+    absent from a record read as NULL.  Parquet: footers are merged with
+    ``mergeSchema``.  Inference is a distributed Spark job over the files, not
+    a driver-side pass; on very large inputs lower ``sampling_ratio`` or pass
+    the schema to ``read_table`` instead.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     reader = spark.read
