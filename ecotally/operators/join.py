@@ -1,10 +1,10 @@
 """J1 (+P6): activity rows joined to their entity.
 
 Inner equi-join on two keys named differently on each side; NULL keys never
-match; the right-hand keys are dropped.  No strategy is forced: the entity
-side is entity-grain, and AQE turns the sort-merge join into a broadcast join
-at run time when the measured entity side is small, or splits partitions of a
-hot entity when it is not.
+match; the right-hand keys are dropped.  The entity side is entity-grain: it
+is counted first and broadcast when within ``broadcast_rows`` (the activity
+side is then never shuffled, and a hot entity costs nothing extra); beyond
+that it is a sort-merge join whose skewed partitions AQE splits.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import DEFAULT_BROADCAST_ROWS, broadcast_if_small
+
 ACTIVITY_KEYS = ("entityid", "tenantid")
 ENTITY_KEYS = ("entity_id", "tenant_id")
 
@@ -22,6 +24,7 @@ def join_activity_entity(
     left_keys: tuple[str, ...] = ACTIVITY_KEYS,
     right_keys: tuple[str, ...] = ENTITY_KEYS,
     on_collision: str = "raise",
+    broadcast_rows: int | None = DEFAULT_BROADCAST_ROWS,
 ) -> DataFrame:
     """``activity ⋈ entity`` on ``left_keys = right_keys``; right keys dropped.
 
@@ -45,6 +48,8 @@ def join_activity_entity(
                 for c in entity.columns
             ]
         )
+    if broadcast_rows is not None:
+        entity, _ = broadcast_if_small(entity, broadcast_rows)
     a = activity.alias("a")
     e = entity.alias("e")
     cond = None

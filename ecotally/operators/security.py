@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import principal_name
+from ..session import DEFAULT_BROADCAST_ROWS, broadcast_if_small
 
 
 def _unrestricted(tenant: F.Column) -> F.Column:
@@ -20,19 +21,33 @@ def _unrestricted(tenant: F.Column) -> F.Column:
 
 
 def apply_rls(
-    df: DataFrame, rules: DataFrame, principal: str, tenant_column: str = "tenantid"
+    df: DataFrame,
+    rules: DataFrame,
+    principal: str,
+    tenant_column: str = "tenantid",
+    broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
 ) -> DataFrame:
     """the rows of ``df`` that ``principal`` may see.
 
-    One tiny probe decides whether the principal holds an unrestricted rule;
-    otherwise it is an equi left-semi join on the tenant, which AQE plans as a
-    broadcast when the principal's tenant list is small and as a skew-aware
-    shuffle join when it is not.  No OR-condition nested-loop join.
+    One probe over the rules table returns whether the principal holds an
+    unrestricted rule and how many rules it has.  Otherwise the data is
+    filtered by an equi left-semi join on the tenant; the principal's tenant
+    list (bounded by its rule count) is broadcast when that count is within
+    ``broadcast_rows``, so the big side is never shuffled for a filter, and is
+    a skew-aware shuffle join beyond.  No OR-condition nested-loop join.
     """
     mine = rules.filter(F.col("UserArn") == F.lit(principal))
-    if not mine.filter(_unrestricted(F.col("tenantid"))).isEmpty():
+    probe = mine.agg(
+        F.count(F.lit(1)).alias("rules"),
+        F.max(F.when(_unrestricted(F.col("tenantid")), 1).otherwise(0)).alias("all"),
+    ).first()
+    if probe["all"]:
         return df
-    granted = mine.select(F.col("tenantid").alias("__granted")).distinct()
+    granted, _ = broadcast_if_small(
+        mine.select(F.col("tenantid").alias("__granted")).distinct(),
+        broadcast_rows,
+        rows=probe["rules"],
+    )
     return df.join(granted, F.col(tenant_column) == F.col("__granted"), "left_semi")
 
 
