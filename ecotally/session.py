@@ -55,7 +55,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Order: a directory already set on the context, then ``spark.checkpoint.dir``
     from the session conf, then (local master only) a fresh temporary folder.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server owns the context
+        conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+        if conf_dir:
+            return conf_dir
+        raise RuntimeError("spark.checkpoint.dir is not set on the server") from None
     current = sc.getCheckpointDir()
     if current:
         return current
