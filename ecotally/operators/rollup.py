@@ -16,17 +16,17 @@ How it runs on Spark (no row-level recursion over V):
 
 1. ``edge_table``: V collapsed to ``(tenant, entity, parent) -> mult`` (rows).
    Map-side partial aggregation makes a hot entity cheap.
-2. ``ancestor_closure``: all ``(tenant, root, ancestor, distance, paths)`` by
-   iterating over the edge table only.  The edge side is broadcast when its
-   counted size allows, otherwise it is a shuffle join (AQE splits skew).
-   Rounds are persisted and reliably checkpointed every few rounds; a root that
-   reaches itself is a cycle and raises.
-3. ``level_sums``: each V row's amount at every distance ``0..D`` (the rounded
-   chain ``dec(dec(x*p)*p)...``, generated as codegen'd columns), summed per
-   ``(tenant, entity, level)``.  Equal roots round equally, so grouping before
-   the closure join is exact.
-4. totals = level 0 sums on the entity itself + ``paths * sums`` joined to the
-   closure on ``(tenant, root, distance)``, summed per ancestor.
+2. ``ancestor_closure``: all ``(tenant, root, ancestor, distance, paths)``
+   over the edge table only — native ``WITH RECURSIVE`` for a small
+   single-parent hierarchy, otherwise path doubling (log2(D) rounds) with
+   size-checked broadcasts; the edge table and the result are reliably
+   checkpointed; a root that reaches itself is a cycle and raises.
+3. ``level_amounts`` / ``level_totals``: each V row's amount at every
+   distance ``0..D`` (the rounded chain ``dec(dec(x*p)*p)...``, generated as
+   codegen'd columns), summed per ``(tenant, entity, level)``.  Equal roots
+   round equally, so grouping before the closure join is exact.
+4. totals: one left join gives level 0 its own entity and level ``n`` the
+   closure's ancestors at distance ``n``; ``paths * sums`` summed per id.
 
 Work is ``O(|V| * D)`` column arithmetic plus entity-grain joins, against
 ``O(|V| * fan-out^D)`` rows for the literal recursion.
