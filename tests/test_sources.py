@@ -88,3 +88,19 @@ def test_publish_overwrites(spark, tmp_dir):
     publish(small(spark, "a"), p)
     publish(small(spark, "b"), p)
     assert {r["tag"] for r in spark.read.parquet(p).collect()} == {"b"}
+
+
+def test_partition_type_inference_on_still_gives_date_text(spark, tmp_dir):
+    """Default sessions infer ``partition_0`` as DATE; the scan keeps the text."""
+    key = "spark.sql.sources.partitionColumnTypeInference.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        path = os.path.join(tmp_dir, "snap")
+        write_snapshot(small(spark, "a"), path, "2024-03-01")
+        write_snapshot(small(spark, "b"), path, "2024-03-02")
+        df = read_snapshots(spark, path)
+        assert dict(df.dtypes)["partition_0"] == "string"
+        assert {r["partition_0"] for r in latest_partition(df).collect()} == {"2024-03-02"}
+    finally:
+        spark.conf.set(key, before)
