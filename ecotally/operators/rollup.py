@@ -539,6 +539,8 @@ def entity_rollup_totals(
     v: DataFrame,
     entities: DataFrame | None = None,
     cols: HierarchyColumns = DEFAULT_COLUMNS,
+    *,
+    broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
     **closure_opts,
 ) -> DataFrame:
     """Totals with the reference's quirks fixed (``mode="entity"``).
@@ -562,7 +564,7 @@ def entity_rollup_totals(
     if not dup.isEmpty():
         raise ValueError("entity mode needs one parent and percentage per (tenant, entity)")
     edges = ent.select("tenantid", "entityid", "parententityid", F.lit(1).cast("long").alias("mult"))
-    closure = ancestor_closure(edges, **closure_opts)
+    closure = ancestor_closure(edges, broadcast_rows=broadcast_rows, **closure_opts)
     pct = ent.select(
         F.col("tenantid").alias("p_tenant"),
         F.col("entityid").alias("p_entity"),
@@ -583,6 +585,12 @@ def entity_rollup_totals(
     path = along.groupBy("tenantid", "rootid").agg(
         F.array_sort(F.collect_list(F.struct("distance", "p_pct"))).getField("p_pct").alias("ps")
     )
+    # entity grain: counted and broadcast when small, so the big side is not
+    # shuffled and a hot entity costs nothing extra
+    path = reliable_checkpoint(
+        path.select(F.col("tenantid").alias("x_tenant"), F.col("rootid").alias("x_root"), "ps")
+    )
+    path_side, _ = broadcast_if_small(path, broadcast_rows)
     depth = closure.depth
     rows = v.select(
         F.col(cols.tenant).alias("tenantid"),
@@ -590,7 +598,7 @@ def entity_rollup_totals(
         coalesce_amount(cols.total, cols.location).alias("l0"),
         coalesce_amount(cols.total, cols.market).alias("m0"),
     ).join(
-        path.select(F.col("tenantid").alias("x_tenant"), F.col("rootid").alias("x_root"), "ps"),
+        path_side,
         (F.col("tenantid") == F.col("x_tenant")) & (F.col("entityid") == F.col("x_root")),
         "left",
     )
@@ -636,17 +644,19 @@ def entity_rollup_report(
     cols: HierarchyColumns = DEFAULT_COLUMNS,
     *,
     sort: bool = True,
+    broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
     **closure_opts,
 ) -> DataFrame:
     """R2 with ``mode="entity"``: totals attached on (tenant, entity)."""
-    totals = entity_rollup_totals(v, entities, cols, **closure_opts).filter(
-        F.col("id").isNotNull()
-    ).select(
+    totals = entity_rollup_totals(
+        v, entities, cols, broadcast_rows=broadcast_rows, **closure_opts
+    ).filter(F.col("id").isNotNull()).select(
         F.col("tenantid").alias("__total_tenant"),
         F.col("id").alias("__total_id"),
         F.col("cumulative_marketbased").alias("total_emissions_marketbased"),
         F.col("cumulative_locationbased").alias("total_emissions_locationbased"),
-    )
+    ).persist(StorageLevel.MEMORY_AND_DISK)
+    totals, _ = broadcast_if_small(totals, broadcast_rows)
     report = v.join(
         totals,
         (F.col(cols.tenant) == F.col("__total_tenant")) & (F.col(cols.entity) == F.col("__total_id")),
