@@ -1,9 +1,18 @@
 """F1/V1: the newest snapshot, as a filter and as a view.
 
-``partition_0 = (SELECT max(partition_0) ...)`` is a scalar subquery on the
-partition column: on a partition-discovered scan Catalyst keeps it as a
-``PartitionFilters`` entry, so only the newest folder's files are read.  The
-run dates are ISO text, so string order is date order.
+Default (lazy): ``partition_0 = (SELECT max(partition_0) ...)`` is a scalar
+subquery on the partition column.  On a partition-discovered scan Catalyst
+keeps it as a ``PartitionFilters`` entry, so only the newest folder's files
+are read, and a view built on it follows new snapshots like the reference's
+view does.  The subquery itself still reads the partition values of every
+file.
+
+``eager=True``: the newest value is taken from the file index's partition
+metadata (Spark's metadata-only optimisation, enabled for that one scalar),
+then used as a literal — static partition pruning, and no file of an older
+snapshot is opened at all.  Use it when the snapshot folder holds many dates.
+
+Run dates are ISO text, so string order is date order.
 """
 
 from __future__ import annotations
@@ -13,9 +22,30 @@ from pyspark.sql import functions as F
 
 from ..sources.snapshot import PARTITION_COLUMN
 
+_METADATA_ONLY = "spark.sql.optimizer.metadataOnly"
 
-def latest_partition(df: DataFrame, column: str = PARTITION_COLUMN) -> DataFrame:
+
+def newest_partition_value(df: DataFrame, column: str = PARTITION_COLUMN):
+    """Greatest ``column`` value, answered from partition metadata when
+    ``column`` is a partition column (no data files are read)."""
+    spark = df.sparkSession
+    saved = spark.conf.get(_METADATA_ONLY, None)
+    spark.conf.set(_METADATA_ONLY, "true")
+    try:
+        return df.select(F.max(column)).first()[0]
+    finally:
+        if saved is None:
+            spark.conf.unset(_METADATA_ONLY)
+        else:
+            spark.conf.set(_METADATA_ONLY, saved)
+
+
+def latest_partition(
+    df: DataFrame, column: str = PARTITION_COLUMN, eager: bool = False
+) -> DataFrame:
     """Rows of the greatest value of ``column`` (NULL partitions never match)."""
+    if eager:
+        return df.filter(F.col(column) == F.lit(newest_partition_value(df, column)))
     newest = df.select(F.max(column)).scalar()
     return df.filter(F.col(column) == newest)
 
@@ -23,7 +53,8 @@ def latest_partition(df: DataFrame, column: str = PARTITION_COLUMN) -> DataFrame
 def create_latest_view(
     df: DataFrame, name: str = "latest_partition_data", column: str = PARTITION_COLUMN
 ) -> DataFrame:
-    """V1: ``CREATE OR REPLACE VIEW name AS`` the latest partition."""
+    """V1: ``CREATE OR REPLACE VIEW name AS`` the latest partition (follows
+    snapshots written later, like the reference's view)."""
     latest = latest_partition(df, column)
     latest.createOrReplaceTempView(name)
     return latest

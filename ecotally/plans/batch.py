@@ -114,7 +114,7 @@ def run_batch(
     """Run the whole batch; returns the (lazy) report over the newest snapshot."""
     joined = joined_inventory(activity_docs, entity_docs)
     d = write_snapshot(joined, snapshot_path, as_of, mode=snapshot_mode)
-    latest = latest_partition(read_snapshots(spark, snapshot_path))
+    latest = latest_partition(read_snapshots(spark, snapshot_path), eager=True)
     report = rollup_report(latest, sort=sort)
     report = tag_geo(cast_date(report, "date", "yyy/MM/dd"))
     if publish_to is not None:

@@ -189,7 +189,7 @@ def latest_view(spark, sf) -> DataFrame:
     the newest partition of the snapshot folder (a partition-pruned scan)."""
     path = scratch_path(spark, "view-snapshots")
     write_snapshot(fx.rollup_view(spark, sf), path, SNAPSHOT_DATE)
-    return latest_partition(read_snapshots(spark, path))
+    return latest_partition(read_snapshots(spark, path), eager=True)
 
 
 def q_rollup_contributions(spark, sf):

@@ -104,3 +104,14 @@ def test_partition_type_inference_on_still_gives_date_text(spark, tmp_dir):
         assert {r["partition_0"] for r in latest_partition(df).collect()} == {"2024-03-02"}
     finally:
         spark.conf.set(key, before)
+
+
+def test_eager_latest_partition_reads_metadata_only(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "snap")
+    for d, tag in [("2024-01-01", "old"), ("2024-01-05", "new")]:
+        write_snapshot(small(spark, tag), path, d)
+    latest = latest_partition(read_snapshots(spark, path), eager=True)
+    assert {r["tag"] for r in latest.collect()} == {"new"}
+    plan = latest._jdf.queryExecution().executedPlan().toString()
+    assert "Subquery" not in plan and "2024-01-05" in plan
+    assert spark.conf.get("spark.sql.optimizer.metadataOnly") == "false"
