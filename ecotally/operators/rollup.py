@@ -125,8 +125,8 @@ def ancestor_closure(
     its counted size allows, else a shuffle join.  When every entity has a
     single parent no two paths can meet, so the per-round regrouping is
     skipped.  The edge table (derived from the big input) is reliably
-    checkpointed first; rounds are persisted, and the finished closure is
-    reliably checkpointed from the cache.  A lost executor therefore
+    checkpointed before the rounds; rounds are persisted, and the finished
+    closure is reliably checkpointed from the cache.  A lost executor therefore
     recomputes at most ``log2(D)`` entity-grain rounds, never the big input.
     """
     e = edges.filter(
@@ -139,19 +139,21 @@ def ancestor_closure(
         _cycle_flag("entityid", "parententityid"),
     ).first()
     single_parent = first["rows"] == first["nodes"]
-    e = reliable_checkpoint(e)  # reads the cache: the big input is aggregated once
     if (
         method in ("auto", "recursive")
         and single_parent
         and not first["cycle"]
         and first["rows"] <= broadcast_rows
     ):
+        # lineage here is one aggregate of V (cached); the result is checkpointed
         found = _closure_by_recursion(e, first["rows"], max_depth)
         if found is not None:
             _release(cached)
             return found
     if method == "recursive":
         raise ValueError("recursive closure needs a small single-parent hierarchy")
+    # the rounds below all read the edges: cut them from V once (from the cache)
+    e = reliable_checkpoint(e)
     jump = e.select(
         "tenantid",
         F.col("entityid").alias("rootid"),
