@@ -11,7 +11,6 @@ from pyspark.sql.types import DecimalType
 # Fixed values of the data model: emission amounts are DECIMAL(20,10) and every
 # roll-up step is cast back to that type.
 AMOUNT_TYPE = DecimalType(20, 10)
-AMOUNT_DDL = "decimal(20,10)"
 # Totals: what SUM over DECIMAL(20,10) yields in Spark SQL.
 TOTAL_TYPE = DecimalType(30, 10)
 

@@ -55,7 +55,6 @@ from ..session import DEFAULT_BROADCAST_ROWS, broadcast_if_small, reliable_check
 # overflow instead of losing digits.
 _SUM_TYPE = DecimalType(28, 10)
 _PATHS_TYPE = DecimalType(9, 0)
-_WIDE_TYPE = DecimalType(38, 10)
 
 
 class HierarchyCycleError(RuntimeError):

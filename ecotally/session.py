@@ -97,19 +97,6 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write ``df`` as a parquet table below the shared checkpoint folder and
-    read it back: one job, lineage cut, and the result survives executor loss.
-
-    Cheaper than an eager reliable ``checkpoint()``, which computes the plan
-    twice (once to count, once to write) unless it was cached first.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
-
-
 def broadcast_if_small(
     df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, rows: int | None = None
 ):
