@@ -36,7 +36,13 @@ from ..operators.shape import (
     tag_geo,
 )
 from ..session import scratch_path
-from ..sources.documents import read_activity, read_documents, read_entity, read_rules
+from ..sources.documents import (
+    project_rules,
+    read_activity,
+    read_documents,
+    read_entity,
+    read_rules,
+)
 from ..sources.snapshot import read_snapshots, write_snapshot
 from . import fixtures as fx
 from .batch import (
@@ -223,15 +229,12 @@ def q_rollup_report_entity(spark, sf):
 
 
 # ---------------------------------------------------------------- security
-def _rls(spark, sf, principal: str) -> DataFrame:
-    rules = read_rules_frame(spark, sf)
-    return apply_rls(fx.activity_rows(spark, sf), rules, principal)
-
+def _rules(spark, sf, with_admins: bool = True) -> DataFrame:
+    return project_rules(fx.customer_rules(spark, sf, with_admins=with_admins))
 
-def read_rules_frame(spark, sf) -> DataFrame:
-    from ..sources.documents import project_rules
 
-    return project_rules(fx.customer_rules(spark, sf))
+def _rls(spark, sf, principal: str) -> DataFrame:
+    return apply_rls(fx.activity_rows(spark, sf), _rules(spark, sf), principal)
 
 
 def _customer_principal(key: int) -> str:
@@ -258,16 +261,12 @@ def q_principal_name(spark, sf):
 
 
 def q_grant_upsert(spark, sf):
-    from ..sources.documents import project_rules
-
-    rules = project_rules(fx.customer_rules(spark, sf, with_admins=True))
+    rules = _rules(spark, sf, with_admins=True)
     return grant(rules, fx.grant_events(spark, sf), fx.ADMIN_PRINCIPALS, fx.PRINCIPAL_PREFIX)
 
 
 def q_grant_bootstrap(spark, sf):
-    from ..sources.documents import project_rules
-
-    rules = project_rules(fx.customer_rules(spark, sf, with_admins=False))
+    rules = _rules(spark, sf, with_admins=False)
     return grant(rules, fx.grant_events(spark, sf), fx.ADMIN_PRINCIPALS, fx.PRINCIPAL_PREFIX)
 
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expressions import AMOUNT_TYPE
+from ..functions.expressions import AMOUNT_TYPE, principal_name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -223,7 +223,7 @@ def customer_rules(spark: SparkSession, sf_dir: str, with_admins: bool = True) -
     c = table(spark, sf_dir, "customer")
     tenant = F.concat(F.lit("c"), F.col("c_custkey").cast("string"))
     rules = c.select(
-        F.concat(F.lit(PRINCIPAL_PREFIX), tenant, F.lit("/"), tenant, F.lit("TenantRole/"), tenant).alias("userarn"),
+        principal_name(tenant, PRINCIPAL_PREFIX).alias("userarn"),
         F.concat(F.lit("t"), (F.col("c_nationkey") % 4).cast("string")).alias("tenantid"),
     )
     if with_admins:
