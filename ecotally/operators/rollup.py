@@ -307,14 +307,31 @@ def _release(frames: list[DataFrame]) -> None:
         df.unpersist()
 
 
+# Deeper than this, rows stop at their own entity's depth (see level_amounts).
+_TRIM_DEPTH = 8
+
+
+def root_depths(closure: Closure) -> DataFrame:
+    """``(d_tenant, d_root, d_depth)``: longest path of every root."""
+    return closure.df.groupBy(
+        F.col("tenantid").alias("d_tenant"), F.col("rootid").alias("d_root")
+    ).agg(F.max("distance").alias("d_depth"))
+
+
 def level_amounts(
-    v: DataFrame, depth: int, cols: HierarchyColumns = DEFAULT_COLUMNS
+    v: DataFrame,
+    depth: int,
+    cols: HierarchyColumns = DEFAULT_COLUMNS,
+    depths: DataFrame | None = None,
 ) -> DataFrame:
     """Every V row's contribution amounts at levels ``0..depth``.
 
     Output: tenantid, entityid, percentage, level, amount_locationbased,
     amount_marketbased.  The chain is built as plain projected columns so it
-    stays inside whole-stage codegen; ``inline`` turns them into rows.
+    stays inside whole-stage codegen; ``inline`` turns them into rows.  With
+    ``depths`` (per-root longest path, a broadcast side) a row only emits the
+    levels its own entity reaches, so one deep branch does not make every
+    row emit the global depth.
     """
     df = v.select(
         F.col(cols.tenant).alias("tenantid"),
@@ -323,6 +340,15 @@ def level_amounts(
         coalesce_amount(cols.total, cols.location).alias("l0"),
         coalesce_amount(cols.total, cols.market).alias("m0"),
     )
+    if depths is not None:
+        df = df.join(
+            depths,
+            (F.col("tenantid") == F.col("d_tenant")) & (F.col("entityid") == F.col("d_root")),
+            "left",
+        ).select(
+            "tenantid", "entityid", "percentage", "l0", "m0",
+            F.coalesce(F.col("d_depth"), F.lit(0)).alias("own_depth"),
+        )
     for k in range(1, depth + 1):
         df = df.select(
             "*",
@@ -339,9 +365,23 @@ def level_amounts(
             for k in range(depth + 1)
         ]
     )
+    if depths is not None:
+        levels = F.slice(levels, F.lit(1), F.col("own_depth") + 1)
     return df.select("tenantid", "entityid", "percentage", F.inline(levels))
 
 
+def _levels_for(v: DataFrame, closure: Closure, cols: HierarchyColumns) -> DataFrame:
+    """``level_amounts`` trimmed per row for deep hierarchies when the per-root
+    depth table passes the broadcast size check; plain otherwise."""
+    depths = None
+    if closure.depth > _TRIM_DEPTH:
+        d = root_depths(closure).persist(StorageLevel.MEMORY_AND_DISK)
+        d_side, rows = broadcast_if_small(d)
+        if rows <= DEFAULT_BROADCAST_ROWS:
+            depths = d_side
+    return level_amounts(v, closure.depth, cols, depths)
+
+
 def _attach_ancestors(left: DataFrame, closure: Closure) -> DataFrame:
     """Give every ``(tenantid, entityid, level)`` row its ancestor ``id``.
 
@@ -379,7 +419,7 @@ def level_totals(v: DataFrame, closure: Closure, cols=DEFAULT_COLUMNS) -> DataFr
     """Per ``(id, level)`` contribution: summed amounts and their count ``n``
     (not yet summed over roots)."""
     sums = (
-        level_amounts(v, closure.depth, cols)
+        _levels_for(v, closure, cols)
         .groupBy("tenantid", "entityid", "level")
         .agg(
             F.sum("amount_locationbased").alias("s_loc"),
@@ -442,7 +482,7 @@ def rollup_contributions(
     """
     closure = ancestor_closure(edge_table(v, cols), **closure_opts)
     detail = (
-        level_amounts(v, closure.depth, cols)
+        _levels_for(v, closure, cols)
         .groupBy(
             "tenantid",
             "entityid",

@@ -237,3 +237,23 @@ def test_hot_entity_third_of_rows(spark):
     plan = report._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     assert report.count() == len(rows)
+
+
+def test_deep_chain_trims_levels_per_row(spark):
+    """A 12-deep chain beside many depth-1 leaves: leaves only emit their own
+    levels, totals still equal the literal recursion."""
+    from ecotally.operators.rollup import DEFAULT_COLUMNS, _levels_for
+
+    rows = [("t", "c0", None, 1, None, None, 0.5)]
+    rows += [("t", f"c{i}", f"c{i - 1}", 1, None, None, 0.5) for i in range(1, 13)]
+    rows += [("t", f"leaf{i}", "c0", 2, None, None, 0.25) for i in range(30)]
+    v = view(spark, rows)
+    closure = ancestor_closure(edge_table(v))
+    assert closure.depth > 8
+    per_entity = {}
+    for r in _levels_for(v, closure, DEFAULT_COLUMNS).collect():
+        per_entity[r["entityid"]] = max(per_entity.get(r["entityid"], 0), r["level"])
+    assert per_entity["leaf0"] == 2 and per_entity["c12"] == 13
+    got = totals_of(rollup_totals(v))
+    ref = duck_recursive_totals(rows)
+    assert {k: (x[0], x[1]) for k, x in ref.items()} == got
