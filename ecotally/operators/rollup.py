@@ -660,6 +660,10 @@ def entity_rollup_totals(
             for k in range(depth + 1)
         ]
     )
+    # a row's path has size(ps) steps: emit levels 0..size(ps) only (level 0
+    # always, also for entities without a path)
+    own = F.greatest(F.coalesce(F.size("ps"), F.lit(0)), F.lit(0))
+    levels = F.slice(levels, F.lit(1), own + 1)
     sums = (
         rows.select("tenantid", "entityid", F.inline(levels))
         .groupBy("tenantid", "entityid", "level")
