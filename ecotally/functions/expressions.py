@@ -44,3 +44,18 @@ def principal_name(tenant, prefix: str) -> Column:
     """
     t = _col(tenant)
     return F.concat(F.lit(prefix), t, F.lit("/"), t, F.lit("TenantRole/"), t)
+
+
+def exact_decimal_sum(column, precision: int = 18, scale: int = 2) -> Column:
+    """``SUM(CAST(column AS DECIMAL(precision, scale)))``, computed on the
+    unscaled integers.
+
+    Same value and type (``DECIMAL(precision + 10, scale)``) as Spark's sum,
+    but the aggregation buffer is a long instead of a wide decimal, which
+    keeps the partial aggregate on Spark's fast fixed-width path.  The unscaled
+    long sum raises on overflow (ANSI) rather than wrapping.
+    """
+    unit = 10**scale
+    unscaled = (_col(column).cast(f"decimal({precision},{scale})") * F.lit(unit)).cast("bigint")
+    total = F.sum(unscaled).cast(f"decimal({precision + 10},0)") / F.lit(unit)
+    return total.cast(f"decimal({precision + 10},{scale})")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expressions import AMOUNT_TYPE, principal_name
+from ..functions.expressions import AMOUNT_TYPE, exact_decimal_sum, principal_name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,9 +42,9 @@ def rollup_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     flag = F.col("l_returnflag")
     g = li.groupBy("l_suppkey", "l_returnflag").agg(
-        F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("ep"),
-        F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("qty"),
-        F.sum(F.col("l_tax").cast("decimal(18,2)")).alias("tax"),
+        exact_decimal_sum("l_extendedprice").alias("ep"),
+        exact_decimal_sum("l_quantity").alias("qty"),
+        exact_decimal_sum("l_tax").alias("tax"),
     )
     return g.select(
         F.col("l_suppkey").cast("string").alias("entityid"),
@@ -104,9 +104,9 @@ c(id, amount_locationbased, amount_marketbased, rootid, tenantid, percentage, le
 def _supplier_flag_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     return li.groupBy("l_suppkey", "l_returnflag").agg(
-        F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("ep"),
-        F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("qty"),
-        F.sum(F.col("l_tax").cast("decimal(18,2)")).alias("tax"),
+        exact_decimal_sum("l_extendedprice").alias("ep"),
+        exact_decimal_sum("l_quantity").alias("qty"),
+        exact_decimal_sum("l_tax").alias("tax"),
         F.max("l_shipdate").alias("shipdate"),
         F.count(F.lit(1)).alias("lines"),
     )

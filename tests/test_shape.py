@@ -133,3 +133,16 @@ def test_report_schema_types(spark):
 def test_shape_activity_end_to_end(spark):
     out = shape_activity(docs(spark))
     assert out.columns[:4] == ["activityid", "emissioninkgco2", "tenantid", "versionid"]
+
+
+def test_exact_decimal_sum_equals_decimal_sum(spark):
+    from pyspark.sql import functions as F
+
+    from ecotally.functions.expressions import exact_decimal_sum
+
+    vals = [(k % 3, v) for k, v in enumerate([0.005, 1.015, 2.675, -3.125, 1e6 + 0.125, 0.1, 0.2, None])]
+    df = spark.createDataFrame(vals, "k int, x double")
+    a = df.groupBy("k").agg(F.sum(F.col("x").cast("decimal(18,2)")).alias("s"))
+    b = df.groupBy("k").agg(exact_decimal_sum("x").alias("s"))
+    assert a.schema == b.schema
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
