@@ -30,3 +30,17 @@ def test_batch_snapshot_report_publish(spark, tmp_dir):
     assert keys == sorted(keys)
     latest = create_latest_view(read_snapshots(spark, snaps))
     assert latest.count() == len(rows)
+
+
+def test_command_line_batch(spark, tmp_dir):
+    from ecotally.__main__ import main
+
+    acts, ents = os.path.join(tmp_dir, "acts"), os.path.join(tmp_dir, "ents")
+    fx.activity_documents(spark, SF).write.json(acts)
+    fx.entity_documents(spark, SF).write.json(ents)
+    out, pub = os.path.join(tmp_dir, "snaps"), os.path.join(tmp_dir, "pub")
+    rc = main(["batch", "--activity-table", acts, "--entity-table", ents, "--format", "json",
+               "--output-path", out, "--publish-to", pub, "--as-of", "2024-02-01"])
+    assert rc == 0
+    assert spark.read.parquet(pub).count() == fx.activity_documents(spark, SF).count()
+    assert {r["partition_0"] for r in read_snapshots(spark, out).collect()} == {"2024-02-01"}
