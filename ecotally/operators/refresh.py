@@ -69,18 +69,22 @@ def refresh_published(
     days: int = 1,
     day_column: str = DAY_PARTITION,
 ) -> None:
-    """M1 on disk: re-import only the lookback window of ``target``.
-
-    The published dataset is partitioned by day, so the refresh writes the
-    window's rows with dynamic partition overwrite: only the day folders it
-    writes are replaced, older days and the NULL-date folder stay, and the
-    target is never read.  ``as_of`` defaults to the newest ``column`` value
-    of ``report`` (a scalar subquery, not a driver round trip).
+    """M1 on disk: re-import the lookback window of ``target``.
+
+    The published dataset is partitioned by day and a dynamic partition
+    overwrite replaces whole day folders, so the window is widened to whole
+    days: every row of ``report`` whose day is on or after the day of
+    ``as_of - days`` is rewritten (a folder is never left holding only the
+    part of a day after the cut).  Older days and the NULL-date folder stay,
+    and the target is never read.  ``as_of`` defaults to the newest
+    ``column`` value of ``report`` (a scalar subquery, not a driver round
+    trip).
     """
     if as_of is None:
         as_of = report.select(F.max(column)).scalar()
-    fresh = lookback(report, column, as_of, days).withColumn(
-        day_column, F.to_date(F.col(column))
+    first_day = F.to_date(lookback_cut(as_of, days))
+    fresh = report.withColumn(day_column, F.to_date(F.col(column))).filter(
+        F.col(day_column) >= first_day
     )
     (
         fresh.write.mode("overwrite")

@@ -15,7 +15,12 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import coalesce_amount, contribution, principal_name
 from ..operators.latest import latest_partition
-from ..operators.refresh import incremental_refresh, lookback
+from ..operators.refresh import (
+    incremental_refresh,
+    lookback,
+    publish_by_day,
+    refresh_published,
+)
 from ..operators.report_schema import report_schema
 from ..operators.rollup import (
     attach_totals,
@@ -286,6 +291,16 @@ def q_incremental_refresh(spark, sf):
     return incremental_refresh(target, source, "ts", _newest_event(source), days=1)
 
 
+def q_refresh_published(spark, sf):
+    """M1 on disk: a day-partitioned dataset of stale events, refreshed from
+    the events table with a 1-day lookback, read back."""
+    source = fx.table(spark, sf, "events")
+    path = scratch_path(spark, "published-events")
+    publish_by_day(source.withColumn("value", F.col("value") + F.lit(1000.0)), path, "ts")
+    refresh_published(source, path, "ts", as_of=_newest_event(source), days=1)
+    return spark.read.parquet(path).withColumn("date_day", F.col("date_day").cast("date"))
+
+
 # ---------------------------------------------------------------- batch
 def q_batch_report(spark, sf):
     res = run_batch(
@@ -332,6 +347,7 @@ QUERIES: dict[str, Query] = {
     "grant_bootstrap": q_grant_bootstrap,
     "lookback_filter": q_lookback_filter,
     "incremental_refresh": q_incremental_refresh,
+    "refresh_published": q_refresh_published,
     "batch_report": q_batch_report,
 }
 
@@ -569,6 +585,14 @@ ORACLES: dict[str, str] = {
         FROM events WHERE ts < (SELECT c FROM cut) OR ts IS NULL
         UNION ALL
         SELECT * FROM events WHERE ts >= (SELECT c FROM cut)""",
+    "refresh_published": """
+        WITH cut AS (SELECT CAST(MAX(ts) - INTERVAL 1 DAY AS DATE) AS d FROM events)
+        SELECT event_id, ts, user_id, event_type, value + 1000.0 AS value, props,
+               CAST(ts AS DATE) AS date_day
+        FROM events WHERE CAST(ts AS DATE) < (SELECT d FROM cut) OR ts IS NULL
+        UNION ALL
+        SELECT *, CAST(ts AS DATE) AS date_day FROM events
+        WHERE CAST(ts AS DATE) >= (SELECT d FROM cut)""",
     "batch_report": f"""
         WITH RECURSIVE {_JOINED_CTE},
         v AS (SELECT * FROM joined),

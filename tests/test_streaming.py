@@ -52,3 +52,17 @@ def test_stream_refreshes_on_new_snapshots(spark, tmp_dir):
     second = published(spark, target)
     # only the last day's activity rows (lookback 1 day) are re-imported
     assert second == {("r", "2024-01-05"): Decimal("15"), ("c", "2024-01-10"): Decimal("20")}
+
+
+def test_refresh_published_keeps_whole_days(spark, tmp_dir):
+    """The cut falls inside a day: that day's folder is rewritten whole from
+    the source, never truncated to the rows after the cut."""
+    target = os.path.join(tmp_dir, "pub")
+    ts = [datetime.datetime(2024, 1, 9, 6), datetime.datetime(2024, 1, 9, 18),
+          datetime.datetime(2024, 1, 10, 12), datetime.datetime(2024, 1, 5, 1)]
+    old = spark.createDataFrame([(i, t, 1) for i, t in enumerate(ts)], "k int, date timestamp_ntz, v int")
+    publish_by_day(old, target)
+    refresh_published(old.withColumn("v", F.lit(2)), target, "date",
+                      as_of=datetime.datetime(2024, 1, 10, 12), days=1)  # cut: 01-09 12:00
+    got = sorted((r["k"], r["v"]) for r in spark.read.parquet(target).collect())
+    assert got == [(0, 2), (1, 2), (2, 2), (3, 1)]
