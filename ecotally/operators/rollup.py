@@ -83,6 +83,7 @@ class Closure:
 
     df: DataFrame  # tenantid, rootid, ancestorid, distance, paths
     depth: int  # largest distance (0 when no entity has a parent row)
+    edges: int = 0  # rows of the edge table (about the number of entities)
 
 
 def edge_table(v: DataFrame, cols: HierarchyColumns = DEFAULT_COLUMNS) -> DataFrame:
@@ -138,6 +139,9 @@ def ancestor_closure(
         _cycle_flag("entityid", "parententityid"),
     ).first()
     single_parent = first["rows"] == first["nodes"]
+    # the cache keeps the aggregate's shuffle width (AQE does not coalesce a
+    # cached plan): read it through a size-based number of partitions
+    e = e.coalesce(_closure_partitions(e.sparkSession, first["rows"]))
     if (
         method in ("auto", "recursive")
         and single_parent
@@ -148,6 +152,7 @@ def ancestor_closure(
         found = _closure_by_recursion(e, first["rows"], max_depth)
         if found is not None:
             _release(cached)
+            found.edges = first["rows"]
             return found
     if method == "recursive":
         raise ValueError("recursive closure needs a small single-parent hierarchy")
@@ -163,7 +168,7 @@ def ancestor_closure(
         "tenantid", "rootid", "ancestorid", F.lit(1).alias("distance"), "paths"
     )
     jump_rows, cycle = first["rows"], first["cycle"]
-    parts = int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = _closure_partitions(e.sparkSession, first["rows"])
     k = 1
     depth = 0
     while jump_rows:
@@ -208,7 +213,7 @@ def ancestor_closure(
             ["tenantid", "rootid", "ancestorid", "distance"],
         )
         # A map-side join keeps the partition count, so the union would double
-        # it every round; coalesce (no shuffle) to the configured parallelism.
+        # it every round; coalesce (no shuffle) to a size-based partition count.
         closure = _cut(closure.unionByName(longer).coalesce(parts), cached)
         jump = _cut(extend(jump, ["tenantid", "rootid", "ancestorid"]), cached)
         # One action computes both (the jump side's broadcast is reused), fills
@@ -230,13 +235,24 @@ def ancestor_closure(
     _release(cached)
     if depth:  # exact longest path (the loop only knows a bound below 2k)
         depth = closure.agg(F.max("distance")).first()[0] or 0
-    return Closure(closure, depth)
+    return Closure(closure, depth, first["rows"])
 
 
 # Session settings that bound Spark's native recursion (restored afterwards).
 _LEVEL_LIMIT = "spark.sql.cteRecursionLevelLimit"
 _ROW_LIMIT = "spark.sql.cteRecursionRowLimit"
+_SHUFFLE_PARTITIONS = "spark.sql.shuffle.partitions"
 _DEFAULT_LEVEL_LIMIT = 100
+# Closure rows per partition (a closure row is ~50 bytes: ~25 MB partitions).
+_ROWS_PER_PARTITION = 500_000
+
+
+def _closure_partitions(spark, edges: int, depth_guess: int = 8) -> int:
+    """Partitions for a closure of about ``edges * depth_guess`` rows, capped
+    by the session's shuffle parallelism (a small hierarchy should not run
+    hundreds of near-empty tasks per round)."""
+    configured = int(spark.conf.get(_SHUFFLE_PARTITIONS))
+    return max(1, min(configured, edges * depth_guess // _ROWS_PER_PARTITION + 1))
 
 _RECURSIVE_CLOSURE_SQL = """
 WITH RECURSIVE cl(tenantid, rootid, ancestorid, distance, paths) AS (
@@ -259,14 +275,17 @@ def _closure_by_recursion(e: DataFrame, edges: int, max_depth: int | None) -> Cl
     levels = max_depth if max_depth is not None else min(_DEFAULT_LEVEL_LIMIT, edges + 1)
     view = f"__ecotally_edges_{uuid.uuid4().hex[:12]}"
     e.createOrReplaceTempView(view)
-    saved = {k: spark.conf.get(k, None) for k in (_LEVEL_LIMIT, _ROW_LIMIT)}
+    parts = _closure_partitions(spark, edges)
+    saved = {k: spark.conf.get(k, None) for k in (_LEVEL_LIMIT, _ROW_LIMIT, _SHUFFLE_PARTITIONS)}
     try:
         spark.conf.set(_LEVEL_LIMIT, str(levels))
         # single parent: at most one row per (root, distance)
         spark.conf.set(_ROW_LIMIT, str(max(edges * (levels + 1), 1_000_000)))
+        # every iteration is planned anew: size its shuffles for the edge table
+        spark.conf.set(_SHUFFLE_PARTITIONS, str(parts))
         found = (
             spark.sql(_RECURSIVE_CLOSURE_SQL.format(edges=view))
-            .coalesce(int(spark.conf.get("spark.sql.shuffle.partitions")))
+            .coalesce(parts)
             .persist(StorageLevel.MEMORY_AND_DISK)
         )
         depth = found.agg(F.max("distance")).first()[0] or 0  # runs the recursion once
@@ -511,6 +530,7 @@ def attach_totals(
     cols: HierarchyColumns = DEFAULT_COLUMNS,
     *,
     broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+    partitions: int | None = None,
 ) -> DataFrame:
     """``T.*`` plus totals (market first, then location), joined on id only.
 
@@ -522,7 +542,10 @@ def attach_totals(
         F.col("id").alias("__total_id"),
         F.col("cumulative_marketbased").alias("total_emissions_marketbased"),
         F.col("cumulative_locationbased").alias("total_emissions_locationbased"),
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    )
+    if partitions is not None:  # entity grain: no need for the full shuffle width
+        t = t.coalesce(partitions)
+    t = t.persist(StorageLevel.MEMORY_AND_DISK)
     t_side, _ = broadcast_if_small(t, broadcast_rows)
     return v.join(t_side, F.col(cols.entity) == F.col("__total_id"), "inner").drop(
         "__total_id"
@@ -561,7 +584,10 @@ def rollup_report(
         method=method,
     )
     totals = rollup_totals(v, cols, closure=closure)
-    report = attach_totals(v, totals, cols, broadcast_rows=broadcast_rows)
+    report = attach_totals(
+        v, totals, cols, broadcast_rows=broadcast_rows,
+        partitions=_closure_partitions(v.sparkSession, closure.edges, 1),
+    )
     return sort_report(report, cols) if sort else report
 
 

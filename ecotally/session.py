@@ -41,6 +41,8 @@ def build_session(
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
+        # let AQE coalesce the shuffles of plans that are being cached too
+        .config("spark.sql.optimizer.canChangeCachedPlanOutputPartitioning", "true")
     )
     for k, v in (extra or {}).items():
         builder = builder.config(k, v)
