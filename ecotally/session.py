@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Largest number of rows we ever hint as a broadcast side.  Sides are always
-# counted first (on checkpointed data, so the count is cheap); anything larger
-# goes through a shuffle join where AQE may still split skewed partitions.
+# counted first (on persisted or checkpointed data, or a count already known
+# from a probe); anything larger goes through a shuffle join where AQE may
+# still split skewed partitions.
 DEFAULT_BROADCAST_ROWS = 1_000_000
 
 
