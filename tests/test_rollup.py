@@ -257,3 +257,12 @@ def test_deep_chain_trims_levels_per_row(spark):
     got = totals_of(rollup_totals(v))
     ref = duck_recursive_totals(rows)
     assert {k: (x[0], x[1]) for k, x in ref.items()} == got
+
+
+def test_no_usable_edges(spark):
+    """Rows without tenant or entity only contribute to themselves (level 0)."""
+    rows = [(None, "A", "B", 1, None, None, 0.5), ("t", None, "B", 2, None, None, 0.5)]
+    got = totals_of(rollup_totals(view(spark, rows)))
+    ref = duck_recursive_totals(rows)
+    assert {k: (x[0], x[1]) for k, x in ref.items()} == got
+    assert len(rollup_report(view(spark, rows)).collect()) == 1  # entity A only
