@@ -71,3 +71,12 @@ def test_geo_tag_query_carries_roles(spark):
 
     df = entry_mod.queries()["geo_tag"](spark, SF)
     assert geo_roles(df) == {"country": "COUNTRY", "province": "STATE"}
+
+
+def test_report_schema_query_content(spark):
+    rows = entry_mod.queries()["report_schema"](spark, SF).orderBy("position").collect()
+    got = [(r["name"], r["type"]) for r in rows]
+    assert got[-2:] == [("total_emissions_marketbased", "DECIMAL"),
+                        ("total_emissions_locationbased", "DECIMAL")]
+    assert ("entityid", "STRING") in got and ("emissioninkgco2", "DECIMAL") in got
+    assert [r["position"] for r in rows] == list(range(len(rows)))
