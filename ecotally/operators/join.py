@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import DEFAULT_BROADCAST_ROWS, broadcast_if_small
+from ..session import broadcast_if_small
 
 ACTIVITY_KEYS = ("entityid", "tenantid")
 ENTITY_KEYS = ("entity_id", "tenant_id")
@@ -24,7 +24,8 @@ def join_activity_entity(
     left_keys: tuple[str, ...] = ACTIVITY_KEYS,
     right_keys: tuple[str, ...] = ENTITY_KEYS,
     on_collision: str = "raise",
-    broadcast_rows: int | None = DEFAULT_BROADCAST_ROWS,
+    broadcast_rows: int | None = None,
+    size_check: bool = True,
 ) -> DataFrame:
     """``activity ⋈ entity`` on ``left_keys = right_keys``; right keys dropped.
 
@@ -48,7 +49,7 @@ def join_activity_entity(
                 for c in entity.columns
             ]
         )
-    if broadcast_rows is not None:
+    if size_check:  # bound: ``broadcast_rows`` or the session's
         entity, _ = broadcast_if_small(entity, broadcast_rows)
     a = activity.alias("a")
     e = entity.alias("e")

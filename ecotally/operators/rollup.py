@@ -48,7 +48,7 @@ from ..functions.expressions import (
     coalesce_amount,
     contribution,
 )
-from ..session import DEFAULT_BROADCAST_ROWS, broadcast_if_small, reliable_checkpoint
+from ..session import broadcast_if_small, broadcast_limit, reliable_checkpoint
 
 # Intermediate types for ``paths * sum``: 28 + 9 + 1 = 38 digits keeps scale 10
 # exact (a wider product would make Spark drop scale).  ANSI casts raise on
@@ -102,7 +102,7 @@ def edge_table(v: DataFrame, cols: HierarchyColumns = DEFAULT_COLUMNS) -> DataFr
 def ancestor_closure(
     edges: DataFrame,
     *,
-    broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+    broadcast_rows: int | None = None,
     max_depth: int | None = None,
     method: str = "auto",
 ) -> Closure:
@@ -139,6 +139,7 @@ def ancestor_closure(
         _cycle_flag("entityid", "parententityid"),
     ).first()
     single_parent = first["rows"] == first["nodes"]
+    broadcast_rows = broadcast_limit(e.sparkSession, broadcast_rows)
     # the cache keeps the aggregate's shuffle width (AQE does not coalesce a
     # cached plan): read it through a size-based number of partitions
     e = e.coalesce(_closure_partitions(e.sparkSession, first["rows"]))
@@ -396,7 +397,7 @@ def _levels_for(v: DataFrame, closure: Closure, cols: HierarchyColumns) -> DataF
     if closure.depth > _TRIM_DEPTH:
         d = root_depths(closure).persist(StorageLevel.MEMORY_AND_DISK)
         d_side, rows = broadcast_if_small(d)
-        if rows <= DEFAULT_BROADCAST_ROWS:
+        if rows <= broadcast_limit(v.sparkSession):
             depths = d_side
     return level_amounts(v, closure.depth, cols, depths)
 
@@ -529,7 +530,7 @@ def attach_totals(
     totals: DataFrame,
     cols: HierarchyColumns = DEFAULT_COLUMNS,
     *,
-    broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+    broadcast_rows: int | None = None,
     partitions: int | None = None,
 ) -> DataFrame:
     """``T.*`` plus totals (market first, then location), joined on id only.
@@ -574,7 +575,7 @@ def rollup_report(
     cols: HierarchyColumns = DEFAULT_COLUMNS,
     *,
     sort: bool = True,
-    broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+    broadcast_rows: int | None = None,
     max_depth: int | None = None,
     method: str = "auto",
 ) -> DataFrame:
@@ -607,7 +608,7 @@ def entity_rollup_totals(
     entities: DataFrame | None = None,
     cols: HierarchyColumns = DEFAULT_COLUMNS,
     *,
-    broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+    broadcast_rows: int | None = None,
     **closure_opts,
 ) -> DataFrame:
     """Totals with the reference's quirks fixed (``mode="entity"``).
@@ -715,7 +716,7 @@ def entity_rollup_report(
     cols: HierarchyColumns = DEFAULT_COLUMNS,
     *,
     sort: bool = True,
-    broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+    broadcast_rows: int | None = None,
     **closure_opts,
 ) -> DataFrame:
     """R2 with ``mode="entity"``: totals attached on (tenant, entity)."""

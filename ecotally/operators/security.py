@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import principal_name
-from ..session import DEFAULT_BROADCAST_ROWS, broadcast_if_small
+from ..session import broadcast_if_small
 
 
 def _unrestricted(tenant: F.Column) -> F.Column:
@@ -25,7 +25,7 @@ def apply_rls(
     rules: DataFrame,
     principal: str,
     tenant_column: str = "tenantid",
-    broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+    broadcast_rows: int | None = None,
 ) -> DataFrame:
     """the rows of ``df`` that ``principal`` may see.
 
@@ -33,7 +33,7 @@ def apply_rls(
     unrestricted rule and how many rules it has.  Otherwise the data is
     filtered by an equi left-semi join on the tenant; the principal's tenant
     list (bounded by its rule count) is broadcast when that count is within
-    ``broadcast_rows``, so the big side is never shuffled for a filter, and is
+    ``broadcast_rows`` (default: the session's bound), so the big side is never shuffled for a filter, and is
     a skew-aware shuffle join beyond.  No OR-condition nested-loop join.
     """
     mine = rules.filter(F.col("UserArn") == F.lit(principal))

@@ -100,13 +100,26 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+BROADCAST_ROWS_CONF = "spark.ecotally.broadcastRows"
+
+
+def broadcast_limit(spark: SparkSession, max_rows: int | None = None) -> int:
+    """The row bound for explicit broadcasts: ``max_rows`` when given, else
+    the session's ``spark.ecotally.broadcastRows``, else 1 M rows."""
+    if max_rows is not None:
+        return max_rows
+    return int(spark.conf.get(BROADCAST_ROWS_CONF, str(DEFAULT_BROADCAST_ROWS)))
+
+
 def broadcast_if_small(
-    df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, rows: int | None = None
+    df: DataFrame, max_rows: int | None = None, rows: int | None = None
 ):
     """Return ``(df_or_broadcast_df, rows)``; hint a broadcast only when the
-    counted size is within ``max_rows``.  ``rows`` may be passed when already
-    known; otherwise ``df`` is counted (call it on persisted or checkpointed
-    input so the count does not recompute the lineage)."""
+    counted size is within the bound (``max_rows`` or the session's).  ``rows``
+    may be passed when already known; otherwise ``df`` is counted (call it on
+    persisted or checkpointed input so the count does not recompute the
+    lineage)."""
+    max_rows = broadcast_limit(df.sparkSession, max_rows)
     if rows is None:
         rows = df.count()
     if rows <= max_rows:

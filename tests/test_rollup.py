@@ -266,3 +266,24 @@ def test_no_usable_edges(spark):
     ref = duck_recursive_totals(rows)
     assert {k: (x[0], x[1]) for k, x in ref.items()} == got
     assert len(rollup_report(view(spark, rows)).collect()) == 1  # entity A only
+
+
+def test_shuffle_paths_when_nothing_may_be_broadcast(spark):
+    """Bound 0: the closure takes the doubling loop with shuffle joins, and
+    totals reach V through a sort-merge join; results are unchanged."""
+    spark.conf.set("spark.ecotally.broadcastRows", "0")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = list(WORKED) + [("t1", f"x{i}", "C", 1, None, None, 0.5) for i in range(5)]
+        got = totals_of(rollup_totals(view(spark, rows)))
+        ref = duck_recursive_totals(rows)
+        assert {k: (x[0], x[1]) for k, x in ref.items()} == got
+        report = rollup_report(view(spark, rows), sort=False)
+        plan = report._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan
+        assert report.count() == len(rows)
+    finally:
+        spark.conf.unset("spark.ecotally.broadcastRows")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
