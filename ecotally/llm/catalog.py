@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, licenses, secrets, toxicity
+from . import decontaminate, language, licenses, secrets, similarity, toxicity
 
 QUERIES = {
+    "op1_ngram_join": similarity.query,
     "op2_toxicity": toxicity.query,
     "op5_secret_scan": secrets.query,
     "op7_language_id": language.query,
@@ -13,5 +14,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_ngram_join": similarity.ORACLE_SQL,
     "op10_decontamination": decontaminate.ORACLE_SQL,
 }
