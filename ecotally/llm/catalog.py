@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, licenses, secrets, similarity, toxicity
+from . import decontaminate, language, licenses, linededup, secrets, similarity, toxicity
 
 QUERIES = {
     "op1_ngram_join": similarity.query,
     "op2_toxicity": toxicity.query,
     "op5_secret_scan": secrets.query,
     "op7_language_id": language.query,
+    "op8_line_dedup": linededup.query,
     "op9_license_scan": licenses.query,
     "op10_decontamination": decontaminate.query,
 }
 
 ORACLES = {
+    "op8_line_dedup": linededup.ORACLE_SQL,
     "op1_ngram_join": similarity.ORACLE_SQL,
     "op10_decontamination": decontaminate.ORACLE_SQL,
 }
