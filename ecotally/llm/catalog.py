@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, licenses, linededup, secrets, similarity, toxicity
+from . import decontaminate, language, licenses, linededup, neardup_vectors, secrets, similarity, toxicity
 
 QUERIES = {
     "op1_ngram_join": similarity.query,
     "op2_toxicity": toxicity.query,
     "op5_secret_scan": secrets.query,
+    "op6_vector_near_dedup": neardup_vectors.query,
     "op7_language_id": language.query,
     "op8_line_dedup": linededup.query,
     "op9_license_scan": licenses.query,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op6_vector_near_dedup": neardup_vectors.ORACLE_SQL,
     "op8_line_dedup": linededup.ORACLE_SQL,
     "op1_ngram_join": similarity.ORACLE_SQL,
     "op10_decontamination": decontaminate.ORACLE_SQL,
