@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, licenses, linededup, neardup_vectors, pieces, secrets, similarity, toxicity
+from . import decontaminate, html, language, licenses, linededup, neardup_vectors, pieces, secrets, similarity, toxicity
 
 QUERIES = {
     "op1_ngram_join": similarity.query,
     "op2_toxicity": toxicity.query,
     "op3_sentencepiece": pieces.query,
+    "op4_html_extraction": html.query,
     "op5_secret_scan": secrets.query,
     "op6_vector_near_dedup": neardup_vectors.query,
     "op7_language_id": language.query,
