@@ -14,6 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ecotally.session import scratch_path
 
@@ -26,7 +27,7 @@ ALNUM = bytes(
 )
 
 #: Odd multipliers that make the hash of a shingle depend on word order.
-_PLACE = np.array(
+PLACE = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F],
     dtype=np.uint64,
 )
@@ -67,9 +68,9 @@ def shingle_hashes(words: list[bytes], k: int = SHINGLE) -> np.ndarray:
     h = hash_words(words)
     k = min(k, len(h))
     n = len(h) - k + 1
-    out = h[:n] * _PLACE[0]
+    out = h[:n] * PLACE[0]
     for i in range(1, k):
-        out += h[i : i + n] * _PLACE[i]
+        out += h[i : i + n] * PLACE[i]
     return mix64(out + np.uint64(k))
 
 
@@ -110,6 +111,26 @@ def about(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)) < int((1 << 30) * rows / n))
 
 
+def appended(df: DataFrame, fields: dict[str, T.DataType], fill, rows: int = 1000) -> DataFrame:
+    """``df`` with the columns of ``fields`` (replaced where they exist), which
+    ``fill`` returns as Arrow arrays for each batch of at most ``rows`` rows."""
+    rest = df.drop(*fields)
+    schema = T.StructType([*rest.schema.fields, *(T.StructField(n, k) for n, k in fields.items())])
+
+    def filled(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, rows):
+                part = b.slice(lo, rows)
+                yield pa.RecordBatch.from_arrays([*part.columns, *fill(part)], names=[*part.schema.names, *fields])
+
+    return rest.mapInArrow(filled, schema)
+
+
+def utf8(column) -> list[bytes]:
+    """The texts of a string column as bytes; null is empty."""
+    return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
+
+
 def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(columns, schema=schema)
 

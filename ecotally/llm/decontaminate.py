@@ -23,9 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import SHINGLE, batch, doc_bytes, hash_words, mix64, shingle_hashes, table, text_bytes, words_alnum
-from .common import _PLACE
+from .common import PLACE, SHINGLE, appended, hash_words, mix64, shingle_hashes, table, text_bytes, utf8, words_alnum
 
 #: Least share of an item's shingles.
 CONTAINMENT = 0.8
@@ -71,9 +71,9 @@ class ItemIndex:
             n = len(h) - k + 1
             if n < 1:
                 continue
-            s = h[:n] * _PLACE[0]
+            s = h[:n] * PLACE[0]
             for i in range(1, k):
-                s += h[i : i + n] * _PLACE[i]
+                s += h[i : i + n] * PLACE[i]
             s = mix64(s + np.uint64(k))
             hits = s[self.maybe[(s >> self.shift).astype(np.int64)]]
             if not len(hits):
@@ -112,31 +112,44 @@ def item_blocks(items: DataFrame, block: int = BLOCK):
         yield held
 
 
-SCHEMA = "doc_id long, item_id long, n_item long, n_shared long, containment double"
+FOUND = T.ArrayType(T.StructType([
+    T.StructField("item_id", T.LongType()), T.StructField("n_item", T.LongType()),
+    T.StructField("n_shared", T.LongType()), T.StructField("containment", T.DoubleType()),
+]))
 
 
-def contained(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, block: int = BLOCK) -> DataFrame:
-    """A row per document row and item row whose containment reaches the threshold."""
+def marked(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, block: int = BLOCK, name: str = "items") -> DataFrame:
+    """``docs`` with the array ``name`` of the items that each text contains; one
+    pass per block of items."""
     spark = docs.sparkSession
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_item", pa.int64()), ("n_shared", pa.int64()), ("containment", pa.float64())])
-    found = None
+    out = docs.withColumn(name, F.array().cast(FOUND))
+    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("n_item", pa.int64()), ("n_shared", pa.int64()), ("containment", pa.float64())]))
     for held in item_blocks(items, block):
         sent = spark.sparkContext.broadcast(held)  # bounded by block
+        index = []
+
+        def fill(part, sent=sent, index=index):
+            if not index:
+                index.append(ItemIndex(sent.value, containment))
+            found = []
+            for raw in utf8(part.column("text")):
+                hits = index[0].search(words_alnum(raw))
+                found.append([
+                    {"item_id": i, "n_item": len(h), "n_shared": n, "containment": n / len(h)}
+                    for at, n in hits for i, _, h in [index[0].items[at]]
+                ])
+            return [pa.array(found, kind)]
+
+        part = appended(out.withColumnRenamed(name, "_before"), {name: FOUND}, fill)
+        out = part.withColumn(name, F.concat("_before", name)).drop("_before")
+    return out
 
-        def searched(batches, sent=sent):
-            index = ItemIndex(sent.value, containment)
-            for b in batches:
-                out = []
-                for doc, raw in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                    for at, shared in index.search(words_alnum(raw)):
-                        item, _, h = index.items[at]
-                        out.append((doc, item, len(h), shared, shared / len(h)))
-                c = list(zip(*out)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(c, schema)], schema=schema)
-
-        part = doc_bytes(docs).mapInArrow(searched, SCHEMA)
-        found = part if found is None else found.unionByName(part)
-    return spark.createDataFrame([], SCHEMA) if found is None else found
+
+def contained(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, block: int = BLOCK) -> DataFrame:
+    """A row (doc_id, item_id, n_item, n_shared, containment) per document row and
+    item row whose containment reaches the threshold."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return marked(rows, items, containment, block).select("doc_id", F.inline("items"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

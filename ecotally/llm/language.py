@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import about, as_long, batch, doc_bytes, table, text_bytes
+from .common import about, appended, as_long, batch, table, text_bytes, utf8
 
 #: Length of a language's and a document's profile.
 PROFILE = 400
@@ -147,20 +148,19 @@ class Profiles:
 
 
 def identify(docs: DataFrame, profiles: dict[str, np.ndarray], length: int = PROFILE) -> DataFrame:
-    """Per row doc_id, lang_pred and score: 1 less the share of the worst distance, 0 to 1."""
+    """``docs`` with lang_pred and score: 1 less the share of the worst distance, 0 to 1."""
     model = Profiles(profiles, length)
-    schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
-    def identified(batches):
-        for b in batches:
-            pairs = [model.predict(raw) for raw in b.column("text").to_pylist()]
-            yield batch(schema, doc_id=b.column("doc_id"), lang_pred=[p[0] for p in pairs], score=[p[1] for p in pairs])
+    def fill(part):
+        pairs = [model.predict(raw) for raw in utf8(part.column("text"))]
+        return [pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.float64())]
 
-    return doc_bytes(docs).mapInArrow(identified, "doc_id long, lang_pred string, score double")
+    return appended(docs, {"lang_pred": T.StringType(), "score": T.DoubleType()}, fill)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return identify(docs, train(docs)).select(
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return identify(rows, train(docs)).select(
         "doc_id", held_out().alias("held_out"), "lang_pred", "score"
     )

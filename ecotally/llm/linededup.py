@@ -24,7 +24,7 @@ from .common import table, written
 
 MIN_CHARS, MIN_DOCS = 1, 10
 FANOUT = 4
-#: Batches that the registered query deals the documents into.
+#: Batches that the documents are dealt into, a run each.
 BATCHES = 4
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -105,34 +105,39 @@ def repeated(docs: DataFrame, min_chars: int, min_docs: int, batches: int) -> Da
 
 
 def drop_lines(
-    docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = 1
+    docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES
 ) -> DataFrame:
-    """Per row of ``docs``: doc_id, text (as given), kept (the text without its
-    repeated lines), n_lines, n_dropped."""
+    """``docs`` with kept (the text without its repeated lines), n_lines and n_dropped."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     drop = repeated(rows, min_chars, min_docs, batches)
-    keyed = rows.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    # documents that lose lines, found without moving texts: (row, keys to drop)
+    row = F.struct(F.col("doc_id"), F.xxhash64("doc_id", "text").alias("row_hash"))
     dropped = (
-        keys_of(keyed.select(F.struct("doc_id", "row_key").alias("doc_id"), "text"), min_chars)
+        keys_of(rows.select(row.alias("doc_id"), "text"), min_chars)
         .join(drop, ["h", "g"], "left_semi")
-        .groupBy("doc_id").agg(F.collect_set(F.struct("h", "g")).alias("gone"))
-        .select(F.col("doc_id.doc_id").alias("own"), F.col("doc_id.row_key").alias("own_key"), "gone")
+        .groupBy("doc_id").agg(F.collect_set(F.struct("h", "g")).alias("_gone"))
+        .select(F.col("doc_id.doc_id").alias("_own"), F.col("doc_id.row_hash").alias("_own_hash"), "_gone")
     )
-    lines = lines_of(F.col("text"))
-    joined = keyed.join(
-        dropped, F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("row_key") == F.col("own_key")), "left"
-    ).withColumn("lines", lines)
-    kept = F.filter("lines", lambda x: ~F.coalesce(F.array_contains("gone", hashes_of(x, min_chars)), F.lit(False)))
-    return joined.withColumn("kept", F.when(F.col("gone").isNull(), F.col("lines")).otherwise(kept)).select(
-        "doc_id", "text",
-        F.array_join("kept", "\n").alias("kept"),
-        F.size("lines").cast("long").alias("n_lines"),
-        (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"),
+    doc_id = F.col("doc_id").cast("long")
+    joined = docs.join(
+        dropped, doc_id.eqNullSafe(F.col("_own")) & (F.xxhash64(doc_id, F.col("text")) == F.col("_own_hash")), "left"
+    ).withColumn("_lines", lines_of(F.col("text")))
+    gone = F.col("_gone")
+    kept = F.filter("_lines", lambda x: ~F.coalesce(F.array_contains(gone, hashes_of(x, min_chars)), F.lit(False)))
+    return (
+        joined.withColumn("_kept", F.when(gone.isNull(), F.col("_lines")).otherwise(kept))
+        .withColumns({
+            "kept": F.array_join("_kept", "\n"),
+            "n_lines": F.size("_lines").cast("long"),
+            "n_dropped": (F.size("_lines") - F.size("_kept")).cast("long"),
+        })
+        .drop("_own", "_own_hash", "_gone", "_lines", "_kept")
     )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_lines(table(spark, sf_dir, "documents"), batches=BATCHES).select(
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return drop_lines(docs).select(
         "doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256")
     )
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import appended, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -173,20 +173,6 @@ def _machine(sent) -> Transducer:
     return held["machine"]
 
 
-def _with(df: DataFrame, name: str, kind: T.DataType, fill) -> DataFrame:
-    """``df`` with column ``name`` (replaced if it exists) filled batch by batch."""
-    rest = df.drop(name)
-    schema = T.StructType([*rest.schema.fields, T.StructField(name, kind)])
-
-    def filled(batches):
-        for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                part = b.slice(lo, 1000)
-                yield pa.RecordBatch.from_arrays([*part.columns, fill(part)], names=[*part.schema.names, name])
-
-    return rest.mapInArrow(filled, schema)
-
-
 def encode(df: DataFrame, model: str = MODEL, text: str = "text", ids: str = "ids") -> DataFrame:
     """``df`` with the array ``ids`` of the text's piece ids."""
     sent = df.sparkSession.sparkContext.broadcast({"model": read_model(model)})
@@ -195,9 +181,9 @@ def encode(df: DataFrame, model: str = MODEL, text: str = "text", ids: str = "id
         machine = _machine(sent)
         coded = [machine.encode(t or "") for t in part.column(text).to_pylist()]
         ends = np.cumsum([0, *(len(c) // 4 for c in coded)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), np.int32)))
+        return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), np.int32)))]
 
-    return _with(df, ids, T.ArrayType(T.IntegerType()), fill)
+    return appended(df, {ids: T.ArrayType(T.IntegerType())}, fill)
 
 
 def decode(df: DataFrame, model: str = MODEL, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -208,9 +194,9 @@ def decode(df: DataFrame, model: str = MODEL, ids: str = "ids", text: str = "dec
         machine = _machine(sent)
         column = part.column(ids)
         values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-        return pa.array([machine.decode(values[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:])], pa.string())
+        return [pa.array([machine.decode(values[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:])], pa.string())]
 
-    return _with(df, text, T.StringType(), fill)
+    return appended(df, {text: T.StringType()}, fill)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
