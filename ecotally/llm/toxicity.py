@@ -16,14 +16,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from math import exp, log, log1p
+from math import log, log1p
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import about, batch, table, text_bytes, words_alnum
+from .common import LOWER, about, batch, table, text_bytes, words_alnum
 
 #: Labelled rows (about) that lexicon and model are learned from.
 TRAIN_DOCS = 40_000
@@ -41,7 +41,9 @@ REPORTING = frozenset(
 )
 #: Words whose verdict a task remembers.
 REMEMBERED = 400_000
-FEATURES = ("exact", "near", "far", "quoted", "dense", "weight")
+#: What a hit keeps of its weight per edit.
+KEPT_AN_EDIT = 0.8
+FEATURES = ("direct", "quoted", "dense", "strongest")
 
 
 def edits_allowed(term: str) -> int:
@@ -137,16 +139,20 @@ class FuzzyLexicon:
 
 
 class _Remembered(dict):
-    """Verdicts of words, computed on first sight."""
+    """Verdicts of words, computed on first sight; ``ordinary`` words are no misspellings."""
 
-    def __init__(self, lexicon: FuzzyLexicon):
+    def __init__(self, lexicon: FuzzyLexicon, ordinary: frozenset = frozenset()):
         super().__init__()
-        self.lexicon = lexicon
+        self.lexicon, self.ordinary = lexicon, ordinary
 
     def __missing__(self, word: bytes):
         if len(self) >= REMEMBERED:
             self.clear()
-        self[word] = found = self.lexicon.match(word.decode("utf-8", "replace").lower())
+        s = word.decode("utf-8", "replace").lower()
+        found = self.lexicon.match(s)
+        if found and found[1] and s in self.ordinary:
+            found = None
+        self[word] = found
         return found
 
 
@@ -165,30 +171,27 @@ def quotation(text: str, start: int, end: int) -> bool:
 
 
 def evidence(text: bytes, known: _Remembered) -> list[float]:
-    """The features of a text: weights of exact, once and twice misspelled hits,
-    of quoted ones, hits with another hit in their window, and the strongest hit."""
+    """The features of a text: evidence of hits that abuse and of hits in quotations,
+    hits with another hit in their window, and the strongest hit."""
     words = words_alnum(text)
     if not any([known[w] for w in words]):
         return [0.0] * len(FEATURES)
     whole = text.decode("utf-8", "replace")
-    sums, dense, strongest, last = [0.0, 0.0, 0.0, 0.0], 0, 0.0, None
+    direct, quoted, dense, strongest, last = 0.0, 0.0, 0, 0.0, None
     for m in _WORD.finditer(whole):
-        found = known[m.group().encode().translate(_FOLD)]
+        found = known[m.group().encode().translate(LOWER)]
         if found is None:
             continue
-        weight, edits = found
+        weight = found[0] * KEPT_AN_EDIT ** found[1]
         if quotation(whole, m.start(), m.end()):
-            sums[3] += weight
+            quoted += weight
         else:
-            sums[min(edits, 2)] += weight
-            strongest = max(strongest, weight / (1 + edits))
+            direct += weight
+            strongest = max(strongest, weight)
         if last is not None and m.start() - last <= WINDOW:
             dense += 1
         last = m.end()
-    return [*map(log1p, sums), log1p(dense), strongest]
-
-
-_FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+    return [log1p(direct), log1p(quoted), log1p(dense), strongest]
 
 
 def held_out() -> Column:
@@ -241,8 +244,7 @@ def _term_counts(rows: DataFrame, toxic: int, only: frozenset | None) -> DataFra
 
 
 def learn_lexicon(rows: DataFrame, least_docs: int = LEAST_DOCS, least_odds: float = LEAST_ODDS) -> dict[str, float]:
-    """Terms and weights (log odds), at most ``LEXICON``; a beginning counts
-    only if it says more than every longer term it covers."""
+    """Terms and weights (log odds), at most ``LEXICON``."""
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic:
@@ -258,25 +260,73 @@ def learn_lexicon(rows: DataFrame, least_docs: int = LEAST_DOCS, least_odds: flo
         ratio = ((n + 0.5) / (toxic + 1)) / ((n_clean.get(term, 0) + 0.5) / (clean + 1))
         if ratio >= least_odds:
             odds[term] = log(ratio)
-    kept = {}
-    for term in odds:
-        if term.endswith("*"):
-            stem = term[:-1]
-            covered = [t for t in odds if t != term and t.rstrip("*").startswith(stem)]
-            longest = max((n_toxic[t] for t in covered), default=0)
-            if n_toxic[term] < 1.2 * longest or any(stem[:k] + "*" in odds for k in STEMS if k < len(stem)):
-                continue
-        kept[term] = odds[term]
-    best = sorted(kept, key=lambda t: (-kept[t], t))[:LEXICON]
-    return {t: kept[t] for t in best}
+    kept = explaining(_held_terms(rows, frozenset(odds)), odds, least_docs)
+    if kept:
+        # words that explain no document alone, but are as telling as the chosen ones
+        level = sorted(odds[t] for t in kept)[len(kept) // 2] - log(2)
+        kept += [t for t in sorted(odds) if odds[t] >= level and t not in kept and not t.endswith("*")]
+    return {t: odds[t] for t in kept[:LEXICON]}
+
+
+def ordinary_words(rows: DataFrame, lexicon: dict[str, float]) -> frozenset:
+    """Words of clean training documents that only look like misspelled terms."""
+    schema = pa.schema([("term", pa.string()), ("n", pa.int64())])
+
+    def counted(batches):
+        known, n = _Remembered(FuzzyLexicon(lexicon)), Counter()
+        for b in batches:
+            for raw in b.column("text").to_pylist():
+                n.update(w for w in set(words_alnum(raw)) if (x := known[w]) and x[1])
+        yield batch(schema, term=[w.decode("utf-8", "replace").lower() for w in n], n=list(n.values()))
+
+    near = rows.filter("toxic = 0").select("text").mapInArrow(counted, "term string, n long")
+    return frozenset(r["term"] for r in near.select("term").distinct().collect())
+
 
+def _held_terms(rows: DataFrame, terms: frozenset) -> list[list[str]]:
+    """The terms that each toxic training document holds; bounded by the training rows."""
+    schema = pa.schema([("terms", pa.list_(pa.string()))])
 
-def _features(rows: DataFrame, lexicon: dict[str, float], key: str, kind: str) -> DataFrame:
+    def held(batches):
+        for b in batches:
+            yield batch(schema, terms=[sorted(terms & terms_of(set(words_alnum(t)))) for t in b.column("text").to_pylist()])
+
+    found = rows.filter("toxic = 1").select("text").mapInArrow(held, "terms array<string>")
+    return [r["terms"] for r in found.filter("size(terms) > 0").collect()]
+
+
+def explaining(held: list[list[str]], odds: dict[str, float], least_docs: int) -> list[str]:
+    """Terms that cover the documents greedily: next the one with most evidence
+    in documents without a chosen term, while it is new to ``least_docs`` of them.
+
+    Words that stand beside a chosen term by chance, or in copies of one
+    document, explain nothing and stay out.  Copies count once.
+    """
+    distinct = sorted({tuple(x) for x in held})
+    where: dict[str, set[int]] = {}
+    for at, terms in enumerate(distinct):
+        for t in terms:
+            where.setdefault(t, set()).add(at)
+    chosen: list[str] = []
+    while where and len(chosen) < LEXICON:
+        best = max(where, key=lambda t: (len(where[t]) * odds[t], not t.endswith("*"), t))
+        covered = where.pop(best)
+        if len(covered) < least_docs:
+            break
+        chosen.append(best)
+        for t in list(where):
+            where[t] -= covered
+            if len(where[t]) < least_docs:
+                del where[t]
+    return chosen
+
+
+def _features(rows: DataFrame, lexicon: dict[str, float], ordinary: frozenset, key: str, kind: str) -> DataFrame:
     arrow = pa.int64() if kind == "long" else pa.int32()
     schema = pa.schema([(key, arrow), ("features", pa.list_(pa.float64()))])
 
     def featured(batches):
-        known = _Remembered(FuzzyLexicon(lexicon))
+        known = _Remembered(FuzzyLexicon(lexicon), ordinary)
         for b in batches:
             yield batch(schema, **{key: b.column(key), "features": [evidence(t, known) for t in b.column("text").to_pylist()]})
 
@@ -298,32 +348,30 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 40) ->
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS):
-    """Lexicon and weights.  ``train_docs`` rows of six numbers reach the driver."""
+def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[dict, frozenset, np.ndarray]:
+    """Lexicon, ordinary words and weights.  ``train_docs`` rows of a few numbers reach the driver."""
     rows = training_rows(docs, labels, train_docs)
     lexicon = learn_lexicon(rows)
-    seen = _features(rows, lexicon, "toxic", "int").collect()
+    ordinary = ordinary_words(rows, lexicon)
+    seen = _features(rows, lexicon, ordinary, "toxic", "int").collect()
     if not seen:
-        return lexicon, np.zeros(len(FEATURES) + 1)
-    return lexicon, fit(np.array([r["features"] for r in seen]), np.array([r["toxic"] for r in seen], float))
+        return lexicon, ordinary, np.zeros(len(FEATURES) + 1)
+    return lexicon, ordinary, fit(np.array([r["features"] for r in seen]), np.array([r["toxic"] for r in seen], float))
 
 
-def score(docs: DataFrame, lexicon: dict[str, float], weights: np.ndarray) -> DataFrame:
+def score(docs: DataFrame, lexicon: dict[str, float], ordinary: frozenset, weights: np.ndarray) -> DataFrame:
     """Per row doc_id, features and score (0 to 1)."""
     w = [float(x) for x in weights]
     line = " + ".join(f"features[{i}] * {x!r}D" for i, x in enumerate(w[:-1]))
-    rows = _features(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes()), lexicon, "doc_id", "long")
-    return rows.withColumn("score", F.expr(f"1D / (1D + exp(-({line} + {w[-1]!r}D)))"))
-
-
-def sigmoid(x: float) -> float:
-    return 1 / (1 + exp(-x))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes())
+    return _features(rows, lexicon, ordinary, "doc_id", "long").withColumn(
+        "score", F.expr(f"1D / (1D + exp(-({line} + {w[-1]!r}D)))")
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    lexicon, weights = train(docs, table(spark, sf_dir, "labels"))
-    return score(docs, lexicon, weights).select(
+    return score(docs, *train(docs, table(spark, sf_dir, "labels"))).select(
         "doc_id", held_out().alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
