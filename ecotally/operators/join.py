@@ -1,10 +1,10 @@
 """J1 (+P6): activity rows joined to their entity.
 
 Inner equi-join on two keys named differently on each side; NULL keys never
-match; the right-hand keys are dropped.  The entity side is entity-grain: it
-is counted first and broadcast when within ``broadcast_rows`` (the activity
-side is then never shuffled, and a hot entity costs nothing extra); beyond
-that it is a sort-merge join whose skewed partitions AQE splits.
+match; the right-hand keys are dropped.  Spark broadcasts the entity side when
+its measured bytes allow (the activity side is then not shuffled); beyond that
+it is a shuffle join whose skewed partitions AQE splits.  Each side is read
+once.
 """
 
 from __future__ import annotations
@@ -12,8 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small
-
 ACTIVITY_KEYS = ("entityid", "tenantid")
 ENTITY_KEYS = ("entity_id", "tenant_id")
 
@@ -24,8 +22,6 @@ def join_activity_entity(
     left_keys: tuple[str, ...] = ACTIVITY_KEYS,
     right_keys: tuple[str, ...] = ENTITY_KEYS,
     on_collision: str = "raise",
-    broadcast_rows: int | None = None,
-    size_check: bool = True,
 ) -> DataFrame:
     """``activity ⋈ entity`` on ``left_keys = right_keys``; right keys dropped.
 
@@ -49,8 +45,6 @@ def join_activity_entity(
                 for c in entity.columns
             ]
         )
-    if size_check:  # bound: ``broadcast_rows`` or the session's
-        entity, _ = broadcast_if_small(entity, broadcast_rows)
     a = activity.alias("a")
     e = entity.alias("e")
     cond = None

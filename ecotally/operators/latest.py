@@ -1,60 +1,57 @@
-"""F1/V1: the newest snapshot, as a filter and as a view.
+"""F1/V1: the newest snapshot, as a filter, as a folder read, and as a view.
 
-Default (lazy): ``partition_0 = (SELECT max(partition_0) ...)`` is a scalar
-subquery on the partition column.  On a partition-discovered scan Catalyst
-keeps it as a ``PartitionFilters`` entry, so only the newest folder's files
-are read, and a view built on it follows new snapshots like the reference's
-view does.  The subquery itself still reads the partition values of every
-file.
+``latest_partition`` is the filter on any DataFrame: ``partition_0 = (SELECT
+max(partition_0) ...)``, a scalar subquery that stays a partition filter on a
+partition-discovered scan; the subquery reads the partition values of all files.
 
-``eager=True``: the newest value is taken from the file index's partition
-metadata (Spark's metadata-only optimisation, enabled for that one scalar),
-then used as a literal — static partition pruning, and no file of an older
-snapshot is opened at all.  Use it when the snapshot folder holds many dates.
+``latest_snapshot`` is the same over a snapshot folder, without touching older
+snapshots: the date folders are listed newest first and the first one that
+holds a row is read, whether it is named ``partition_0=YYYY-MM-DD`` or just
+``YYYY-MM-DD``.  Folders without rows do not count, as in the filter.
 
 Run dates are ISO text, so string order is date order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.snapshot import PARTITION_COLUMN
+from ..sources.snapshot import PARTITION_COLUMN, snapshot_folders
 
-_METADATA_ONLY = "spark.sql.optimizer.metadataOnly"
 
-
-def newest_partition_value(df: DataFrame, column: str = PARTITION_COLUMN):
-    """Greatest ``column`` value, answered from partition metadata when
-    ``column`` is a partition column (no data files are read)."""
-    spark = df.sparkSession
-    saved = spark.conf.get(_METADATA_ONLY, None)
-    spark.conf.set(_METADATA_ONLY, "true")
-    try:
-        return df.select(F.max(column)).first()[0]
-    finally:
-        if saved is None:
-            spark.conf.unset(_METADATA_ONLY)
-        else:
-            spark.conf.set(_METADATA_ONLY, saved)
-
-
-def latest_partition(
-    df: DataFrame, column: str = PARTITION_COLUMN, eager: bool = False
-) -> DataFrame:
+def latest_partition(df: DataFrame, column: str = PARTITION_COLUMN) -> DataFrame:
     """Rows of the greatest value of ``column`` (NULL partitions never match)."""
-    if eager:
-        return df.filter(F.col(column) == F.lit(newest_partition_value(df, column)))
     newest = df.select(F.max(column)).scalar()
     return df.filter(F.col(column) == newest)
 
 
+def latest_snapshot(spark: SparkSession, path: str, column: str = PARTITION_COLUMN) -> DataFrame:
+    """The rows of the newest snapshot under ``path`` that has rows, with its run
+    date as ``column``.  No snapshot with rows: the newest folder's (empty) rows."""
+    empty = None
+    for date, folder in snapshot_folders(spark, path, column):
+        df = spark.read.parquet(folder).withColumn(column, F.lit(date))
+        if not df.isEmpty():
+            return df
+        empty = df if empty is None else empty
+    if empty is None:
+        raise FileNotFoundError(f"no dated snapshot folder under {path}")
+    return empty
+
+
 def create_latest_view(
-    df: DataFrame, name: str = "latest_partition_data", column: str = PARTITION_COLUMN
+    spark: SparkSession, path: str, name: str = "latest_partition_data", column: str = PARTITION_COLUMN
 ) -> DataFrame:
-    """V1: ``CREATE OR REPLACE VIEW name AS`` the latest partition (follows
-    snapshots written later, like the reference's view)."""
-    latest = latest_partition(df, column)
-    latest.createOrReplaceTempView(name)
-    return latest
+    """V1: ``CREATE OR REPLACE VIEW name AS`` the newest partition under ``path``.
+
+    The view is kept as SQL text, so each use lists the folder again and it
+    follows snapshots written later.
+    """
+    source = f"parquet.`{path}`"
+    spark.sql(
+        f"CREATE OR REPLACE TEMPORARY VIEW `{name}` AS"
+        f" SELECT * EXCEPT (`{column}`), CAST(`{column}` AS STRING) AS `{column}` FROM {source}"
+        f" WHERE `{column}` = (SELECT max(`{column}`) FROM {source})"
+    )
+    return spark.table(name)

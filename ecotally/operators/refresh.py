@@ -8,11 +8,14 @@ window replace the target's window.  The cut is ``as_of - days``, inclusive;
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.snapshot import list_folders, publish
+
 
 def _as_of(as_of) -> Column:
     if isinstance(as_of, Column):
@@ -71,31 +74,57 @@ def refresh_published(
 ) -> None:
     """M1 on disk: re-import the lookback window of ``target``.
 
-    The published dataset is partitioned by day and a dynamic partition
-    overwrite replaces whole day folders, so the window is widened to whole
-    days: every row of ``report`` whose day is on or after the day of
-    ``as_of - days`` is rewritten (a folder is never left holding only the
-    part of a day after the cut).  Older days and the NULL-date folder stay,
-    and the target is never read.  ``as_of`` defaults to the newest
-    ``column`` value of ``report`` (a scalar subquery, not a driver round
-    trip).
+    The published dataset is partitioned by day, so the window is widened to
+    whole days: every row of ``report`` whose day is on or after the day of
+    ``as_of - days`` is rewritten, and days of the window that have no rows any
+    more go, as in ``incremental_refresh``.  Older days and the NULL-date
+    folder stay, and the target is never read.
+
+    The window is written beside the dataset first (a name that readers skip)
+    and its day folders then take the old ones' places, so the report is
+    computed once, and a failure before that leaves the dataset as it was.
+    ``as_of`` is a time or a scalar column; take it from what the report is
+    built on.  By default it is the newest ``column`` value of ``report``.
     """
+    spark = report.sparkSession
     if as_of is None:
         as_of = report.select(F.max(column)).scalar()
     first_day = F.to_date(lookback_cut(as_of, days))
-    fresh = report.withColumn(day_column, F.to_date(F.col(column))).filter(
-        F.col(day_column) >= first_day
-    )
-    (
-        fresh.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(day_column)
-        .parquet(target)
-    )
+    cut = spark.range(1).select(first_day.cast("string")).first()[0]
+    if cut is None:  # no time to look back from: nothing to refresh
+        return
+    staged = f"{target.rstrip('/')}/_refresh-{uuid.uuid4().hex[:12]}"
+    fresh = report.withColumn(day_column, F.to_date(F.col(column)))
+    fresh.filter(F.col(day_column) >= F.lit(cut).cast("date")).write.partitionBy(day_column).parquet(staged)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(target).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    prefix = f"{day_column}="
+    for name in list_folders(spark, target):
+        if name.startswith(prefix) and name[len(prefix) :] >= cut and name[len(prefix)].isdigit():
+            fs.delete(path(f"{target}/{name}"), True)
+    for name in list_folders(spark, staged):
+        if name.startswith(prefix):
+            fs.rename(path(f"{staged}/{name}"), path(f"{target}/{name}"))
+    fs.delete(path(staged), True)
+
+
+def publish_or_refresh(report: DataFrame, target: str, column: str = "date", as_of=None, days: int = 1) -> bool:
+    """Create the published dataset if there is none at ``target`` (every row),
+    else refresh its lookback window.  Returns whether it was created."""
+    spark = report.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(target)
+    if p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p):
+        refresh_published(report, target, column, as_of, days)
+        return False
+    publish_by_day(report, target, column)
+    return True
+
+
+def read_published(spark: SparkSession, target: str, day_column: str = DAY_PARTITION) -> DataFrame:
+    """The published dataset without its partition column."""
+    return spark.read.option("mergeSchema", "true").parquet(target).drop(day_column)
 
 
 def full_refresh(source: DataFrame, target: str) -> None:
     """M2: replace the published dataset with ``source``."""
-    from ..sources.snapshot import publish
-
     publish(source, target, mode="overwrite")

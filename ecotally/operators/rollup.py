@@ -12,35 +12,37 @@ Semantics (``mode="reference"``), for every row ``v`` of the latest view V:
   root, tenant and the root's own ``p`` (``dec`` = cast to DECIMAL(20,10));
 * totals: sum per ``id`` (tenants mixed), attached to V rows on ``entity = id``.
 
-How it runs on Spark (no row-level recursion over V):
+How it runs on Spark, the same way at every size and depth:
 
 1. ``edge_table``: V collapsed to ``(tenant, entity, parent) -> mult`` (rows).
    Map-side partial aggregation makes a hot entity cheap.
-2. ``ancestor_closure``: all ``(tenant, root, ancestor, distance, paths)``
-   over the edge table only — native ``WITH RECURSIVE`` for a small
-   single-parent hierarchy, otherwise path doubling (log2(D) rounds) with
-   size-checked broadcasts; the edge table and the result are reliably
-   checkpointed; a root that reaches itself is a cycle and raises.
-3. ``level_amounts`` / ``level_totals``: each V row's amount at every
-   distance ``0..D`` (the rounded chain ``dec(dec(x*p)*p)...``, generated as
-   codegen'd columns), summed per ``(tenant, entity, level)``.  Equal roots
-   round equally, so grouping before the closure join is exact.
-4. totals: one left join gives level 0 its own entity and level ``n`` the
-   closure's ancestors at distance ``n``; ``paths * sums`` summed per id.
-
-Work is ``O(|V| * D)`` column arithmetic plus entity-grain joins, against
-``O(|V| * fan-out^D)`` rows for the literal recursion.
+2. ``hierarchy``: how many steps each entity can climb.  The entities with a
+   path of k steps are those with an edge to one that has k - 1, so each round
+   is a semi-join over the entity-grain edges; the sets shrink, and one that
+   does not shrink is a cycle.
+3. ``level_sums``: each V row's amounts at the levels its own entity reaches
+   (the rounded chain ``dec(dec(x*p)*p)...``), summed per (tenant, entity,
+   level).  Rounding depends on the row alone, so summing here is exact.
+4. totals, from the deepest level down: what has been gathered climbs one edge
+   (times ``mult``) and meets the next level's sums.  A round is one join and
+   one aggregate over entities, and no ancestor pairs are made.
+
+Only the queries whose result has a row per level or root build ancestor pairs
+(``ancestor_closure``), again by a frontier that climbs one edge a round.
+
+Every round is written to the shared scratch folder and read back, so no plan
+grows with the depth and a lost executor costs one round.  Amounts are summed
+as unscaled integers of up to 38 digits: the number of paths has no limit of
+its own, and a total beyond DECIMAL(30,10) raises, with ANSI mode on or off.
 """
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType
-from pyspark.storagelevel import StorageLevel
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.expressions import (
     AMOUNT_TYPE,
@@ -48,17 +50,16 @@ from ..functions.expressions import (
     coalesce_amount,
     contribution,
 )
-from ..session import broadcast_if_small, broadcast_limit, reliable_checkpoint
+from ..session import delete_path, scratch_path
 
-# Intermediate types for ``paths * sum``: 28 + 9 + 1 = 38 digits keeps scale 10
-# exact (a wider product would make Spark drop scale).  ANSI casts raise on
-# overflow instead of losing digits.
-_SUM_TYPE = DecimalType(28, 10)
-_PATHS_TYPE = DecimalType(9, 0)
+_WHOLE = "decimal(38,0)"  # unscaled amounts and path counts
+_UNIT = 10**10  # scale of amounts and totals
+_AMOUNT_SUM = "decimal(30,10)"
 
 
 class HierarchyCycleError(RuntimeError):
-    """Raised when an entity is its own ancestor (the recursion would not end)."""
+    """Raised when an entity is its own ancestor (the recursion would not end),
+    or when the hierarchy is deeper than asked for."""
 
 
 @dataclass(frozen=True)
@@ -77,13 +78,64 @@ class HierarchyColumns:
 DEFAULT_COLUMNS = HierarchyColumns()
 
 
-@dataclass
-class Closure:
-    """Ancestors of every (tenant, root): distance >= 1 and number of paths."""
+def _guarded(value: Column, lost: Column) -> Column:
+    """``value``, or an error where it is NULL although ``lost`` says it cannot be
+    (an overflow, which is silent without ANSI mode)."""
+    return F.when(
+        value.isNull() & lost, F.raise_error(F.lit("roll-up amount beyond 38 digits")).cast(_WHOLE)
+    ).otherwise(value)
+
+
+def _sum(column) -> Column:
+    c = F.col(column) if isinstance(column, str) else column
+    return _guarded(F.sum(c).cast(_WHOLE), F.count(c) > 0)
+
+
+def _product(a: str, b: str) -> Column:
+    return _guarded((F.col(a) * F.col(b)).cast(_WHOLE), F.col(a).isNotNull() & F.col(b).isNotNull())
+
+
+def _unscaled(amount: str) -> Column:
+    """A DECIMAL(30,10) as the integer of its 10**-10 parts, exactly."""
+    whole = F.floor(F.col(amount)).cast(_WHOLE)
+    rest = ((F.col(amount) - F.floor(F.col(amount))) * F.lit(_UNIT).cast("decimal(11,0)")).cast(_WHOLE)
+    return whole * F.lit(_UNIT).cast("decimal(11,0)").cast(_WHOLE) + rest
+
+
+def _total(unscaled: Column) -> Column:
+    """The inverse of ``_unscaled`` as TOTAL_TYPE; raises beyond it."""
+    unit = F.lit(_UNIT).cast("decimal(11,0)")
+    rest = unscaled % unit
+    whole = ((unscaled - rest) / unit).cast("decimal(38,6)").cast("decimal(28,0)")
+    value = (whole.cast("decimal(28,10)") + (rest.cast("decimal(11,0)") * F.lit("0.0000000001").cast("decimal(10,10)"))).cast(TOTAL_TYPE)
+    return F.when(
+        value.isNull() & unscaled.isNotNull(), F.raise_error(F.lit("roll-up total beyond DECIMAL(30,10)")).cast(TOTAL_TYPE)
+    ).otherwise(value)
+
+
+class _Rounds:
+    """Numbered parts of one table on the shared scratch folder."""
+
+    def __init__(self, spark, name: str, number: str):
+        self.spark, self.number = spark, number
+        self.path = scratch_path(spark, name)
+        self.schema = None
+
+    def write(self, k: int, df: DataFrame) -> DataFrame:
+        """Write part ``k`` and read it back."""
+        df.write.parquet(f"{self.path}/{self.number}={k}")
+        self.schema = df.schema
+        return self.part(k)
+
+    def part(self, k: int) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{self.number}={k}")
 
-    df: DataFrame  # tenantid, rootid, ancestorid, distance, paths
-    depth: int  # largest distance (0 when no entity has a parent row)
-    edges: int = 0  # rows of the edge table (about the number of entities)
+    def whole(self) -> DataFrame:
+        """All parts in one scan, with their number as a column."""
+        return self.spark.read.schema(StructType([*self.schema.fields, StructField(self.number, IntegerType())])).parquet(self.path)
+
+    def drop(self, k: int | None = None) -> None:
+        delete_path(self.spark, self.path if k is None else f"{self.path}/{self.number}={k}")
 
 
 def edge_table(v: DataFrame, cols: HierarchyColumns = DEFAULT_COLUMNS) -> DataFrame:
@@ -99,259 +151,91 @@ def edge_table(v: DataFrame, cols: HierarchyColumns = DEFAULT_COLUMNS) -> DataFr
     ).agg(F.count(F.lit(1)).alias("mult"))
 
 
-def ancestor_closure(
-    edges: DataFrame,
-    *,
-    broadcast_rows: int | None = None,
-    max_depth: int | None = None,
-    method: str = "auto",
-) -> Closure:
-    """All ``(tenantid, rootid, ancestorid, distance, paths)`` with distance >= 1.
-
-    ``method="auto"``: a single-parent hierarchy whose edge table passed the
-    broadcast size check runs as one native ``WITH RECURSIVE`` query over the
-    edge table (iterations stay in the JVM; one row per root and ancestor).
-    Everything else — DAGs, large edge tables, cycles, very deep trees — runs
-    the path-doubling loop below (``method="doubling"`` forces it).
-
-    Path doubling: ``jump`` holds the paths of length exactly ``k`` and
-    ``closure`` all paths of length ``<= k``.  One round extends every known
-    path by a jump (lengths ``k+1 .. 2k``) and squares the jump table, so a
-    hierarchy of depth D needs about ``log2(D) + 2`` rounds instead of D.
-    Every path of length in ``(k, 2k]`` splits uniquely into a prefix of
-    length ``<= k`` and a suffix of exactly ``k``, so path counts stay exact.
-
-    Both joins use the jump table (entity grain) as build side: broadcast when
-    its counted size allows, else a shuffle join.  When every entity has a
-    single parent no two paths can meet, so the per-round regrouping is
-    skipped.  The edge table (derived from the big input) is reliably
-    checkpointed before the rounds; rounds are persisted, and the finished
-    closure is reliably checkpointed from the cache.  A lost executor therefore
-    recomputes at most ``log2(D)`` entity-grain rounds, never the big input.
-    """
-    e = edges.filter(
-        F.col("tenantid").isNotNull() & F.col("entityid").isNotNull()
-    ).persist(StorageLevel.MEMORY_AND_DISK)
-    cached: list[DataFrame] = [e]
-    first = e.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_distinct("tenantid", "entityid").alias("nodes"),
-        _cycle_flag("entityid", "parententityid"),
-    ).first()
-    single_parent = first["rows"] == first["nodes"]
-    broadcast_rows = broadcast_limit(e.sparkSession, broadcast_rows)
-    # the cache keeps the aggregate's shuffle width (AQE does not coalesce a
-    # cached plan): read it through a size-based number of partitions
-    e = e.coalesce(_closure_partitions(e.sparkSession, first["rows"]))
-    if (
-        method in ("auto", "recursive")
-        and single_parent
-        and not first["cycle"]
-        and first["rows"] <= broadcast_rows
-    ):
-        # lineage here is one aggregate of V (cached); the result is checkpointed
-        found = _closure_by_recursion(e, first["rows"], max_depth)
-        if found is not None:
-            _release(cached)
-            found.edges = first["rows"]
-            return found
-    if method == "recursive":
-        raise ValueError("recursive closure needs a small single-parent hierarchy")
-    # the rounds below all read the edges: cut them from V once (from the cache)
-    e = reliable_checkpoint(e)
-    jump = e.select(
-        "tenantid",
-        F.col("entityid").alias("rootid"),
-        F.col("parententityid").alias("ancestorid"),
-        F.col("mult").cast("long").alias("paths"),
-    )
-    closure = jump.select(
-        "tenantid", "rootid", "ancestorid", F.lit(1).alias("distance"), "paths"
-    )
-    jump_rows, cycle = first["rows"], first["cycle"]
-    parts = _closure_partitions(e.sparkSession, first["rows"])
-    k = 1
+@dataclass
+class Hierarchy:
+    """The edges of entities with tenant, and the most steps each can climb
+    (the step to a parent without rows, or to NULL, included)."""
+
+    edges: DataFrame  # tenantid, entityid, parententityid, mult
+    climbs: DataFrame | None  # tenantid, entityid, height >= 1; None without edges
+    depth: int  # most steps of any entity
+
+
+def hierarchy(edges: DataFrame, max_depth: int | None = None) -> Hierarchy:
+    """Climb heights of an edge table; raises ``HierarchyCycleError`` on a cycle,
+    and when some entity can climb more than ``max_depth`` steps."""
+    spark = edges.sparkSession
+    rounds = _Rounds(spark, "climbs", "height")
+    path = scratch_path(spark, "edges")
+    edges.filter(F.col("tenantid").isNotNull() & F.col("entityid").isNotNull()).write.parquet(path)
+    edges = spark.read.schema(edges.schema).parquet(path)
+    able = rounds.write(1, edges.select("tenantid", "entityid").distinct())
+    count, k = able.count(), 1
     depth = 0
-    while jump_rows:
-        if cycle:
-            _release(cached)
-            raise HierarchyCycleError(f"an entity is its own ancestor within {k} steps")
+    while count:
         if max_depth is not None and k > max_depth:
-            _release(cached)
             raise HierarchyCycleError(f"hierarchy deeper than max_depth={max_depth}")
-        depth = 2 * k - 1  # upper bound of the longest path once this round ran
-        j_side, _ = broadcast_if_small(
-            jump.select(
-                F.col("tenantid").alias("j_tenant"),
-                F.col("rootid").alias("j_from"),
-                F.col("ancestorid").alias("j_to"),
-                F.col("paths").alias("j_paths"),
-            ),
-            broadcast_rows,
-            rows=jump_rows,
-        )
-
-        def extend(left: DataFrame, key_cols: list[str]) -> DataFrame:
-            stepped = left.join(
-                j_side,
-                (F.col("tenantid") == F.col("j_tenant"))
-                & (F.col("ancestorid") == F.col("j_from")),
-                "inner",
-            ).select(
-                *[F.col(c) for c in key_cols if c != "ancestorid"],
-                F.col("j_to").alias("ancestorid"),
-                (F.col("paths") * F.col("j_paths")).alias("paths"),
-            )
-            if single_parent:
-                return stepped
-            return stepped.groupBy(*key_cols).agg(F.sum("paths").alias("paths"))
-
-        longer = extend(
-            closure.select(
-                "tenantid", "rootid", "ancestorid",
-                (F.col("distance") + k).alias("distance"), "paths",
-            ),
-            ["tenantid", "rootid", "ancestorid", "distance"],
-        )
-        # A map-side join keeps the partition count, so the union would double
-        # it every round; coalesce (no shuffle) to a size-based partition count.
-        closure = _cut(closure.unionByName(longer).coalesce(parts), cached)
-        jump = _cut(extend(jump, ["tenantid", "rootid", "ancestorid"]), cached)
-        # One action computes both (the jump side's broadcast is reused), fills
-        # the caches the checkpoint files are then written from, and returns
-        # the loop state.
-        stats = (
-            jump.select(F.lit(1).alias("is_jump"), _is_cycle("rootid", "ancestorid"))
-            # a cycle of length L shows in the closure once 2k >= L (jump
-            # tables only hold lengths that are powers of two)
-            .unionByName(
-                closure.select(F.lit(0).alias("is_jump"), _is_cycle("rootid", "ancestorid"))
-            )
-            .agg(F.sum("is_jump").alias("rows"), F.max("cycle").alias("cycle"))
-            .first()
+        depth = k
+        above = able.select("tenantid", F.col("entityid").alias("parententityid"))
+        able = rounds.write(
+            k + 1,
+            edges.join(above, ["tenantid", "parententityid"], "left_semi").select("tenantid", "entityid").distinct(),
         )
-        jump_rows, cycle = stats["rows"], stats["cycle"]
-        k *= 2
-    closure = reliable_checkpoint(closure)  # written from the cache
-    _release(cached)
-    if depth:  # exact longest path (the loop only knows a bound below 2k)
-        depth = closure.agg(F.max("distance")).first()[0] or 0
-    return Closure(closure, depth, first["rows"])
-
-
-# Session settings that bound Spark's native recursion (restored afterwards).
-_LEVEL_LIMIT = "spark.sql.cteRecursionLevelLimit"
-_ROW_LIMIT = "spark.sql.cteRecursionRowLimit"
-_SHUFFLE_PARTITIONS = "spark.sql.shuffle.partitions"
-_DEFAULT_LEVEL_LIMIT = 100
-# Closure rows per partition (a closure row is ~50 bytes: ~25 MB partitions).
-_ROWS_PER_PARTITION = 500_000
-
-
-def _closure_partitions(spark, edges: int, depth_guess: int = 8) -> int:
-    """Partitions for a closure of about ``edges * depth_guess`` rows, capped
-    by the session's shuffle parallelism (a small hierarchy should not run
-    hundreds of near-empty tasks per round)."""
-    configured = int(spark.conf.get(_SHUFFLE_PARTITIONS))
-    return max(1, min(configured, edges * depth_guess // _ROWS_PER_PARTITION + 1))
-
-_RECURSIVE_CLOSURE_SQL = """
-WITH RECURSIVE cl(tenantid, rootid, ancestorid, distance, paths) AS (
-  SELECT tenantid, entityid, parententityid, 1, CAST(mult AS BIGINT) FROM {edges}
-  UNION ALL
-  SELECT cl.tenantid, cl.rootid, e.parententityid, cl.distance + 1, cl.paths * e.mult
-  FROM cl JOIN {edges} e ON e.tenantid = cl.tenantid AND e.entityid = cl.ancestorid
-)
-SELECT tenantid, rootid, ancestorid, distance, paths FROM cl"""
-
-
-def _closure_by_recursion(e: DataFrame, edges: int, max_depth: int | None) -> Closure | None:
-    """Native recursive query over a small single-parent edge table.
-
-    Returns None when the level limit is reached (a cycle or a very deep
-    tree); the caller then runs the doubling loop, which tells them apart.
-    """
-    spark = e.sparkSession
-    # Without a cycle a single-parent path visits each edge at most once.
-    levels = max_depth if max_depth is not None else min(_DEFAULT_LEVEL_LIMIT, edges + 1)
-    view = f"__ecotally_edges_{uuid.uuid4().hex[:12]}"
-    e.createOrReplaceTempView(view)
-    parts = _closure_partitions(spark, edges)
-    saved = {k: spark.conf.get(k, None) for k in (_LEVEL_LIMIT, _ROW_LIMIT, _SHUFFLE_PARTITIONS)}
-    try:
-        spark.conf.set(_LEVEL_LIMIT, str(levels))
-        # single parent: at most one row per (root, distance)
-        spark.conf.set(_ROW_LIMIT, str(max(edges * (levels + 1), 1_000_000)))
-        # every iteration is planned anew: size its shuffles for the edge table
-        spark.conf.set(_SHUFFLE_PARTITIONS, str(parts))
-        found = (
-            spark.sql(_RECURSIVE_CLOSURE_SQL.format(edges=view))
-            .coalesce(parts)
-            .persist(StorageLevel.MEMORY_AND_DISK)
+        left = able.count()
+        if left == count:
+            raise HierarchyCycleError(f"{left} entities on or below a cycle")
+        count, k = left, k + 1
+    if not depth:
+        return Hierarchy(edges, None, 0)
+    climbs = rounds.whole().groupBy("tenantid", "entityid").agg(F.max("height").alias("height"))
+    return Hierarchy(edges, climbs, depth)
+
+
+def ancestor_closure(found: Hierarchy) -> DataFrame:
+    """``(tenantid, rootid, ancestorid, paths, distance)`` for distances 1 to the
+    depth: a frontier that climbs one edge a round, paths that meet merged."""
+    edges = found.edges.select(
+        "tenantid", F.col("entityid").alias("ancestorid"), F.col("parententityid").alias("next"),
+        F.col("mult").cast("decimal(20,0)").alias("mult"),
+    )
+    frontier = found.edges.select(
+        "tenantid", F.col("entityid").alias("rootid"), F.col("parententityid").alias("ancestorid"),
+        F.col("mult").cast(_WHOLE).alias("paths"),
+    )
+    rounds = _Rounds(edges.sparkSession, "closure", "distance")
+    for k in range(1, max(1, found.depth) + 1):
+        frontier = rounds.write(k, frontier)
+        frontier = (
+            frontier.join(edges, ["tenantid", "ancestorid"])
+            .groupBy("tenantid", "rootid", F.col("next").alias("ancestorid"))
+            .agg(_sum(_product("paths", "mult")).alias("paths"))
         )
-        depth = found.agg(F.max("distance")).first()[0] or 0  # runs the recursion once
-        closure = reliable_checkpoint(found)  # written from the cache
-        found.unpersist()
-    except Exception as err:  # noqa: BLE001 - only the level limit is expected
-        if "RECURSION_LEVEL_LIMIT_EXCEEDED" in str(err):
-            return None
-        raise
-    finally:
-        for k, val in saved.items():
-            if val is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, val)
-        spark.catalog.dropTempView(view)
-    return Closure(closure, depth)
-
-
-def _cut(df: DataFrame, cached: list[DataFrame]) -> DataFrame:
-    """Persist one round's table (released once the closure is checkpointed)."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    cached.append(df)
-    return df
-
-
-def _is_cycle(root: str, ancestor: str) -> F.Column:
-    """Per row: 1 when the path returns to its root."""
-    return F.when(F.col(ancestor) == F.col(root), 1).otherwise(0).alias("cycle")
-
-
-def _cycle_flag(root: str, ancestor: str) -> F.Column:
-    return F.max(_is_cycle(root, ancestor)).alias("cycle")
-
+    return rounds.whole()
 
-def _release(frames: list[DataFrame]) -> None:
-    for df in frames:
-        df.unpersist()
 
+def _chain(first: Column, second: Column, step, count: Column) -> Column:
+    """Array of (level, location, market) from level 0 to ``count``; ``step`` makes
+    the amounts of a level from those below it and the level's number.  The plan
+    is one expression whatever the depth."""
+    amounts = f"array<struct<level:int,loc:{AMOUNT_TYPE.simpleString()},mkt:{AMOUNT_TYPE.simpleString()}>>"
 
-# Deeper than this, rows stop at their own entity's depth (see level_amounts).
-_TRIM_DEPTH = 8
+    def entry(level, loc, mkt):
+        return F.struct(level.cast("int").alias("level"), loc.alias("loc"), mkt.alias("mkt"))
 
+    return F.aggregate(
+        F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>")),
+        F.array(entry(F.lit(0), first, second)).cast(amounts),
+        lambda done, k: F.concat(
+            done,
+            F.array(entry(k, *step(F.element_at(done, -1)["loc"], F.element_at(done, -1)["mkt"], k))).cast(amounts),
+        ),
+    )
 
-def root_depths(closure: Closure) -> DataFrame:
-    """``(d_tenant, d_root, d_depth)``: longest path of every root."""
-    return closure.df.groupBy(
-        F.col("tenantid").alias("d_tenant"), F.col("rootid").alias("d_root")
-    ).agg(F.max("distance").alias("d_depth"))
 
+def level_amounts(v: DataFrame, found: Hierarchy, cols: HierarchyColumns = DEFAULT_COLUMNS) -> DataFrame:
+    """Every V row's amounts at the levels 0 to its own entity's height.
 
-def level_amounts(
-    v: DataFrame,
-    depth: int,
-    cols: HierarchyColumns = DEFAULT_COLUMNS,
-    depths: DataFrame | None = None,
-) -> DataFrame:
-    """Every V row's contribution amounts at levels ``0..depth``.
-
-    Output: tenantid, entityid, percentage, level, amount_locationbased,
-    amount_marketbased.  The chain is built as plain projected columns so it
-    stays inside whole-stage codegen; ``inline`` turns them into rows.  With
-    ``depths`` (per-root longest path, a broadcast side) a row only emits the
-    levels its own entity reaches, so one deep branch does not make every
-    row emit the global depth.
+    Output: tenantid, entityid, percentage, level, loc, mkt.
     """
     df = v.select(
         F.col(cols.tenant).alias("tenantid"),
@@ -360,197 +244,141 @@ def level_amounts(
         coalesce_amount(cols.total, cols.location).alias("l0"),
         coalesce_amount(cols.total, cols.market).alias("m0"),
     )
-    if depths is not None:
-        df = df.join(
-            depths,
-            (F.col("tenantid") == F.col("d_tenant")) & (F.col("entityid") == F.col("d_root")),
-            "left",
-        ).select(
-            "tenantid", "entityid", "percentage", "l0", "m0",
-            F.coalesce(F.col("d_depth"), F.lit(0)).alias("own_depth"),
-        )
-    for k in range(1, depth + 1):
-        df = df.select(
-            "*",
-            contribution(f"l{k - 1}", "percentage").alias(f"l{k}"),
-            contribution(f"m{k - 1}", "percentage").alias(f"m{k}"),
-        )
-    levels = F.array(
-        *[
-            F.struct(
-                F.lit(k).alias("level"),
-                F.col(f"l{k}").alias("amount_locationbased"),
-                F.col(f"m{k}").alias("amount_marketbased"),
-            )
-            for k in range(depth + 1)
-        ]
+    if found.climbs is None:
+        df = df.withColumn("height", F.lit(0))
+    else:
+        df = df.join(found.climbs, ["tenantid", "entityid"], "left")
+    p = F.col("percentage")
+    levels = _chain(
+        F.col("l0"), F.col("m0"), lambda loc, mkt, _: (contribution(loc, p), contribution(mkt, p)),
+        F.coalesce("height", F.lit(0)),
     )
-    if depths is not None:
-        levels = F.slice(levels, F.lit(1), F.col("own_depth") + 1)
     return df.select("tenantid", "entityid", "percentage", F.inline(levels))
 
 
-def _levels_for(v: DataFrame, closure: Closure, cols: HierarchyColumns) -> DataFrame:
-    """``level_amounts`` trimmed per row for deep hierarchies when the per-root
-    depth table passes the broadcast size check; plain otherwise."""
-    depths = None
-    if closure.depth > _TRIM_DEPTH:
-        d = root_depths(closure).persist(StorageLevel.MEMORY_AND_DISK)
-        d_side, rows = broadcast_if_small(d)
-        if rows <= broadcast_limit(v.sparkSession):
-            depths = d_side
-    return level_amounts(v, closure.depth, cols, depths)
+def _summed(levels: DataFrame) -> DataFrame:
+    return levels.groupBy("tenantid", "entityid", "level").agg(
+        F.sum("loc").cast(_AMOUNT_SUM).alias("loc"), F.sum("mkt").cast(_AMOUNT_SUM).alias("mkt"),
+        F.count(F.lit(1)).alias("rows"),
+    ).withColumns({"loc": _unscaled("loc"), "mkt": _unscaled("mkt")})
 
 
-def _attach_ancestors(left: DataFrame, closure: Closure) -> DataFrame:
-    """Give every ``(tenantid, entityid, level)`` row its ancestor ``id``.
+def level_sums(v: DataFrame, found: Hierarchy, cols: HierarchyColumns = DEFAULT_COLUMNS) -> DataFrame:
+    """Unscaled sums and row counts per (tenantid, entityid, level)."""
+    return _summed(level_amounts(v, found, cols))
 
-    Level 0 keeps its own entity (``paths = 1``, whatever the tenant, NULLs
-    included); level ``n > 0`` joins the closure on ``(tenant, root, n)``.
-    One left join over one aggregate: the big input is scanned once.
-    """
-    cl = closure.df.select(
-        F.col("tenantid").alias("c_tenant"),
-        F.col("rootid").alias("c_root"),
-        F.col("ancestorid").alias("c_ancestor"),
-        F.col("distance").alias("c_distance"),
-        F.col("paths").alias("c_paths"),
-    )
-    joined = left.join(
-        cl,
-        (F.col("tenantid") == F.col("c_tenant"))
-        & (F.col("entityid") == F.col("c_root"))
-        & (F.col("level") == F.col("c_distance")),
-        "left",
+
+def rollup_totals(
+    v: DataFrame, cols: HierarchyColumns = DEFAULT_COLUMNS, *, max_depth: int | None = None
+) -> DataFrame:
+    """A1: ``id, cumulative_locationbased, cumulative_marketbased`` (NULL id kept)."""
+    spark = v.sparkSession
+    found = hierarchy(edge_table(v, cols), max_depth)
+    path = scratch_path(spark, "levels")
+    sums = level_sums(v, found, cols).drop("rows")
+    sums.write.partitionBy("level").parquet(path)
+    levels = spark.read.schema(sums.schema).parquet(path)
+    steps = found.edges.select(
+        "tenantid", "entityid", F.col("parententityid").alias("next"), F.col("mult").cast("decimal(20,0)").alias("mult")
     )
-    own = F.col("level") == 0
-    return joined.filter(own | F.col("c_root").isNotNull()).select(
-        "*",
-        F.when(own, F.col("entityid")).otherwise(F.col("c_ancestor")).alias("id"),
-        F.when(own, F.lit(1).cast("long")).otherwise(F.col("c_paths")).alias("paths"),
+    rounds = _Rounds(spark, "climbing", "level")
+    gathered = levels.filter(F.col("level") == found.depth).select("tenantid", "entityid", "loc", "mkt")
+    for k in range(found.depth, 0, -1):
+        climbed = gathered.join(steps, ["tenantid", "entityid"]).select(
+            "tenantid", F.col("next").alias("entityid"), _product("loc", "mult").alias("loc"), _product("mkt", "mult").alias("mkt")
+        )
+        own = levels.filter(F.col("level") == k - 1).select("tenantid", "entityid", "loc", "mkt")
+        gathered = rounds.write(
+            k - 1,
+            own.unionByName(climbed).groupBy("tenantid", "entityid").agg(_sum("loc").alias("loc"), _sum("mkt").alias("mkt")),
+        )
+        if k < found.depth:
+            rounds.drop(k)
+    if found.depth:  # the last round alone is still read
+        delete_path(spark, path)
+    return gathered.groupBy(F.col("entityid").alias("id")).agg(
+        _total(_sum("loc")).alias("cumulative_locationbased"), _total(_sum("mkt")).alias("cumulative_marketbased")
     )
 
 
-def _times_paths(amount: str) -> F.Column:
-    return F.col(amount).cast(_SUM_TYPE) * F.col("paths").cast(_PATHS_TYPE)
-
-
-def level_totals(v: DataFrame, closure: Closure, cols=DEFAULT_COLUMNS) -> DataFrame:
-    """Per ``(id, level)`` contribution: summed amounts and their count ``n``
-    (not yet summed over roots)."""
-    sums = (
-        _levels_for(v, closure, cols)
-        .groupBy("tenantid", "entityid", "level")
-        .agg(
-            F.sum("amount_locationbased").alias("s_loc"),
-            F.sum("amount_marketbased").alias("s_mkt"),
-            F.count(F.lit(1)).alias("rows"),
-        )
+def _at_ancestors(left: DataFrame, closure: DataFrame) -> DataFrame:
+    """Give every ``(tenantid, entityid, level)`` row its ancestor ``id``: level 0
+    its own entity once, level n the ancestors at distance n with their paths."""
+    pairs = closure.select(
+        F.col("tenantid").alias("c_tenant"), F.col("rootid").alias("c_root"), F.col("distance").alias("c_distance"),
+        F.col("ancestorid").alias("c_ancestor"), "paths",
     )
-    return _attach_ancestors(sums, closure).select(
-        "id",
-        "level",
-        _times_paths("s_loc").alias("loc"),
-        _times_paths("s_mkt").alias("mkt"),
-        (F.col("rows") * F.col("paths")).alias("n"),
+    joined = left.filter("level > 0").join(
+        pairs,
+        (F.col("tenantid") == F.col("c_tenant")) & (F.col("entityid") == F.col("c_root")) & (F.col("level") == F.col("c_distance")),
     )
+    own = left.filter("level = 0").select("*", F.col("entityid").alias("id"), F.lit(1).cast(_WHOLE).alias("paths"))
+    return own.unionByName(joined.select(*left.columns, F.col("c_ancestor").alias("id"), "paths"))
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def rollup_by_level(
-    v: DataFrame, cols: HierarchyColumns = DEFAULT_COLUMNS, **closure_opts
+    v: DataFrame, cols: HierarchyColumns = DEFAULT_COLUMNS, *, max_depth: int | None = None
 ) -> DataFrame:
     """Contributions grouped by (id, level): id, level, amount_locationbased,
     amount_marketbased, n."""
-    closure = ancestor_closure(edge_table(v, cols), **closure_opts)
+    found = hierarchy(edge_table(v, cols), max_depth)
+    sums = _written(level_sums(v, found, cols).withColumn("rows", F.col("rows").cast("decimal(20,0)")), "levels")
     return (
-        level_totals(v, closure, cols)
+        _at_ancestors(sums, ancestor_closure(found))
         .groupBy("id", "level")
         .agg(
-            F.sum("loc").cast(TOTAL_TYPE).alias("amount_locationbased"),
-            F.sum("mkt").cast(TOTAL_TYPE).alias("amount_marketbased"),
-            F.sum("n").alias("n"),
-        )
-    )
-
-
-def rollup_totals(
-    v: DataFrame,
-    cols: HierarchyColumns = DEFAULT_COLUMNS,
-    closure: Closure | None = None,
-    **closure_opts,
-) -> DataFrame:
-    """A1: ``id, cumulative_locationbased, cumulative_marketbased`` (NULL id kept)."""
-    if closure is None:
-        closure = ancestor_closure(edge_table(v, cols), **closure_opts)
-    return (
-        level_totals(v, closure, cols)
-        .groupBy("id")
-        .agg(
-            F.sum("loc").cast(TOTAL_TYPE).alias("cumulative_locationbased"),
-            F.sum("mkt").cast(TOTAL_TYPE).alias("cumulative_marketbased"),
+            _total(_sum(_product("loc", "paths"))).alias("amount_locationbased"),
+            _total(_sum(_product("mkt", "paths"))).alias("amount_marketbased"),
+            _sum(_product("rows", "paths")).cast("long").alias("n"),
         )
     )
 
 
 def rollup_contributions(
-    v: DataFrame, cols: HierarchyColumns = DEFAULT_COLUMNS, **closure_opts
+    v: DataFrame, cols: HierarchyColumns = DEFAULT_COLUMNS, *, max_depth: int | None = None
 ) -> DataFrame:
     """R1 in grouped form: one row per distinct contribution with its count.
 
     Columns: id, tenantid, rootid, amount_locationbased, amount_marketbased,
     percentage, level, n.
     """
-    closure = ancestor_closure(edge_table(v, cols), **closure_opts)
-    detail = (
-        _levels_for(v, closure, cols)
-        .groupBy(
-            "tenantid",
-            "entityid",
-            "level",
-            "percentage",
-            "amount_locationbased",
-            "amount_marketbased",
-        )
-        .agg(F.count(F.lit(1)).alias("rows"))
+    found = hierarchy(edge_table(v, cols), max_depth)
+    detail = _written(
+        level_amounts(v, found, cols)
+        .groupBy("tenantid", "entityid", "level", "percentage", "loc", "mkt")
+        .agg(F.count(F.lit(1)).cast("decimal(20,0)").alias("rows")),
+        "levels",
     )
-    return _attach_ancestors(detail, closure).select(
+    return _at_ancestors(detail, ancestor_closure(found)).select(
         "id",
         "tenantid",
         F.col("entityid").alias("rootid"),
-        "amount_locationbased",
-        "amount_marketbased",
+        F.col("loc").alias("amount_locationbased"),
+        F.col("mkt").alias("amount_marketbased"),
         "percentage",
         "level",
-        (F.col("rows") * F.col("paths")).alias("n"),
+        _product("rows", "paths").cast("long").alias("n"),
     )
 
 
-def attach_totals(
-    v: DataFrame,
-    totals: DataFrame,
-    cols: HierarchyColumns = DEFAULT_COLUMNS,
-    *,
-    broadcast_rows: int | None = None,
-    partitions: int | None = None,
-) -> DataFrame:
+def attach_totals(v: DataFrame, totals: DataFrame, cols: HierarchyColumns = DEFAULT_COLUMNS) -> DataFrame:
     """``T.*`` plus totals (market first, then location), joined on id only.
 
-    Totals are entity-grain; they are persisted, counted and broadcast when
-    small, so a hot entity in V never meets a shuffle.  Past the bound it is a
-    shuffle join and AQE's skew handling splits hot partitions of V.
+    Totals are entity-grain: Spark broadcasts them by their measured size, else
+    AQE splits the partitions of a hot entity.
     """
     t = totals.filter(F.col("id").isNotNull()).select(
         F.col("id").alias("__total_id"),
         F.col("cumulative_marketbased").alias("total_emissions_marketbased"),
         F.col("cumulative_locationbased").alias("total_emissions_locationbased"),
     )
-    if partitions is not None:  # entity grain: no need for the full shuffle width
-        t = t.coalesce(partitions)
-    t = t.persist(StorageLevel.MEMORY_AND_DISK)
-    t_side, _ = broadcast_if_small(t, broadcast_rows)
-    return v.join(t_side, F.col(cols.entity) == F.col("__total_id"), "inner").drop(
-        "__total_id"
-    )
+    return v.join(t, F.col(cols.entity) == F.col("__total_id"), "inner").drop("__total_id")
 
 
 def sort_report(
@@ -571,24 +399,15 @@ def sort_report(
 
 
 def rollup_report(
-    v: DataFrame,
-    cols: HierarchyColumns = DEFAULT_COLUMNS,
-    *,
-    sort: bool = True,
-    broadcast_rows: int | None = None,
-    max_depth: int | None = None,
-    method: str = "auto",
+    v: DataFrame, cols: HierarchyColumns = DEFAULT_COLUMNS, *, sort: bool = True, max_depth: int | None = None
 ) -> DataFrame:
-    """R2 (flagship): roll-up -> totals -> attach -> order."""
-    closure = ancestor_closure(
-        edge_table(v, cols), broadcast_rows=broadcast_rows, max_depth=max_depth,
-        method=method,
-    )
-    totals = rollup_totals(v, cols, closure=closure)
-    report = attach_totals(
-        v, totals, cols, broadcast_rows=broadcast_rows,
-        partitions=_closure_partitions(v.sparkSession, closure.edges, 1),
-    )
+    """R2 (flagship): roll-up -> totals -> attach -> order.
+
+    The totals are written before they are attached, so the sort's sampling
+    pass reads them again instead of adding them up again.
+    """
+    totals = _written(rollup_totals(v, cols, max_depth=max_depth), "totals")
+    report = attach_totals(v, totals, cols)
     return sort_report(report, cols) if sort else report
 
 
@@ -608,8 +427,7 @@ def entity_rollup_totals(
     entities: DataFrame | None = None,
     cols: HierarchyColumns = DEFAULT_COLUMNS,
     *,
-    broadcast_rows: int | None = None,
-    **closure_opts,
+    max_depth: int | None = None,
 ) -> DataFrame:
     """Totals with the reference's quirks fixed (``mode="entity"``).
 
@@ -620,92 +438,50 @@ def entity_rollup_totals(
     parents without activity rows pass contributions on (Q5).  Rounding per
     step and NULL percentages behave as in the reference.
 
-    Plan: the closure of the entity edges; per root, the percentages along its
-    path as an array ordered by distance (at most depth-many elements); per V
-    row one chain of rounded amounts over that array; sums per (tenant,
+    Plan: the entity table is written once; its ancestor pairs give every
+    entity the percentages along its path as an array (as long as the path);
+    per V row one chain of rounded amounts over that array; sums per (tenant,
     entity, level); then ancestors by distance.
     """
-    if entities is None:
-        entities = entity_table(v, cols)
-    ent = entities.select("tenantid", "entityid", "parententityid", "percentage")
+    ent = _written(
+        (entity_table(v, cols) if entities is None else entities).select(
+            "tenantid", "entityid", "parententityid", "percentage"
+        ),
+        "entities",
+    )
     dup = ent.groupBy("tenantid", "entityid").count().filter("count > 1").limit(1)
     if not dup.isEmpty():
         raise ValueError("entity mode needs one parent and percentage per (tenant, entity)")
     edges = ent.select("tenantid", "entityid", "parententityid", F.lit(1).cast("long").alias("mult"))
-    closure = ancestor_closure(edges, broadcast_rows=broadcast_rows, **closure_opts)
-    pct = ent.select(
-        F.col("tenantid").alias("p_tenant"),
-        F.col("entityid").alias("p_entity"),
-        F.col("percentage").alias("p_pct"),
-    )
-    own = ent.select(
-        "tenantid", F.col("entityid").alias("rootid"), F.lit(0).alias("distance"),
-        F.col("percentage").alias("p_pct"),
-    )
+    closure = ancestor_closure(hierarchy(edges, max_depth))
     # percentage of the node at distance d (d = 0 is the root itself)
+    own = ent.select("tenantid", F.col("entityid").alias("rootid"), F.lit(0).alias("distance"), "percentage")
+    left = ent.select("tenantid", F.col("entityid").alias("ancestorid"), "percentage")
     along = own.unionByName(
-        closure.df.join(
-            pct,
-            (F.col("tenantid") == F.col("p_tenant")) & (F.col("ancestorid") == F.col("p_entity")),
-            "inner",
-        ).select("tenantid", "rootid", "distance", "p_pct")
-    )
-    path = along.groupBy("tenantid", "rootid").agg(
-        F.array_sort(F.collect_list(F.struct("distance", "p_pct"))).getField("p_pct").alias("ps")
+        closure.join(left, ["tenantid", "ancestorid"]).select("tenantid", "rootid", "distance", "percentage")
     )
-    # entity grain: counted and broadcast when small, so the big side is not
-    # shuffled and a hot entity costs nothing extra
-    path = reliable_checkpoint(
-        path.select(F.col("tenantid").alias("x_tenant"), F.col("rootid").alias("x_root"), "ps")
+    paths = along.groupBy("tenantid", F.col("rootid").alias("entityid")).agg(
+        F.array_sort(F.collect_list(F.struct("distance", "percentage"))).getField("percentage").alias("ps")
     )
-    path_side, _ = broadcast_if_small(path, broadcast_rows)
-    depth = closure.depth
     rows = v.select(
         F.col(cols.tenant).alias("tenantid"),
         F.col(cols.entity).alias("entityid"),
         coalesce_amount(cols.total, cols.location).alias("l0"),
         coalesce_amount(cols.total, cols.market).alias("m0"),
-    ).join(
-        path_side,
-        (F.col("tenantid") == F.col("x_tenant")) & (F.col("entityid") == F.col("x_root")),
-        "left",
-    )
-    for k in range(1, depth + 1):
-        p_k = F.try_element_at(F.col("ps"), F.lit(k))  # percentage of the node left at step k
-        rows = rows.select(
-            "*",
-            contribution(f"l{k - 1}", p_k).alias(f"l{k}"),
-            contribution(f"m{k - 1}", p_k).alias(f"m{k}"),
-        )
-    levels = F.array(
-        *[
-            F.struct(
-                F.lit(k).alias("level"),
-                F.col(f"l{k}").alias("amount_locationbased"),
-                F.col(f"m{k}").alias("amount_marketbased"),
-            )
-            for k in range(depth + 1)
-        ]
-    )
-    # a row's path has size(ps) steps: emit levels 0..size(ps) only (level 0
-    # always, also for entities without a path)
-    own = F.greatest(F.coalesce(F.size("ps"), F.lit(0)), F.lit(0))
-    levels = F.slice(levels, F.lit(1), own + 1)
-    sums = (
-        rows.select("tenantid", "entityid", F.inline(levels))
-        .groupBy("tenantid", "entityid", "level")
-        .agg(
-            F.sum("amount_locationbased").alias("s_loc"),
-            F.sum("amount_marketbased").alias("s_mkt"),
-            F.count(F.lit(1)).alias("rows"),
-        )
+    ).join(paths, ["tenantid", "entityid"], "left")
+    ps = F.col("ps")
+    levels = _chain(
+        F.col("l0"), F.col("m0"),
+        lambda loc, mkt, k: (contribution(loc, F.element_at(ps, k)), contribution(mkt, F.element_at(ps, k))),
+        F.greatest(F.coalesce(F.size("ps"), F.lit(0)), F.lit(0)),
     )
+    sums = _summed(rows.select("tenantid", "entityid", F.inline(levels)))
     return (
-        _attach_ancestors(sums, closure)
+        _at_ancestors(sums, closure)
         .groupBy("tenantid", "id")
         .agg(
-            F.sum(_times_paths("s_loc")).cast(TOTAL_TYPE).alias("cumulative_locationbased"),
-            F.sum(_times_paths("s_mkt")).cast(TOTAL_TYPE).alias("cumulative_marketbased"),
+            _total(_sum(_product("loc", "paths"))).alias("cumulative_locationbased"),
+            _total(_sum(_product("mkt", "paths"))).alias("cumulative_marketbased"),
         )
     )
 
@@ -716,19 +492,16 @@ def entity_rollup_report(
     cols: HierarchyColumns = DEFAULT_COLUMNS,
     *,
     sort: bool = True,
-    broadcast_rows: int | None = None,
-    **closure_opts,
+    max_depth: int | None = None,
 ) -> DataFrame:
     """R2 with ``mode="entity"``: totals attached on (tenant, entity)."""
-    totals = entity_rollup_totals(
-        v, entities, cols, broadcast_rows=broadcast_rows, **closure_opts
-    ).filter(F.col("id").isNotNull()).select(
+    totals = _written(entity_rollup_totals(v, entities, cols, max_depth=max_depth), "totals")
+    totals = totals.filter(F.col("id").isNotNull()).select(
         F.col("tenantid").alias("__total_tenant"),
         F.col("id").alias("__total_id"),
         F.col("cumulative_marketbased").alias("total_emissions_marketbased"),
         F.col("cumulative_locationbased").alias("total_emissions_locationbased"),
-    ).persist(StorageLevel.MEMORY_AND_DISK)
-    totals, _ = broadcast_if_small(totals, broadcast_rows)
+    )
     report = v.join(
         totals,
         (F.col(cols.tenant) == F.col("__total_tenant")) & (F.col(cols.entity) == F.col("__total_id")),
@@ -739,18 +512,19 @@ def entity_rollup_report(
 
 __all__ = [
     "AMOUNT_TYPE",
-    "entity_rollup_report",
-    "entity_rollup_totals",
-    "entity_table",
-    "Closure",
     "DEFAULT_COLUMNS",
+    "Hierarchy",
     "HierarchyColumns",
     "HierarchyCycleError",
     "ancestor_closure",
     "attach_totals",
     "edge_table",
+    "entity_rollup_report",
+    "entity_rollup_totals",
+    "entity_table",
+    "hierarchy",
     "level_amounts",
-    "level_totals",
+    "level_sums",
     "rollup_by_level",
     "rollup_contributions",
     "rollup_report",

@@ -1,8 +1,12 @@
 """Row-level security (F2) and maintenance of the rules table.
 
 Rules are ``(UserArn, tenantid)`` rows with ``UserArn`` as the key.  A rule
-grants its principal the rows of its tenant; an empty (or NULL) ``tenantid``
-grants every row; a principal without rules sees nothing.
+grants its principal the rows of its tenant; an empty ``tenantid`` grants every
+row; a principal without rules sees nothing, and a NULL ``tenantid`` grants
+nothing (a lost attribute must not open the data).
+
+Everything here is a lazy plan: rules are read when the result is, not when it
+is built.
 """
 
 from __future__ import annotations
@@ -13,11 +17,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import principal_name
-from ..session import broadcast_if_small
-
-
-def _unrestricted(tenant: F.Column) -> F.Column:
-    return tenant.isNull() | (tenant == "")
 
 
 def apply_rls(
@@ -25,48 +24,39 @@ def apply_rls(
     rules: DataFrame,
     principal: str,
     tenant_column: str = "tenantid",
-    broadcast_rows: int | None = None,
+    null_is_unrestricted: bool = False,
 ) -> DataFrame:
     """the rows of ``df`` that ``principal`` may see.
 
-    One probe over the rules table returns whether the principal holds an
-    unrestricted rule and how many rules it has.  Otherwise the data is
-    filtered by an equi left-semi join on the tenant; the principal's tenant
-    list (bounded by its rule count) is broadcast when that count is within
-    ``broadcast_rows`` (default: the session's bound), so the big side is never shuffled for a filter, and is
-    a skew-aware shuffle join beyond.  No OR-condition nested-loop join.
+    One scan of the data: an existence join on the tenant (broadcast by size,
+    else a shuffle join), beside one scalar that tells whether the principal
+    holds an unrestricted rule.  ``null_is_unrestricted`` opts in to treating a
+    rule without tenant like an empty one.
     """
-    mine = rules.filter(F.col("UserArn") == F.lit(principal))
-    probe = mine.agg(
-        F.count(F.lit(1)).alias("rules"),
-        F.max(F.when(_unrestricted(F.col("tenantid")), 1).otherwise(0)).alias("all"),
-    ).first()
-    if probe["all"]:
-        return df
-    granted, _ = broadcast_if_small(
-        mine.select(F.col("tenantid").alias("__granted")).distinct(),
-        broadcast_rows,
-        rows=probe["rules"],
+    mine = rules.filter(F.col("UserArn") == F.lit(principal)).select(F.col("tenantid").alias("granted"))
+    if null_is_unrestricted:
+        mine = mine.select(F.coalesce("granted", F.lit("")).alias("granted"))
+    return df.sparkSession.sql(
+        "SELECT * FROM {data} WHERE (SELECT coalesce(bool_or(granted = ''), false) FROM {mine})"
+        " OR {tenant} IN (SELECT granted FROM {mine} WHERE granted IS NOT NULL)",
+        data=df, mine=mine, tenant=F.col(tenant_column),
     )
-    return df.join(granted, F.col(tenant_column) == F.col("__granted"), "left_semi")
 
 
-def upsert_rules(rules: DataFrame, grants: DataFrame, order: str | None = "seq") -> DataFrame:
+def upsert_rules(rules: DataFrame, grants: DataFrame, order: str = "seq") -> DataFrame:
     """M3: keyed upsert, last write wins per ``UserArn``.
 
+    ``grants`` must have the column ``order`` that says which write is last.
     In-batch duplicates are settled with ``max(struct(order, tenantid))`` per
     key — a partial aggregate, so a principal with very many grants is merged
     map-side instead of sorted in one task.  Existing rules for the keys are
     replaced (left-anti join), all others kept.
     """
-    if order is not None and order in grants.columns:
-        latest = grants.groupBy("UserArn").agg(
-            F.max(F.struct(F.col(order), F.col("tenantid"))).getField("tenantid").alias(
-                "tenantid"
-            )
-        )
-    else:
-        latest = grants.groupBy("UserArn").agg(F.max("tenantid").alias("tenantid"))
+    if order not in grants.columns:
+        raise ValueError(f"grants need a column {order!r}: without an order no write is the last")
+    latest = grants.groupBy("UserArn").agg(
+        F.max(F.struct(F.col(order), F.col("tenantid"))).getField("tenantid").alias("tenantid")
+    )
     kept = rules.select("UserArn", "tenantid").join(
         latest.select("UserArn"), "UserArn", "left_anti"
     )
@@ -74,17 +64,14 @@ def upsert_rules(rules: DataFrame, grants: DataFrame, order: str | None = "seq")
 
 
 def tenant_grants(
-    events: DataFrame, prefix: str, tenant: str = "tenant", tenant_id: str = "tenantid",
-    order: str | None = "seq",
+    events: DataFrame, prefix: str, tenant: str = "tenant", tenant_id: str = "tenantid", order: str = "seq"
 ) -> DataFrame:
-    """Grant rows ``(UserArn, tenantid[, seq])`` for tenant-created events."""
-    cols = [
+    """Grant rows ``(UserArn, tenantid, seq)`` for tenant-created events."""
+    return events.select(
         principal_name(tenant, prefix).alias("UserArn"),
         F.col(tenant_id).cast("string").alias("tenantid"),
-    ]
-    if order is not None and order in events.columns:
-        cols.append(F.col(order).alias("seq"))
-    return events.select(*cols)
+        F.col(order).alias("seq"),
+    )
 
 
 def grant(
@@ -94,23 +81,29 @@ def grant(
     prefix: str,
     faithful: bool = True,
 ) -> DataFrame:
-    """M4: apply tenant-created events to the rules.
+    """M4: apply tenant-created events, in order of ``seq``, to the rules.
 
-    If the first admin principal has no rule yet, the admin rows (tenant '')
-    are written and — with ``faithful=True``, the reference behaviour — the
-    tenant rows of this call are skipped.  Otherwise the tenant rows are
-    upserted.  ``faithful=False`` writes both.
+    An event that finds the first admin principal without a rule writes the
+    admin rows (tenant '') and, with ``faithful=True``, the reference
+    behaviour, stores nothing else; every later event finds them and is stored.
+    So of a batch only the first event (smallest ``seq``, then principal and
+    tenant) can be lost.  ``faithful=False`` stores it too.
     """
     spark = rules.sparkSession
-    admin_present = not rules.filter(F.col("UserArn") == F.lit(admins[0])).isEmpty()
-    tenant_rows = tenant_grants(events, prefix)
-    if admin_present:
-        return upsert_rules(rules, tenant_rows)
-    admin_rows = spark.createDataFrame([(a, "") for a in admins], "UserArn string, tenantid string")
+    rows = tenant_grants(events, prefix)
+    first = rows.agg(F.min(F.struct("seq", "UserArn", "tenantid")).alias("first"), F.count(F.lit(1)).alias("events"))
+    state = first.crossJoin(  # one row each
+        rules.agg(F.coalesce(F.bool_or(F.col("UserArn") == F.lit(admins[0])), F.lit(False)).alias("present"))
+    ).select(F.expr("not present and events > 0").alias("boots"), "first")
+    boots = state.select("boots").scalar()
     if faithful:
-        return upsert_rules(rules, admin_rows, order=None)
-    order = "seq" if "seq" in tenant_rows.columns else None
-    both = tenant_rows.select("UserArn", "tenantid", *([order] if order else []))
-    if order:
-        admin_rows = admin_rows.withColumn("seq", F.lit(None).cast(tenant_rows.schema["seq"].dataType))
-    return upsert_rules(rules, both.unionByName(admin_rows), order=order)
+        # equal events are one event and its repeats: the repeats are stored
+        rows = rows.groupBy("seq", "UserArn", "tenantid").agg(F.count(F.lit(1)).alias("times")).filter(
+            ~boots | (F.col("times") > 1) | ~F.struct("seq", "UserArn", "tenantid").eqNullSafe(state.select("first").scalar())
+        ).select("UserArn", "tenantid", "seq")
+    admin_rows = (
+        spark.createDataFrame([(a, "") for a in admins], "UserArn string, tenantid string")
+        .filter(boots)
+        .withColumn("seq", F.lit(None).cast(rows.schema["seq"].dataType))
+    )
+    return upsert_rules(rules, rows.unionByName(admin_rows))

@@ -11,7 +11,7 @@ from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 # The precision a bare ``decimal`` target type gets (H2).  Spark alone would
 # read it as decimal(10,0) and turn 0.5 into 1; the document-store mapping
@@ -45,12 +45,17 @@ def flatten_struct(df: DataFrame, root: str = "data") -> DataFrame:
     dtype = df.schema[root_name].dataType
     if not isinstance(dtype, StructType):
         raise TypeError(f"column {root_name!r} is {dtype.simpleString()}, not a struct")
-    nested: dict[str, str] = {}  # lower name -> field name (later wins)
-    for f in dtype.fields:
-        nested[f.name.lower()] = f.name
-
-    def nested_col(field: str) -> Column:
-        return F.col(root_name).getField(field)
+    # a struct cast goes by position: unique names tell fields apart that differ in case only
+    unique = StructType([StructField(f"f{i}", f.dataType) for i, f in enumerate(dtype.fields)])
+    nested: dict[str, int] = {}  # lower name -> place (later wins)
+    for i, f in enumerate(dtype.fields):
+        nested[f.name.lower()] = i
+    collides = len(nested) < len(dtype.fields)
+
+    def nested_col(place: int) -> Column:
+        if collides:
+            return F.col(f"`{root_name}`").cast(unique).getField(f"f{place}")
+        return F.col(f"`{root_name}`").getField(dtype.fields[place].name)
 
     out: list[Column] = []
     used: set[str] = set()
@@ -137,12 +142,14 @@ def apply_mapping(
     bare_decimal: str = BARE_DECIMAL,
     lenient: bool = False,
     strict: bool = False,
+    fill: bool = False,
 ) -> DataFrame:
     """Ordered ``(source, source_type, target, target_type)`` rename+cast.
 
     Sources may be dotted paths into structs (``data.country``) and resolve
     case-insensitively.  Columns not listed are dropped.  A source missing from
-    the schema is skipped (``strict=True`` raises instead).  Casts follow ANSI
+    the schema is skipped (``strict=True`` raises instead, ``fill=True`` gives
+    its target as typed NULLs, so that every target exists).  Casts follow ANSI
     rules (overflow raises); ``lenient=True`` uses ``try_cast`` (NULL instead).
     """
     out: list[Column] = []
@@ -151,7 +158,9 @@ def apply_mapping(
         if col is None:
             if strict:
                 raise ValueError(f"mapping source {src!r} not in schema")
-            continue
+            if not fill:
+                continue
+            col = F.lit(None)
         t = _target_type(dst_type, bare_decimal)
         out.append((col.try_cast(t) if lenient else col.cast(t)).alias(dst))
     return df.select(*out)

@@ -1,10 +1,10 @@
 """The end-to-end batch as one Spark application.
 
 scan -> shape (flatten, choice, static + residual mapping) -> join entity ->
-dated snapshot -> latest partition -> roll-up report -> date cast + geo tags
--> (publish).  Every step is a lazy DataFrame transformation; the snapshot
-write is the only materialisation, and reading it back gives the roll-up a
-partition-pruned scan.
+dated snapshot -> newest snapshot -> roll-up report -> date cast + geo tags ->
+published dataset (created or refreshed) -> row-level security by the rules
+dataset, itself fully refreshed after grants.  Reading the snapshot back gives
+the roll-up a scan of the newest folder alone.
 """
 
 from __future__ import annotations
@@ -12,10 +12,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.join import join_activity_entity
-from ..operators.latest import latest_partition
-from ..operators.rollup import rollup_report
+from ..operators.latest import latest_snapshot
+from ..operators.refresh import full_refresh, publish_or_refresh, read_published
+from ..operators.rollup import rollup_report, sort_report
+from ..operators.security import apply_rls, grant
 from ..operators.shape import (
     apply_mapping,
     cast_date,
@@ -24,7 +27,7 @@ from ..operators.shape import (
     residual_mappings,
     tag_geo,
 )
-from ..sources.snapshot import publish, read_snapshots, write_snapshot
+from ..sources.snapshot import list_folders, write_snapshot
 
 # Static mapping of the activity documents
 # (source, source type, target, target type), in this order.
@@ -78,14 +81,17 @@ def flatten_activity(df: DataFrame, strict_choice: bool = True) -> DataFrame:
 
 
 def shape_activity(df: DataFrame, strict_choice: bool = True, **mapping_opts) -> DataFrame:
-    """Activity documents -> typed activity rows."""
+    """Activity documents -> typed activity rows (P1-P4).  The static columns
+    always exist, as NULLs where no document carried them."""
     flat = flatten_activity(df, strict_choice)
     static = [m[0] for m in ACTIVITY_MAPPING]
+    mapping_opts.setdefault("fill", True)
     return apply_mapping(flat, ACTIVITY_MAPPING + residual_mappings(flat, static), **mapping_opts)
 
 
 def shape_entity(df: DataFrame, **mapping_opts) -> DataFrame:
-    """Entity documents -> typed entity rows (P5)."""
+    """Entity documents -> typed entity rows (P5), every mapped column included."""
+    mapping_opts.setdefault("fill", True)
     return apply_mapping(df, ENTITY_MAPPING, **mapping_opts)
 
 
@@ -99,6 +105,7 @@ class BatchResult:
     report: DataFrame
     snapshot_path: str
     run_date: str
+    created: bool | None = None  # whether the published dataset was created; None: not published
 
 
 def run_batch(
@@ -111,12 +118,49 @@ def run_batch(
     snapshot_mode: str = "overwrite",
     sort: bool = True,
 ) -> BatchResult:
-    """Run the whole batch; returns the (lazy) report over the newest snapshot."""
+    """Run the whole batch.
+
+    The snapshot is written, and the roll-up's rounds run, here.  With
+    ``publish_to`` the report is published there (created if there is nothing
+    yet, else its lookback window is refreshed) and the returned report is read
+    from it; without, the returned report is joined and sorted on use.
+    """
     joined = joined_inventory(activity_docs, entity_docs)
     d = write_snapshot(joined, snapshot_path, as_of, mode=snapshot_mode)
-    latest = latest_partition(read_snapshots(spark, snapshot_path), eager=True)
-    report = rollup_report(latest, sort=sort)
-    report = tag_geo(cast_date(report, "date", "yyy/MM/dd"))
+    latest = latest_snapshot(spark, snapshot_path)
+
+    def dated(df: DataFrame) -> DataFrame:
+        return cast_date(df, "date", "yyy/MM/dd")
+
+    report = tag_geo(dated(rollup_report(latest, sort=sort and publish_to is None)))
+    created = None
     if publish_to is not None:
-        publish(report, publish_to)
-    return BatchResult(report, snapshot_path, d)
+        newest = dated(latest.select("date")).agg(F.max("date")).first()[0]
+        created = publish_or_refresh(report, publish_to, "date", as_of=newest)
+        report = tag_geo(read_published(spark, publish_to))
+        report = sort_report(report) if sort else report
+    return BatchResult(report, snapshot_path, d, created)
+
+
+def secured_report(report: DataFrame, rules_path: str, principal: str) -> DataFrame:
+    """The published report as ``principal`` sees it, by the published rules."""
+    return apply_rls(report, read_rules_dataset(report.sparkSession, rules_path), principal)
+
+
+def refresh_rules(spark: SparkSession, rules_path: str, events: DataFrame, admins, prefix: str) -> None:
+    """After tenant-created events: the rules (M4, M3), then a full refresh of the
+    rules dataset (M2).  A missing dataset counts as no rules."""
+    found = list_folders(spark, rules_path)
+    rules = (
+        read_rules_dataset(spark, rules_path) if found
+        else spark.createDataFrame([], "UserArn string, tenantid string")
+    )
+    granted = grant(rules, events, admins, prefix)
+    full_refresh(granted, f"{rules_path.rstrip('/')}/version={len(found)}")
+
+
+def read_rules_dataset(spark: SparkSession, rules_path: str) -> DataFrame:
+    """The newest version of the rules dataset.  Each full refresh writes its own
+    folder, so no reader meets a half-written one."""
+    newest = max(list_folders(spark, rules_path), key=lambda n: int(n.partition("=")[2]))
+    return spark.read.parquet(f"{rules_path.rstrip('/')}/{newest}")

@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import coalesce_amount, contribution, principal_name
-from ..operators.latest import latest_partition
+from ..operators.latest import create_latest_view, latest_partition, latest_snapshot
 from ..operators.refresh import (
+    full_refresh,
     incremental_refresh,
     lookback,
     publish_by_day,
@@ -37,6 +38,7 @@ from ..operators.shape import (
     cast_date,
     extract_choice,
     flatten_struct,
+    geo_roles,
     residual_to_string,
     tag_geo,
 )
@@ -48,13 +50,16 @@ from ..sources.documents import (
     read_entity,
     read_rules,
 )
-from ..sources.snapshot import read_snapshots, write_snapshot
+from ..sources.snapshot import publish, read_snapshots, write_snapshot
 from . import fixtures as fx
 from .batch import (
     ACTIVITY_MAPPING,
     flatten_activity,
     joined_inventory,
+    read_rules_dataset,
+    refresh_rules,
     run_batch,
+    secured_report,
     shape_activity,
     shape_entity,
 )
@@ -83,11 +88,18 @@ def q_infer_schema(spark, sf):
     """Two document sets with different fields merge into one schema."""
     ev = fx.table(spark, sf, "events")
     base = scratch_path(spark, "event-docs")
-    ev.select("event_id", "ts", "event_type", "value").write.json(f"{base}/a")
+    ts = F.col("ts").cast("string").alias("ts")  # all digits; JSON would keep milliseconds
+    ev.select("event_id", ts, "event_type", "value").write.json(f"{base}/a")
     ev.select(
-        "event_id", "ts", "user_id", F.from_json("props", "k long").alias("props")
+        "event_id", ts, "user_id", F.from_json("props", "k long").alias("props")
     ).write.json(f"{base}/b")
-    return read_documents(spark, [f"{base}/a", f"{base}/b"], fmt="json")
+    merged = read_documents(spark, [f"{base}/a", f"{base}/b"], fmt="json")
+    kinds = dict(merged.dtypes)
+    return merged.select(
+        "event_id", F.to_timestamp("ts").cast("timestamp_ntz").alias("ts"), "event_type", "value", "user_id",
+        F.col("props.k").alias("k"),
+        *[F.lit(kinds[c]).alias(f"{c}_type") for c in ("event_id", "value", "user_id", "props")],
+    )
 
 
 def q_scan_rules(spark, sf):
@@ -103,24 +115,66 @@ def q_snapshot_roundtrip(spark, sf):
     return read_snapshots(spark, path)
 
 
-def _event_snapshots(spark, sf) -> DataFrame:
-    """Events written as one snapshot folder per event day."""
-    path = scratch_path(spark, "event-snapshots")
+def _event_days(spark, sf) -> DataFrame:
     ev = fx.table(spark, sf, "events")
-    (
-        ev.withColumn("partition_0", F.date_format("ts", "yyyy-MM-dd"))
-        .write.partitionBy("partition_0")
-        .parquet(path)
-    )
-    return read_snapshots(spark, path)
+    return ev.withColumn("partition_0", F.date_format("ts", "yyyy-MM-dd"))
+
+
+def _event_snapshots(spark, sf) -> str:
+    """Events written as one snapshot folder per event day, and a newer folder
+    without rows, which is not the newest snapshot."""
+    path = scratch_path(spark, "event-snapshots")
+    days = _event_days(spark, sf)
+    days.write.partitionBy("partition_0").parquet(path)
+    days.drop("partition_0").limit(0).write.parquet(f"{path}/partition_0=9999-12-31")
+    return path
 
 
 def q_scan_snapshots(spark, sf):
-    return _event_snapshots(spark, sf)
+    return read_snapshots(spark, _event_snapshots(spark, sf))
 
 
 def q_latest_partition(spark, sf):
-    return latest_partition(_event_snapshots(spark, sf))
+    return latest_snapshot(spark, _event_snapshots(spark, sf))
+
+
+def q_latest_partition_filter(spark, sf):
+    """The same as a filter on all snapshots."""
+    return latest_partition(read_snapshots(spark, _event_snapshots(spark, sf)))
+
+
+def q_latest_snapshot_bare(spark, sf):
+    """Folders named by the date alone: the two newest event days, written one by one."""
+    path = scratch_path(spark, "bare-snapshots")
+    days = _event_days(spark, sf)
+    newest = days.select(F.max("partition_0")).scalar()
+    before = days.filter(F.col("partition_0") < newest)
+    top = [days.agg(F.max("partition_0")).first()[0], before.agg(F.max("partition_0")).first()[0]]
+    for day in filter(None, top):
+        rows = days.filter(F.col("partition_0") == day).drop("partition_0")
+        write_snapshot(rows, path, day, layout="bare")
+    return latest_snapshot(spark, path)
+
+
+def q_latest_view(spark, sf):
+    """V1: a view made before the newest snapshot is written follows it."""
+    path = scratch_path(spark, "view-events")
+    days = _event_days(spark, sf)
+    newest = days.agg(F.max("partition_0")).first()[0]
+    days.filter(F.col("partition_0") < newest).write.partitionBy("partition_0").parquet(path)
+    name = "latest_" + path.rpartition("-")[2]
+    create_latest_view(spark, path, name)
+    write_snapshot(days.filter(F.col("partition_0") == newest).drop("partition_0"), path, newest)
+    return spark.table(name)
+
+
+def q_publish(spark, sf):
+    """A published dataset is replaced by the next one."""
+    path = scratch_path(spark, "published")
+    c = fx.table(spark, sf, "customer")
+    publish(c.filter("c_custkey % 2 = 0"), path)
+    publish(c.select("c_custkey", "c_name", "c_nationkey"), path)
+    return spark.read.parquet(path)
 
 
 # ---------------------------------------------------------------- shaping
@@ -155,11 +209,21 @@ def q_date_cast(spark, sf):
 
 
 def q_geo_tag(spark, sf):
-    return tag_geo(shape_entity(fx.entity_documents(spark, sf)))
+    """Distinct places with the roles that the report's columns carry."""
+    tagged = tag_geo(shape_entity(fx.entity_documents(spark, sf)))
+    roles = geo_roles(tagged)
+    return tagged.groupBy("country", "province").agg(F.count(F.lit(1)).alias("entities")).select(
+        "*", F.lit(roles.get("country")).alias("country_role"), F.lit(roles.get("province")).alias("province_role")
+    )
 
 
 def q_report_schema(spark, sf):
-    return report_schema(fx.rollup_view(spark, sf))
+    """The report's columns and BI types, and how many of its rows fill each."""
+    v = fx.rollup_view(spark, sf).withColumn("lines", F.lit(1).cast("long"))
+    filled = v.select([F.count(F.col(c)).alias(c) for c in v.columns]).unpivot(
+        [], v.columns, "name", "filled"
+    )
+    return report_schema(v).join(filled, "name", "left").select("name", "type", "filled")
 
 
 # ---------------------------------------------------------------- joins
@@ -200,7 +264,7 @@ def latest_view(spark, sf) -> DataFrame:
     the newest partition of the snapshot folder (a partition-pruned scan)."""
     path = scratch_path(spark, "view-snapshots")
     write_snapshot(fx.rollup_view(spark, sf), path, SNAPSHOT_DATE)
-    return latest_partition(read_snapshots(spark, path), eager=True)
+    return latest_snapshot(spark, path)
 
 
 def q_rollup_contributions(spark, sf):
@@ -292,25 +356,51 @@ def q_incremental_refresh(spark, sf):
 
 
 def q_refresh_published(spark, sf):
-    """M1 on disk: a day-partitioned dataset of stale events, refreshed from
-    the events table with a 1-day lookback, read back."""
-    source = fx.table(spark, sf, "events")
+    """M1 on disk: a day-partitioned dataset of stale events, refreshed with a
+    2-day lookback from events that have lost the day before the newest."""
+    events = fx.table(spark, sf, "events")
     path = scratch_path(spark, "published-events")
-    publish_by_day(source.withColumn("value", F.col("value") + F.lit(1000.0)), path, "ts")
-    refresh_published(source, path, "ts", as_of=_newest_event(source), days=1)
+    publish_by_day(events.withColumn("value", F.col("value") + F.lit(1000.0)), path, "ts")
+    newest = events.agg(F.max("ts")).first()[0]
+    source = events.filter(F.to_date("ts") != F.date_sub(F.to_date(F.lit(newest)), 1))
+    refresh_published(source, path, "ts", as_of=newest, days=2)
     return spark.read.parquet(path).withColumn("date_day", F.col("date_day").cast("date"))
 
 
 # ---------------------------------------------------------------- batch
-def q_batch_report(spark, sf):
-    res = run_batch(
+def _published_batch(spark, sf):
+    return run_batch(
         spark,
         fx.activity_documents(spark, sf),
         fx.entity_documents(spark, sf),
         scratch_path(spark, "batch-snapshots"),
         as_of=SNAPSHOT_DATE,
+        publish_to=scratch_path(spark, "batch-report"),
+    )
+
+
+def q_batch_report(spark, sf):
+    """The report as read from the published dataset."""
+    return _published_batch(spark, sf).report
+
+
+def _rules_dataset(spark, sf) -> str:
+    path = scratch_path(spark, "rules-dataset")
+    full_refresh(_rules(spark, sf, with_admins=True), f"{path}/version=0")
+    refresh_rules(spark, path, fx.grant_events(spark, sf), fx.ADMIN_PRINCIPALS, fx.PRINCIPAL_PREFIX)
+    return path
+
+
+def q_full_refresh(spark, sf):
+    """M2: the rules dataset after grants and its full refresh."""
+    return read_rules_dataset(spark, _rules_dataset(spark, sf))
+
+
+def q_pipeline_rls(spark, sf):
+    """W1's end: the published report as one principal sees it by the refreshed rules."""
+    return secured_report(
+        _published_batch(spark, sf).report, _rules_dataset(spark, sf), _customer_principal(RLS_TENANT_PRINCIPAL_KEY)
     )
-    return res.report
 
 
 QUERIES: dict[str, Query] = {
@@ -321,6 +411,10 @@ QUERIES: dict[str, Query] = {
     "snapshot_roundtrip": q_snapshot_roundtrip,
     "scan_snapshots": q_scan_snapshots,
     "latest_partition": q_latest_partition,
+    "latest_partition_filter": q_latest_partition_filter,
+    "latest_snapshot_bare": q_latest_snapshot_bare,
+    "latest_view": q_latest_view,
+    "publish": q_publish,
     "flatten_struct": q_flatten_struct,
     "choice_extract": q_choice_extract,
     "apply_mapping": q_apply_mapping,
@@ -349,6 +443,8 @@ QUERIES: dict[str, Query] = {
     "incremental_refresh": q_incremental_refresh,
     "refresh_published": q_refresh_published,
     "batch_report": q_batch_report,
+    "full_refresh": q_full_refresh,
+    "pipeline_rls": q_pipeline_rls,
 }
 
 
@@ -433,16 +529,15 @@ _V = fx.ROLLUP_VIEW_SQL.strip()
 _C = fx.ROLLUP_CTE_SQL.strip()
 
 _TOTALS = """
-SELECT id,
-       CAST(SUM(amount_locationbased) AS DECIMAL(30,10)) AS cumulative_locationbased,
-       CAST(SUM(amount_marketbased) AS DECIMAL(30,10)) AS cumulative_marketbased
-FROM c GROUP BY id"""
+  SELECT place AS id, SUM(by_location * weight)::DECIMAL(30,10) AS cumulative_locationbased,
+         SUM(by_market * weight)::DECIMAL(30,10) AS cumulative_marketbased
+  FROM walk GROUP BY place"""
 
 _REPORT = f"""
-SELECT t.*, s.cumulative_marketbased AS total_emissions_marketbased,
-       s.cumulative_locationbased AS total_emissions_locationbased
-FROM (SELECT *, '{SNAPSHOT_DATE}' AS partition_0 FROM v) t JOIN ({_TOTALS}) s
-  ON t.entityid = s.id"""
+SELECT v.*, '{SNAPSHOT_DATE}' AS partition_0,
+       gathered.cumulative_locationbased AS total_emissions_locationbased,
+       gathered.cumulative_marketbased AS total_emissions_marketbased
+FROM v, ({_TOTALS}) gathered WHERE gathered.id = v.entityid"""
 
 _RULES = """
 rules AS (
@@ -495,8 +590,42 @@ ORACLES: dict[str, str] = {
         FROM act""",
     "dynamic_mapping": f"WITH {_ACTIVITY_CTE} SELECT date, linecount FROM act",
     "nested_mapping": f"WITH {_ENTITY_CTE} SELECT * FROM ent",
-    # values only; the geographic roles are column metadata (checked in tests)
-    "geo_tag": f"WITH {_ENTITY_CTE} SELECT * FROM ent",
+    "geo_tag": f"""
+        WITH {_ENTITY_CTE}
+        SELECT country, province, COUNT(*) AS entities, 'COUNTRY' AS country_role, 'STATE' AS province_role
+        FROM ent GROUP BY country, province""",
+    "infer_schema": """
+        SELECT event_id, ts, event_type, value, NULL::BIGINT AS user_id, NULL::BIGINT AS k,
+               'bigint' AS event_id_type, 'double' AS value_type, 'bigint' AS user_id_type, 'struct<k:bigint>' AS props_type
+        FROM events
+        UNION ALL
+        SELECT event_id, ts, NULL, NULL, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT),
+               'bigint', 'double', 'bigint', 'struct<k:bigint>'
+        FROM events""",
+    "report_schema": f"""
+        WITH {_V}
+        SELECT name, type, filled FROM (VALUES
+          ('entityid', 'STRING'), ('tenantid', 'STRING'), ('parententityid', 'STRING'), ('activityid', 'STRING'),
+          ('emissioninkgco2', 'DECIMAL'), ('emissioninkgco2_forlocationbased', 'DECIMAL'),
+          ('emissioninkgco2_formarketbased', 'DECIMAL'), ('parentcontributionpercentage', 'DECIMAL'), ('lines', 'INTEGER'),
+          ('total_emissions_marketbased', 'DECIMAL'), ('total_emissions_locationbased', 'DECIMAL')) AS c(name, type)
+        LEFT JOIN (UNPIVOT (
+          SELECT COUNT(entityid) AS entityid, COUNT(tenantid) AS tenantid, COUNT(parententityid) AS parententityid,
+                 COUNT(activityid) AS activityid, COUNT(emissioninkgco2) AS emissioninkgco2,
+                 COUNT(emissioninkgco2_forlocationbased) AS emissioninkgco2_forlocationbased,
+                 COUNT(emissioninkgco2_formarketbased) AS emissioninkgco2_formarketbased,
+                 COUNT(parentcontributionpercentage) AS parentcontributionpercentage, COUNT(*) AS lines FROM v)
+          ON COLUMNS(*) INTO NAME name VALUE filled) USING (name)""",
+    "latest_partition_filter": f"""
+        SELECT *, {_EVENT_DAY} AS partition_0 FROM events
+        WHERE {_EVENT_DAY} = (SELECT MAX({_EVENT_DAY}) FROM events)""",
+    "latest_snapshot_bare": f"""
+        SELECT *, {_EVENT_DAY} AS partition_0 FROM events
+        WHERE {_EVENT_DAY} = (SELECT MAX({_EVENT_DAY}) FROM events)""",
+    "latest_view": f"""
+        SELECT *, {_EVENT_DAY} AS partition_0 FROM events
+        WHERE {_EVENT_DAY} = (SELECT MAX({_EVENT_DAY}) FROM events)""",
+    "publish": "SELECT c_custkey, c_name, c_nationkey FROM customer",
     "date_cast": """
         SELECT o_orderkey, strptime(strftime(o_orderdate, '%Y/%m/%d'), '%Y/%m/%d') AS date
         FROM orders""",
@@ -517,20 +646,19 @@ ORACLES: dict[str, str] = {
         FROM v""",
     "rollup_contributions": f"""
         WITH RECURSIVE {_V}, {_C}
-        SELECT id, tenantid, rootid, amount_locationbased, amount_marketbased, percentage,
-               level, COUNT(*) AS n
-        FROM c GROUP BY ALL""",
+        SELECT place AS id, tenant AS tenantid, origin AS rootid, by_location AS amount_locationbased,
+               by_market AS amount_marketbased, share AS percentage, depth AS level, SUM(weight)::BIGINT AS n
+        FROM walk GROUP BY ALL""",
     "rollup_by_level": f"""
         WITH RECURSIVE {_V}, {_C}
-        SELECT id, level,
-               CAST(SUM(amount_locationbased) AS DECIMAL(30,10)) AS amount_locationbased,
-               CAST(SUM(amount_marketbased) AS DECIMAL(30,10)) AS amount_marketbased,
-               COUNT(*) AS n
-        FROM c GROUP BY id, level""",
+        SELECT place AS id, depth AS level,
+               SUM(by_location * weight)::DECIMAL(30,10) AS amount_locationbased,
+               SUM(by_market * weight)::DECIMAL(30,10) AS amount_marketbased, SUM(weight)::BIGINT AS n
+        FROM walk GROUP BY ALL""",
     "entity_totals": f"WITH RECURSIVE {_V}, {_C} {_TOTALS}",
     "total_attach": f"WITH RECURSIVE {_V}, {_C} {_REPORT}",
     "report_sorted": f"WITH {_V} SELECT * FROM v ORDER BY entityid, parententityid",
-    "rollup_report": f"WITH RECURSIVE {_V}, {_C} {_REPORT} ORDER BY t.entityid, t.parententityid",
+    "rollup_report": f"WITH RECURSIVE {_V}, {_C} {_REPORT} ORDER BY entityid, parententityid",
     "rollup_report_entity": f"""
         WITH RECURSIVE {_V},
         ent AS (SELECT DISTINCT tenantid, entityid, parententityid,
@@ -562,7 +690,11 @@ ORACLES: dict[str, str] = {
           SELECT 't' || CAST(c_nationkey % 4 AS VARCHAR) FROM customer
           WHERE c_custkey = {RLS_TENANT_PRINCIPAL_KEY})""",
     "rls_admin": _ACTIVITY_ROWS,
-    "rls_no_rule": f"{_ACTIVITY_ROWS} WHERE FALSE",
+    "rls_no_rule": f"""
+        WITH {_RULES}, held AS (
+          SELECT tenantid FROM (SELECT * FROM rules UNION ALL SELECT * FROM admins) WHERE UserArn = '{NO_RULE_PRINCIPAL}')
+        SELECT a.* FROM ({_ACTIVITY_ROWS}) a
+        WHERE EXISTS (SELECT 1 FROM held h WHERE h.tenantid = '' OR h.tenantid = a.tenantid)""",
     "principal_name": """
         SELECT c_custkey, 'urn:bi:user/' || 'c' || CAST(c_custkey AS VARCHAR) || '/' || 'c'
                || CAST(c_custkey AS VARCHAR) || 'TenantRole/' || 'c' || CAST(c_custkey AS VARCHAR)
@@ -573,10 +705,18 @@ ORACLES: dict[str, str] = {
         all_rules AS (SELECT * FROM rules UNION ALL SELECT * FROM admins)
         SELECT * FROM all_rules WHERE UserArn NOT IN (SELECT UserArn FROM grants)
         UNION ALL SELECT UserArn, tenantid FROM grants""",
+    # the first order finds no admin rule: it writes the admin rows and is not stored itself
     "grant_bootstrap": f"""
-        WITH {_RULES}
-        SELECT * FROM rules WHERE UserArn NOT IN (SELECT UserArn FROM admins)
-        UNION ALL SELECT * FROM admins""",
+        WITH {_RULES},
+        stored AS (
+          SELECT 'urn:bi:user/' || 'c' || CAST(o_custkey AS VARCHAR) || '/' || 'c' || CAST(o_custkey AS VARCHAR)
+                   || 'TenantRole/' || 'c' || CAST(o_custkey AS VARCHAR) AS UserArn,
+                 't' || CAST(o_orderkey % 4 AS VARCHAR) AS tenantid,
+                 row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS back
+          FROM orders WHERE o_orderkey <> (SELECT MIN(o_orderkey) FROM orders))
+        SELECT * FROM admins
+        UNION ALL SELECT UserArn, tenantid FROM stored WHERE back = 1
+        UNION ALL SELECT * FROM rules r WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.UserArn = r.UserArn)""",
     "lookback_filter": """
         SELECT * FROM events WHERE ts >= (SELECT MAX(ts) FROM events) - INTERVAL 1 DAY""",
     "incremental_refresh": """
@@ -586,17 +726,35 @@ ORACLES: dict[str, str] = {
         UNION ALL
         SELECT * FROM events WHERE ts >= (SELECT c FROM cut)""",
     "refresh_published": """
-        WITH cut AS (SELECT CAST(MAX(ts) - INTERVAL 1 DAY AS DATE) AS d FROM events)
-        SELECT event_id, ts, user_id, event_type, value + 1000.0 AS value, props,
-               CAST(ts AS DATE) AS date_day
-        FROM events WHERE CAST(ts AS DATE) < (SELECT d FROM cut) OR ts IS NULL
+        WITH newest AS (SELECT MAX(ts) AS t, CAST(MAX(ts) AS DATE) AS d FROM events),
+        dated AS (SELECT *, CAST(ts AS DATE) AS date_day FROM events),
+        first AS (SELECT CAST(t - INTERVAL 2 DAY AS DATE) AS f FROM newest)
+        SELECT event_id, ts, user_id, event_type, value + 1000.0 AS value, props, date_day
+        FROM dated WHERE date_day < (SELECT f FROM first) OR ts IS NULL
         UNION ALL
-        SELECT *, CAST(ts AS DATE) AS date_day FROM events
-        WHERE CAST(ts AS DATE) >= (SELECT d FROM cut)""",
+        SELECT * FROM dated
+        WHERE date_day >= (SELECT f FROM first) AND date_day <> (SELECT d - 1 FROM newest)""",
     "batch_report": f"""
         WITH RECURSIVE {_JOINED_CTE},
         v AS (SELECT * FROM joined),
         {_C},
         rep AS ({_REPORT})
         SELECT * REPLACE (strptime(date, '%Y/%m/%d') AS date) FROM rep""",
+    "full_refresh": f"""
+        WITH {_RULES},
+        every AS (SELECT *, 0 AS new FROM rules UNION ALL SELECT *, 0 FROM admins UNION ALL SELECT *, 1 FROM grants)
+        SELECT UserArn, arg_max(tenantid, new) AS tenantid FROM every GROUP BY UserArn""",
+    "pipeline_rls": f"""
+        WITH RECURSIVE {_JOINED_CTE},
+        v AS (SELECT * FROM joined),
+        {_C},
+        rep AS ({_REPORT}),
+        held AS (
+          SELECT COALESCE(
+            (SELECT arg_max('t' || CAST(o_orderkey % 4 AS VARCHAR), o_orderkey) FROM orders
+             WHERE o_custkey = {RLS_TENANT_PRINCIPAL_KEY}),
+            (SELECT 't' || CAST(c_nationkey % 4 AS VARCHAR) FROM customer
+             WHERE c_custkey = {RLS_TENANT_PRINCIPAL_KEY})) AS tenantid)
+        SELECT rep.* REPLACE (strptime(date, '%Y/%m/%d') AS date) FROM rep
+        WHERE tenantid = (SELECT tenantid FROM held)""",
 }

@@ -84,20 +84,28 @@ v AS (
         FROM lineitem GROUP BY l_suppkey, l_returnflag) g
 )"""
 
-# The recursive roll-up exactly as the reference states it, over ``v``.
+# The roll-up as an independent check, from its stated semantics over ``v``:
+# walk the distinct (tenant, entity, parent) links with the number of rows
+# behind them as weights, and apply the rounded chain of each V row's own
+# percentage on the way.  Contributions of equal rows stay together, so rows
+# that share an entity do not multiply the recursion, only its weights.
 ROLLUP_CTE_SQL = """
-c(id, amount_locationbased, amount_marketbased, rootid, tenantid, percentage, level) AS (
-  SELECT entityid,
-         COALESCE(emissioninkgco2, emissioninkgco2_forlocationbased, 0),
-         COALESCE(emissioninkgco2, emissioninkgco2_formarketbased, 0),
-         entityid, tenantid, parentcontributionpercentage, 0
-  FROM v
+links AS (
+  SELECT tenantid AS of_tenant, entityid AS below, parententityid AS above, COUNT(*)::HUGEINT AS times
+  FROM v WHERE tenantid IS NOT NULL AND entityid IS NOT NULL GROUP BY ALL
+),
+starts AS (
+  SELECT tenantid, entityid, parentcontributionpercentage AS share, COUNT(*)::HUGEINT AS copies,
+         COALESCE(emissioninkgco2, emissioninkgco2_forlocationbased, 0)::DECIMAL(20,10) AS by_location,
+         COALESCE(emissioninkgco2, emissioninkgco2_formarketbased, 0)::DECIMAL(20,10) AS by_market
+  FROM v GROUP BY ALL
+),
+walk(depth, place, origin, tenant, share, by_location, by_market, weight) AS (
+  SELECT 0, entityid, entityid, tenantid, share, by_location, by_market, copies FROM starts
   UNION ALL
-  SELECT t.parententityid,
-         CAST(c.amount_locationbased * c.percentage AS DECIMAL(20,10)),
-         CAST(c.amount_marketbased * c.percentage AS DECIMAL(20,10)),
-         c.rootid, c.tenantid, c.percentage, c.level + 1
-  FROM v AS t INNER JOIN c ON t.entityid = c.id AND t.tenantid = c.tenantid
+  SELECT w.depth + 1, l.above, w.origin, w.tenant, w.share,
+         (w.by_location * w.share)::DECIMAL(20,10), (w.by_market * w.share)::DECIMAL(20,10), w.weight * l.times
+  FROM walk w JOIN links l ON l.of_tenant = w.tenant AND l.below = w.place
 )"""
 
 

@@ -1,10 +1,14 @@
-"""Session helpers: building a session for tests/bench, reliable checkpoints,
-and size-checked broadcasts.
+"""Session helpers: building a session for tests/bench, and intermediate
+tables on shared storage.
 
-Library code never invents storage on a cluster: lineage is cut with
-``DataFrame.checkpoint()`` into the folder the cluster names in
+Library code never invents storage on a cluster: lineage is cut with written
+tables, or ``DataFrame.checkpoint()``, in the folder the cluster names in
 ``spark.checkpoint.dir``.  Only a local-mode session without that setting
-(tests, notebooks) gets a private temporary folder.
+(tests, notebooks) gets a private temporary folder.  Everything written lies
+below one folder per application, which ``release_scratch`` deletes.
+
+Join sides are never hinted: Spark and AQE choose a broadcast by measured
+bytes (``spark.sql.autoBroadcastJoinThreshold``).
 """
 
 from __future__ import annotations
@@ -14,14 +18,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Largest number of rows we ever hint as a broadcast side.  Sides are always
-# counted first (on persisted or checkpointed data, or a count already known
-# from a probe); anything larger goes through a shuffle join where AQE may
-# still split skewed partitions.
-DEFAULT_BROADCAST_ROWS = 1_000_000
-
 
 def build_session(
     app: str = "ecotally",
@@ -83,10 +79,28 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/scratch-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared checkpoint folder (for written tables)."""
-    base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh folder for a written table, below the application's scratch folder."""
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the file system Spark writes it with."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application.
+
+    Results read them until they are consumed, so call it when those are done:
+    at the end of a job, or between requests of a long-lived session.
+    """
+    delete_path(spark, _scratch_root(spark))
 
 
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
@@ -98,30 +112,3 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-BROADCAST_ROWS_CONF = "spark.ecotally.broadcastRows"
-
-
-def broadcast_limit(spark: SparkSession, max_rows: int | None = None) -> int:
-    """The row bound for explicit broadcasts: ``max_rows`` when given, else
-    the session's ``spark.ecotally.broadcastRows``, else 1 M rows."""
-    if max_rows is not None:
-        return max_rows
-    return int(spark.conf.get(BROADCAST_ROWS_CONF, str(DEFAULT_BROADCAST_ROWS)))
-
-
-def broadcast_if_small(
-    df: DataFrame, max_rows: int | None = None, rows: int | None = None
-):
-    """Return ``(df_or_broadcast_df, rows)``; hint a broadcast only when the
-    counted size is within the bound (``max_rows`` or the session's).  ``rows``
-    may be passed when already known; otherwise ``df`` is counted (call it on
-    persisted or checkpointed input so the count does not recompute the
-    lineage)."""
-    max_rows = broadcast_limit(df.sparkSession, max_rows)
-    if rows is None:
-        rows = df.count()
-    if rows <= max_rows:
-        return F.broadcast(df), rows
-    return df, rows

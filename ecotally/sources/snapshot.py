@@ -3,13 +3,14 @@
 Layout: one folder per run date.  ``layout="hive"`` (ours, default) writes
 ``<path>/partition_0=YYYY-MM-DD/`` so Spark discovers ``partition_0`` as a
 partition column and prunes folders for a filter on it (including the
-latest-partition subquery).  ``layout="bare"`` reads folders named just
-``YYYY-MM-DD/`` (what a plain per-date writer produces); ``partition_0`` is
-then taken from each file's path.
+latest-partition subquery).  ``layout="bare"`` writes and reads folders named
+just ``YYYY-MM-DD/``; reading them all takes ``partition_0`` from each file's
+path.  ``snapshot_folders`` lists either layout, newest first.
 """
 
 from __future__ import annotations
 
+import re
 from datetime import date, datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,7 @@ def write_snapshot(
     as_of: date | str | None = None,
     mode: str = "overwrite",
     column: str = PARTITION_COLUMN,
+    layout: str = "hive",
 ) -> str:
     """Write ``df`` as the snapshot of ``as_of`` (default: today).
 
@@ -36,6 +38,9 @@ def write_snapshot(
     Returns the run date written.
     """
     d = str(as_of) if as_of is not None else datetime.now(timezone.utc).strftime("%Y-%m-%d")
+    if layout == "bare":  # the date is the folder's name only
+        df.write.mode(mode).parquet(f"{path.rstrip('/')}/{d}")
+        return d
     tagged = df.withColumn(column, run_date(d))
     writer = tagged.write.mode(mode).partitionBy(column)
     if mode == "overwrite":
@@ -63,6 +68,22 @@ def read_snapshots(
     raise ValueError(f"unknown layout {layout!r}")
 
 
+def list_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders right under ``path``; none if it does not exist."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not fs.exists(p):
+        return []
+    return sorted(f.getPath().getName() for f in fs.listStatus(p) if f.isDirectory())
+
+
+def snapshot_folders(spark: SparkSession, path: str, column: str = PARTITION_COLUMN) -> list[tuple[str, str]]:
+    """``(run date, folder)`` of the dated folders under ``path``, newest first."""
+    named = re.compile(rf"(?:{re.escape(column)}=)?(\d{{4}}-\d{{2}}-\d{{2}})")
+    found = [(m[1], f"{path.rstrip('/')}/{n}") for n in list_folders(spark, path) if (m := named.fullmatch(n))]
+    return sorted(found, reverse=True)
+
+
 def publish(df: DataFrame, target: str, mode: str = "overwrite") -> None:
     """Materialise the published dataset (full refresh by default).
 

@@ -14,25 +14,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.latest import latest_partition
-from ..operators.refresh import publish_by_day, refresh_published
+from ..operators.latest import latest_snapshot
+from ..operators.refresh import publish_or_refresh
 from ..operators.rollup import rollup_report
 from ..operators.shape import cast_date
 from ..sources.snapshot import read_snapshots
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    """Whether a published dataset is at ``path`` (reads metadata only)."""
-    try:
-        spark.read.parquet(path).schema
-        return True
-    except AnalysisException:
-        return False
-
-
 def _default_report(latest: DataFrame) -> DataFrame:
     return cast_date(rollup_report(latest, sort=False), "date", "yyy/MM/dd")
 
@@ -60,12 +51,12 @@ def snapshot_refresh(
     def on_batch(batch: DataFrame, _batch_id: int) -> None:
         if batch.isEmpty():  # one row probe: no new snapshot files
             return
-        latest = latest_partition(read_snapshots(spark, snapshot_path))
-        report = build_report(latest)
-        if _exists(spark, target):
-            refresh_published(report, target, column, days=days)
-        else:  # first import: every row
-            publish_by_day(report, target, column)
+        latest = latest_snapshot(spark, snapshot_path)
+        # the report has the snapshot's own dates: look back from the newest of them
+        dates = cast_date(latest.select(column), column, "yyy/MM/dd") if dict(latest.dtypes)[column] == "string" else latest
+        publish_or_refresh(
+            build_report(latest), target, column, as_of=dates.agg(F.max(column)).first()[0], days=days
+        )
 
     writer = source.writeStream.foreachBatch(on_batch).option(
         "checkpointLocation", checkpoint_location

@@ -24,7 +24,7 @@ def view(spark, rows):
 
 
 def duck_recursive_totals(rows):
-    """The reference's recursive SQL, run by DuckDB on the same rows."""
+    """The roll-up walked by DuckDB's recursive SQL on the same rows."""
     con = duckdb.connect()
     con.execute(
         "CREATE TABLE v (tenantid VARCHAR, entityid VARCHAR, parententityid VARCHAR, "
@@ -40,5 +40,5 @@ def duck_recursive_totals(rows):
     from ecotally.plans.fixtures import ROLLUP_CTE_SQL
 
     sql = f"""WITH RECURSIVE {ROLLUP_CTE_SQL.strip()}
-    SELECT id, SUM(amount_locationbased), SUM(amount_marketbased), COUNT(*) FROM c GROUP BY id"""
+    SELECT place, SUM(by_location * weight), SUM(by_market * weight), SUM(weight) FROM walk GROUP BY place"""
     return {r[0]: (r[1], r[2], r[3]) for r in con.execute(sql).fetchall()}

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_mod
+from ecotally.plans.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents "
@@ -44,39 +45,18 @@ def test_entry_smoke(spark):
     assert "total_emissions_locationbased" in df.columns
 
 
-def test_every_query_has_oracle_or_is_rows_only():
-    q, o = entry_mod.queries(), entry_mod.oracle_sql()
-    assert set(o) <= set(q)
-    assert set(q) - set(o) == {"infer_schema", "report_schema"}
+def test_every_query_has_an_oracle():
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_mod.queries()) and set(ORACLES) <= set(entry_mod.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry_mod.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_oracle(spark, duck, name):
-    df = entry_mod.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     rows, cols = df.collect(), df.columns
-    rel = duck.sql(entry_mod.oracle_sql()[name])
-    orows, ocols = rel.fetchall(), rel.columns
+    rel = duck.execute(ORACLES[name])
+    ocols = [c[0] for c in rel.description]
+    orows = rel.fetchall()
     assert sorted(cols) == sorted(ocols)
     assert len(rows) == len(orows)
     assert _canon(cols, rows) == _canon(ocols, orows)
-
-
-@pytest.mark.parametrize("name", ["infer_schema", "report_schema"])
-def test_rows_only_queries_run(spark, name):
-    assert entry_mod.queries()[name](spark, SF).count() > 0
-
-
-def test_geo_tag_query_carries_roles(spark):
-    from ecotally.operators.shape import geo_roles
-
-    df = entry_mod.queries()["geo_tag"](spark, SF)
-    assert geo_roles(df) == {"country": "COUNTRY", "province": "STATE"}
-
-
-def test_report_schema_query_content(spark):
-    rows = entry_mod.queries()["report_schema"](spark, SF).orderBy("position").collect()
-    got = [(r["name"], r["type"]) for r in rows]
-    assert got[-2:] == [("total_emissions_marketbased", "DECIMAL"),
-                        ("total_emissions_locationbased", "DECIMAL")]
-    assert ("entityid", "STRING") in got and ("emissioninkgco2", "DECIMAL") in got
-    assert [r["position"] for r in rows] == list(range(len(rows)))

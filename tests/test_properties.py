@@ -37,10 +37,10 @@ def test_rls_matches_model(spark, rules, principal):
                                  "id int, tenantid string")
     r = spark.createDataFrame(rules, "UserArn string, tenantid string")
     mine = [t for u, t in rules if u == principal]
-    if any(t in ("", None) for t in mine):
+    if "" in mine:
         expect = [0, 1, 2, 3]
     else:
-        expect = [i for i, t in enumerate(["t1", "t2", "t3", None]) if t in mine]
+        expect = [i for i, t in enumerate(["t1", "t2", "t3", None]) if t and t in mine]
     got = sorted(row["id"] for row in apply_rls(data, r, principal).collect())
     assert got == expect
 

@@ -9,6 +9,8 @@ from ecotally.operators.rollup import (
     HierarchyCycleError,
     ancestor_closure,
     edge_table,
+    hierarchy,
+    level_amounts,
     rollup_by_level,
     rollup_contributions,
     rollup_report,
@@ -101,15 +103,14 @@ def test_cycle_raises(spark):
 
 def test_no_parents_depth_zero(spark):
     rows = [("t", "A", None, 1, None, None, 0.5), ("t", "B", None, 2, None, None, 0.5)]
-    closure = ancestor_closure(edge_table(view(spark, rows)))
-    assert closure.depth == 1  # one step to the NULL parent
+    assert hierarchy(edge_table(view(spark, rows))).depth == 1  # one step to the NULL parent
     got = totals_of(rollup_totals(view(spark, rows)))
     assert got["A"] == (Decimal("1"), Decimal("1"))
 
 
-@pytest.mark.parametrize("seed,method", [(1, "auto"), (2, "auto"), (3, "doubling"), (4, "doubling")])
-def test_random_forests_match_recursive_sql(spark, seed, method):
-    """Property: the closure form equals the literal recursion (fan-out,
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_random_forests_match_recursive_sql(spark, seed):
+    """Property: the climbing form equals the literal recursion (fan-out,
     several tenants, shared entity ids across tenants, NULL amounts/p)."""
     rnd = random.Random(seed)
     rows = []
@@ -123,26 +124,76 @@ def test_random_forests_match_recursive_sql(spark, seed, method):
                 mkt = rnd.choice([None, round(rnd.uniform(0, 50), 3)])
                 p = rnd.choice([None, 0.25, 0.33, 0.5, 0.75, 1.0])
                 rows.append((t, str(i), parent, tot, loc, mkt, p))
-    got = totals_of(rollup_totals(view(spark, rows), method=method))
+    got = totals_of(rollup_totals(view(spark, rows)))
     ref = duck_recursive_totals(rows)
     assert {k: (v[0], v[1]) for k, v in ref.items()} == got
 
 
-def test_closure_methods_agree(spark):
-    rows = [("t", str(i), str(i // 2) if i else None, 1, None, None, 0.5) for i in range(40)]
-    e = edge_table(view(spark, rows))
-    a = ancestor_closure(e, method="recursive")
-    b = ancestor_closure(e, method="doubling")
-    canon = lambda c: sorted((tuple(r) for r in c.df.collect()), key=repr)
-    assert canon(a) == canon(b)
-    assert a.depth <= b.depth and a.depth == 7  # 39-19-9-4-2-1-0 and the NULL step
+def test_closure_holds_every_ancestor(spark):
+    parent = {str(i): str(i // 2) if i else None for i in range(40)}
+    rows = [("t", e, p, 1, None, None, 0.5) for e, p in parent.items()]
+    found = hierarchy(edge_table(view(spark, rows)))
+    assert found.depth == 7  # 39-19-9-4-2-1-0 and the NULL step
+    expect = set()
+    for e in parent:
+        at, steps = e, 0
+        while at is not None:
+            at, steps = parent[at], steps + 1
+            expect.add((e, at, steps, 1))
+    got = {(r["rootid"], r["ancestorid"], r["distance"], int(r["paths"])) for r in ancestor_closure(found).collect()}
+    assert got == expect
+
+
+def test_max_depth_is_exact(spark):
+    rows = [("t", str(i), str(i - 1) if i else None, 1, None, None, 0.5) for i in range(4)]
+    edges = edge_table(view(spark, rows))
+    assert hierarchy(edges).depth == 4
+    assert hierarchy(edges, max_depth=4).depth == 4
+    with pytest.raises(HierarchyCycleError):
+        hierarchy(edges, max_depth=3)
 
 
-def test_cycle_raises_with_doubling_directly(spark):
-    rows = [("t", "A", "B", 1, None, None, 0.5), ("t", "B", "C", 1, None, None, 0.5),
-            ("t", "C", "A", 1, None, None, 0.5)]
+def test_cycle_of_three_beside_a_tree(spark):
+    """Rows repeat, so weights grow by the round; the cycle is still what is reported."""
+    rows = [("t", a, b, 1, None, None, 0.5) for a, b in (("A", "B"), ("B", "C"), ("C", "A"))] * 3
+    rows += [("t", f"x{i}", f"x{i // 2}" if i else None, 1, None, None, 0.5) for i in range(80)]
+    rows += [("t", "below", "A", 1, None, None, 0.5)]
     with pytest.raises(HierarchyCycleError):
-        ancestor_closure(edge_table(view(spark, rows)), method="doubling")
+        rollup_totals(view(spark, rows)).collect()
+
+
+def test_paths_beyond_a_billion(spark):
+    """1,000 rows an entity on a chain of four: 10**9 paths, amounts 1 each."""
+    rows = [("t", str(i), str(i - 1) if i else None, 1, None, None, 0.5) for i in range(4)]
+    v = view(spark, rows).crossJoin(spark.range(1000)).drop("id")
+    got = totals_of(rollup_totals(v))
+    assert got["0"][0] == Decimal(1000) + 500_000 + 250_000_000 + 125_000_000_000
+    levels = {(r["id"], r["level"]): r for r in rollup_by_level(v).collect()}
+    assert levels[("0", 3)]["n"] == 10**12 and levels[("0", 3)]["amount_locationbased"] == Decimal("125000000000")
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_total_beyond_its_type_raises(spark, ansi):
+    """Also without ANSI mode, where Spark's own overflow would be a NULL."""
+    rows = [("t", str(i), str(i - 1) if i else None, 9_000_000_000, None, None, 1) for i in range(4)]
+    v = view(spark, rows).crossJoin(spark.range(1000)).drop("id")
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        with pytest.raises(Exception):
+            rollup_totals(v).collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+def test_plan_does_not_grow_with_the_depth(spark):
+    sizes = []
+    for n in (4, 24):
+        rows = [("t", str(i), str(i - 1) if i else None, 1, None, None, 0.5) for i in range(n)]
+        report = rollup_report(view(spark, rows))
+        sizes.append(len(report._jdf.queryExecution().optimizedPlan().toString()))
+        assert report.count() == n
+    assert sizes[1] < 1.2 * sizes[0]
 
 
 def test_single_tenant_one_row_per_entity_level_sums(spark):
@@ -225,7 +276,7 @@ def test_entity_report_attaches_on_tenant_and_entity(spark):
 
 def test_hot_entity_third_of_rows(spark):
     """One leaf entity holds a third of all activity rows: results stay exact
-    and the totals reach V through a broadcast (no shuffle of the hot key)."""
+    and Spark broadcasts the small totals (no shuffle of the hot key)."""
     rows = [("t", "root", None, 1, None, None, 0.5)]
     rows += [("t", f"m{i}", "root", 2, None, None, 0.5) for i in range(6)]
     rows += [("t", f"l{i}", f"m{i % 6}", 1, None, None, 0.25) for i in range(400)]
@@ -239,19 +290,15 @@ def test_hot_entity_third_of_rows(spark):
     assert report.count() == len(rows)
 
 
-def test_deep_chain_trims_levels_per_row(spark):
+def test_rows_only_reach_their_own_levels(spark):
     """A 12-deep chain beside many depth-1 leaves: leaves only emit their own
     levels, totals still equal the literal recursion."""
-    from ecotally.operators.rollup import DEFAULT_COLUMNS, _levels_for
-
     rows = [("t", "c0", None, 1, None, None, 0.5)]
     rows += [("t", f"c{i}", f"c{i - 1}", 1, None, None, 0.5) for i in range(1, 13)]
     rows += [("t", f"leaf{i}", "c0", 2, None, None, 0.25) for i in range(30)]
     v = view(spark, rows)
-    closure = ancestor_closure(edge_table(v))
-    assert closure.depth > 8
     per_entity = {}
-    for r in _levels_for(v, closure, DEFAULT_COLUMNS).collect():
+    for r in level_amounts(v, hierarchy(edge_table(v))).collect():
         per_entity[r["entityid"]] = max(per_entity.get(r["entityid"], 0), r["level"])
     assert per_entity["leaf0"] == 2 and per_entity["c12"] == 13
     got = totals_of(rollup_totals(v))
@@ -269,9 +316,7 @@ def test_no_usable_edges(spark):
 
 
 def test_shuffle_paths_when_nothing_may_be_broadcast(spark):
-    """Bound 0: the closure takes the doubling loop with shuffle joins, and
-    totals reach V through a sort-merge join; results are unchanged."""
-    spark.conf.set("spark.ecotally.broadcastRows", "0")
+    """Without broadcasts totals reach V through a sort-merge join; results are unchanged."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     try:
@@ -284,6 +329,5 @@ def test_shuffle_paths_when_nothing_may_be_broadcast(spark):
         assert "SortMergeJoin" in plan
         assert report.count() == len(rows)
     finally:
-        spark.conf.unset("spark.ecotally.broadcastRows")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")

@@ -1,7 +1,7 @@
 """Row-level security, rule maintenance, lookback and refreshes."""
 import datetime
 
-from pyspark.sql import functions as F
+import pytest
 
 from ecotally.functions.expressions import principal_name
 from ecotally.operators.refresh import incremental_refresh, lookback
@@ -27,7 +27,9 @@ def test_rls_tenant_admin_and_absent(spark):
     r = rules(spark, [("u1", "t1"), ("adm", ""), ("nul", None), ("u2", "t2")])
     assert ids(apply_rls(data(spark), r, "u1")) == [1]
     assert ids(apply_rls(data(spark), r, "adm")) == [1, 2, 3]
-    assert ids(apply_rls(data(spark), r, "nul")) == [1, 2, 3]
+    # a rule that lost its tenant grants nothing, unless asked for
+    assert ids(apply_rls(data(spark), r, "nul")) == []
+    assert ids(apply_rls(data(spark), r, "nul", null_is_unrestricted=True)) == [1, 2, 3]
     assert ids(apply_rls(data(spark), r, "nobody")) == []
 
 
@@ -45,13 +47,40 @@ def test_upsert_last_write_wins(spark):
 
 
 def test_bootstrap_writes_admins_and_skips_tenant(spark):
-    ev = spark.createDataFrame([("testTenant", "12345")], "tenant string, tenantid string")
+    ev = spark.createDataFrame([("testTenant", "12345", 1)], "tenant string, tenantid string, seq long")
     out = sorted(tuple(r) for r in grant(rules(spark, []), ev, ADMINS, PREFIX).collect())
     assert out == sorted((a, "") for a in ADMINS)
 
 
+def test_bootstrap_loses_the_first_event_only(spark):
+    ev = spark.createDataFrame([("a", "1", 5), ("b", "2", 3), ("c", "3", 9), ("b", "4", 7)],
+                               "tenant string, tenantid string, seq long")
+    out = {tuple(r) for r in grant(rules(spark, []), ev, ADMINS, PREFIX).collect()}
+    arn = "urn:u/{0}/{0}TenantRole/{0}".format
+    assert out == {(a, "") for a in ADMINS} | {(arn("a"), "1"), (arn("b"), "4"), (arn("c"), "3")}
+    # a repeated first event is stored by its repeat
+    twice = spark.createDataFrame([("b", "2", 3), ("b", "2", 3)], "tenant string, tenantid string, seq long")
+    assert (arn("b"), "2") in {tuple(r) for r in grant(rules(spark, []), twice, ADMINS, PREFIX).collect()}
+    # no event: nothing is written
+    assert grant(rules(spark, []), ev.limit(0), ADMINS, PREFIX).count() == 0
+
+
+def test_upsert_needs_an_order(spark):
+    with pytest.raises(ValueError):
+        upsert_rules(rules(spark, []), rules(spark, [("a", "1")]))
+
+
+def test_rls_reads_rules_when_the_result_is_read(spark, tmp_dir):
+    path = f"{tmp_dir}/rules"
+    rules(spark, [("u1", "t1")]).write.parquet(path)
+    seen = apply_rls(data(spark), spark.read.parquet(path), "u1")
+    plan = seen._jdf.queryExecution().optimizedPlan().toString()
+    assert "ExistenceJoin" in plan or "LeftSemi" in plan
+    assert ids(seen) == [1]
+
+
 def test_grant_with_admin_present_writes_tenant_row(spark):
-    ev = spark.createDataFrame([("testTenant", "12345")], "tenant string, tenantid string")
+    ev = spark.createDataFrame([("testTenant", "12345", 1)], "tenant string, tenantid string, seq long")
     base = rules(spark, [(a, "") for a in ADMINS])
     out = sorted(tuple(r) for r in grant(base, ev, ADMINS, PREFIX).collect())
     assert ("urn:u/testTenant/testTenantTenantRole/testTenant", "12345") in out and len(out) == 4

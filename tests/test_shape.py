@@ -132,7 +132,8 @@ def test_report_schema_types(spark):
 
 def test_shape_activity_end_to_end(spark):
     out = shape_activity(docs(spark))
-    assert out.columns[:4] == ["activityid", "emissioninkgco2", "tenantid", "versionid"]
+    assert out.columns[:9] == [m[2] for m in ACTIVITY_MAPPING]  # absent ones as NULLs
+    assert out.first()["formid"] is None and out.first()["tenantid"] == "nested-t"
 
 
 def test_exact_decimal_sum_equals_decimal_sum(spark):
@@ -146,3 +147,16 @@ def test_exact_decimal_sum_equals_decimal_sum(spark):
     b = df.groupBy("k").agg(exact_decimal_sum("x").alias("s"))
     assert a.schema == b.schema
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_flatten_nested_fields_that_differ_in_case_only(spark):
+    df = spark.createDataFrame([((1, "x", 2),)], "data struct<a: int, b: string, A: int>")
+    flat = flatten_struct(df)
+    assert flat.columns == ["a", "b"]
+    assert tuple(flat.first()) == (2, "x")  # the later one wins
+
+
+def test_mapping_fill_gives_typed_nulls(spark):
+    df = spark.createDataFrame([(1,)], "x int")
+    out = apply_mapping(df, [("x", "int", "x", "int"), ("gone", "double", "y", "decimal(20,10)")], fill=True)
+    assert out.dtypes == [("x", "int"), ("y", "decimal(20,10)")] and out.first()["y"] is None

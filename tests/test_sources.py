@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ecotally.operators.join import join_activity_entity
-from ecotally.operators.latest import create_latest_view, latest_partition
+from ecotally.operators.latest import create_latest_view, latest_partition, latest_snapshot
 from ecotally.sources.documents import read_documents, read_rules
 from ecotally.sources.snapshot import publish, read_snapshots, write_snapshot
 
@@ -35,8 +35,10 @@ def test_latest_partition_prunes_folders(spark, tmp_dir):
     assert {r["tag"] for r in latest.collect()} == {"new"}
     plan = latest._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "partition_0" in plan
-    view = create_latest_view(read_snapshots(spark, path), "latest_partition_data")
+    view = create_latest_view(spark, path, "latest_partition_data")
     assert spark.table("latest_partition_data").count() == 2 and view.count() == 2
+    write_snapshot(small(spark, "newer"), path, "2024-01-11")
+    assert {r["tag"] for r in spark.table("latest_partition_data").collect()} == {"newer"}
 
 
 def test_bare_date_layout(spark, tmp_dir):
@@ -106,12 +108,33 @@ def test_partition_type_inference_on_still_gives_date_text(spark, tmp_dir):
         spark.conf.set(key, before)
 
 
-def test_eager_latest_partition_reads_metadata_only(spark, tmp_dir):
+def test_latest_snapshot_opens_the_newest_folder_only(spark, tmp_dir):
     path = os.path.join(tmp_dir, "snap")
     for d, tag in [("2024-01-01", "old"), ("2024-01-05", "new")]:
         write_snapshot(small(spark, tag), path, d)
-    latest = latest_partition(read_snapshots(spark, path), eager=True)
-    assert {r["tag"] for r in latest.collect()} == {"new"}
-    plan = latest._jdf.queryExecution().executedPlan().toString()
-    assert "Subquery" not in plan and "2024-01-05" in plan
-    assert spark.conf.get("spark.sql.optimizer.metadataOnly") == "false"
+    latest = latest_snapshot(spark, path)
+    assert {(r["tag"], r["partition_0"]) for r in latest.collect()} == {("new", "2024-01-05")}
+    assert all("2024-01-05" in f for f in latest.inputFiles())
+
+
+def test_latest_snapshot_skips_an_empty_newest_folder(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "snap")
+    write_snapshot(small(spark, "old"), path, "2024-01-01")
+    small(spark, "x").limit(0).write.parquet(f"{path}/partition_0=2024-01-09")
+    assert {r["tag"] for r in latest_snapshot(spark, path).collect()} == {"old"}
+    assert {r["tag"] for r in latest_partition(read_snapshots(spark, path)).collect()} == {"old"}
+
+
+def test_bare_layout_written_and_read(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "snap")
+    for d, tag in [("2024-01-01", "old"), ("2024-01-05", "new")]:
+        write_snapshot(small(spark, tag), path, d, layout="bare")
+    assert sorted(os.listdir(path)) == ["2024-01-01", "2024-01-05"]
+    latest = latest_snapshot(spark, path)
+    assert {(r["tag"], r["partition_0"]) for r in latest.collect()} == {("new", "2024-01-05")}
+    assert {r["partition_0"] for r in read_snapshots(spark, path, layout="bare").collect()} == {"2024-01-01", "2024-01-05"}
+
+
+def test_latest_snapshot_without_folders(spark, tmp_dir):
+    with pytest.raises(FileNotFoundError):
+        latest_snapshot(spark, os.path.join(tmp_dir, "none"))

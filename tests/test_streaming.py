@@ -5,7 +5,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from ecotally.operators.refresh import publish_by_day, refresh_published
+from ecotally.operators.refresh import incremental_refresh, publish_by_day, refresh_published
 from ecotally.sources.snapshot import write_snapshot
 from ecotally.streaming import snapshot_refresh
 
@@ -66,3 +66,19 @@ def test_refresh_published_keeps_whole_days(spark, tmp_dir):
                       as_of=datetime.datetime(2024, 1, 10, 12), days=1)  # cut: 01-09 12:00
     got = sorted((r["k"], r["v"]) for r in spark.read.parquet(target).collect())
     assert got == [(0, 2), (1, 2), (2, 2), (3, 1)]
+
+
+def test_refresh_published_drops_days_without_rows(spark, tmp_dir):
+    """A day of the window that vanished from the source goes, as in memory; a
+    failed look at the target is not taken for a missing dataset."""
+    target = os.path.join(tmp_dir, "pub")
+    ts = [datetime.datetime(2024, 1, d) for d in (7, 9, 10)]
+    old = spark.createDataFrame([(i, t) for i, t in enumerate(ts)] + [(9, None)], "k int, date timestamp_ntz")
+    publish_by_day(old, target)
+    refresh_published(old.filter("k != 1"), target, "date", as_of=ts[-1], days=2)
+    kept = sorted(r["k"] for r in spark.read.parquet(target).collect())
+    assert kept == [0, 2, 9]
+    memory = incremental_refresh(old, old.filter("k != 1"), "date", ts[-1], days=2)
+    assert sorted(r["k"] for r in memory.collect()) == kept
+    refresh_published(old.limit(0), target, "date")  # no newest date: nothing happens
+    assert spark.read.parquet(target).count() == 3
