@@ -3,7 +3,7 @@
 
 The same arguments as the batch job it replaces: where the activity and
 entity documents are (catalog table names or paths) and the folder the dated
-snapshots go to.  Runs on the session ``spark-submit`` provides.
+snapshots go to.  Without ``--publish-to`` only the snapshot is made.  Runs on the session ``spark-submit`` provides.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from .plans.batch import run_batch
+from .session import release_scratch
 from .sources.documents import read_activity, read_entity
 
 
@@ -25,7 +26,7 @@ def main(argv: list[str] | None = None) -> int:
     batch.add_argument("--entity-table", required=True, help="catalog table or path")
     batch.add_argument("--output-path", required=True, help="folder of the dated snapshots")
     batch.add_argument("--format", default=None, help="file format of path sources (json, parquet)")
-    batch.add_argument("--publish-to", default=None, help="write the report here (path or table)")
+    batch.add_argument("--publish-to", default=None, help="publish the report here (a folder; created, then refreshed)")
     batch.add_argument("--as-of", default=None, help="run date YYYY-MM-DD (default: today, UTC)")
     batch.add_argument("--append", action="store_true", help="add to a same-day snapshot")
     args = parser.parse_args(argv)
@@ -39,7 +40,9 @@ def main(argv: list[str] | None = None) -> int:
         as_of=args.as_of,
         publish_to=args.publish_to,
         snapshot_mode="append" if args.append else "overwrite",
+        build_report=args.publish_to is not None,
     )
+    release_scratch(spark)
     print(f"snapshot {result.run_date} written to {result.snapshot_path}", file=sys.stderr)
     return 0
 

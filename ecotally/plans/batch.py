@@ -102,7 +102,7 @@ def joined_inventory(activity_docs: DataFrame, entity_docs: DataFrame, **opts) -
 
 @dataclass
 class BatchResult:
-    report: DataFrame
+    report: DataFrame | None
     snapshot_path: str
     run_date: str
     created: bool | None = None  # whether the published dataset was created; None: not published
@@ -117,8 +117,9 @@ def run_batch(
     publish_to: str | None = None,
     snapshot_mode: str = "overwrite",
     sort: bool = True,
+    build_report: bool = True,
 ) -> BatchResult:
-    """Run the whole batch.
+    """Run the whole batch; ``build_report=False`` stops behind the snapshot.
 
     The snapshot is written, and the roll-up's rounds run, here.  With
     ``publish_to`` the report is published there (created if there is nothing
@@ -127,6 +128,8 @@ def run_batch(
     """
     joined = joined_inventory(activity_docs, entity_docs)
     d = write_snapshot(joined, snapshot_path, as_of, mode=snapshot_mode)
+    if not build_report:
+        return BatchResult(None, snapshot_path, d)
     latest = latest_snapshot(spark, snapshot_path)
 
     def dated(df: DataFrame) -> DataFrame:
