@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ecotally.session import scratch_path
+from ecotally.session import delete_path, scratch_path
 
 #: A-Z to a-z, every other byte unchanged.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -92,16 +92,70 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder of ``spark.checkpoint.dir`` and read again.
+def written(df: DataFrame, name: str, *folders: str) -> DataFrame:
+    """``df`` written to the shared folder of ``spark.checkpoint.dir`` and read again,
+    in a folder for each value of the columns ``folders``.
 
     Cuts the lineage: an executor lost later costs a read, not a recomputation.
     """
     path = scratch_path(df.sparkSession, f"llm-{name}")
-    df.write.parquet(path)
+    df.write.partitionBy(*folders).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Written tables of one operator, and a session of its own to work on them.
+
+    The session has the caller's settings, and removes the shuffle files of each
+    job when the job ends; the caller's session is left as it is.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.caller, self.work = spark, spark.newSession()
+        for key, value in dict(spark.conf.getAll).items():
+            if key.startswith("spark.sql.") and spark.conf.isModifiable(key):
+                self.work.conf.set(key, value)
+        self.work.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+        self.paths: dict[str, str] = {}
+
+    def table(self, df: DataFrame, name: str, back: bool = False) -> DataFrame:
+        """``df`` written and read by the working session, or with ``back`` by the caller's."""
+        self.drop(name)
+        path = self.paths[name] = scratch_path(self.caller, f"llm-{name}")
+        df.write.parquet(path)
+        return (self.caller if back else self.work).read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Delete tables that nothing will read any more."""
+        for name in names:
+            if name in self.paths:
+                delete_path(self.caller, self.paths.pop(name))
+
+
+class SlotMap:
+    """Which of 2**bits slots occur among keys: a bitmap of fixed size.
+
+    A slot stands for many keys, so the map only spares work: what it lets
+    through is checked exactly later.  It reaches the driver as rows of 4 KB,
+    2**bits / 8 bytes in all, whatever the input.
+    """
+
+    def __init__(self, keys: DataFrame, column: str, bits: int = 22):
+        self.mask = (1 << bits) - 1
+        c = F.col(column).bitwiseAND(F.lit(self.mask)) + 1  # the functions count from 1
+        rows = keys.groupBy(F.bitmap_bucket_number(c).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(c)).alias("m"))
+        self.packed = np.zeros((1 << bits) // 8, np.uint8)
+        for r in rows.collect():
+            m = np.frombuffer(bytes(r["m"]), np.uint8)
+            at = (r["b"] - 1) * 4096
+            self.packed[at : at + len(m)] = m
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        """Per key (64-bit integers) whether its slot occurs."""
+        slot = keys.view(np.int64) & self.mask
+        return (self.packed[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+
+
 def about(df: DataFrame, key: str, rows: int) -> DataFrame:
     """About ``rows`` rows of ``df``, the same ones in every run: those whose
     hashed key falls below the fitting share.  All rows if there are fewer."""

@@ -5,32 +5,38 @@ when ``100 * |intersection| >= 80 * |union|``.
 
 How the search is dealt to tasks
     Documents with equal sets form one class, looked at once.  A class keeps
-    the ``SKETCH`` smallest of its shingle hashes and is sent to the units of
-    the first ``SENT`` of them that are not frequent, and of the first ``SENT``
-    frequent ones if these make up over a quarter (frequent shingles, such as
-    those of a passage that many documents share, would gather unrelated
-    documents).  A linked pair misses all common units only if every one of at
-    least 32 hashes drawn from its shingles falls among the fifth or quarter
-    that it does not share: less likely than a collision of the 64-bit hashes
-    that stand for shingles.  Sets of up to ``SKETCH`` hashes are exact, as no
-    more than ``SENT`` hashes of either can lie outside the intersection.
+    the ``SKETCH`` smallest of its shingle hashes.  Hashes stand in one global
+    order: those of a single class first, frequent ones last.  By the prefix
+    principle, linked classes share one of the first ``prefix(size)`` hashes of
+    both, and the ones of a single class can be no shared one, so a class is
+    sent to the units of the others only.  Sets that fit the sketch are exact.
+    For larger ones the sketch is a uniform sample of the union, of which at
+    most a fifth is unshared; that ``prefix`` of it are has probability below
+    1e-10, less than a collision of the 64-bit hashes that stand for shingles.
+    Which hashes have one class only comes from a bitmap of fixed size: where
+    it errs, a hash counts as shared, which costs a look and loses nothing.
 
 Signature trees
-    In a unit every class has a bitmap of its shingles, eight bits a shingle,
-    and its size.  Inner nodes hold the OR of their children's bitmaps and the
-    range of their sizes.  A dual traversal starts from the roots and drops
-    pairs of nodes whose sizes are too far apart or whose bitmaps cannot hold
-    the overlap that their smallest members need.  Units of more than ``BLOCK``
-    classes are cut into blocks, and pairs of blocks are units of their own.
+    In a unit every class has a bitmap of its shingles, four bits a shingle or
+    more, and its size.  Inner nodes hold the OR of their children's bitmaps
+    and the range of their sizes.  A dual traversal starts from the roots and
+    drops pairs of nodes whose sizes are too far apart or whose bitmaps cannot
+    hold the overlap that their smallest members need.
 
 Verification
     A first round emits for each class its best earlier partner in the units of
     its first two hashes; these pairs are verified on the whole sets and join
-    most copies.  The second round looks at all units that still hold several
+    most copies.  The second round looks at the units that still hold several
     components and emits every pair of different components that the trees
     leave, once, in the unit of the first hash both were sent to.  Verified
     pairs are the links of which connected components are taken.
 
+Hot units
+    Units are cut into blocks.  In the first round a block meets itself and the
+    first block; in the second, classes outside the unit's least component meet
+    it and one another in pairs of blocks, while that component, which in a
+    large group of copies holds most classes, does not meet itself.
+
 Null and empty texts have an empty set and link with nothing; rows that repeat
 a doc_id count as one document; a null doc_id has no component.
 """
@@ -43,16 +49,25 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_long, batch, doc_bytes, runs_of, shingle_hashes, table, words_ws, written
+from .common import Scratch, SlotMap, batch, doc_bytes, runs_of, shingle_hashes, table, words_ws
 from .components import components
 
-#: Smallest hashes kept of a class, and how many of them choose units.
-SKETCH, SENT = 96, 32
+#: Smallest hashes kept of a class, and how many of a full sketch can be unshared.
+SKETCH, UNSHARED = 256, 99
 #: A shingle is frequent from so many classes on; at most 2**18 are, whatever the input.
 FREQUENT, FREQUENT_BITS = 64, 18
+#: Slots (2**bits) of the map of hashes with more than one class.
+SHARED_BITS = 26
 #: Most classes of a block, and children of a tree's node.
-BLOCK, FANOUT = 256, 8
-BITS_A_SHINGLE = 8
+BLOCK, FANOUT = 512, 8
+BITS_A_SHINGLE = 4
+
+
+def prefix(size: int) -> int:
+    """How many first hashes of a set of ``size`` shingles must hold a shared one."""
+    if 5 * size <= 4 * SKETCH:  # every set that it can link with fits the sketch too
+        return size - (4 * size + 4) // 5 + 1
+    return UNSHARED + 1
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
@@ -72,81 +87,78 @@ def folded(words: np.ndarray) -> np.ndarray:
 
 
 def _sketched(batches):
-    """A row per document, and local counts of sketch hashes (``shingle``, ``n``)."""
     schema = pa.schema([
         ("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()),
-        ("sketch", pa.binary()), ("bits", pa.binary()), ("shingle", pa.int64()),
+        ("sketch", pa.binary()), ("bits", pa.binary()),
     ])
-    seen, parts, held = set(), [], 0
-
-    def counts():
-        tokens, n = np.unique(np.concatenate(parts), return_counts=True)
-        often = n >= 3
-        k = int(often.sum())
-        none = [None] * k
-        return batch(schema, doc_id=none, n=n[often], d1=none, d2=none, sketch=none, bits=none, shingle=as_long(tokens[often]))
-
     for b in batches:
         for lo in range(0, b.num_rows, 500):
-            out = {f.name: [] for f in schema}
-            for doc, raw in zip(b.column("doc_id")[lo : lo + 500].to_pylist(), b.column("text")[lo : lo + 500].to_pylist()):
+            part = b.slice(lo, 500)
+            out = []
+            for raw in part.column("text").to_pylist():
                 h = np.unique(shingle_hashes(words_ws(raw)))
-                digest = xxhash.xxh3_128_digest(h.tobytes())
-                d1, d2 = np.frombuffer(digest, np.int64).tolist()
-                sketch = h[:SKETCH]
-                if len(h) and digest not in seen:
-                    seen.add(digest)
-                    parts.append(sketch)
-                    held += len(sketch)
-                for name, value in zip(out, (doc, len(h), d1, d2, sketch.tobytes(), signature(h).tobytes(), None)):
-                    out[name].append(value)
-            yield batch(schema, **out)
-            if held > 4_000_000:
-                yield counts()
-                seen, parts, held = set(), [], 0
-    if parts:
-        yield counts()
-
-
-def _sent(frequent: np.ndarray):
-    """The hashes whose units a class goes to, in the global order: rare before frequent."""
+                d1, d2 = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64).tolist()
+                out.append((len(h), d1, d2, h[:SKETCH].tobytes(), signature(h).tobytes()))
+            n, d1, d2, sketch, bits = zip(*out)
+            yield batch(schema, doc_id=part.column("doc_id"), n=n, d1=d1, d2=d2, sketch=sketch, bits=bits)
+
+
+def _hashes(batches):
+    schema = pa.schema([("token", pa.int64())])
+    for b in batches:
+        for lo in range(0, b.num_rows, 1000):
+            yield batch(schema, token=np.frombuffer(b"".join(b.column("sketch")[lo : lo + 1000].to_pylist()), np.int64))
+
+
+def _sent(shared: SlotMap, frequent: np.ndarray):
+    """The hashes whose units a class goes to, in the global order."""
 
     def chosen(batches):
         schema = pa.schema([("cid", pa.int64()), ("n", pa.int64()), ("sent", pa.binary()), ("bits", pa.binary())])
         for b in batches:
             out = []
-            for raw in b.column("sketch").to_pylist():
+            for n, raw in zip(b.column("n").to_pylist(), b.column("sketch").to_pylist()):
                 h = np.frombuffer(raw, np.uint64)
+                several = shared.has(h)
+                left = prefix(n) - int((~several).sum())
+                if left <= 0:
+                    out.append(None)
+                    continue
+                h = h[several]
                 common = np.zeros(len(h), bool)
                 if len(frequent):
-                    at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
-                    common = frequent[at] == h
-                rare, often = h[~common], h[common]
-                keep = rare[:SENT]
-                if 4 * len(often) > len(h):
-                    keep = np.concatenate((keep, often[:SENT]))
-                out.append(keep.tobytes())
-            yield batch(schema, cid=b.column("cid"), n=b.column("n"), sent=out, bits=b.column("bits"))
+                    common = frequent[np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)] == h
+                out.append(np.concatenate((h[~common], h[common]))[:left].tobytes())
+            keep = np.array([bool(x) for x in out], bool)
+            part = b.filter(pa.array(keep))
+            yield batch(schema, cid=part.column("cid"), n=part.column("n"), sent=[x for x in out if x], bits=part.column("bits"))
 
     return chosen
 
 
-def _exploded(batches):
-    """Rows of (token, rank, cid, comp): rank is the token's place in the class's order."""
-    schema = pa.schema([("token", pa.int64()), ("rank", pa.int32()), ("cid", pa.int64()), ("comp", pa.int64())])
-    for b in batches:
-        raws = b.column("sent").to_pylist()
-        sizes = np.array([len(r) // 8 for r in raws], np.int64)
-        if not sizes.sum():
-            continue
-        first = np.repeat(np.cumsum(sizes) - sizes, sizes)
-        yield batch(
-            schema,
-            token=np.frombuffer(b"".join(raws), np.int64),
-            rank=(np.arange(sizes.sum()) - first).astype(np.int32),
-            cid=np.repeat(b.column("cid").to_numpy(), sizes),
-            comp=np.repeat(b.column("comp").to_numpy(), sizes),
-        )
+PLACE = "token long, rank int, cid long, comp long"
+
+
+def _places(classes: DataFrame, slots: SlotMap | None = None) -> DataFrame:
+    """Rows of (token, rank, cid, comp) from classes (cid, comp, sent): rank is the
+    token's place in the class's order.  With ``slots`` only tokens of those slots."""
+
+    def exploded(batches):
+        schema = pa.schema([("token", pa.int64()), ("rank", pa.int32()), ("cid", pa.int64()), ("comp", pa.int64())])
+        for b in batches:
+            raws = b.column("sent").to_pylist()
+            sizes = np.array([len(r) // 8 for r in raws], np.int64)
+            if not sizes.sum():
+                continue
+            token = np.frombuffer(b"".join(raws), np.int64)
+            rank = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            cid, comp = (np.repeat(b.column(c).to_numpy(), sizes) for c in ("cid", "comp"))
+            if slots is not None:
+                keep = slots.has(token)
+                token, rank, cid, comp = token[keep], rank[keep], cid[keep], comp[keep]
+            yield batch(schema, token=token, rank=rank.astype(np.int32), cid=cid, comp=comp)
+
+    return classes.select("cid", "comp", "sent").mapInArrow(exploded, PLACE)
 
 
 class Tree:
@@ -262,15 +274,17 @@ def _searched(every: bool):
             if (comp == comp[0]).all():
                 continue
             x, y = unit.column("x")[0].as_py(), unit.column("y")[0].as_py()
-            side = None if x == y else (unit.column("block").to_numpy() == y).astype(np.int8)
+            side = None if x == y else unit.column("side").to_numpy()
+            if side is not None and (side == side[0]).all():
+                continue
             i, j, most = unit_pairs(unit.column("n").to_numpy(), unit.column("bits").to_pylist(), side)
             keep = comp[i] != comp[j]
             i, j, most = i[keep], j[keep], most[keep]
             if not len(i):
                 continue
             if every:
-                rank, sent = unit.column("rank").to_numpy(), unit.column("sent").to_pylist()
-                before = {r: frozenset(np.frombuffer(sent[r], np.int64)[: rank[r]].tolist()) for r in {*i.tolist(), *j.tolist()}}
+                sent = unit.column("before").to_pylist()
+                before = {r: frozenset(np.frombuffer(sent[r], np.int64).tolist()) for r in {*i.tolist(), *j.tolist()}}
                 keep = np.array([before[p].isdisjoint(before[q]) for p, q in zip(i.tolist(), j.tolist())])
                 i, j = i[keep], j[keep]
             else:
@@ -284,31 +298,71 @@ def _searched(every: bool):
     return searched
 
 
-def _candidates(places: DataFrame, classes: DataFrame, every: bool) -> DataFrame:
-    """Candidate pairs from rows of (token, rank, cid, comp)."""
-    units = (
-        places.groupBy("token")
-        .agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("least"), F.max("comp").alias("most"))
-        .filter("least != most")
-        .select("token", F.expr(f"cast(ceil(size / {BLOCK}) as int)").alias("blocks"))
+def _first_blocks(rows: DataFrame) -> DataFrame:
+    """(x, y, side) of rows with ``size``: each block with itself and with block 0."""
+    block = F.expr(f"cast(pmod(xxhash64(cid), ceil(size / {BLOCK})) as int)")
+    own = "struct(block as x, block as y, 0 as side)"
+    zero = (
+        f"if(block > 0, array(struct(0 as x, block as y, 1 as side)),"
+        f" transform(filter(sequence(0, cast(ceil(size / {BLOCK}) as int) - 1), k -> k > 0), k -> struct(0 as x, k as y, 0 as side)))"
+    )
+    return rows.withColumn("block", block).withColumn("at", F.explode(F.expr(f"concat(array({own}), {zero})"))).select(
+        "token", "rank", "cid", "comp", "at.x", "at.y", "at.side"
     )
-    body = ["n", "bits", "sent"] if every else ["n", "bits"]
-    rows = (
-        places.join(units, "token")
-        .withColumn("block", F.expr("cast(pmod(xxhash64(cid), blocks) as int)"))
-        .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        .select("token", "rank", "cid", "comp", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-        .join(classes.select("cid", *body), "cid")
+
+
+def _other_blocks(rows: DataFrame) -> DataFrame:
+    """(x, y, side) of rows with ``least``, ``major`` and ``minor`` (classes in and
+    outside the least component): blocks of minor classes meet one another and
+    the blocks of major ones (numbered behind them)."""
+    p, q = f"cast(ceil(minor / {BLOCK}) as int)", f"cast(ceil(major / {BLOCK}) as int)"
+    rows = rows.withColumns({"p": F.expr(p), "q": F.expr(q), "is_major": F.expr("comp = least")}).withColumn(
+        "block", F.expr("cast(pmod(xxhash64(cid), if(is_major, q, p)) as int)")
+    )
+    majors = "transform(sequence(0, p - 1), k -> struct(k as x, p + block as y, 1 as side))"
+    to_major = "transform(sequence(0, q - 1), k -> struct(block as x, p + k as y, 0 as side))"
+    to_minor = "transform(sequence(0, p - 1), k -> struct(least(block, k) as x, greatest(block, k) as y, if(block < k, 0, 1) as side))"
+    return rows.withColumn("at", F.explode(F.expr(f"if(is_major, {majors}, concat({to_major}, {to_minor}))"))).select(
+        "token", "rank", "cid", "comp", "at.x", "at.y", "at.side"
     )
+
+
+def _candidates(own: DataFrame, classes: DataFrame, scratch: Scratch, every: bool) -> DataFrame:
+    """Candidate pairs (a, b) of the classes ``own`` (cid, comp, sent)."""
+    units = scratch.table(
+        _places(own).groupBy("token")
+        .agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("least"), F.max("comp").alias("most"))
+        .filter("least != most").select("token", "size", "least"),
+        "units",
+    )
+    rows = scratch.table(_places(own, SlotMap(units, "token")).join(units, "token"), "places")
+    if every:
+        sides = rows.groupBy("token").agg(F.count_if(F.col("comp") != F.col("least")).alias("minor"))
+        rows = rows.join(sides, "token").withColumn("major", F.expr("size - minor"))
+        body = classes.select("cid", "n", "bits", F.col("sent").alias("all"))
+        # with what the class was sent to before this unit
+        rows = _other_blocks(rows).join(body, "cid").withColumn("before", F.expr("substring(all, 1, rank * 8)")).drop("all")
+    else:
+        rows = _first_blocks(rows).join(classes.select("cid", "n", "bits"), "cid")
     keys = ["token", "x", "y"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_searched(every), "a long, b long").distinct()
+    return scratch.table(
+        rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_searched(every), "a long, b long").distinct(), "pairs"
+    )
 
 
-def _whole(batches):
-    schema = pa.schema([("cid", pa.int64()), ("shingles", pa.binary())])
-    for b in batches:
-        out = [np.unique(shingle_hashes(words_ws(raw))).tobytes() for raw in b.column("text").to_pylist()]
-        yield batch(schema, cid=b.column("cid"), shingles=out)
+def _whole(wanted: SlotMap):
+    """Whole sets of the documents whose slot occurs."""
+
+    def whole(batches):
+        schema = pa.schema([("cid", pa.int64()), ("shingles", pa.binary())])
+        for b in batches:
+            at = np.flatnonzero(wanted.has(b.column("key").to_numpy()))
+            for lo in range(0, len(at), 1000):
+                part = b.take(pa.array(at[lo : lo + 1000]))
+                out = [np.unique(shingle_hashes(words_ws(raw))).tobytes() for raw in part.column("text").to_pylist()]
+                yield batch(schema, cid=part.column("doc_id"), shingles=out)
+
+    return whole
 
 
 def _linked(batches):
@@ -324,55 +378,76 @@ def _linked(batches):
         yield batch(_PAIR, a=b.column("a").to_numpy()[keep], b=b.column("b").to_numpy()[keep])
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of documents whose whole sets reach the threshold."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    texts = doc_bytes(docs).withColumnRenamed("doc_id", "cid").join(ids, "cid", "left_semi")
-    sets = written(texts.mapInArrow(_whole, "cid long, shingles binary"), "sets")
-    return (
+def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b) of documents whose whole sets reach the threshold.
+
+    The sets are made where the texts are; a slot map of the pairs' documents
+    tells which, so no text is shuffled.
+    """
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("cid"))
+    wanted = SlotMap(ids.select(F.xxhash64("cid").alias("key")), "key")
+    texts = doc_bytes(docs).filter("doc_id is not null").withColumn("key", F.xxhash64("doc_id"))
+    sets = scratch.table(texts.mapInArrow(_whole(wanted), "cid long, shingles binary"), "sets")
+    links = scratch.table(
         pairs.join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("set_b")), "b")
         .join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("set_a")), "a")
-        .mapInArrow(_linked, "a long, b long")
+        .mapInArrow(_linked, "a long, b long"),
+        name,
     )
+    scratch.drop("sets", "pairs", "units", "places")
+    return links
 
 
 def similarity_classes(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, class_id (smallest doc_id with an
     equal set), component_id."""
-    every = written(
-        doc_bytes(docs).mapInArrow(
-            _sketched, "doc_id long, n long, d1 long, d2 long, sketch binary, bits binary, shingle long"
-        ),
-        "sketches",
+    scratch = Scratch(docs.sparkSession)
+    every = scratch.table(
+        doc_bytes(docs).mapInArrow(_sketched, "doc_id long, n long, d1 long, d2 long, sketch binary, bits binary"), "sketches"
     )
-    rows = every.filter("shingle is null")
-    total = rows.agg(F.sum(F.least("n", F.lit(SKETCH)))).first()[0] or 0
-    often = (
-        every.filter("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n"))
-        .filter(F.col("n") >= max(FREQUENT, total >> FREQUENT_BITS)).select("shingle").collect()
+    rows = scratch.table(every.select("doc_id", "n", "d1", "d2"), "rows", back=True)
+    digests = scratch.table(
+        rows.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("cid")).filter("cid is not null"), "digests"
     )
-    frequent = np.sort(np.array([r["shingle"] for r in often], np.int64).view(np.uint64))
-
-    digests = rows.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("cid")).filter("cid is not null")
-    picked = rows.select(F.col("doc_id").alias("cid"), "n", "d1", "d2", "sketch", "bits").join(digests, ["cid", "d1", "d2"], "left_semi")
-    classes = written(
-        picked.mapInArrow(_sent(frequent), "cid long, n long, sent binary, bits binary"), "classes"
+    picked = scratch.table(
+        every.withColumnRenamed("doc_id", "cid").join(digests, ["cid", "d1", "d2"], "left_semi").select("cid", "n", "sketch", "bits"),
+        "picked",
     )
-    place = "token long, rank int, cid long, comp long"
-    own = classes.select("cid", "sent").withColumn("comp", F.col("cid"))
-    first = own.withColumn("sent", F.expr("substring(sent, 1, 16)")).mapInArrow(_exploded, place)
-    links = written(verified(written(_candidates(first, classes, False), "pairs"), docs), "links")
+    scratch.drop("sketches")
+    counts = scratch.table(
+        picked.select("sketch").mapInArrow(_hashes, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"),
+        "counts",
+    )
+    total = rows.agg(F.sum(F.least("n", F.lit(SKETCH)))).first()[0] or 0
+    often = counts.filter(F.col("n") >= max(FREQUENT, total >> FREQUENT_BITS)).select("token").collect()
+    frequent = np.sort(np.array([r["token"] for r in often], np.int64).view(np.uint64))
+    classes = scratch.table(
+        picked.mapInArrow(
+            _sent(SlotMap(counts, "token", SHARED_BITS), frequent), "cid long, n long, sent binary, bits binary"
+        ),
+        "classes",
+    )
+    scratch.drop("picked", "counts")
 
+    own = classes.select("cid", "sent", F.col("cid").alias("comp"))
+    first = _candidates(own.withColumn("sent", F.expr("substring(sent, 1, 16)")), classes, scratch, False)
+    links = _verified(first, docs, scratch, "links")
     joined = components(links)
-    known = own.drop("comp").join(joined.withColumnRenamed("node", "cid"), "cid", "left").select(
-        "cid", "sent", F.coalesce("component", "cid").alias("comp")
+    known = scratch.table(
+        own.drop("comp").join(joined.withColumnRenamed("node", "cid"), "cid", "left")
+        .select("cid", "sent", F.coalesce("component", "cid").alias("comp")),
+        "known",
     )
-    places = known.mapInArrow(_exploded, place)
-    more = written(verified(written(_candidates(places, classes, True), "pairs"), docs), "links")
+    more = _verified(_candidates(known, classes, scratch, True), docs, scratch, "more")
+    scratch.drop("known", "classes")
     joined = components(links.unionByName(more))
-    members = digests.join(joined.withColumnRenamed("node", "cid"), "cid", "left").select(
-        "d1", "d2", F.col("cid").alias("class_id"), F.coalesce("component", "cid").alias("component_id")
+    members = scratch.table(
+        digests.join(joined.withColumnRenamed("node", "cid"), "cid", "left").select(
+            "d1", "d2", F.col("cid").alias("class_id"), F.coalesce("component", "cid").alias("component_id")
+        ),
+        "members", back=True,
     )
+    scratch.drop("digests", "links", "more")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), "d1", "d2").join(members, ["d1", "d2"], "left").select(
         "doc_id", "n_shingles",
         F.expr("if(doc_id is null, null, coalesce(class_id, doc_id))").alias("class_id"),
