@@ -34,7 +34,10 @@ def lines_of(text: Column) -> Column:
 
 
 def key_of(line: Column) -> Column:
-    return F.translate(F.trim(line, F.lit(" \t\n\x0b\f\r")), _UPPER, _LOWER)
+    bare = F.trim(line, F.lit(" \t\n\x0b\f\r"))
+    # lower() is the same on ASCII, and much cheaper than translating every character
+    ascii_only = F.octet_length(bare) == F.char_length(bare)
+    return F.when(ascii_only, F.lower(bare)).otherwise(F.translate(bare, _UPPER, _LOWER))
 
 
 def hashes_of(line: Column, min_chars: int) -> Column:
@@ -45,32 +48,55 @@ def hashes_of(line: Column, min_chars: int) -> Column:
     )
 
 
-def keys_of(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, h, g) for the distinct keys of every row of (doc_id, text)."""
-    keys = F.array_distinct(F.transform(lines_of(F.col("text")), lambda x: hashes_of(x, min_chars)))
-    return docs.select("doc_id", F.explode(keys).alias("k")).filter("k is not null").select("doc_id", "k.h", "k.g")
+def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(doc_id, row_hash, keys) of rows of (doc_id, text): the hashes of each line in
+    order; row_hash tells rows of one doc_id apart."""
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("row_hash"),
+        F.transform(lines_of(F.col("text")), lambda x: hashes_of(x, min_chars)).alias("keys"),
+    )
+
+
+def keys_of(keyed: DataFrame) -> DataFrame:
+    """(doc_id, h, g) for the distinct keys of every row of ``line_keys``."""
+    return (
+        keyed.select("doc_id", F.explode(F.array_distinct("keys")).alias("k")).filter("k is not null")
+        .select("doc_id", "k.h", "k.g")
+    )
 
 
 class LineRuns:
     """Runs of (h, g, docs), level by level; each a written table sorted by key."""
 
-    def __init__(self, min_chars: int = MIN_CHARS, fanout: int = FANOUT):
-        self.min_chars, self.fanout = min_chars, fanout
+    def __init__(self, fanout: int = FANOUT):
+        self.fanout = fanout
         self.levels: list[list[DataFrame]] = []
 
-    def _put(self, level: int, run: DataFrame) -> None:
+    def _put(self, level: int, run: DataFrame, write: bool = True) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(written(run.sortWithinPartitions("h", "g"), f"lines-{level}"))
+        self.levels[level].append(written(run.sortWithinPartitions("h", "g"), f"lines-{level}") if write else run)
         if len(self.levels[level]) == self.fanout:
             self.compact(level)
 
-    def add(self, docs: DataFrame) -> None:
-        """Count a batch's keys into a run; batches share no doc_id."""
-        counted = keys_of(docs, self.min_chars).groupBy("h", "g").agg(
-            F.count_distinct(F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("doc_id").isNull()).alias("docs")
-        )
-        self._put(0, counted)
+    def add(self, keyed: DataFrame, batches: int = 1) -> None:
+        """Count the keys of ``batches`` batches of ``line_keys`` rows into a run each.
+
+        One pass: rows are dealt to the batches by doc_id, and the runs are folders
+        of one written table.  Batches share no doc_id with one another or with
+        earlier ones.
+        """
+        keys = keys_of(keyed).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
+        # a row gives a key once; only where a doc_id has several rows must they be told apart
+        if keyed.groupBy("doc_id").count().filter("count > 1").isEmpty():
+            docs_of_key = F.count(F.lit(1))
+        else:
+            docs_of_key = F.count_distinct(F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("doc_id").isNull())
+        counted = keys.groupBy("batch", "h", "g").agg(docs_of_key.alias("docs"))
+        every = written(counted.sortWithinPartitions("batch", "h", "g"), "lines-0", "batch")
+        for k in range(batches):
+            self._put(0, every.filter(F.col("batch") == k).select("h", "g", "docs"), False)
 
     def compact(self, level: int) -> None:
         """Merge a level's runs into one run of the next."""
@@ -87,49 +113,52 @@ class LineRuns:
     def counts(self) -> DataFrame:
         return self._merged([run for level in self.levels for run in level])
 
-    def unseen(self, docs: DataFrame) -> DataFrame:
+    def unseen(self, keyed: DataFrame) -> DataFrame:
         """(doc_id, h, g) of the batch's keys that no run holds."""
-        keys = keys_of(docs, self.min_chars)
+        keys = keys_of(keyed)
         for run in (run for level in self.levels for run in level):
             keys = keys.join(run, ["h", "g"], "left_anti")
         return keys
 
 
-def repeated(docs: DataFrame, min_chars: int, min_docs: int, batches: int) -> DataFrame:
+def repeated(keyed: DataFrame, min_docs: int, batches: int) -> DataFrame:
     """(h, g) of the keys found in at least ``min_docs`` documents."""
-    runs = LineRuns(min_chars)
-    for k in range(batches):
-        part = docs if batches == 1 else docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k)
-        runs.add(part)
+    runs = LineRuns()
+    runs.add(keyed, batches)
     return written(runs.counts().filter(F.col("docs") >= min_docs).select("h", "g"), "repeated")
 
 
 def drop_lines(
-    docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES
+    docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES,
+    names: tuple[str, str, str] = ("kept", "n_lines", "n_dropped"),
 ) -> DataFrame:
-    """``docs`` with kept (the text without its repeated lines), n_lines and n_dropped."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    drop = repeated(rows, min_chars, min_docs, batches)
-    # documents that lose lines, found without moving texts: (row, keys to drop)
-    row = F.struct(F.col("doc_id"), F.xxhash64("doc_id", "text").alias("row_hash"))
+    """``docs`` with the text without its repeated lines, the number of its lines
+    and of those dropped, in the columns ``names``.
+
+    Texts are read twice, for the hashes of their lines and for the result; what
+    is counted and joined in between are hashes.
+    """
+    keyed = written(line_keys(docs, min_chars), "line-keys")
+    drop = repeated(keyed, min_docs, batches)
+    row = F.struct("doc_id", "row_hash")
     dropped = (
-        keys_of(rows.select(row.alias("doc_id"), "text"), min_chars)
-        .join(drop, ["h", "g"], "left_semi")
-        .groupBy("doc_id").agg(F.collect_set(F.struct("h", "g")).alias("_gone"))
-        .select(F.col("doc_id.doc_id").alias("_own"), F.col("doc_id.row_hash").alias("_own_hash"), "_gone")
+        keyed.select(row.alias("row"), F.posexplode("keys").alias("_at", "k")).filter("k is not null")
+        .select("row", "_at", "k.h", "k.g").join(drop, ["h", "g"], "left_semi")
+        .groupBy("row").agg(F.collect_set("_at").alias("_gone"))
+        .select(F.col("row.doc_id").alias("_own"), F.col("row.row_hash").alias("_own_hash"), "_gone")
     )
     doc_id = F.col("doc_id").cast("long")
     joined = docs.join(
         dropped, doc_id.eqNullSafe(F.col("_own")) & (F.xxhash64(doc_id, F.col("text")) == F.col("_own_hash")), "left"
     ).withColumn("_lines", lines_of(F.col("text")))
     gone = F.col("_gone")
-    kept = F.filter("_lines", lambda x: ~F.coalesce(F.array_contains(gone, hashes_of(x, min_chars)), F.lit(False)))
+    kept = F.filter("_lines", lambda _, at: ~F.array_contains(gone, at))
     return (
         joined.withColumn("_kept", F.when(gone.isNull(), F.col("_lines")).otherwise(kept))
         .withColumns({
-            "kept": F.array_join("_kept", "\n"),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dropped": (F.size("_lines") - F.size("_kept")).cast("long"),
+            names[0]: F.array_join("_kept", "\n"),
+            names[1]: F.size("_lines").cast("long"),
+            names[2]: (F.size("_lines") - F.size("_kept")).cast("long"),
         })
         .drop("_own", "_own_hash", "_gone", "_lines", "_kept")
     )
