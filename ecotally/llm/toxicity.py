@@ -20,6 +20,7 @@ from math import log, log1p
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +40,8 @@ QUOTES = "\"“”„«»‘’'"
 REPORTING = frozenset(
     "said says quoted quote called wrote writes told claimed reported sagte schrieb zitat dit écrit citation dijo escribió cita".split()
 )
+#: A term with more ordinary words than this within its edits must match exactly.
+NEIGHBOURS = 2
 #: Words whose verdict a task remembers.
 REMEMBERED = 400_000
 #: What a hit keeps of its weight per edit.
@@ -59,14 +62,14 @@ class FuzzyLexicon:
     without edits.
     """
 
-    def __init__(self, terms: dict[str, float]):
+    def __init__(self, terms: dict[str, float], exact: frozenset = frozenset()):
         self.children: list[dict[str, int]] = [{}]
-        self.ends: list[tuple[float, int, bool] | None] = [None]  # weight, edits allowed, is a stem
+        self.ends: list[tuple[float, int, bool, str] | None] = [None]  # weight, edits allowed, is a stem, term
         self.most: list[int] = [0]  # edits that any term below allows
         for term, weight in sorted(terms.items()):
             stem = term.endswith("*")
             word = term.rstrip("*")
-            allowed, node = 0 if stem else edits_allowed(word), 0
+            allowed, node = 0 if stem or term in exact else edits_allowed(word), 0
             for ch in word:
                 self.most[node] = max(self.most[node], allowed)
                 if ch not in self.children[node]:
@@ -77,7 +80,7 @@ class FuzzyLexicon:
                 node = self.children[node][ch]
             self.most[node] = max(self.most[node], allowed)
             if self.ends[node] is None or not stem:
-                self.ends[node] = (weight, allowed, stem)
+                self.ends[node] = (weight, allowed, stem, term)
         self.alphabet = {ch for c in self.children for ch in c}
         self._reset()
 
@@ -85,8 +88,8 @@ class FuzzyLexicon:
         self.states: list[frozenset] = []
         self.number: dict[frozenset, int] = {}
         self.step: list[dict[str, int]] = []
-        self.verdict: list[tuple[float, int] | None] = []
-        self.stem: list[tuple[float, int] | None] = []
+        self.verdict: list[tuple[float, int, str] | None] = []
+        self.stem: list[tuple[float, int, str] | None] = []
         self._state(self._closed({(0, 0)}))
 
     def _closed(self, pairs: set) -> frozenset:
@@ -107,10 +110,10 @@ class FuzzyLexicon:
         self.number[pairs] = k = len(self.states)
         self.states.append(pairs)
         self.step.append({})
-        full = [(-e, w) for n, e in pairs if (x := self.ends[n]) and not x[2] and e <= x[1] for w in [x[0]]]
-        stems = [w for n, e in pairs if (x := self.ends[n]) and x[2] and e == 0 for w in [x[0]]]
-        self.verdict.append((max(full)[1], -max(full)[0]) if full else None)
-        self.stem.append((max(stems), 0) if stems else None)
+        full = [(-e, x[0], x[3]) for n, e in pairs if (x := self.ends[n]) and not x[2] and e <= x[1]]
+        stems = [(x[0], x[3]) for n, e in pairs if (x := self.ends[n]) and x[2] and e == 0]
+        self.verdict.append((max(full)[1], -max(full)[0], max(full)[2]) if full else None)
+        self.stem.append((max(stems)[0], 0, max(stems)[1]) if stems else None)
         return k
 
     def _next(self, state: int, ch: str) -> int:
@@ -122,8 +125,8 @@ class FuzzyLexicon:
         closed = self._closed(pairs)
         return self._state(closed) if closed else -1
 
-    def match(self, word: str) -> tuple[float, int] | None:
-        """Weight and edits of the closest term, None if there is none."""
+    def match(self, word: str) -> tuple[float, int, str] | None:
+        """Weight and edits of the closest term, and the term; None if there is none."""
         if len(self.states) > 50_000:
             self._reset()
         state, stem = 0, None
@@ -182,7 +185,7 @@ def evidence(text: bytes, known: _Remembered) -> list[float]:
         found = known[m.group().encode().translate(LOWER)]
         if found is None:
             continue
-        weight = found[0] * KEPT_AN_EDIT ** found[1]
+        weight = found[0] * KEPT_AN_EDIT ** found[1]  # found: weight, edits, term
         if quotation(whole, m.start(), m.end()):
             quoted += weight
         else:
@@ -268,43 +271,49 @@ def learn_lexicon(rows: DataFrame, least_docs: int = LEAST_DOCS, least_odds: flo
     return {t: odds[t] for t in kept[:LEXICON]}
 
 
-def ordinary_words(rows: DataFrame, lexicon: dict[str, float]) -> frozenset:
-    """Words of clean training documents that only look like misspelled terms."""
-    schema = pa.schema([("term", pa.string()), ("n", pa.int64())])
+def neighbours(rows: DataFrame, lexicon: dict[str, float]) -> tuple[frozenset, frozenset]:
+    """Words of clean training documents that only look like misspelled terms, and
+    the terms that have more than ``NEIGHBOURS`` of them."""
+    schema = pa.schema([("word", pa.string()), ("term", pa.string())])
 
-    def counted(batches):
-        known, n = _Remembered(FuzzyLexicon(lexicon)), Counter()
+    def seen(batches):
+        known, found = _Remembered(FuzzyLexicon(lexicon)), {}
         for b in batches:
             for raw in b.column("text").to_pylist():
-                n.update(w for w in set(words_alnum(raw)) if (x := known[w]) and x[1])
-        yield batch(schema, term=[w.decode("utf-8", "replace").lower() for w in n], n=list(n.values()))
+                found.update((w, x[2]) for w in set(words_alnum(raw)) if (x := known[w]) and x[1])
+        yield batch(schema, word=[w.decode("utf-8", "replace").lower() for w in found], term=list(found.values()))
 
-    near = rows.filter("toxic = 0").select("text").mapInArrow(counted, "term string, n long")
-    return frozenset(r["term"] for r in near.select("term").distinct().collect())
+    near = rows.filter("toxic = 0").select("text").mapInArrow(seen, "word string, term string").distinct().collect()
+    often = Counter(r["term"] for r in near)
+    exact = frozenset(t for t, n in often.items() if n > NEIGHBOURS)
+    return frozenset(r["word"] for r in near if r["term"] not in exact), exact
 
 
 def _held_terms(rows: DataFrame, terms: frozenset) -> list[list[str]]:
-    """The terms that each toxic training document holds; bounded by the training rows."""
-    schema = pa.schema([("terms", pa.list_(pa.string()))])
+    """The terms that each toxic training document holds, documents with the same
+    words once; bounded by the training rows."""
+    schema = pa.schema([("words", pa.int64()), ("terms", pa.list_(pa.string()))])
 
     def held(batches):
         for b in batches:
-            yield batch(schema, terms=[sorted(terms & terms_of(set(words_alnum(t)))) for t in b.column("text").to_pylist()])
+            sets = [set(words_alnum(t)) for t in b.column("text").to_pylist()]
+            yield batch(
+                schema, words=[xxhash.xxh3_64_intdigest(b" ".join(sorted(w))) >> 1 for w in sets],
+                terms=[sorted(terms & terms_of(w)) for w in sets],
+            )
 
-    found = rows.filter("toxic = 1").select("text").mapInArrow(held, "terms array<string>")
-    return [r["terms"] for r in found.filter("size(terms) > 0").collect()]
+    found = rows.filter("toxic = 1").select("text").mapInArrow(held, "words long, terms array<string>")
+    return [r["terms"] for r in found.filter("size(terms) > 0").dropDuplicates(["words"]).collect()]
 
 
 def explaining(held: list[list[str]], odds: dict[str, float], least_docs: int) -> list[str]:
     """Terms that cover the documents greedily: next the one with most evidence
     in documents without a chosen term, while it is new to ``least_docs`` of them.
 
-    Words that stand beside a chosen term by chance, or in copies of one
-    document, explain nothing and stay out.  Copies count once.
+    Words that stand beside a chosen term by chance explain nothing and stay out.
     """
-    distinct = sorted({tuple(x) for x in held})
     where: dict[str, set[int]] = {}
-    for at, terms in enumerate(distinct):
+    for at, terms in enumerate(held):
         for t in terms:
             where.setdefault(t, set()).add(at)
     chosen: list[str] = []
@@ -321,12 +330,12 @@ def explaining(held: list[list[str]], odds: dict[str, float], least_docs: int) -
     return chosen
 
 
-def _features(rows: DataFrame, lexicon: dict[str, float], ordinary: frozenset, key: str, kind: str) -> DataFrame:
+def _features(rows: DataFrame, lexicon: dict[str, float], near: tuple[frozenset, frozenset], key: str, kind: str) -> DataFrame:
     arrow = pa.int64() if kind == "long" else pa.int32()
     schema = pa.schema([(key, arrow), ("features", pa.list_(pa.float64()))])
 
     def featured(batches):
-        known = _Remembered(FuzzyLexicon(lexicon), ordinary)
+        known = _Remembered(FuzzyLexicon(lexicon, near[1]), near[0])
         for b in batches:
             yield batch(schema, **{key: b.column(key), "features": [evidence(t, known) for t in b.column("text").to_pylist()]})
 
@@ -348,23 +357,23 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 40) ->
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[dict, frozenset, np.ndarray]:
-    """Lexicon, ordinary words and weights.  ``train_docs`` rows of a few numbers reach the driver."""
+def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[dict, tuple, np.ndarray]:
+    """Lexicon, its neighbours and weights.  ``train_docs`` rows of a few numbers reach the driver."""
     rows = training_rows(docs, labels, train_docs)
     lexicon = learn_lexicon(rows)
-    ordinary = ordinary_words(rows, lexicon)
-    seen = _features(rows, lexicon, ordinary, "toxic", "int").collect()
+    near = neighbours(rows, lexicon)
+    seen = _features(rows, lexicon, near, "toxic", "int").collect()
     if not seen:
-        return lexicon, ordinary, np.zeros(len(FEATURES) + 1)
-    return lexicon, ordinary, fit(np.array([r["features"] for r in seen]), np.array([r["toxic"] for r in seen], float))
+        return lexicon, near, np.zeros(len(FEATURES) + 1)
+    return lexicon, near, fit(np.array([r["features"] for r in seen]), np.array([r["toxic"] for r in seen], float))
 
 
-def score(docs: DataFrame, lexicon: dict[str, float], ordinary: frozenset, weights: np.ndarray) -> DataFrame:
+def score(docs: DataFrame, lexicon: dict[str, float], near: tuple[frozenset, frozenset], weights: np.ndarray) -> DataFrame:
     """Per row doc_id, features and score (0 to 1)."""
     w = [float(x) for x in weights]
     line = " + ".join(f"features[{i}] * {x!r}D" for i, x in enumerate(w[:-1]))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes())
-    return _features(rows, lexicon, ordinary, "doc_id", "long").withColumn(
+    return _features(rows, lexicon, near, "doc_id", "long").withColumn(
         "score", F.expr(f"1D / (1D + exp(-({line} + {w[-1]!r}D)))")
     )
 
