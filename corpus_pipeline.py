@@ -26,17 +26,18 @@ LEAST_LANGUAGE_SCORE = 0.15
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: documents in no known language go; an unknown lang is filled in."""
-    found = language.identify(docs, language.train(docs))
-    kept = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+    found = language.identify(docs, language.train(docs), names=("_lang", "_score"))
+    kept = found.filter((F.col("_lang") != "und") & (F.col("_score") >= LEAST_LANGUAGE_SCORE))
+    return kept.withColumn("lang", F.coalesce("lang", "_lang")).select(docs.columns)
 
 
 def unrepeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: lines found in many documents go from all of them."""
-    found = linededup.drop_lines(docs)
+    found = linededup.drop_lines(docs, names=("_text", "_lines_before", "_dropped"))
+    changed = F.col("_dropped") > 0
     return found.withColumns({
-        "text": F.when(F.col("n_dropped") > 0, F.col("kept")).otherwise(F.col("text")),
-        "n_chars": F.when(F.col("n_dropped") > 0, F.char_length("kept").cast("long")).otherwise(F.col("n_chars")),
+        "text": F.when(changed, F.col("_text")).otherwise(F.col("text")),
+        "n_chars": F.when(changed, F.char_length("_text").cast("long")).otherwise(F.col("n_chars")),
     }).select(docs.columns)
 
 
@@ -55,7 +56,7 @@ def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: doc_id, lang, source, the piece ids, their number, and whether decoding gives the text back."""
     rows = docs.select("doc_id", "lang", "source", "text")
-    both = pieces.decode(pieces.encode(rows))
+    both = pieces.encode_decode(rows)
     same = F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit(pieces.SPACE), F.lit(" "))
     return both.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_pieces"), same.alias("round_trip"))
 

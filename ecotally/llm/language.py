@@ -147,15 +147,18 @@ class Profiles:
         return self.langs[best], float(1 - min(1.0, distance[best]))
 
 
-def identify(docs: DataFrame, profiles: dict[str, np.ndarray], length: int = PROFILE) -> DataFrame:
-    """``docs`` with lang_pred and score: 1 less the share of the worst distance, 0 to 1."""
+def identify(
+    docs: DataFrame, profiles: dict[str, np.ndarray], length: int = PROFILE, names: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """``docs`` with the predicted language and its score (1 less the share of the
+    worst distance, 0 to 1) in the columns ``names``."""
     model = Profiles(profiles, length)
 
     def fill(part):
         pairs = [model.predict(raw) for raw in utf8(part.column("text"))]
         return [pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.float64())]
 
-    return appended(docs, {"lang_pred": T.StringType(), "score": T.DoubleType()}, fill)
+    return appended(docs, dict(zip(names, (T.StringType(), T.DoubleType()))), fill)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
