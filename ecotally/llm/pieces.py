@@ -3,16 +3,15 @@
 The transducer is the composition of three machines compiled from the model:
 the normaliser (spaces become U+2581, one stands before a non-empty text), the
 pieces (a trie, one arc per piece), and byte fallback (a character without a
-piece becomes the pieces of its UTF-8 bytes, at a cost above any path of
-pieces).  Composed with a text it is a lattice over the text's positions, and
+piece becomes the pieces of its UTF-8 bytes, the only arc there is then).  Composed with a text it is a lattice over the text's positions, and
 the encoding is its shortest path in the tropical semiring.
 
 The model at hand is a BPE model, whose result no sum of piece scores
 describes.  What describes it is which pieces may stand side by side: a
 sequence of pieces is the model's result exactly if merging each adjacent pair's
 characters anew gives that pair back.  So the machine's states are last pieces,
-arcs between pieces that fail this test weigh infinity, and of the finite paths
-the least cost wins (the tests compare with the library, id by id).
+and arcs between pieces that fail this test weigh infinity: one finite path is
+left (the tests compare with the library, id by id).
 
 No piece spans the place before a run of U+2581 or beside a character that
 occurs in no longer piece, so the lattice falls into units there; paths of
@@ -37,9 +36,8 @@ from .common import appended, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Units and pairs that a worker remembers, and the longest unit remembered.
-REMEMBERED, REMEMBERED_PAIRS, LONGEST = 300_000, 2_000_000, 48
-BYTE_COST = 1e6
+#: Units (twice as many) and pairs that a worker remembers, and the longest unit remembered.
+REMEMBERED, REMEMBERED_PAIRS, LONGEST = 150_000, 400_000, 48
 
 
 def read_model(path: str = MODEL) -> dict:
@@ -83,6 +81,7 @@ class Transducer:
         self.units = re.compile(rf"{SPACE}*[{inner}]+|{SPACE}+|.", re.S).findall if inner else re.compile(".", re.S).findall
         self.pairs: dict[tuple[int, int], bool] = {}
         self.paths: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # the generation before; what is met again moves up
         self.surface = [
             b"" if i in set(model["special"]) else p.replace(SPACE, " ").encode() for i, p in enumerate(self.text)
         ]
@@ -114,40 +113,69 @@ class Transducer:
         return known
 
     def shortest_path(self, unit: str) -> list[int]:
-        """Ids on the shortest path through the lattice of a unit."""
-        n = len(unit)
-        cost: list[float] = [0.0] + [float("inf")] * n
-        back: list[tuple[int, list[int]] | None] = [None] * (n + 1)
-        last = [-1] * (n + 1)  # the state: last piece, -1 at the start and behind bytes
-        for p in range(n):
-            here = cost[p]
-            if here == float("inf"):
-                continue
-            node, state = self.trie, last[p]
-            for q in range(p, n):
-                node = node.get(unit[q])
-                if node is None:
+        """Ids on the shortest path through the lattice of a unit.
+
+        Depth first, longest piece first.  A place has one finite path from the
+        start at most (the model's own result for the text before it), so a place
+        that leads nowhere is closed for good and the first complete path is the
+        shortest.
+        """
+        n, trie, pairs = len(unit), self.trie, self.pairs
+        out: list[tuple[int, list[int] | int]] = []  # (place before, piece or bytes)
+        open_arcs: list[list[tuple[int, int]]] = []
+        closed: set[int] = set()
+        p, last, arcs = 0, -1, None
+        while p < n:
+            if arcs is None:
+                node, arcs = trie, []
+                for q in range(p, n):
+                    node = node.get(unit[q])
+                    if node is None:
+                        break
+                    t = node.get("")
+                    if t is not None:
+                        arcs.append((q + 1, t))
+                if unit[p] not in trie or trie[unit[p]].get("") is None:
+                    # byte fallback: no piece covers the character, so no cheaper path does
+                    arcs.append((p + 1, -1))
+            while arcs:
+                q, t = arcs.pop()
+                if q in closed:
+                    continue
+                if t < 0 or last < 0:
+                    break
+                fits = pairs.get((last, t))
+                if fits or fits is None and self.side_by_side(last, t):
                     break
-                t = node.get("")
-                if t is not None and here + 1 < cost[q + 1] and (state < 0 or self.side_by_side(state, t)):
-                    cost[q + 1], back[q + 1], last[q + 1] = here + 1, (p, [t]), t
-            if unit[p] not in self.id:
-                coded = [self.bytes.get(b, self.unknown) for b in unit[p].encode("utf-8", "surrogatepass")]
-                if here + BYTE_COST < cost[p + 1]:
-                    cost[p + 1], back[p + 1], last[p + 1] = here + BYTE_COST, (p, coded), -1
-        out: list[list[int]] = []
-        while n:
-            n, ids = back[n]
-            out.append(ids)
-        return [i for ids in reversed(out) for i in ids]
+            else:
+                closed.add(p)
+                if not out:
+                    raise ValueError(f"no path through {unit!r}")
+                p, _ = out.pop()
+                arcs = open_arcs.pop()
+                last = out[-1][1] if out and isinstance(out[-1][1], int) else -1
+                continue
+            if t < 0:
+                out.append((p, [self.bytes.get(x, self.unknown) for x in unit[p].encode("utf-8", "surrogatepass")]))
+            else:
+                out.append((p, t))
+            open_arcs.append(arcs)
+            p, last, arcs = q, t, None
+        ids: list[int] = []
+        for _, x in out:
+            if isinstance(x, int):
+                ids.append(x)
+            else:
+                ids += x
+        return ids
 
     def path(self, unit: str) -> bytes:
         found = self.paths.get(unit)
         if found is None:
-            found = array("i", self.shortest_path(unit)).tobytes()
+            found = self.older.get(unit) or array("i", self.shortest_path(unit)).tobytes()
             if len(unit) <= LONGEST:
                 if len(self.paths) >= REMEMBERED:
-                    self.paths.clear()
+                    self.paths, self.older = {}, self.paths
                 self.paths[unit] = found
         return found
 
@@ -155,13 +183,12 @@ class Transducer:
         """The text's ids as 32-bit integers in native byte order."""
         if not text:
             return b""
-        units = self.units(SPACE + text.replace(" ", SPACE))
-        paths, path = self.paths, self.path
-        return b"".join([paths.get(u) or path(u) for u in units])
+        known, path = self.paths.get, self.path
+        return b"".join([known(u) or path(u) for u in self.units(SPACE + text.replace(" ", SPACE))])
 
     def decode(self, ids: list[int]) -> str:
         surface, n = self.surface, len(self.surface)
-        text = b"".join([surface[i] if i is not None and 0 <= i < n else b"" for i in ids]).decode("utf-8", "replace")
+        text = b"".join([surface[i] if 0 <= i < n else b"" for i in ids]).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 
@@ -193,15 +220,30 @@ def decode(df: DataFrame, model: str = MODEL, ids: str = "ids", text: str = "dec
     def fill(part):
         machine = _machine(sent)
         column = part.column(ids)
-        values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+        values, ends = column.values.fill_null(-1).to_numpy(), column.offsets.to_numpy()
         return [pa.array([machine.decode(values[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:])], pa.string())]
 
     return appended(df, {text: T.StringType()}, fill)
 
 
+def encode_decode(df: DataFrame, model: str = MODEL, text: str = "text", ids: str = "ids", back: str = "decoded") -> DataFrame:
+    """``encode``, then ``decode`` into the column ``back``, in one pass."""
+    sent = df.sparkSession.sparkContext.broadcast({"model": read_model(model)})
+
+    def fill(part):
+        machine = _machine(sent)
+        coded = [machine.encode(t or "") for t in part.column(text).to_pylist()]
+        values = np.frombuffer(b"".join(coded), np.int32)
+        ends = np.cumsum([0, *(len(c) // 4 for c in coded)]).astype(np.int32)
+        texts = [machine.decode(values[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:])]
+        return [pa.ListArray.from_arrays(pa.array(ends), pa.array(values)), pa.array(texts, pa.string())]
+
+    return appended(df, {ids: T.ArrayType(T.IntegerType()), back: T.StringType()}, fill)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    both = decode(encode(docs))
+    both = encode_decode(docs)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_pieces"),
