@@ -40,7 +40,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -127,6 +127,12 @@ class _Rounds:
         self.schema = df.schema
         return self.part(k)
 
+    def write_counted(self, k: int, df: DataFrame) -> tuple[DataFrame, int]:
+        """``write``, with the number of rows observed while they were written."""
+        seen = Observation()
+        part = self.write(k, df.observe(seen, F.count(F.lit(1)).alias("rows")))
+        return part, seen.get["rows"]
+
     def part(self, k: int) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/{self.number}={k}")
 
@@ -169,19 +175,18 @@ def hierarchy(edges: DataFrame, max_depth: int | None = None) -> Hierarchy:
     path = scratch_path(spark, "edges")
     edges.filter(F.col("tenantid").isNotNull() & F.col("entityid").isNotNull()).write.parquet(path)
     edges = spark.read.schema(edges.schema).parquet(path)
-    able = rounds.write(1, edges.select("tenantid", "entityid").distinct())
-    count, k = able.count(), 1
+    able, count = rounds.write_counted(1, edges.select("tenantid", "entityid").distinct())
+    k = 1
     depth = 0
     while count:
         if max_depth is not None and k > max_depth:
             raise HierarchyCycleError(f"hierarchy deeper than max_depth={max_depth}")
         depth = k
         above = able.select("tenantid", F.col("entityid").alias("parententityid"))
-        able = rounds.write(
+        able, left = rounds.write_counted(
             k + 1,
             edges.join(above, ["tenantid", "parententityid"], "left_semi").select("tenantid", "entityid").distinct(),
         )
-        left = able.count()
         if left == count:
             raise HierarchyCycleError(f"{left} entities on or below a cycle")
         count, k = left, k + 1
