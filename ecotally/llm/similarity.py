@@ -33,7 +33,7 @@ Verification
 
 Hot units
     Units are cut into blocks.  In the first round a block meets itself and the
-    first block; in the second, classes outside the unit's least component meet
+    first block; in the second, classes outside the unit's largest component meet
     it and one another in pairs of blocks, while that component, which in a
     large group of copies holds most classes, does not meet itself.
 
@@ -312,11 +312,11 @@ def _first_blocks(rows: DataFrame) -> DataFrame:
 
 
 def _other_blocks(rows: DataFrame) -> DataFrame:
-    """(x, y, side) of rows with ``least``, ``major`` and ``minor`` (classes in and
-    outside the least component): blocks of minor classes meet one another and
-    the blocks of major ones (numbered behind them)."""
-    p, q = f"cast(ceil(minor / {BLOCK}) as int)", f"cast(ceil(major / {BLOCK}) as int)"
-    rows = rows.withColumns({"p": F.expr(p), "q": F.expr(q), "is_major": F.expr("comp = least")}).withColumn(
+    """(x, y, side) of rows with ``main`` (the unit's largest component) and ``major``
+    (its classes): blocks of other classes meet one another and the blocks of
+    major ones (numbered behind them)."""
+    p, q = f"cast(ceil((size - major) / {BLOCK}) as int)", f"cast(ceil(major / {BLOCK}) as int)"
+    rows = rows.withColumns({"p": F.expr(p), "q": F.expr(q), "is_major": F.expr("comp = main")}).withColumn(
         "block", F.expr("cast(pmod(xxhash64(cid), if(is_major, q, p)) as int)")
     )
     majors = "transform(sequence(0, p - 1), k -> struct(k as x, p + block as y, 1 as side))"
@@ -329,16 +329,17 @@ def _other_blocks(rows: DataFrame) -> DataFrame:
 
 def _candidates(own: DataFrame, classes: DataFrame, scratch: Scratch, every: bool) -> DataFrame:
     """Candidate pairs (a, b) of the classes ``own`` (cid, comp, sent)."""
-    units = scratch.table(
-        _places(own).groupBy("token")
-        .agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("least"), F.max("comp").alias("most"))
-        .filter("least != most").select("token", "size", "least"),
-        "units",
-    )
-    rows = scratch.table(_places(own, SlotMap(units, "token")).join(units, "token"), "places")
+    if every:  # the component with most classes of the unit need not meet itself
+        held = (
+            _places(own).groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"))
+            .groupBy("token").agg(F.sum("n").alias("size"), F.max(F.struct("n", "comp")).alias("most"), F.count(F.lit(1)).alias("comps"))
+            .filter("comps > 1").select("token", "size", F.col("most.comp").alias("main"), F.col("most.n").alias("major"))
+        )
+    else:
+        held = _places(own).groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    units = scratch.table(held, "units")
+    rows = _places(own, SlotMap(units, "token")).join(units, "token")
     if every:
-        sides = rows.groupBy("token").agg(F.count_if(F.col("comp") != F.col("least")).alias("minor"))
-        rows = rows.join(sides, "token").withColumn("major", F.expr("size - minor"))
         body = classes.select("cid", "n", "bits", F.col("sent").alias("all"))
         # with what the class was sent to before this unit
         rows = _other_blocks(rows).join(body, "cid").withColumn("before", F.expr("substring(all, 1, rank * 8)")).drop("all")
@@ -394,7 +395,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str) ->
         .mapInArrow(_linked, "a long, b long"),
         name,
     )
-    scratch.drop("sets", "pairs", "units", "places")
+    scratch.drop("sets", "pairs", "units")
     return links
 
 
