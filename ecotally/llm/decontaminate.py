@@ -5,8 +5,9 @@ share of an item's five-word shingles stands in the document.  Items are
 partitioned by size.  An item of n shingles keeps the ``n - needed + 1``
 smallest of their hashes, where ``needed`` shingles make up the threshold: a
 document that contains the item must hold one of these minima, whatever it
-misses, so the search loses nothing; per partition the sketch grows with the
-size class only.  Each candidate is then verified by exact shingle containment.
+misses, so the search loses nothing; partitions that need more shingles than a
+document has are skipped.  Each candidate is then verified by exact shingle
+containment.
 
 Documents are never shuffled: the sketches of a block of items travel to them,
 at most ``BLOCK`` hashes at a time.  Words are lower-cased runs of letters and
@@ -38,36 +39,41 @@ def needed(n: int, containment: float) -> int:
 
 
 class ItemIndex:
-    """Sketches and full shingle sets of a block of items."""
+    """Sketches, by size partition, and full shingle sets of a block of items.
+
+    A partition holds the items of one shingle length whose sizes share a power
+    of two.  Its sketches (the least hashes of each item, ``size - needed + 1`` of
+    them) stand in one sorted table; a document with fewer shingles than any of
+    its items needs skips it.  A bitmap over all tables lets most shingles pass by.
+    """
 
     def __init__(self, items: list[tuple[int, int, np.ndarray]], containment: float = CONTAINMENT):
         """items: (item number, shingle length, distinct sorted shingle hashes)."""
         self.items = items
-        self.lengths = sorted({k for _, k, _ in items})
         self.need = [needed(len(h), containment) for _, _, h in items]
-        by_size: dict[int, list[int]] = {}
-        for at, (_, _, h) in enumerate(items):
-            by_size.setdefault(int(len(h)).bit_length(), []).append(at)
-        hashes, owners = [], []
-        for members in by_size.values():  # a size partition shares the sketch rule, not the sketch
-            for at in members:
-                h = items[at][2]
-                sketch = h[: len(h) - self.need[at] + 1]
-                hashes.append(sketch)
-                owners.append(np.full(len(sketch), at))
-        order = np.argsort(h := np.concatenate(hashes or [np.empty(0, np.uint64)]), kind="stable")
-        self.hashes, self.owners = h[order], np.concatenate(owners or [np.empty(0, np.int64)])[order]
-        bits = max(10, min(24, int(len(h) * 16).bit_length()))
+        members: dict[tuple[int, int], list[int]] = {}
+        for at, (_, k, h) in enumerate(items):
+            members.setdefault((k, int(len(h)).bit_length()), []).append(at)
+        self.parts: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
+        for (k, _), own in sorted(members.items()):
+            sketches = [items[at][2][: len(items[at][2]) - self.need[at] + 1] for at in own]
+            owners = np.repeat(own, [len(x) for x in sketches])
+            order = np.argsort(hashes := np.concatenate(sketches), kind="stable")
+            least = min(self.need[at] for at in own)
+            self.parts.setdefault(k, []).append((least, hashes[order], owners[order]))
+        tables = [t[1] for parts in self.parts.values() for t in parts]
+        bits = max(10, min(24, int(sum(map(len, tables)) * 16).bit_length()))
         self.shift = np.uint64(64 - bits)
         self.maybe = np.zeros(1 << bits, bool)
-        self.maybe[(self.hashes >> self.shift).astype(np.int64)] = True
+        for t in tables:
+            self.maybe[(t >> self.shift).astype(np.int64)] = True
 
     def search(self, words: list[bytes]):
         """``(position in the block, shared shingles)`` of every item contained."""
         if not words or not self.items:
             return
         h = hash_words(words)
-        for k in self.lengths:
+        for k, parts in self.parts.items():
             n = len(h) - k + 1
             if n < 1:
                 continue
@@ -76,21 +82,20 @@ class ItemIndex:
                 s += h[i : i + n] * PLACE[i]
             s = mix64(s + np.uint64(k))
             hits = s[self.maybe[(s >> self.shift).astype(np.int64)]]
-            if not len(hits):
-                continue
-            lo = np.searchsorted(self.hashes, hits, "left")
-            hi = np.searchsorted(self.hashes, hits, "right")
-            candidates = {int(o) for a, b in zip(lo[hi > lo], hi[hi > lo]) for o in self.owners[a:b]}
+            candidates: set[int] = set()
+            for least, hashes, owners in parts if len(hits) else ():
+                if n >= least:
+                    lo, hi = np.searchsorted(hashes, hits, "left"), np.searchsorted(hashes, hits, "right")
+                    candidates.update(int(o) for a, b in zip(lo[hi > lo], hi[hi > lo]) for o in owners[a:b])
             if not candidates:
                 continue
             own = np.unique(s)
             for at in sorted(candidates):
-                _, length, item = self.items[at]
-                if length == k:
-                    pos = np.minimum(np.searchsorted(own, item), len(own) - 1)
-                    shared = int((own[pos] == item).sum())
-                    if shared >= self.need[at]:
-                        yield at, shared
+                item = self.items[at][2]
+                pos = np.minimum(np.searchsorted(own, item), len(own) - 1)
+                shared = int((own[pos] == item).sum())
+                if shared >= self.need[at]:
+                    yield at, shared
 
 
 def item_blocks(items: DataFrame, block: int = BLOCK):
