@@ -185,7 +185,7 @@ def _possible(a, b, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarra
     fits = (5 * hi_a[i] >= 4 * lo_b[j]) & (5 * hi_b[j] >= 4 * lo_a[i])
     most = np.zeros(len(i), np.int64)
     at = np.flatnonzero(fits)
-    step = max(1, (1 << 22) // w_a.shape[1])
+    step = max(1, (1 << 19) // w_a.shape[1])
     for k in range(0, len(at), step):
         p = at[k : k + step]
         both = np.bitwise_count(w_a[i[p]] & w_b[j[p]]).sum(axis=1, dtype=np.int64)
@@ -367,16 +367,18 @@ def _whole(wanted: SlotMap):
 
 
 def _linked(batches):
-    for b in batches:
-        keep = []
-        for x, y in zip(b.column("set_a").to_pylist(), b.column("set_b").to_pylist()):
-            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            if len(p) > len(q):
-                p, q = q, p
-            both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
-            keep.append(100 * both >= 80 * (len(p) + len(q) - both))
-        keep = np.array(keep, bool)
-        yield batch(_PAIR, a=b.column("a").to_numpy()[keep], b=b.column("b").to_numpy()[keep])
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 500):
+            b = whole.slice(lo, 500)
+            keep = []
+            for x, y in zip(b.column("set_a").to_pylist(), b.column("set_b").to_pylist()):
+                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                if len(p) > len(q):
+                    p, q = q, p
+                both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
+                keep.append(100 * both >= 80 * (len(p) + len(q) - both))
+            keep = np.array(keep, bool)
+            yield batch(_PAIR, a=b.column("a").to_numpy()[keep], b=b.column("b").to_numpy()[keep])
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
