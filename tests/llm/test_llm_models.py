@@ -167,6 +167,23 @@ def test_html_template_slot_without_article(spark):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+def test_html_keeps_every_open_element(spark):
+    """Thousands of tags that are never closed, and deep nesting."""
+    many = "".join(f"<a name=x><div>text {i}</div>" for i in range(3000))
+    body = f"<article>{many}<nav><p>menu</p></nav><p>end</p></article><p>outside</p>"
+    assert html.main_text(body).split("\n") == [f"text {i}" for i in range(3000)] + ["end"]
+    deep = "<div>" * 3000 + "<aside><p>side</p></aside><article>deepest</article>" + "</div>" * 3000
+    assert html.main_text(deep) == "deepest"
+    rows, want = [], {}
+    for i in range(8):
+        text = [f"page {i} block {k}" for k in range(700)]
+        body = "<div id=main>" + "".join(f"<font size=2><div>{t}</div>" for t in text) + f"</div><div id=rest>own {i}</div>"
+        rows.append((i, f"https://deep.example.com/{i}", page(i, body)))
+        want[i] = "\n".join(text)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html.extract(pages.repartition(3)).collect()} == want
+
+
 def test_html_query_gives_articles(spark):
     rows = html.query(spark, SF).collect()
     assert len(rows) == 250 and all(r["n_chars"] == len(r["text"]) for r in rows)
