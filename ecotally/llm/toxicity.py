@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from math import log, log1p
+from math import exp, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +40,8 @@ QUOTES = "\"“”„«»‘’'"
 REPORTING = frozenset(
     "said says quoted quote called wrote writes told claimed reported sagte schrieb zitat dit écrit citation dijo escribió cita".split()
 )
-#: A term with more ordinary words than this within its edits must match exactly.
-NEIGHBOURS = 2
+#: Labelled misspellings that a term's own odds count for in the weight of its misspellings.
+PRIOR_HITS = 1.0
 #: Words whose verdict a task remembers.
 REMEMBERED = 400_000
 #: What a hit keeps of its weight per edit.
@@ -59,17 +59,19 @@ class FuzzyLexicon:
 
     A state is a set of (trie node, edits spent); transitions are computed once
     and kept.  Terms ending in ``*`` match every word that begins with them,
-    without edits.
+    without edits.  ``fuzzy`` has the weights of misspelled terms, a term's own if
+    it is not there; a misspelling that weighs nothing is no match.
     """
 
-    def __init__(self, terms: dict[str, float], exact: frozenset = frozenset()):
+    def __init__(self, terms: dict[str, float], fuzzy: dict[str, float] | None = None):
         self.children: list[dict[str, int]] = [{}]
-        self.ends: list[tuple[float, int, bool, str] | None] = [None]  # weight, edits allowed, is a stem, term
+        # weight, edits allowed, is a stem, term, weight misspelled
+        self.ends: list[tuple[float, int, bool, str, float] | None] = [None]
         self.most: list[int] = [0]  # edits that any term below allows
         for term, weight in sorted(terms.items()):
             stem = term.endswith("*")
             word = term.rstrip("*")
-            allowed, node = 0 if stem or term in exact else edits_allowed(word), 0
+            allowed, node = 0 if stem else edits_allowed(word), 0
             for ch in word:
                 self.most[node] = max(self.most[node], allowed)
                 if ch not in self.children[node]:
@@ -80,7 +82,7 @@ class FuzzyLexicon:
                 node = self.children[node][ch]
             self.most[node] = max(self.most[node], allowed)
             if self.ends[node] is None or not stem:
-                self.ends[node] = (weight, allowed, stem, term)
+                self.ends[node] = (weight, allowed, stem, term, (fuzzy or {}).get(term, weight))
         self.alphabet = {ch for c in self.children for ch in c}
         self._reset()
 
@@ -110,7 +112,10 @@ class FuzzyLexicon:
         self.number[pairs] = k = len(self.states)
         self.states.append(pairs)
         self.step.append({})
-        full = [(-e, x[0], x[3]) for n, e in pairs if (x := self.ends[n]) and not x[2] and e <= x[1]]
+        full = [
+            (-e, x[4] if e else x[0], x[3]) for n, e in pairs
+            if (x := self.ends[n]) and not x[2] and e <= x[1] and (not e or x[4] > 0)
+        ]
         stems = [(x[0], x[3]) for n, e in pairs if (x := self.ends[n]) and x[2] and e == 0]
         self.verdict.append((max(full)[1], -max(full)[0], max(full)[2]) if full else None)
         self.stem.append((max(stems)[0], 0, max(stems)[1]) if stems else None)
@@ -271,22 +276,45 @@ def learn_lexicon(rows: DataFrame, least_docs: int = LEAST_DOCS, least_odds: flo
     return {t: odds[t] for t in kept[:LEXICON]}
 
 
-def neighbours(rows: DataFrame, lexicon: dict[str, float]) -> tuple[frozenset, frozenset]:
-    """Words of clean training documents that only look like misspelled terms, and
-    the terms that have more than ``NEIGHBOURS`` of them."""
-    schema = pa.schema([("word", pa.string()), ("term", pa.string())])
+def neighbours(rows: DataFrame, lexicon: dict[str, float]) -> tuple[frozenset, frozenset, dict[str, float]]:
+    """Words of clean training documents that only look like misspelled terms, those
+    of them that several clean documents have, and the weights of misspelled terms.
+
+    A weight is the log odds of the misspellings that a document would show if it
+    alone had not been seen: words of no other clean document.  The term's own odds
+    count for ``PRIOR_HITS`` of them.
+    """
+    schema = pa.schema([("word", pa.string()), ("term", pa.string()), ("toxic", pa.int64()), ("n", pa.int64())])
 
     def seen(batches):
-        known, found = _Remembered(FuzzyLexicon(lexicon)), {}
+        known, found = _Remembered(FuzzyLexicon(lexicon)), Counter()
         for b in batches:
-            for raw in b.column("text").to_pylist():
-                found.update((w, x[2]) for w in set(words_alnum(raw)) if (x := known[w]) and x[1])
-        yield batch(schema, word=[w.decode("utf-8", "replace").lower() for w in found], term=list(found.values()))
-
-    near = rows.filter("toxic = 0").select("text").mapInArrow(seen, "word string, term string").distinct().collect()
-    often = Counter(r["term"] for r in near)
-    exact = frozenset(t for t, n in often.items() if n > NEIGHBOURS)
-    return frozenset(r["word"] for r in near if r["term"] not in exact), exact
+            for raw, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
+                found.update({(w.lower(), x[2], toxic) for w in set(words_alnum(raw)) if (x := known[w]) and x[1]})
+        yield batch(
+            schema, word=[w.decode("utf-8", "replace").lower() for w, _, _ in found], term=[t for _, t, _ in found],
+            toxic=[y for _, _, y in found], n=list(found.values()),
+        )
+
+    docs, hits = Counter(), Counter()
+    looks = (
+        rows.mapInArrow(seen, "word string, term string, toxic long, n long")
+        .groupBy("word", "term", "toxic").agg(F.sum("n").alias("n")).collect()
+    )
+    for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect():
+        docs[int(r["toxic"] == 1)] += r["n"]
+    clean = {r["word"]: r["n"] for r in looks if r["toxic"] == 0}
+    for r in looks:
+        if r["toxic"] == 1 and r["word"] not in clean:
+            hits[r["term"], 1] += r["n"]
+        elif r["toxic"] == 0 and r["n"] == 1:
+            hits[r["term"], 0] += 1
+    base, fuzzy = (docs[1] + 1) / (docs[0] + 1), {}
+    for term in {t for t, _ in hits}:
+        share = 1 / (1 + exp(-lexicon[term]) / base)  # of toxic documents among the term's own
+        odds = (hits[term, 1] + PRIOR_HITS * share) / (hits[term, 0] + PRIOR_HITS * (1 - share))
+        fuzzy[term] = min(lexicon[term], log(odds / base))
+    return frozenset(clean), frozenset(w for w, n in clean.items() if n > 1), fuzzy
 
 
 def _held_terms(rows: DataFrame, terms: frozenset) -> list[list[str]]:
@@ -330,14 +358,24 @@ def explaining(held: list[list[str]], odds: dict[str, float], least_docs: int) -
     return chosen
 
 
-def _features(rows: DataFrame, lexicon: dict[str, float], near: tuple[frozenset, frozenset], key: str, kind: str) -> DataFrame:
+def _features(
+    rows: DataFrame, lexicon: dict[str, float], near: tuple[frozenset, frozenset, dict[str, float]], key: str, kind: str
+) -> DataFrame:
     arrow = pa.int64() if kind == "long" else pa.int32()
     schema = pa.schema([(key, arrow), ("features", pa.list_(pa.float64()))])
+    training = key == "toxic"
+    common, several, fuzzy = near
 
     def featured(batches):
-        known = _Remembered(FuzzyLexicon(lexicon, near[1]), near[0])
+        fuzzily = FuzzyLexicon(lexicon, fuzzy)
+        known = _Remembered(fuzzily, common)
+        # a clean training document is read as if its own words had not made the list
+        own = _Remembered(fuzzily, several) if training else known
         for b in batches:
-            yield batch(schema, **{key: b.column(key), "features": [evidence(t, known) for t in b.column("text").to_pylist()]})
+            rows = zip(b.column(key).to_pylist(), b.column("text").to_pylist())
+            yield batch(schema, **{
+                key: b.column(key), "features": [evidence(t, own if training and k == 0 else known) for k, t in rows]
+            })
 
     return rows.select(key, "text").mapInArrow(featured, f"{key} {kind}, features array<double>")
 
@@ -368,7 +406,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> t
     return lexicon, near, fit(np.array([r["features"] for r in seen]), np.array([r["toxic"] for r in seen], float))
 
 
-def score(docs: DataFrame, lexicon: dict[str, float], near: tuple[frozenset, frozenset], weights: np.ndarray) -> DataFrame:
+def score(docs: DataFrame, lexicon: dict[str, float], near: tuple[frozenset, frozenset, dict[str, float]], weights: np.ndarray) -> DataFrame:
     """Per row doc_id, features and score (0 to 1)."""
     w = [float(x) for x in weights]
     line = " + ".join(f"features[{i}] * {x!r}D" for i, x in enumerate(w[:-1]))

@@ -79,6 +79,25 @@ def test_toxicity_learns_misspellings_and_quotations(spark):
     assert toxicity.score(docs(spark, []), *model).count() == 0
 
 
+def test_toxicity_misspellings_of_terms_with_ordinary_neighbours(spark):
+    """Ordinary words beside a term are no misspellings, and leave the others of it alone;
+    a term that unseen clean words look like weighs little when misspelled."""
+    rnd = random.Random(7)
+    rows, labels = [], []
+    for i in range(1200):
+        toxic = i % 5 == 1
+        own = rnd.choice(["clown", "qwertasdf"]) if toxic else rnd.choice(["crown", "blown", "flown", "cloan", "clowd"])
+        if not toxic and i % 5 == 2:  # a word that no other document has
+            own = "".join("qwertasdf"[:k] + c + "qwertasdf"[k + 1 :] for k, c in [(i % 9, chr(0x100 + i))])
+        rows.append((i, f"{prose(rnd, 12)} {own} {prose(rnd, 12)}"))
+        labels.append((i, int(toxic)))
+    model = toxicity.train(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert set(model[0]) >= {"clown", "qwertasdf"}
+    test = ["clown", "klown", "cloown", "clwn", "qwertasdf", "crown", "blown", "flown", "clowd", "qwertusdf", "w5"]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs(spark, [(i, f"{prose(rnd, 12)} {w} w1") for i, w in enumerate(test)]), *model).collect()}
+    assert [got[i] >= 0.5 for i in range(len(test))] == [True] * 5 + [False] * 6
+
+
 def test_toxicity_query_on_the_given_labels(spark):
     rows = toxicity.query(spark, "/root/testdata/sf0.1").collect()
     marks = {r["doc_id"]: r["toxic"] for r in table(spark, "/root/testdata/sf0.1", "labels").collect()}
