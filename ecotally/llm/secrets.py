@@ -36,6 +36,7 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 LEAST = 16
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 ORDINARY = re.compile(r"[A-Za-z0-9+/_=-]{4,}")
+PIECE = re.compile(r"[A-Za-z0-9]+")
 #: Documents (about) that the two models are trained on.
 TRAIN_DOCS = 20_000
 #: Mean log-likelihood ratio per character from which a run counts as random.
@@ -123,21 +124,57 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> np.ndarray:
     return ratio.ravel()
 
 
+def random_parts(s: str, ratio: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Parts of a run, of ``LEAST`` characters or more, whose mean ratio reaches ``least``:
+    the whole run, or else the pieces between joiners, one or several in a row, that
+    exceed it most, and so on beside them.  Joiners within such a part speak for
+    neither side, and each piece starts anew."""
+    if ratio[transitions(s)].mean() >= least:
+        return [(0, len(s))]
+    pieces = [m.span() for m in PIECE.finditer(s)]
+    x = np.zeros(len(s))
+    for lo, hi in pieces:
+        x[lo:hi] = ratio[transitions(s[lo:hi])]
+    sums = np.concatenate(([0.0], np.cumsum(x - least)))
+    starts, ends = np.array(pieces, np.int64).reshape(-1, 2).T
+    found, todo = [], [(0, len(pieces))]
+    while todo:
+        lo, hi = todo.pop()
+        if lo == hi or ends[hi - 1] - starts[lo] < LEAST:
+            continue
+        lows = np.minimum.accumulate(sums[starts[lo:hi]])
+        fits = np.searchsorted(starts[lo:hi], ends[lo:hi] - LEAST, "right")  # starts far enough from each end
+        gain = np.where(fits > 0, sums[ends[lo:hi]] - lows[fits - 1], -np.inf)
+        last = int(gain.argmax())
+        if gain[last] < 0:
+            continue
+        first = int(sums[starts[lo : lo + fits[last]]].argmin())
+        start, end = int(starts[lo + first]), int(ends[lo + last])
+        if not _plain(s[start:end]):
+            found.append((start, end))
+        todo += [(lo, lo + first), (lo + last + 1, hi)]
+    return sorted(found)
+
+
+def _plain(s: str) -> bool:
+    """Letters of one case alone are words in some language, however rare their pairs."""
+    return s.isalpha() and (s.islower() or s[1:].islower())
+
+
 def markov_spans(text: str, base: list, ratio: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Candidate runs outside the base spans whose mean ratio reaches ``least``."""
+    """Random parts of the candidate runs and, where base spans lie in a run, of what is left beside them."""
     found = []
     at = 0
     for m in CANDIDATE.finditer(text):
         while at < len(base) and base[at][2] <= m.start():
             at += 1
-        if any(b[0] < m.end() and m.start() < b[2] for b in base[at : at + 4]):
-            continue
-        s = m.group()
-        # letters of one case alone are words in some language, however rare their pairs
-        if s.islower() and s.isalpha() or s.isalpha() and s[1:].islower():
-            continue
-        if ratio[transitions(s)].mean() >= least:
-            found.append((m.start(), m.end()))
+        lo, k, pieces = m.start(), at, []
+        while k < len(base) and base[k][0] < m.end():
+            pieces.append((lo, base[k][0]))
+            lo, k = max(lo, base[k][2]), k + 1
+        for lo, hi in [*pieces, (lo, m.end())]:
+            if hi - lo >= LEAST and not _plain(text[lo:hi]):
+                found += [(lo + a, lo + b) for a, b in random_parts(text[lo:hi], ratio, least)]
     return found
 
 

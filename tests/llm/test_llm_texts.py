@@ -57,6 +57,23 @@ def test_markov_finds_random_strings_and_leaves_words_alone(spark):
     assert sum(len(got[100 + i]) for i in range(40)) == 0
 
 
+def test_markov_finds_secrets_glued_to_names_and_base_spans(spark):
+    rnd = random.Random(5)
+    chars = secrets.ALPHABET[:62]
+    key = lambda n: "".join(rnd.choice(chars) for _ in range(n))
+    path = "static/documents/customers/reports/download/archive/"
+    train = [(i, f"{prose(rnd, 60)} the_identifier_of_things someLongCamelCaseName {path}index token={key(32)}") for i in range(200)]
+    ratio = secrets.train(docs(spark, train))
+    hexes = "0123456789abcdef0123"
+    test = [(i, f"see {path * 4}{key(20)}/{path * 4} end") for i in range(40)]
+    test += [(100 + i, f"see X{key(30)}_{hexes}_{key(30)}X end") for i in range(40)] + [(200, f"see {path * 4} end")]
+    got = {r["doc_id"]: [(x["start"], x["end"]) for x in r["found"] if x["kind"] == "markov"] for r in secrets.scan(docs(spark, test), ratio).collect()}
+    at = 4 + 4 * len(path)
+    assert sum(any(s <= at and e >= at + 20 for s, e in got[i]) for i in range(40)) >= 36
+    assert sum(len(got[100 + i]) == 2 for i in range(40)) >= 36
+    assert got[200] == []
+
+
 def test_secret_query_digest(spark):
     rows = secrets.query(spark, SF).collect()
     texts = dict(duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall())
