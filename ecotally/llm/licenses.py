@@ -1,7 +1,7 @@
 """License scans as an exact set-similarity join (operator 9).
 
-Templates are small token sets, text blocks are lines.  A block meets a
-template when it holds at least ``CONTAINMENT`` of the template's tokens.  The
+Templates are small token sets, text blocks are lines and, across line breaks,
+windows of ``WIDTH`` times a template's words.  A block meets a template when it holds at least ``CONTAINMENT`` of the template's tokens.  The
 tokens of each template stand in one global order, rarest in the corpus first,
 so a block that meets it must hold one of its first ``size - needed + 1``
 tokens (prefix filter), must have ``needed`` tokens at all (length filter), and
@@ -41,6 +41,8 @@ TEMPLATES = {
     "copyright": "copyright all rights reserved",
 }
 CONTAINMENT = 0.85
+#: Words of a window across line breaks, by words of the template.
+WIDTH = 2
 
 
 def needed(size: int, containment: float) -> int:
@@ -68,19 +70,23 @@ class TemplateIndex:
     """Prefix postings of the templates under the global order."""
 
     def __init__(self, templates: dict[str, str], counts: dict[bytes, int], containment: float = CONTAINMENT):
-        self.sets, self.needed, self.postings = {}, {}, {}
+        self.sets, self.needed, self.postings, self.width = {}, {}, {}, {}
         for label, wording in templates.items():
             tokens = sorted({w.encode() for w in wording.split()}, key=lambda w: (counts.get(w, 0), w))
             least = needed(len(tokens), containment)
             self.sets[label], self.needed[label] = frozenset(tokens), least
+            self.width[label] = WIDTH * len(wording.split())
             for place, token in enumerate(tokens[: len(tokens) - least + 1]):
                 self.postings.setdefault(token, []).append((label, place))
         self.prefix = frozenset(self.postings)
 
     def blocks(self, text: bytes):
-        """``(block, label, containment)`` of every line and template that meet."""
-        for number, line in enumerate(text.split(b"\n")):
-            block = set(line.translate(ALNUM).split())
+        """``(line, label, containment)`` of every line and template that meet, and of
+        every window across line breaks, by the line it begins on."""
+        lines = [line.translate(ALNUM).split() for line in text.split(b"\n")]
+        met: dict[str, set[int]] = {}
+        for number, line in enumerate(lines):
+            block = set(line)
             seen: dict[str, int] = {}
             for token in self.prefix & block:
                 for label, place in self.postings[token]:
@@ -90,7 +96,43 @@ class TemplateIndex:
                 if len(block) >= least and len(own) - place >= least:
                     held = len(own & block)
                     if held >= least:
+                        met.setdefault(label, set()).add(number)
                         yield number, label, held / len(own)
+        every = set().union(*lines)
+        for label in sorted({label for token in self.prefix & every for label, _ in self.postings[token]}):
+            own = self.sets[label]
+            if len(lines) > 1 and len(own & every) >= self.needed[label]:
+                for number, held in self._wrapped(lines, label, met.get(label, set())):
+                    yield number, label, held / len(own)
+
+    def _wrapped(self, lines: list[list[bytes]], label: str, met: set[int]):
+        """``(line, tokens held)`` of the windows that meet the template without the
+        lines ``met``, which do so alone; of windows that overlap,
+        the one that holds most, the shortest of these."""
+        own, least, width = self.sets[label], self.needed[label], self.width[label]
+        places, before = [], 0
+        for number, line in enumerate(lines):
+            if number not in met:
+                places += [(before + i, w, number) for i, w in enumerate(line) if w in own]
+            before += len(line)
+        inside: Counter[bytes] = Counter()
+        left, best, rank, end = 0, None, (0, 0), 0
+        for at, token, _ in places:
+            inside[token] += 1
+            while at - places[left][0] >= width or inside[places[left][1]] > 1:
+                gone = places[left][1]
+                inside[gone] -= 1
+                if not inside[gone]:
+                    del inside[gone]
+                left += 1
+            if best and places[left][0] > end:
+                yield best
+                best = None
+            now = len(inside), places[left][0] - at
+            if len(inside) >= least and (best is None or now > rank):
+                best, rank, end = (places[left][2], len(inside)), now, at
+        if best:
+            yield best
 
 
 def phrase_starts(words: list[bytes], phrase: str) -> list[int]:

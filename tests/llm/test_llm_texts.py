@@ -178,6 +178,20 @@ def test_license_scan_equals_brute_force(spark):
     assert licenses.scan(docs(spark, [])).count() == 0
 
 
+def test_license_notices_across_line_breaks(spark):
+    wrapped = [
+        ("bsd", " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that"),
+        ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy"),
+        ("mit-grant", "Permission is hereby granted, free of charge, to any\nperson obtaining a copy\nof this software and"),
+        ("mit", "x\n\nReleased under\nthe MIT\nLicense.\nEnd"),
+    ]
+    far = "released under " + "w " * 30 + "\nthe mit license"
+    rows = [(i, t) for i, (_, t) in enumerate(wrapped)] + [(10, far), (11, "Released under the MIT License.\nunder the license\n" + wrapped[3][1])]
+    got = {r["doc_id"]: [(x["line"], x["template"]) for x in r["blocks"]] for r in licenses.scan(docs(spark, rows)).collect()}
+    assert [[t for _, t in got[i]] for i in range(4)] == [[label] for label, _ in wrapped]
+    assert got[10] == [] and got[11] == [(0, "mit"), (4, "mit")]
+
+
 def test_license_query_columns(spark):
     rows = licenses.query(spark, SF).collect()
     assert len(rows) == 1000 and all(0 <= r["score"] <= 1 for r in rows)
