@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html, language, licenses, linededup, neardup_vectors, pieces, secrets, similarity, toxicity
+from . import (
+    centroids,
+    decontaminate,
+    html,
+    language,
+    licenses,
+    linededup,
+    manifest,
+    mixing,
+    neardup_vectors,
+    pieces,
+    secrets,
+    similarity,
+    toxicity,
+)
 
 QUERIES = {
     "op1_ngram_join": similarity.query,
@@ -15,6 +29,9 @@ QUERIES = {
     "op8_line_dedup": linededup.query,
     "op9_license_scan": licenses.query,
     "op10_decontamination": decontaminate.query,
+    "op11_merkle_manifest": manifest.query,
+    "op12_centroid_clustering": centroids.query,
+    "op13_source_mixing": mixing.query,
 }
 
 ORACLES = {
@@ -22,4 +39,6 @@ ORACLES = {
     "op8_line_dedup": linededup.ORACLE_SQL,
     "op1_ngram_join": similarity.ORACLE_SQL,
     "op10_decontamination": decontaminate.ORACLE_SQL,
+    "op11_merkle_manifest": manifest.ORACLE_SQL,
+    "op12_centroid_clustering": centroids.ORACLE_SQL,
 }
