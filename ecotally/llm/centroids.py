@@ -4,10 +4,11 @@ A vector of 64 components is turned into integers and transformed once; the
 transform is exact, and 64 times a squared distance is the squared distance of
 the coefficients.  To find the nearest centroid, coefficient differences are added
 up from the coarsest (fewest sign changes) to the finest, in steps of ``STEPS``.
-What is added up so far is a lower bound of a distance; with the energy that is
-left on both sides it also gives an upper one.  A centroid whose lower bound lies
-above the least upper bound is strictly worse and goes; those left finish all 64
-coefficients, and the smaller number wins a tie.  Bounds only spare work.
+What is added up so far, and the difference of the lengths that are left, give a
+lower bound of each distance.  The centroid in front after a step is measured in
+full; one whose lower bound lies above the least distance so measured is strictly
+worse and goes.  Those left finish all 64 coefficients, and the smaller number wins
+a tie.  Bounds only spare work.
 
 Only sums per centroid reach the driver (64 numbers each), so a round is one pass
 over the written coefficients, whatever the sizes of the clusters.  Sums are taken
@@ -75,9 +76,11 @@ def restored(coefficients: list[int]) -> list[int]:
     return [sum(int(H[k, i]) * coefficients[k] for k in range(DIM)) // DIM for i in range(DIM)]
 
 
-def _root(x: np.ndarray) -> np.ndarray:
-    """Upper bound of the square roots."""
-    return np.sqrt(x.astype(np.float64)) * (1 + 1e-12)
+def _least_left(rest_x: np.ndarray, rest_c: np.ndarray) -> np.ndarray:
+    """At most the squared distance of what is left: two vectors are as far apart as
+    their lengths differ, or farther."""
+    apart = np.sqrt(rest_x.astype(np.float64)) - np.sqrt(rest_c.astype(np.float64))
+    return np.maximum(apart * apart * (1 - 1e-6) - 1, 0) if len(apart) else apart
 
 
 def nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -88,6 +91,7 @@ def nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     i, j = (a.ravel() for a in np.indices((len(x), len(c))))
     sums = np.zeros(len(i), x.dtype)
     rest_x, rest_c = (x * x).sum(1), (c * c).sum(1)
+    leader, best = np.full(len(x), -1), np.zeros(len(x), x.dtype)  # centroids whose distance is known, and the least one
     done = work = 0
     for upto in STEPS:
         part = slice(done, upto)
@@ -95,20 +99,33 @@ def nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         sums = sums + (diff * diff).sum(1)
         work += diff.size
         done = upto
-        if upto < DIM:
-            rest_x, rest_c = rest_x - (x[:, part] ** 2).sum(1), rest_c - (c[:, part] ** 2).sum(1)
-            # the distance left is at most the sum of the lengths left
-            most = np.full(len(x), np.inf)
-            np.minimum.at(most, i, sums.astype(np.float64) + (_root(rest_x)[i] + _root(rest_c)[j]) ** 2)
-            left = sums.astype(np.float64) <= most[i] * (1 + 1e-9) + 1
-            i, j, sums = i[left], j[left], sums[left]
-    # rows are still in order of vector and centroid: the first of the least ones
-    order = np.lexsort((j, sums, i)) if sums.dtype != object else np.array(
-        sorted(range(len(i)), key=lambda r: (i[r], sums[r], j[r])), np.int64)
-    first = order[np.r_[True, np.diff(i[order]) != 0]]
+        if upto == DIM:
+            break
+        rest_x, rest_c = rest_x - (x[:, part] ** 2).sum(1), rest_c - (c[:, part] ** 2).sum(1)
+        least = sums.astype(np.float64) + _least_left(rest_x[i], rest_c[j])
+        # the centroid in front is measured in full; what is surely farther goes
+        first = _first(i, least, j)
+        front, new = j[first], j[first] != leader
+        diff = x[new] - c[front[new]]
+        full = (diff * diff).sum(1)
+        work += diff.size
+        best[new] = np.where((leader[new] < 0) | (full < best[new]), full, best[new])
+        leader = front
+        left = (sums <= best[i]).astype(bool) & (least * (1 - 1e-6) - 1 <= best[i].astype(np.float64))
+        i, j, sums = i[left], j[left], sums[left]
+    first = _first(i, sums, j)
     return j[first], sums[first] // DIM, work
 
 
+def _first(i: np.ndarray, value: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each i where the least value stands, of equal ones that with the smallest j."""
+    if value.dtype == object:
+        order = np.array(sorted(range(len(i)), key=lambda r: (i[r], value[r], j[r])), np.int64)
+    else:
+        order = np.lexsort((j, value, i))
+    return order[np.r_[True, np.diff(i[order]) != 0]] if len(order) else order
+
+
 def coefficients(vectors: DataFrame) -> DataFrame:
     """(vec_id, x) of the usable rows: their coefficients, coarsest first."""
     v = F.col("embedding").cast("array<double>")

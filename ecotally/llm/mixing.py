@@ -49,12 +49,13 @@ _FEISTEL = 6
 
 
 # -------------------------------------------------------------------- sizes
-def sizes(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, source, size, h) of every row, written; h puts a source's rows in order."""
+def sizes(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """(row, doc_id, source, size, h) of every row, written; h puts a source's rows in
+    order.  ``row`` is the column ``key``, which tells the rows apart, or made here."""
     doc_id = F.col("doc_id").cast("long")
     return written(
         docs.select(
-            F.monotonically_increasing_id().alias("row"), doc_id.alias("doc_id"), F.col("source").cast("string").alias("source"),
+            (F.col(key) if key else F.monotonically_increasing_id()).alias("row"), doc_id.alias("doc_id"), F.col("source").cast("string").alias("source"),
             F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long").alias("size"),
             F.xxhash64(F.lit(SEED), doc_id, F.col("text")).alias("h"),
         ),
@@ -261,7 +262,7 @@ def _words_before(laid: DataFrame) -> DataFrame:
 
 def mix(
     docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, *, block_words: int = BLOCK_WORDS,
-    shard_words: int = SHARD_WORDS, seed: int = SEED,
+    shard_words: int = SHARD_WORDS, seed: int = SEED, key: str | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sized, sources, taken): the rows with their sizes, the sources with their
     targets, and what the mix takes, as (shard, turn, place, row, epoch, doc_from,
@@ -271,7 +272,7 @@ def mix(
     """
     if most > 2:
         raise ValueError("a source is taken twice at the most")
-    sized = sizes(docs)
+    sized = sizes(docs, key)
     sources = targets(sized, weights, share, most)
     words = int(sources.agg(F.coalesce(F.sum(F.floor(F.col("target") + 0.5)), F.lit(0))).first()[0])
     block = max(block_words, -(-words // MOST_BLOCKS))
@@ -291,9 +292,9 @@ def mix(
 def write_shards(docs: DataFrame, path: str, **options) -> None:
     """The mixed words as Parquet below ``path``, a folder a shard: doc_id, source, and
     the piece's text, its words joined by a space, in the shuffled order of the shard."""
-    keyed = written(docs.select("doc_id", "source", "text"), "mixed-documents")
-    _, _, taken = mix(keyed, **options)
-    texts = keyed.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", F.regexp_extract_all("text", F.lit(f"({_WORD})")).alias("w"))
+    keyed = written(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", "text"), "mixed-documents")
+    _, _, taken = mix(keyed, key="row", **options)
+    texts = keyed.select("row", "doc_id", "source", F.regexp_extract_all("text", F.lit(f"({_WORD})")).alias("w"))
     cut = taken.join(texts, "row").select(
         "shard", "turn", "place", "doc_id", "source",
         F.array_join(F.slice("w", F.col("doc_from").cast("int") + 1, (F.col("doc_to") - F.col("doc_from")).cast("int")), " ").alias("text"),
