@@ -16,24 +16,21 @@ How it runs on Spark, the same way at every size and depth:
 
 1. ``edge_table``: V collapsed to ``(tenant, entity, parent) -> mult`` (rows).
    Map-side partial aggregation makes a hot entity cheap.
-2. ``hierarchy``: how many steps each entity can climb.  The entities with a
-   path of k steps are those with an edge to one that has k - 1, so each round
-   is a semi-join over the entity-grain edges; the sets shrink, and one that
-   does not shrink is a cycle.
-3. ``level_sums``: each V row's amounts at the levels its own entity reaches
-   (the rounded chain ``dec(dec(x*p)*p)...``), summed per (tenant, entity,
-   level).  Rounding depends on the row alone, so summing here is exact.
-4. totals, from the deepest level down: what has been gathered climbs one edge
-   (times ``mult``) and meets the next level's sums.  A round is one join and
-   one aggregate over entities, and no ancestor pairs are made.
-
-Only the queries whose result has a row per level or root build ancestor pairs
-(``ancestor_closure``), again by a frontier that climbs one edge a round.
-
-Every round is written to the shared scratch folder and read back, so no plan
-grows with the depth and a lost executor costs one round.  Amounts are summed
-as unscaled integers of up to 38 digits: the number of paths has no limit of
-its own, and a total beyond DECIMAL(30,10) raises, with ANSI mode on or off.
+2. ``hierarchy``: jumps of one step joined with themselves are jumps of two steps,
+   those jumps of four, and so on: as many written rounds as the depth has binary
+   digits.  Those who can jump get fewer by the round, unless there is a cycle.
+   From the jumps follow the heights, the most steps each entity can climb.
+3. ``level_sums``: each V row's amounts at the levels (the rounded chain
+   ``dec(dec(x*p)*p)...``), ``BLOCK`` levels in one projection, summed per entity
+   side by side.  Rounding depends on the row alone, so summing here is exact.
+4. ``_folded``: a sum of level n climbs by the jumps that n's binary digits name, a
+   join and an aggregate a digit, all in one plan; what meets is added up.
+
+Rounds, heights and level sums are written to the shared scratch folder and read
+back: a plan grows with the logarithm of the depth, and a lost executor costs one
+round.  Amounts are summed as unscaled integers of up to 38 digits: the number of
+paths has no limit of its own, and a total beyond DECIMAL(30,10) raises, with ANSI
+mode on or off, as does an amount beyond DECIMAL(20,10) at a level that is reached.
 """
 
 from __future__ import annotations
@@ -42,13 +39,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.expressions import (
     AMOUNT_TYPE,
     TOTAL_TYPE,
     coalesce_amount,
-    contribution,
 )
 from ..session import delete_path, scratch_path
 
@@ -91,10 +86,6 @@ def _sum(column) -> Column:
     return _guarded(F.sum(c).cast(_WHOLE), F.count(c) > 0)
 
 
-def _product(a: str, b: str) -> Column:
-    return _guarded((F.col(a) * F.col(b)).cast(_WHOLE), F.col(a).isNotNull() & F.col(b).isNotNull())
-
-
 def _unscaled(amount: str) -> Column:
     """A DECIMAL(30,10) as the integer of its 10**-10 parts, exactly."""
     whole = F.floor(F.col(amount)).cast(_WHOLE)
@@ -116,32 +107,35 @@ def _total(unscaled: Column) -> Column:
 class _Rounds:
     """Numbered parts of one table on the shared scratch folder."""
 
-    def __init__(self, spark, name: str, number: str):
-        self.spark, self.number = spark, number
+    def __init__(self, spark, name: str):
+        self.spark = spark
         self.path = scratch_path(spark, name)
         self.schema = None
 
     def write(self, k: int, df: DataFrame) -> DataFrame:
         """Write part ``k`` and read it back."""
-        df.write.parquet(f"{self.path}/{self.number}={k}")
+        df.write.parquet(f"{self.path}/part={k}")
         self.schema = df.schema
-        return self.part(k)
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/part={k}")
 
-    def write_counted(self, k: int, df: DataFrame) -> tuple[DataFrame, int]:
-        """``write``, with the number of rows observed while they were written."""
+    def write_observed(self, k: int, df: DataFrame, *metrics: Column) -> tuple[DataFrame, dict]:
+        """``write``, with metrics of the rows observed while they were written."""
         seen = Observation()
-        part = self.write(k, df.observe(seen, F.count(F.lit(1)).alias("rows")))
-        return part, seen.get["rows"]
-
-    def part(self, k: int) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{self.number}={k}")
+        part = self.write(k, df.observe(seen, *metrics))
+        return part, seen.get
 
     def whole(self) -> DataFrame:
-        """All parts in one scan, with their number as a column."""
-        return self.spark.read.schema(StructType([*self.schema.fields, StructField(self.number, IntegerType())])).parquet(self.path)
+        """All parts in one scan."""
+        return self.spark.read.schema(self.schema).parquet(self.path).select(*self.schema.names)
 
-    def drop(self, k: int | None = None) -> None:
-        delete_path(self.spark, self.path if k is None else f"{self.path}/{self.number}={k}")
+    def drop(self, k: int) -> None:
+        delete_path(self.spark, f"{self.path}/part={k}")
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def edge_table(v: DataFrame, cols: HierarchyColumns = DEFAULT_COLUMNS) -> DataFrame:
@@ -157,191 +151,346 @@ def edge_table(v: DataFrame, cols: HierarchyColumns = DEFAULT_COLUMNS) -> DataFr
     ).agg(F.count(F.lit(1)).alias("mult"))
 
 
+# ---------------------------------------------------------------- hierarchy
+#: Jump tables are squared as long as the next one has at most so many times the edges.
+MOST_JUMPS = 2
+
+
 @dataclass
 class Hierarchy:
-    """The edges of entities with tenant, and the most steps each can climb
-    (the step to a parent without rows, or to NULL, included)."""
+    """How far the entities with tenant can climb (the step to a parent without
+    rows, or to NULL, included), and the jumps to climb by.
+
+    A jump table holds ``(tenantid, entityid, above, paths)``: who is reached by
+    how many paths of exactly so many steps; ``paths`` is NULL beyond 38 digits.
+    """
 
-    edges: DataFrame  # tenantid, entityid, parententityid, mult
-    climbs: DataFrame | None  # tenantid, entityid, height >= 1; None without edges
-    depth: int  # most steps of any entity
+    jumps: list[DataFrame]  # the k-th one: 2 ** k steps
+    stride: DataFrame | None  # 2 ** len(jumps) steps, where no further one was built
+    climbs: DataFrame  # tenantid, entityid, height >= 1
+    depth: int  # greatest height
+
+    @property
+    def unit(self) -> int:
+        """Steps that the jumps of one kind each cover at the most, plus one."""
+        return 1 << len(self.jumps)
+
+
+def _paths(column: Column) -> Column:
+    """Sum of path counts; NULL, as every count beyond 38 digits, if one is."""
+    return F.when(F.count(column) == F.count(F.lit(1)), F.try_sum(column)).cast(_WHOLE)
+
+
+def _squared(jump: DataFrame, forest: bool) -> DataFrame:
+    """Jumps of twice as many steps.  In a forest no paths meet."""
+    first = jump.select("tenantid", "entityid", F.col("above").alias("mid"), F.col("paths").alias("before"))
+    then = jump.select("tenantid", F.col("entityid").alias("mid"), "above", "paths")
+    both = first.join(then, ["tenantid", "mid"]).select(
+        "tenantid", "entityid", "above", F.try_multiply("before", "paths").cast(_WHOLE).alias("paths")
+    )
+    return both if forest else both.groupBy("tenantid", "entityid", "above").agg(_paths(F.col("paths")).alias("paths"))
+
+
+def _squared_rows(jump: DataFrame) -> int:
+    """Rows that the join of ``_squared`` makes, from the degrees alone."""
+    reached = jump.groupBy("tenantid", F.col("above").alias("mid")).agg(F.count(F.lit(1)).alias("a"))
+    onward = jump.groupBy("tenantid", F.col("entityid").alias("mid")).agg(F.count(F.lit(1)).alias("b"))
+    return reached.join(onward, ["tenantid", "mid"]).agg(F.sum((F.col("a") * F.col("b")).cast(_WHOLE))).first()[0] or 0
+
+
+def _raised(climbs: DataFrame, jump: DataFrame, steps: int) -> DataFrame:
+    """Heights cut off at c, by jumps of ``steps`` >= c steps: heights cut off at c + ``steps``."""
+    from_below = jump.select(
+        F.col("tenantid").alias("j_tenant"), F.col("entityid").alias("j_from"), F.col("above").alias("j_above"), F.lit(1).alias("j_take")
+    )
+    # each height stays, and is handed down to those who jump to it
+    handed = climbs.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("take")).join(
+        from_below,
+        (F.col("tenantid") == F.col("j_tenant")) & (F.col("entityid") == F.col("j_above")) & (F.col("take") == F.col("j_take")), "left",
+    ).filter("take = 0 or j_take = 1").select(
+        "tenantid", F.when(F.col("take") == 1, F.col("j_from")).otherwise(F.col("entityid")).alias("entityid"),
+        (F.col("height") + F.when(F.col("take") == 1, steps).otherwise(0)).alias("height"),
+    )
+    reached = jump.select("tenantid", "entityid", F.lit(steps).alias("height"))
+    return handed.unionByName(reached).groupBy("tenantid", "entityid").agg(F.max("height").alias("height"))
+
+
+def _cycle(n) -> HierarchyCycleError:
+    return HierarchyCycleError(f"{n} entities on or below a cycle")
 
 
 def hierarchy(edges: DataFrame, max_depth: int | None = None) -> Hierarchy:
-    """Climb heights of an edge table; raises ``HierarchyCycleError`` on a cycle,
-    and when some entity can climb more than ``max_depth`` steps."""
+    """Jumps and heights of an edge table, in a number of written rounds that grows
+    with the logarithm of the depth.
+
+    Jumps of k steps squared are jumps of 2k steps, until nobody can jump so far.
+    As those who can get fewer each time unless there is a cycle, an equal number
+    raises ``HierarchyCycleError``; so does an entity that can climb more than
+    ``max_depth`` steps.  Where entities have several parents, a square could hold
+    many pairs: it is built only if it stays below ``MOST_JUMPS`` times the edges,
+    else the last jumps are taken one by one from there.
+    """
     spark = edges.sparkSession
-    rounds = _Rounds(spark, "climbs", "height")
-    path = scratch_path(spark, "edges")
-    edges.filter(F.col("tenantid").isNotNull() & F.col("entityid").isNotNull()).write.parquet(path)
-    edges = spark.read.schema(edges.schema).parquet(path)
-    able, count = rounds.write_counted(1, edges.select("tenantid", "entityid").distinct())
-    k = 1
-    depth = 0
+    rounds = _Rounds(spark, "jumps")
+    jump, seen = rounds.write_observed(
+        0,
+        edges.filter(F.col("tenantid").isNotNull() & F.col("entityid").isNotNull()).select(
+            "tenantid", "entityid", F.col("parententityid").alias("above"), F.col("mult").cast(_WHOLE).alias("paths")
+        ),
+        F.count(F.lit(1)).alias("rows"),
+    )
+    able = jump.groupBy("tenantid", "entityid").count().agg(F.count(F.lit(1)), F.max("count")).first()
+    count, forest = able[0], able[1] in (None, 1)
+    jumps, stride, rows = [], None, seen["rows"]
     while count:
-        if max_depth is not None and k > max_depth:
+        if max_depth is not None and 1 << len(jumps) > max_depth:
             raise HierarchyCycleError(f"hierarchy deeper than max_depth={max_depth}")
-        depth = k
-        above = able.select("tenantid", F.col("entityid").alias("parententityid"))
-        able, left = rounds.write_counted(
-            k + 1,
-            edges.join(above, ["tenantid", "parententityid"], "left_semi").select("tenantid", "entityid").distinct(),
-        )
+        if not forest and _squared_rows(jump) > MOST_JUMPS * rows:
+            stride = jump
+            break
+        jumps.append(jump)
+        jump, seen = rounds.write_observed(len(jumps), _squared(jump, forest), F.count(F.lit(1)).alias("rows"))
+        left = seen["rows"] if forest else jump.select("tenantid", "entityid").distinct().count()
         if left == count:
-            raise HierarchyCycleError(f"{left} entities on or below a cycle")
-        count, k = left, k + 1
-    if not depth:
-        return Hierarchy(edges, None, 0)
-    climbs = rounds.whole().groupBy("tenantid", "entityid").agg(F.max("height").alias("height"))
-    return Hierarchy(edges, climbs, depth)
+            raise _cycle(left)
+        count = left
+    climbs, depth = _heights(jump.select("tenantid", "entityid"), jumps, stride)
+    if max_depth is not None and depth > max_depth:
+        raise HierarchyCycleError(f"hierarchy deeper than max_depth={max_depth}")
+    return Hierarchy(jumps, stride, climbs, depth)
+
+
+def _heights(entities: DataFrame, jumps: list[DataFrame], stride: DataFrame | None) -> tuple[DataFrame, int]:
+    """Heights from the jumps, shortest ones first: one plan, a join and an aggregate
+    a jump table.  Beyond them a round for each stride."""
+    rounds = _Rounds(entities.sparkSession, "climbs")
+    if jumps:
+        climbs = jumps[0].select("tenantid", "entityid", F.lit(1).alias("height")).distinct()
+    else:
+        climbs = entities.select("tenantid", "entityid", F.lit(0).alias("height")).limit(0)
+    for k, jump in enumerate(jumps[1:], 1):
+        climbs = _raised(climbs, jump, 1 << k)
+    unit = 1 << len(jumps)
+    top = F.max("height").alias("top")
+    climbs, seen = rounds.write_observed(0, climbs, top)
+    most, k, at_top = seen["top"] or 0, 0, None
+    while stride is not None:
+        # heights are cut off at unit * (k + 1) - 1 so far
+        k, limit = k + 1, unit * (k + 2) - 1
+        climbs, seen = rounds.write_observed(k, _raised(climbs, stride, unit), top, F.count_if(F.col("height") >= limit).alias("limited"))
+        rounds.drop(k - 1)
+        most = seen["top"]
+        if most < limit:
+            break
+        if seen["limited"] == at_top:
+            raise _cycle(at_top)
+        at_top = seen["limited"]
+    return climbs, most
+
+
+# ------------------------------------------------------------------ folding
+def _times(amount: str, paths: Column) -> Column:
+    """An amount as often as there are paths; no paths are too many for 0."""
+    product = F.when(F.col(amount) == 0, F.lit(0).cast(_WHOLE)).otherwise(F.try_multiply(F.col(amount), paths).cast(_WHOLE))
+    return _guarded(product, F.col(amount).isNotNull())
+
+
+def _climbed(s: DataFrame, jump: DataFrame, keep: list[str], measure, odd: Column, after: Column, how: str) -> DataFrame:
+    """Rows of ``s`` that are ``odd`` take a jump, others stay where they are; then
+    equal (tenantid, entityid, level, ``keep``) are added up."""
+    j = jump.select(
+        F.col("tenantid").alias("j_tenant"), F.col("entityid").alias("j_from"), F.col("above").alias("j_above"),
+        F.col("paths").alias("j_paths"), F.lit(True).alias("j_hit"),
+    )
+    joined = s.withColumn("odd", odd).join(
+        j, (F.col("tenantid") == F.col("j_tenant")) & (F.col("entityid") == F.col("j_from")) & F.col("odd"), how
+    ).filter(~F.col("odd") | F.col("j_hit"))
+    return joined.groupBy(
+        "tenantid", F.when(F.col("odd"), F.col("j_above")).otherwise(F.col("entityid")).alias("entityid"), after.alias("level"), *keep
+    ).agg(*measure(F.when(F.col("odd"), F.col("j_paths")).otherwise(F.lit(1).cast(_WHOLE))))
+
+
+def _folded(s: DataFrame, found: Hierarchy, measure, keep: list[str] = ()) -> DataFrame:
+    """Move every row (tenantid, entityid, level, ...) up by ``level`` steps, along all
+    paths, and add up what meets.
+
+    The level's binary digits choose the jumps, lowest first: a join and an
+    aggregate a digit, all in one plan.  ``measure`` makes the aggregates of a step
+    from the column of the paths taken; ``keep`` are further grouping columns.
+    """
+    keep = list(keep)
+    half = F.floor(F.col("level") / 2).cast("int")
+    for jump in found.jumps:
+        s = _climbed(s, jump, keep, measure, F.col("level") % 2 == 1, half, "left")
+    if found.stride is None:
+        return s.drop("level")
+    # strides: what is left climbs from the top level down, a written round each
+    s = _written(s, "strides")
+    rounds = _Rounds(s.sparkSession, "strides")
+    most = found.depth >> len(found.jumps)
+    gathered = s.filter(F.col("level") == most)
+    for k in range(most, 0, -1):
+        moved = _climbed(gathered, found.stride, keep, measure, F.lit(True), F.lit(k - 1), "inner")
+        own = s.filter(F.col("level") == k - 1)
+        meet = moved.unionByName(own).groupBy("tenantid", "entityid", "level", *keep).agg(*measure(F.lit(1).cast(_WHOLE)))
+        gathered = rounds.write(k - 1, meet)
+        if k < most:
+            rounds.drop(k)
+    return gathered.drop("level")
+
+
+def _amounts(paths: Column) -> list[Column]:
+    return [_sum(_times(c, paths)).alias(c) for c in ("loc", "mkt")]
 
 
 def ancestor_closure(found: Hierarchy) -> DataFrame:
-    """``(tenantid, rootid, ancestorid, paths, distance)`` for distances 1 to the
-    depth: a frontier that climbs one edge a round, paths that meet merged."""
-    edges = found.edges.select(
-        "tenantid", F.col("entityid").alias("ancestorid"), F.col("parententityid").alias("next"),
-        F.col("mult").cast("decimal(20,0)").alias("mult"),
-    )
-    frontier = found.edges.select(
-        "tenantid", F.col("entityid").alias("rootid"), F.col("parententityid").alias("ancestorid"),
-        F.col("mult").cast(_WHOLE).alias("paths"),
+    """``(tenantid, rootid, ancestorid, paths, distance)`` for the distances 1 to each
+    root's height; ``paths`` is NULL beyond 38 digits."""
+    start = found.climbs.select(
+        "tenantid", "entityid", F.col("entityid").alias("rootid"),
+        F.explode(F.sequence(F.lit(1), F.col("height"))).alias("distance"), F.lit(1).cast(_WHOLE).alias("paths"),
+    ).withColumn("level", F.col("distance"))
+
+    def paths(taken: Column) -> list[Column]:
+        return [_paths(F.try_multiply(F.col("paths"), taken).cast(_WHOLE)).alias("paths")]
+
+    return _folded(start, found, paths, ["rootid", "distance"]).select(
+        "tenantid", "rootid", F.col("entityid").alias("ancestorid"), "paths", "distance"
     )
-    rounds = _Rounds(edges.sparkSession, "closure", "distance")
-    for k in range(1, max(1, found.depth) + 1):
-        frontier = rounds.write(k, frontier)
-        frontier = (
-            frontier.join(edges, ["tenantid", "ancestorid"])
-            .groupBy("tenantid", "rootid", F.col("next").alias("ancestorid"))
-            .agg(_sum(_product("paths", "mult")).alias("paths"))
+
+
+# ------------------------------------------------------------ level amounts
+#: Levels of amounts that one pass over the rows makes.
+BLOCK = 16
+
+
+def _chains(rows: DataFrame, found: Hierarchy, percentage, carry: list[str]):
+    """Pass by pass (first level, number of levels, rows with the amounts l0, m0,
+    l1, ... from that level on, and ``over``, the first of these levels beyond their
+    type).
+
+    A pass is one projection; only rows whose entity climbs beyond its levels go on
+    to the next one, with their last amounts.  ``percentage`` gives the factor of a
+    step.
+    """
+    start = 0
+    while True:
+        count = min(BLOCK, found.depth + 1 - start)
+        over = F.lit(None).cast("int")
+
+        def step(name: str, k: int) -> Column:
+            return (F.col(name) * percentage(k)).try_cast(AMOUNT_TYPE)
+
+        for k in range(1, count + 1):
+            rows = rows.withColumns({f"{c}{k}": step(f"{c}{k - 1}", start + k) for c in "lm"})
+            lost = (F.col(f"l{k}").isNull() & F.col(f"l{k - 1}").isNotNull()) | (F.col(f"m{k}").isNull() & F.col(f"m{k - 1}").isNotNull())
+            over = F.coalesce(over, F.when(lost & percentage(start + k).isNotNull(), start + k))
+        rows = rows.withColumn("over", over)
+        yield start, count, rows
+        start += count
+        if start > found.depth:
+            return
+        deep = found.climbs.filter(F.col("height") >= start).select("tenantid", "entityid")
+        rows = _written(
+            rows.filter("over is null").join(deep, ["tenantid", "entityid"], "left_semi")
+            .select("tenantid", "entityid", *carry, F.col(f"l{count}").alias("l0"), F.col(f"m{count}").alias("m0")),
+            "frontier",
         )
-    return rounds.whole()
 
 
-def _chain(first: Column, second: Column, step, count: Column) -> Column:
-    """Array of (level, location, market) from level 0 to ``count``; ``step`` makes
-    the amounts of a level from those below it and the level's number.  The plan
-    is one expression whatever the depth."""
-    amounts = f"array<struct<level:int,loc:{AMOUNT_TYPE.simpleString()},mkt:{AMOUNT_TYPE.simpleString()}>>"
+def _unrolled(rows: DataFrame, found: Hierarchy, start: int, count: int, keep: list[str]) -> DataFrame:
+    """Rows with amounts side by side as rows with a level each, as far up as the
+    row's own entity climbs."""
+    height = F.coalesce(F.col("height"), F.lit(0))
+    entries = F.array(*[F.struct(F.lit(start + k).alias("level"), F.col(f"l{k}").alias("loc"), F.col(f"m{k}").alias("mkt")) for k in range(count)])
+    reached = F.when(F.col("over") <= height, F.raise_error(F.lit("roll-up amount beyond DECIMAL(20,10)")).cast("int")).otherwise(
+        F.least(F.lit(count), height - start + 1)
+    )
+    return rows.join(found.climbs, ["tenantid", "entityid"], "left").select(*keep, F.inline(F.slice(entries, F.lit(1), reached)))
 
-    def entry(level, loc, mkt):
-        return F.struct(level.cast("int").alias("level"), loc.alias("loc"), mkt.alias("mkt"))
 
-    return F.aggregate(
-        F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>")),
-        F.array(entry(F.lit(0), first, second)).cast(amounts),
-        lambda done, k: F.concat(
-            done,
-            F.array(entry(k, *step(F.element_at(done, -1)["loc"], F.element_at(done, -1)["mkt"], k))).cast(amounts),
-        ),
+def _anchored(v: DataFrame, cols: HierarchyColumns) -> DataFrame:
+    return v.select(
+        F.col(cols.tenant).alias("tenantid"), F.col(cols.entity).alias("entityid"), F.col(cols.percentage).alias("percentage"),
+        coalesce_amount(cols.total, cols.location).alias("l0"), coalesce_amount(cols.total, cols.market).alias("m0"),
     )
 
 
+def _own_percentage(_: int) -> Column:
+    return F.col("percentage")
+
+
 def level_amounts(v: DataFrame, found: Hierarchy, cols: HierarchyColumns = DEFAULT_COLUMNS) -> DataFrame:
-    """Every V row's amounts at the levels 0 to its own entity's height.
+    """The amounts of V's rows at the levels 0 to their own entity's height.
 
-    Output: tenantid, entityid, percentage, level, loc, mkt.
+    Output: tenantid, entityid, percentage, rows (how many V rows), level, loc, mkt.
     """
-    df = v.select(
-        F.col(cols.tenant).alias("tenantid"),
-        F.col(cols.entity).alias("entityid"),
-        F.col(cols.percentage).alias("percentage"),
-        coalesce_amount(cols.total, cols.location).alias("l0"),
-        coalesce_amount(cols.total, cols.market).alias("m0"),
-    )
-    if found.climbs is None:
-        df = df.withColumn("height", F.lit(0))
-    else:
-        df = df.join(found.climbs, ["tenantid", "entityid"], "left")
-    p = F.col("percentage")
-    levels = _chain(
-        F.col("l0"), F.col("m0"), lambda loc, mkt, _: (contribution(loc, p), contribution(mkt, p)),
-        F.coalesce("height", F.lit(0)),
-    )
-    return df.select("tenantid", "entityid", "percentage", F.inline(levels))
+    rows = _anchored(v, cols).groupBy("tenantid", "entityid", "percentage", "l0", "m0").agg(F.count(F.lit(1)).alias("rows"))
+    carry = ["percentage", "rows"]
+    out = None
+    for start, count, wide in _chains(rows, found, _own_percentage, carry):
+        part = _unrolled(wide, found, start, count, ["tenantid", "entityid", *carry])
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-def _summed(levels: DataFrame) -> DataFrame:
-    return levels.groupBy("tenantid", "entityid", "level").agg(
-        F.sum("loc").cast(_AMOUNT_SUM).alias("loc"), F.sum("mkt").cast(_AMOUNT_SUM).alias("mkt"),
-        F.count(F.lit(1)).alias("rows"),
-    ).withColumns({"loc": _unscaled("loc"), "mkt": _unscaled("mkt")})
+def _summed(rows: DataFrame, found: Hierarchy, percentage, carry: list[str]) -> DataFrame:
+    """Written unscaled sums and row counts per (tenantid, entityid, level) of rows
+    with l0 and m0.
+
+    The levels are added up side by side, so an activity row enters one partial
+    aggregate whatever its depth; they become rows at entity grain.
+    """
+    rounds = _Rounds(rows.sparkSession, "levels")
+    for k, (start, count, wide) in enumerate(_chains(rows, found, percentage, carry)):
+        sums = wide.groupBy("tenantid", "entityid").agg(
+            F.count(F.lit(1)).alias("rows"), F.min("over").alias("over"),
+            *[F.sum(f"{c}{i}").cast(_AMOUNT_SUM).alias(f"{c}{i}") for i in range(count) for c in "lm"],
+        )
+        long = _unrolled(sums, found, start, count, ["tenantid", "entityid", "rows"])
+        rounds.write(k, long.withColumns({"loc": _unscaled("loc"), "mkt": _unscaled("mkt")}))
+    return rounds.whole()
 
 
 def level_sums(v: DataFrame, found: Hierarchy, cols: HierarchyColumns = DEFAULT_COLUMNS) -> DataFrame:
-    """Unscaled sums and row counts per (tenantid, entityid, level)."""
-    return _summed(level_amounts(v, found, cols))
+    """Unscaled sums and row counts per (tenantid, entityid, level), written."""
+    return _summed(_anchored(v, cols), found, _own_percentage, ["percentage"])
 
 
-def rollup_totals(
-    v: DataFrame, cols: HierarchyColumns = DEFAULT_COLUMNS, *, max_depth: int | None = None
-) -> DataFrame:
-    """A1: ``id, cumulative_locationbased, cumulative_marketbased`` (NULL id kept)."""
-    spark = v.sparkSession
-    found = hierarchy(edge_table(v, cols), max_depth)
-    path = scratch_path(spark, "levels")
-    sums = level_sums(v, found, cols).drop("rows")
-    sums.write.partitionBy("level").parquet(path)
-    levels = spark.read.schema(sums.schema).parquet(path)
-    steps = found.edges.select(
-        "tenantid", "entityid", F.col("parententityid").alias("next"), F.col("mult").cast("decimal(20,0)").alias("mult")
-    )
-    rounds = _Rounds(spark, "climbing", "level")
-    gathered = levels.filter(F.col("level") == found.depth).select("tenantid", "entityid", "loc", "mkt")
-    for k in range(found.depth, 0, -1):
-        climbed = gathered.join(steps, ["tenantid", "entityid"]).select(
-            "tenantid", F.col("next").alias("entityid"), _product("loc", "mult").alias("loc"), _product("mkt", "mult").alias("mkt")
-        )
-        own = levels.filter(F.col("level") == k - 1).select("tenantid", "entityid", "loc", "mkt")
-        gathered = rounds.write(
-            k - 1,
-            own.unionByName(climbed).groupBy("tenantid", "entityid").agg(_sum("loc").alias("loc"), _sum("mkt").alias("mkt")),
-        )
-        if k < found.depth:
-            rounds.drop(k)
-    if found.depth:  # the last round alone is still read
-        delete_path(spark, path)
-    return gathered.groupBy(F.col("entityid").alias("id")).agg(
-        _total(_sum("loc")).alias("cumulative_locationbased"), _total(_sum("mkt")).alias("cumulative_marketbased")
-    )
+# ------------------------------------------------------------------ results
+def _found(v: DataFrame, cols: HierarchyColumns, max_depth: int | None) -> Hierarchy:
+    return hierarchy(edge_table(v, cols), max_depth)
 
 
-def _at_ancestors(left: DataFrame, closure: DataFrame) -> DataFrame:
-    """Give every ``(tenantid, entityid, level)`` row its ancestor ``id``: level 0
-    its own entity once, level n the ancestors at distance n with their paths."""
-    pairs = closure.select(
-        F.col("tenantid").alias("c_tenant"), F.col("rootid").alias("c_root"), F.col("distance").alias("c_distance"),
-        F.col("ancestorid").alias("c_ancestor"), "paths",
-    )
-    joined = left.filter("level > 0").join(
-        pairs,
-        (F.col("tenantid") == F.col("c_tenant")) & (F.col("entityid") == F.col("c_root")) & (F.col("level") == F.col("c_distance")),
+def _totals(levels: DataFrame, *by: Column) -> DataFrame:
+    return levels.groupBy(*by).agg(
+        _total(_sum("loc")).alias("cumulative_locationbased"), _total(_sum("mkt")).alias("cumulative_marketbased")
     )
-    own = left.filter("level = 0").select("*", F.col("entityid").alias("id"), F.lit(1).cast(_WHOLE).alias("paths"))
-    return own.unionByName(joined.select(*left.columns, F.col("c_ancestor").alias("id"), "paths"))
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def rollup_totals(
+    v: DataFrame, cols: HierarchyColumns = DEFAULT_COLUMNS, *, max_depth: int | None = None
+) -> DataFrame:
+    """A1: ``id, cumulative_locationbased, cumulative_marketbased`` (NULL id kept)."""
+    found = _found(v, cols, max_depth)
+    climbed = _folded(level_sums(v, found, cols).drop("rows"), found, _amounts)
+    return _totals(climbed, F.col("entityid").alias("id"))
 
 
 def rollup_by_level(
     v: DataFrame, cols: HierarchyColumns = DEFAULT_COLUMNS, *, max_depth: int | None = None
 ) -> DataFrame:
     """Contributions grouped by (id, level): id, level, amount_locationbased,
-    amount_marketbased, n."""
-    found = hierarchy(edge_table(v, cols), max_depth)
-    sums = _written(level_sums(v, found, cols).withColumn("rows", F.col("rows").cast("decimal(20,0)")), "levels")
-    return (
-        _at_ancestors(sums, ancestor_closure(found))
-        .groupBy("id", "level")
-        .agg(
-            _total(_sum(_product("loc", "paths"))).alias("amount_locationbased"),
-            _total(_sum(_product("mkt", "paths"))).alias("amount_marketbased"),
-            _sum(_product("rows", "paths")).cast("long").alias("n"),
-        )
+    amount_marketbased, n (DECIMAL(38,0): a path count has no limit of its own, and
+    one beyond 38 digits raises)."""
+    found = _found(v, cols, max_depth)
+    sums = level_sums(v, found, cols).withColumns({"rows": F.col("rows").cast(_WHOLE), "climbed": F.col("level")})
+
+    def measure(paths: Column) -> list[Column]:
+        return [*_amounts(paths), _sum(_times("rows", paths)).alias("rows")]
+
+    return _folded(sums, found, measure, ["climbed"]).groupBy(F.col("entityid").alias("id"), F.col("climbed").alias("level")).agg(
+        _total(_sum("loc")).alias("amount_locationbased"), _total(_sum("mkt")).alias("amount_marketbased"), _sum("rows").alias("n")
     )
 
 
@@ -351,16 +500,23 @@ def rollup_contributions(
     """R1 in grouped form: one row per distinct contribution with its count.
 
     Columns: id, tenantid, rootid, amount_locationbased, amount_marketbased,
-    percentage, level, n.
+    percentage, level, n (DECIMAL(38,0), as in ``rollup_by_level``).
     """
-    found = hierarchy(edge_table(v, cols), max_depth)
+    found = _found(v, cols, max_depth)
     detail = _written(
         level_amounts(v, found, cols)
-        .groupBy("tenantid", "entityid", "level", "percentage", "loc", "mkt")
-        .agg(F.count(F.lit(1)).cast("decimal(20,0)").alias("rows")),
+        .groupBy("tenantid", "entityid", "level", "percentage", "loc", "mkt").agg(F.sum("rows").cast(_WHOLE).alias("rows")),
         "levels",
     )
-    return _at_ancestors(detail, ancestor_closure(found)).select(
+    pairs = ancestor_closure(found).select(
+        F.col("tenantid").alias("c_tenant"), F.col("rootid").alias("c_root"), F.col("distance").alias("c_distance"),
+        F.col("ancestorid").alias("c_ancestor"), "paths",
+    )
+    above = detail.filter("level > 0").join(
+        pairs, (F.col("tenantid") == F.col("c_tenant")) & (F.col("entityid") == F.col("c_root")) & (F.col("level") == F.col("c_distance"))
+    ).select(*detail.columns, F.col("c_ancestor").alias("id"), "paths")
+    own = detail.filter("level = 0").select("*", F.col("entityid").alias("id"), F.lit(1).cast(_WHOLE).alias("paths"))
+    return own.unionByName(above).select(
         "id",
         "tenantid",
         F.col("entityid").alias("rootid"),
@@ -368,7 +524,7 @@ def rollup_contributions(
         F.col("mkt").alias("amount_marketbased"),
         "percentage",
         "level",
-        _product("rows", "paths").cast("long").alias("n"),
+        _times("rows", F.col("paths")).alias("n"),
     )
 
 
@@ -445,8 +601,8 @@ def entity_rollup_totals(
 
     Plan: the entity table is written once; its ancestor pairs give every
     entity the percentages along its path as an array (as long as the path);
-    per V row one chain of rounded amounts over that array; sums per (tenant,
-    entity, level); then ancestors by distance.
+    per V row the chain of rounded amounts over that array; sums per (tenant,
+    entity, level); these climb as in the reference mode.
     """
     ent = _written(
         (entity_table(v, cols) if entities is None else entities).select(
@@ -458,7 +614,8 @@ def entity_rollup_totals(
     if not dup.isEmpty():
         raise ValueError("entity mode needs one parent and percentage per (tenant, entity)")
     edges = ent.select("tenantid", "entityid", "parententityid", F.lit(1).cast("long").alias("mult"))
-    closure = ancestor_closure(hierarchy(edges, max_depth))
+    found = hierarchy(edges, max_depth)
+    closure = ancestor_closure(found)
     # percentage of the node at distance d (d = 0 is the root itself)
     own = ent.select("tenantid", F.col("entityid").alias("rootid"), F.lit(0).alias("distance"), "percentage")
     left = ent.select("tenantid", F.col("entityid").alias("ancestorid"), "percentage")
@@ -474,21 +631,8 @@ def entity_rollup_totals(
         coalesce_amount(cols.total, cols.location).alias("l0"),
         coalesce_amount(cols.total, cols.market).alias("m0"),
     ).join(paths, ["tenantid", "entityid"], "left")
-    ps = F.col("ps")
-    levels = _chain(
-        F.col("l0"), F.col("m0"),
-        lambda loc, mkt, k: (contribution(loc, F.element_at(ps, k)), contribution(mkt, F.element_at(ps, k))),
-        F.greatest(F.coalesce(F.size("ps"), F.lit(0)), F.lit(0)),
-    )
-    sums = _summed(rows.select("tenantid", "entityid", F.inline(levels)))
-    return (
-        _at_ancestors(sums, closure)
-        .groupBy("tenantid", "id")
-        .agg(
-            _total(_sum(_product("loc", "paths"))).alias("cumulative_locationbased"),
-            _total(_sum(_product("mkt", "paths"))).alias("cumulative_marketbased"),
-        )
-    )
+    sums = _summed(rows, found, lambda k: F.get("ps", F.lit(k - 1)), ["ps"]).drop("rows")
+    return _totals(_folded(sums, found, _amounts), F.col("tenantid"), F.col("entityid").alias("id"))
 
 
 def entity_rollup_report(

@@ -647,13 +647,13 @@ ORACLES: dict[str, str] = {
     "rollup_contributions": f"""
         WITH RECURSIVE {_V}, {_C}
         SELECT place AS id, tenant AS tenantid, origin AS rootid, by_location AS amount_locationbased,
-               by_market AS amount_marketbased, share AS percentage, depth AS level, SUM(weight)::BIGINT AS n
+               by_market AS amount_marketbased, share AS percentage, depth AS level, SUM(weight)::DECIMAL(38,0) AS n
         FROM walk GROUP BY ALL""",
     "rollup_by_level": f"""
         WITH RECURSIVE {_V}, {_C}
         SELECT place AS id, depth AS level,
                SUM(by_location * weight)::DECIMAL(30,10) AS amount_locationbased,
-               SUM(by_market * weight)::DECIMAL(30,10) AS amount_marketbased, SUM(weight)::BIGINT AS n
+               SUM(by_market * weight)::DECIMAL(30,10) AS amount_marketbased, SUM(weight)::DECIMAL(38,0) AS n
         FROM walk GROUP BY ALL""",
     "entity_totals": f"WITH RECURSIVE {_V}, {_C} {_TOTALS}",
     "total_attach": f"WITH RECURSIVE {_V}, {_C} {_REPORT}",
