@@ -16,18 +16,18 @@ How it runs on Spark, the same way at every size and depth:
 
 1. ``edge_table``: V collapsed to ``(tenant, entity, parent) -> mult`` (rows).
    Map-side partial aggregation makes a hot entity cheap.
-2. ``hierarchy``: jumps of one step joined with themselves are jumps of two steps,
-   those jumps of four, and so on: as many written rounds as the depth has binary
-   digits.  Those who can jump get fewer by the round, unless there is a cycle.
-   From the jumps follow the heights, the most steps each entity can climb.
+2. ``hierarchy``: four jumps of one step make one of four steps, four of those one of
+   sixteen, and so on: as many written rounds as the depth has digits to the base 4.
+   Those who can jump get fewer by the round, unless there is a cycle.  With the
+   jumps come the heights, the most steps each entity can climb.
 3. ``level_sums``: each V row's amounts at the levels (the rounded chain
    ``dec(dec(x*p)*p)...``), ``BLOCK`` levels in one projection, summed per entity
    side by side.  Rounding depends on the row alone, so summing here is exact.
-4. ``_folded``: a sum of level n climbs by the jumps that n's binary digits name, a
-   join and an aggregate a digit, all in one plan; what meets is added up.
+4. ``_folded``: a sum of level n climbs by the jumps that n's digits name, joins and
+   an aggregate a digit, all in one plan; what meets is added up.
 
-Rounds, heights and level sums are written to the shared scratch folder and read
-back: a plan grows with the logarithm of the depth, and a lost executor costs one
+Rounds, and level sums of several passes, are written to the shared scratch folder and
+read back: a plan grows with the logarithm of the depth, and a lost executor costs one
 round.  Amounts are summed as unscaled integers of up to 38 digits: the number of
 paths has no limit of its own, and a total beyond DECIMAL(30,10) raises, with ANSI
 mode on or off, as does an amount beyond DECIMAL(20,10) at a level that is reached.
@@ -73,19 +73,6 @@ class HierarchyColumns:
 DEFAULT_COLUMNS = HierarchyColumns()
 
 
-def _guarded(value: Column, lost: Column) -> Column:
-    """``value``, or an error where it is NULL although ``lost`` says it cannot be
-    (an overflow, which is silent without ANSI mode)."""
-    return F.when(
-        value.isNull() & lost, F.raise_error(F.lit("roll-up amount beyond 38 digits")).cast(_WHOLE)
-    ).otherwise(value)
-
-
-def _sum(column) -> Column:
-    c = F.col(column) if isinstance(column, str) else column
-    return _guarded(F.sum(c).cast(_WHOLE), F.count(c) > 0)
-
-
 def _unscaled(amount: str) -> Column:
     """A DECIMAL(30,10) as the integer of its 10**-10 parts, exactly."""
     whole = F.floor(F.col(amount)).cast(_WHOLE)
@@ -116,6 +103,9 @@ class _Rounds:
         """Write part ``k`` and read it back."""
         df.write.parquet(f"{self.path}/part={k}")
         self.schema = df.schema
+        return self.part(k)
+
+    def part(self, k: int) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/part={k}")
 
     def write_observed(self, k: int, df: DataFrame, *metrics: Column) -> tuple[DataFrame, dict]:
@@ -152,7 +142,10 @@ def edge_table(v: DataFrame, cols: HierarchyColumns = DEFAULT_COLUMNS) -> DataFr
 
 
 # ---------------------------------------------------------------- hierarchy
-#: Jump tables are squared as long as the next one has at most so many times the edges.
+#: Steps of a longer jump, in jumps of the kind before it.
+FAN = 4
+#: With several parents an entity, jump tables are multiplied as long as the next one
+#: has at most so many times the edges.
 MOST_JUMPS = 2
 
 
@@ -161,113 +154,149 @@ class Hierarchy:
     """How far the entities with tenant can climb (the step to a parent without
     rows, or to NULL, included), and the jumps to climb by.
 
-    A jump table holds ``(tenantid, entityid, above, paths)``: who is reached by
-    how many paths of exactly so many steps; ``paths`` is NULL beyond 38 digits.
+    A jump table holds ``(tenantid, entityid, above, paths)``: who is reached by how
+    many paths of exactly ``fan ** k`` steps; ``paths`` is NULL beyond 38 digits.
     """
 
-    jumps: list[DataFrame]  # the k-th one: 2 ** k steps
-    stride: DataFrame | None  # 2 ** len(jumps) steps, where no further one was built
-    climbs: DataFrame  # tenantid, entityid, height >= 1
+    jumps: list[DataFrame]
+    fan: int
+    stride: DataFrame | None  # the longest jumps, where no longer ones were built
+    climbs: DataFrame  # tenantid, entityid, height >= 1 (and ps, the percentages on the way)
     depth: int  # greatest height
 
-    @property
-    def unit(self) -> int:
-        """Steps that the jumps of one kind each cover at the most, plus one."""
-        return 1 << len(self.jumps)
 
-
-def _paths(column: Column) -> Column:
-    """Sum of path counts; NULL, as every count beyond 38 digits, if one is."""
-    return F.when(F.count(column) == F.count(F.lit(1)), F.try_sum(column)).cast(_WHOLE)
-
-
-def _squared(jump: DataFrame, forest: bool) -> DataFrame:
-    """Jumps of twice as many steps.  In a forest no paths meet."""
-    first = jump.select("tenantid", "entityid", F.col("above").alias("mid"), F.col("paths").alias("before"))
-    then = jump.select("tenantid", F.col("entityid").alias("mid"), "above", "paths")
-    both = first.join(then, ["tenantid", "mid"]).select(
-        "tenantid", "entityid", "above", F.try_multiply("before", "paths").cast(_WHOLE).alias("paths")
-    )
-    return both if forest else both.groupBy("tenantid", "entityid", "above").agg(_paths(F.col("paths")).alias("paths"))
+def _cycle(n) -> HierarchyCycleError:
+    return HierarchyCycleError(f"{n} entities on or below a cycle")
 
 
-def _squared_rows(jump: DataFrame) -> int:
-    """Rows that the join of ``_squared`` makes, from the degrees alone."""
-    reached = jump.groupBy("tenantid", F.col("above").alias("mid")).agg(F.count(F.lit(1)).alias("a"))
-    onward = jump.groupBy("tenantid", F.col("entityid").alias("mid")).agg(F.count(F.lit(1)).alias("b"))
-    return reached.join(onward, ["tenantid", "mid"]).agg(F.sum((F.col("a") * F.col("b")).cast(_WHOLE))).first()[0] or 0
+def _too_deep(max_depth: int) -> HierarchyCycleError:
+    return HierarchyCycleError(f"hierarchy deeper than max_depth={max_depth}")
 
 
-def _raised(climbs: DataFrame, jump: DataFrame, steps: int) -> DataFrame:
-    """Heights cut off at c, by jumps of ``steps`` >= c steps: heights cut off at c + ``steps``."""
-    from_below = jump.select(
-        F.col("tenantid").alias("j_tenant"), F.col("entityid").alias("j_from"), F.col("above").alias("j_above"), F.lit(1).alias("j_take")
-    )
-    # each height stays, and is handed down to those who jump to it
-    handed = climbs.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("take")).join(
-        from_below,
-        (F.col("tenantid") == F.col("j_tenant")) & (F.col("entityid") == F.col("j_above")) & (F.col("take") == F.col("j_take")), "left",
-    ).filter("take = 0 or j_take = 1").select(
-        "tenantid", F.when(F.col("take") == 1, F.col("j_from")).otherwise(F.col("entityid")).alias("entityid"),
-        (F.col("height") + F.when(F.col("take") == 1, steps).otherwise(0)).alias("height"),
-    )
-    reached = jump.select("tenantid", "entityid", F.lit(steps).alias("height"))
-    return handed.unionByName(reached).groupBy("tenantid", "entityid").agg(F.max("height").alias("height"))
+def hierarchy(edges: DataFrame, max_depth: int | None = None) -> Hierarchy:
+    """Jumps and heights of the edges (tenantid, entityid, parententityid, mult), which
+    may repeat, in a number of written rounds that grows with the logarithm of the
+    depth.
 
+    Raises ``HierarchyCycleError`` on a cycle, and where an entity can climb more
+    than ``max_depth`` steps.  With a column ``percentage`` (one parent an entity),
+    ``climbs`` gets the percentages on the way up as the array ``ps``.
+    """
+    spark = edges.sparkSession
+    rounds = _Rounds(spark, "climbs")
+    share = ", array(min(percentage)) AS ps" if "percentage" in edges.columns else ""
+    first, seen = rounds.write_observed(0, spark.sql(
+        f"""SELECT tenantid, entityid, min(parententityid) AS above, 1 AS height, CAST(sum(mult) AS {_WHOLE}) AS paths,
+              min(parententityid) <=> max(parententityid) AND count(parententityid) IN (0, count(*)) AS one_parent{share}
+            FROM {{edges}} WHERE tenantid IS NOT NULL AND entityid IS NOT NULL GROUP BY tenantid, entityid""", edges=edges,
+    ), F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("one_parent")).alias("several"))
+    if seen["several"]:
+        return _of_graph(edges, seen["rows"], max_depth)
+    return _of_forest(rounds, first.drop("one_parent"), seen["rows"], max_depth)
+
+
+def _of_forest(rounds: _Rounds, reach: DataFrame, count: int, max_depth: int | None) -> Hierarchy:
+    """Every entity has one row: how far its known way up goes, and to whom.  A round
+    hands those whose way is still open (as long as a jump) on to the ways of whom
+    they reach, ``FAN`` - 1 times, which makes the jumps ``FAN`` times as long.
+    There are fewer open ways each round unless there is a cycle.
+    """
+    jumps, steps, depth = [], 1, 1 if count else 0
+    while count:
+        if max_depth is not None and steps > max_depth:
+            raise _too_deep(max_depth)
+        jumps.append(reach.filter(F.col("height") == steps).select("tenantid", "entityid", "above", "paths"))
+        columns, joins, height = [f"{c}" for c in reach.columns if c in ("ps",)], "", "a.height"
+        above, paths, ps = "a.above", "a.paths", "a.ps"
+        for k in range(1, FAN):
+            b = f"b{k}"
+            joins += f" LEFT JOIN {{reach}} {b} ON a.tenantid = {b}.tenantid AND {above} = {b}.entityid AND {height} = {k * steps}"
+            met = f"{b}.height IS NOT NULL"
+            above, paths = f"if({met}, {b}.above, {above})", f"if({met}, try_multiply({paths}, {b}.paths), {paths})"
+            height, ps = f"({height} + coalesce({b}.height, 0))", f"if({met}, concat({ps}, {b}.ps), {ps})"
+        steps *= FAN
+        reach, seen = rounds.write_observed(len(jumps), reach.sparkSession.sql(
+            f"SELECT a.tenantid, a.entityid, {above} AS above, {height} AS height, {paths} AS paths"
+            f"{f', {ps} AS ps' if columns else ''} FROM {{reach}} a{joins}", reach=reach,
+        ), F.count_if(F.col("height") == steps).alias("open"), F.max("height").alias("top"))
+        if seen["open"] == count:
+            raise _cycle(count)
+        count, depth = seen["open"], seen["top"]
+    if max_depth is not None and depth > max_depth:
+        raise _too_deep(max_depth)
+    return Hierarchy(jumps, FAN, None, reach.drop("above", "paths"), depth)
 
-def _cycle(n) -> HierarchyCycleError:
-    return HierarchyCycleError(f"{n} entities on or below a cycle")
 
+def _of_graph(edges: DataFrame, count: int, max_depth: int | None) -> Hierarchy:
+    """Entities with several parents: a jump table joined with itself, paths that meet
+    added up, gives jumps of twice as many steps, until nobody can jump so far.
 
-def hierarchy(edges: DataFrame, max_depth: int | None = None) -> Hierarchy:
-    """Jumps and heights of an edge table, in a number of written rounds that grows
-    with the logarithm of the depth.
-
-    Jumps of k steps squared are jumps of 2k steps, until nobody can jump so far.
-    As those who can get fewer each time unless there is a cycle, an equal number
-    raises ``HierarchyCycleError``; so does an entity that can climb more than
-    ``max_depth`` steps.  Where entities have several parents, a square could hold
-    many pairs: it is built only if it stays below ``MOST_JUMPS`` times the edges,
-    else the last jumps are taken one by one from there.
+    Such a table could hold many pairs: it is built only if the join makes at most
+    ``MOST_JUMPS`` times the edges, else the last jumps are taken one by one.
     """
     spark = edges.sparkSession
     rounds = _Rounds(spark, "jumps")
-    jump, seen = rounds.write_observed(
-        0,
-        edges.filter(F.col("tenantid").isNotNull() & F.col("entityid").isNotNull()).select(
-            "tenantid", "entityid", F.col("parententityid").alias("above"), F.col("mult").cast(_WHOLE).alias("paths")
-        ),
-        F.count(F.lit(1)).alias("rows"),
-    )
-    able = jump.groupBy("tenantid", "entityid").count().agg(F.count(F.lit(1)), F.max("count")).first()
-    count, forest = able[0], able[1] in (None, 1)
+    jump, seen = rounds.write_observed(0, spark.sql(
+        f"""SELECT tenantid, entityid, parententityid AS above, CAST(sum(mult) AS {_WHOLE}) AS paths
+            FROM {{edges}} WHERE tenantid IS NOT NULL AND entityid IS NOT NULL GROUP BY ALL""", edges=edges,
+    ), F.count(F.lit(1)).alias("rows"))
     jumps, stride, rows = [], None, seen["rows"]
     while count:
         if max_depth is not None and 1 << len(jumps) > max_depth:
-            raise HierarchyCycleError(f"hierarchy deeper than max_depth={max_depth}")
-        if not forest and _squared_rows(jump) > MOST_JUMPS * rows:
+            raise _too_deep(max_depth)
+        if _joined_rows(jump) > MOST_JUMPS * rows:
             stride = jump
             break
         jumps.append(jump)
-        jump, seen = rounds.write_observed(len(jumps), _squared(jump, forest), F.count(F.lit(1)).alias("rows"))
-        left = seen["rows"] if forest else jump.select("tenantid", "entityid").distinct().count()
+        jump = rounds.write(len(jumps), spark.sql(
+            f"""SELECT a.tenantid, a.entityid, b.above, {_PATHS.format("try_multiply(a.paths, b.paths)")} AS paths
+                FROM {{jump}} a JOIN {{jump}} b ON a.tenantid = b.tenantid AND a.above = b.entityid GROUP BY a.tenantid, a.entityid, b.above""",
+            jump=jump,
+        ))
+        left = jump.select("tenantid", "entityid").distinct().count()
         if left == count:
             raise _cycle(left)
         count = left
-    climbs, depth = _heights(jump.select("tenantid", "entityid"), jumps, stride)
+    climbs, depth = _heights(rounds.part(0), jumps, stride)
     if max_depth is not None and depth > max_depth:
-        raise HierarchyCycleError(f"hierarchy deeper than max_depth={max_depth}")
-    return Hierarchy(jumps, stride, climbs, depth)
+        raise _too_deep(max_depth)
+    return Hierarchy(jumps, 2, stride, climbs, depth)
+
+
+#: Sum of path counts; NULL, as a count beyond 38 digits is, if one of them is.
+_PATHS = f"CAST(CASE WHEN count({{0}}) = count(*) THEN try_sum({{0}}) END AS {_WHOLE})"
+
 
+def _joined_rows(jump: DataFrame) -> int:
+    """Rows that a jump table makes when joined with itself, from the degrees alone."""
+    return jump.sparkSession.sql(
+        f"""SELECT coalesce(sum(CAST(a.n * b.n AS {_WHOLE})), 0) FROM (SELECT tenantid, above, count(*) AS n FROM {{jump}} GROUP BY ALL) a
+            JOIN (SELECT tenantid, entityid, count(*) AS n FROM {{jump}} GROUP BY ALL) b ON a.tenantid = b.tenantid AND a.above = b.entityid""",
+        jump=jump,
+    ).first()[0]
 
-def _heights(entities: DataFrame, jumps: list[DataFrame], stride: DataFrame | None) -> tuple[DataFrame, int]:
+
+def _raised(climbs: DataFrame, jump: DataFrame, steps: int) -> DataFrame:
+    """Heights cut off at c, by jumps of ``steps`` >= c steps: heights cut off at c + ``steps``.
+    Each height stays, and is handed down to those who jump to it."""
+    return climbs.sparkSession.sql(
+        f"""SELECT tenantid, entityid, max(height) AS height FROM (
+              SELECT c.tenantid, if(c.take = 1, j.entityid, c.entityid) AS entityid, c.height + c.take * {steps} AS height
+              FROM (SELECT *, explode(array(0, 1)) AS take FROM {{climbs}}) c
+              LEFT JOIN {{jump}} j ON c.tenantid = j.tenantid AND c.entityid = j.above AND c.take = 1
+              WHERE c.take = 0 OR j.entityid IS NOT NULL
+              UNION ALL SELECT tenantid, entityid, {steps} FROM {{jump}}) GROUP BY tenantid, entityid""",
+        climbs=climbs, jump=jump,
+    )
+
+
+def _heights(edges: DataFrame, jumps: list[DataFrame], stride: DataFrame | None) -> tuple[DataFrame, int]:
     """Heights from the jumps, shortest ones first: one plan, a join and an aggregate
     a jump table.  Beyond them a round for each stride."""
-    rounds = _Rounds(entities.sparkSession, "climbs")
-    if jumps:
-        climbs = jumps[0].select("tenantid", "entityid", F.lit(1).alias("height")).distinct()
-    else:
-        climbs = entities.select("tenantid", "entityid", F.lit(0).alias("height")).limit(0)
+    rounds = _Rounds(edges.sparkSession, "heights")
+    climbs = edges.select("tenantid", "entityid", F.lit(1).alias("height")).distinct()
+    if not jumps:
+        climbs = climbs.withColumn("height", F.lit(0)).limit(0)
     for k, jump in enumerate(jumps[1:], 1):
         climbs = _raised(climbs, jump, 1 << k)
     unit = 1 << len(jumps)
@@ -289,71 +318,88 @@ def _heights(entities: DataFrame, jumps: list[DataFrame], stride: DataFrame | No
 
 
 # ------------------------------------------------------------------ folding
-def _times(amount: str, paths: Column) -> Column:
-    """An amount as often as there are paths; no paths are too many for 0."""
-    product = F.when(F.col(amount) == 0, F.lit(0).cast(_WHOLE)).otherwise(F.try_multiply(F.col(amount), paths).cast(_WHOLE))
-    return _guarded(product, F.col(amount).isNotNull())
-
-
-def _climbed(s: DataFrame, jump: DataFrame, keep: list[str], measure, odd: Column, after: Column, how: str) -> DataFrame:
-    """Rows of ``s`` that are ``odd`` take a jump, others stay where they are; then
-    equal (tenantid, entityid, level, ``keep``) are added up."""
-    j = jump.select(
-        F.col("tenantid").alias("j_tenant"), F.col("entityid").alias("j_from"), F.col("above").alias("j_above"),
-        F.col("paths").alias("j_paths"), F.lit(True).alias("j_hit"),
+def _guarded_sql(value: str, given: str) -> str:
+    """``value``, or an error where it is NULL although ``given`` says it cannot be (an
+    overflow, which is silent without ANSI mode)."""
+    return f"CASE WHEN {value} IS NULL AND {given} THEN CAST(raise_error('roll-up amount beyond 38 digits') AS {_WHOLE}) ELSE {value} END"
+
+
+def _times(amount: str, paths: str) -> str:
+    """An amount as often as there are paths; no number of paths is too many for 0."""
+    product = f"CAST(if({amount} = 0, 0, try_multiply({amount}, {paths})) AS {_WHOLE})"
+    return _guarded_sql(product, f"{amount} IS NOT NULL")
+
+
+def _added(amount: str) -> str:
+    return _guarded_sql(f"CAST(sum({amount}) AS {_WHOLE})", f"count({amount}) > 0")
+
+
+def _measures(*amounts: str) -> str:
+    """Aggregates of amounts that take the paths of a step."""
+    return ", ".join(f"{_added(_times(a, '{paths}'))} AS {a}" for a in amounts)
+
+
+def _climbed(source: str, jump: str, hops: int, measure: str, keep: list[str], taken: str, after: str, how: str) -> str:
+    """SQL: rows of ``source`` take ``taken`` jumps, at most ``hops``, and equal
+    (tenantid, entityid, level, ``keep``) are added up; rows without so many go."""
+    joins, at, gone = "", "s.entityid", []
+    for k in range(1, hops + 1):
+        joins += f" {how} JOIN {{{jump}}} j{k} ON s.tenantid = j{k}.tenantid AND {at} = j{k}.entityid AND {taken} >= {k}"
+        gone.append(f"({taken} < {k} OR j{k}.entityid IS NOT NULL)")
+        at = f"j{k}.above"
+    place, paths, product = "CASE", "CASE", f"CAST(1 AS {_WHOLE})"
+    for k in range(hops + 1):
+        product = f"try_multiply({product}, j{k}.paths)" if k > 1 else f"j{k}.paths" if k else product
+        when = f" WHEN {taken} = {k} THEN"
+        place, paths = f"{place}{when} {f'j{k}.above' if k else 's.entityid'}", f"{paths}{when} {product}"
+    kept = "".join(f", s.{c}" for c in keep)
+    inner = f"SELECT s.* EXCEPT (entityid, level), {place} END AS entityid, {paths} END AS taken_paths, {after} AS level FROM {source} s{joins} WHERE {' AND '.join(gone)}"
+    return (
+        f"(SELECT tenantid, entityid, level{kept.replace('s.', '')}, {measure.replace('{paths}', 'taken_paths')}"
+        f" FROM ({inner}) GROUP BY tenantid, entityid, level{kept.replace('s.', '')})"
     )
-    joined = s.withColumn("odd", odd).join(
-        j, (F.col("tenantid") == F.col("j_tenant")) & (F.col("entityid") == F.col("j_from")) & F.col("odd"), how
-    ).filter(~F.col("odd") | F.col("j_hit"))
-    return joined.groupBy(
-        "tenantid", F.when(F.col("odd"), F.col("j_above")).otherwise(F.col("entityid")).alias("entityid"), after.alias("level"), *keep
-    ).agg(*measure(F.when(F.col("odd"), F.col("j_paths")).otherwise(F.lit(1).cast(_WHOLE))))
 
 
-def _folded(s: DataFrame, found: Hierarchy, measure, keep: list[str] = ()) -> DataFrame:
+def _folded(s: DataFrame, found: Hierarchy, measure: str, keep: list[str] = ()) -> DataFrame:
     """Move every row (tenantid, entityid, level, ...) up by ``level`` steps, along all
     paths, and add up what meets.
 
-    The level's binary digits choose the jumps, lowest first: a join and an
-    aggregate a digit, all in one plan.  ``measure`` makes the aggregates of a step
-    from the column of the paths taken; ``keep`` are further grouping columns.
+    The digits of the level to the base ``fan`` say how many jumps of which length,
+    shortest first: joins and an aggregate a digit, all in one plan.  ``measure``
+    are the aggregates of a step; ``keep`` are further grouping columns.
     """
-    keep = list(keep)
-    half = F.floor(F.col("level") / 2).cast("int")
-    for jump in found.jumps:
-        s = _climbed(s, jump, keep, measure, F.col("level") % 2 == 1, half, "left")
+    keep, text, frames = list(keep), "{s}", {"s": s}
+    for k, jump in enumerate(found.jumps):
+        frames[f"jump{k}"] = jump
+        text = _climbed(text, f"jump{k}", found.fan - 1, measure, keep, f"s.level % {found.fan}", f"CAST(s.level div {found.fan} AS int)", "LEFT")
+    if found.jumps:
+        s = s.sparkSession.sql(f"SELECT * FROM {text}", **frames)
     if found.stride is None:
         return s.drop("level")
     # strides: what is left climbs from the top level down, a written round each
     s = _written(s, "strides")
     rounds = _Rounds(s.sparkSession, "strides")
-    most = found.depth >> len(found.jumps)
+    most = found.depth // found.fan ** len(found.jumps)
     gathered = s.filter(F.col("level") == most)
     for k in range(most, 0, -1):
-        moved = _climbed(gathered, found.stride, keep, measure, F.lit(True), F.lit(k - 1), "inner")
-        own = s.filter(F.col("level") == k - 1)
-        meet = moved.unionByName(own).groupBy("tenantid", "entityid", "level", *keep).agg(*measure(F.lit(1).cast(_WHOLE)))
-        gathered = rounds.write(k - 1, meet)
+        moved = _climbed("{gathered}", "jump", 1, measure, keep, "1", str(k - 1), "INNER")
+        meet = f"(SELECT * FROM {moved} UNION ALL BY NAME SELECT * FROM {{s}} WHERE level = {k - 1})"
+        once = measure.replace("{paths}", f"CAST(1 AS {_WHOLE})")
+        by = ", ".join(["tenantid", "entityid", "level", *keep])
+        gathered = rounds.write(k - 1, s.sparkSession.sql(
+            f"SELECT {by}, {once} FROM {meet} GROUP BY {by}", gathered=gathered, jump=found.stride, s=s))
         if k < most:
             rounds.drop(k)
     return gathered.drop("level")
 
 
-def _amounts(paths: Column) -> list[Column]:
-    return [_sum(_times(c, paths)).alias(c) for c in ("loc", "mkt")]
-
-
 def ancestor_closure(found: Hierarchy) -> DataFrame:
     """``(tenantid, rootid, ancestorid, paths, distance)`` for the distances 1 to each
     root's height; ``paths`` is NULL beyond 38 digits."""
-    start = found.climbs.select(
-        "tenantid", "entityid", F.col("entityid").alias("rootid"),
-        F.explode(F.sequence(F.lit(1), F.col("height"))).alias("distance"), F.lit(1).cast(_WHOLE).alias("paths"),
+    start = found.climbs.selectExpr(
+        "tenantid", "entityid", "entityid AS rootid", "explode(sequence(1, height)) AS distance", f"CAST(1 AS {_WHOLE}) AS paths"
     ).withColumn("level", F.col("distance"))
-
-    def paths(taken: Column) -> list[Column]:
-        return [_paths(F.try_multiply(F.col("paths"), taken).cast(_WHOLE)).alias("paths")]
-
+    paths = f"{_PATHS.replace('{0}', 'try_multiply(paths, {paths})')} AS paths"
     return _folded(start, found, paths, ["rootid", "distance"]).select(
         "tenantid", "rootid", F.col("entityid").alias("ancestorid"), "paths", "distance"
     )
@@ -371,28 +417,25 @@ def _chains(rows: DataFrame, found: Hierarchy, percentage, carry: list[str]):
 
     A pass is one projection; only rows whose entity climbs beyond its levels go on
     to the next one, with their last amounts.  ``percentage`` gives the factor of a
-    step.
+    step as SQL.
     """
-    start = 0
+    start, amount = 0, AMOUNT_TYPE.simpleString()
     while True:
         count = min(BLOCK, found.depth + 1 - start)
-        over = F.lit(None).cast("int")
-
-        def step(name: str, k: int) -> Column:
-            return (F.col(name) * percentage(k)).try_cast(AMOUNT_TYPE)
-
+        steps, lost = "", ""
         for k in range(1, count + 1):
-            rows = rows.withColumns({f"{c}{k}": step(f"{c}{k - 1}", start + k) for c in "lm"})
-            lost = (F.col(f"l{k}").isNull() & F.col(f"l{k - 1}").isNotNull()) | (F.col(f"m{k}").isNull() & F.col(f"m{k - 1}").isNotNull())
-            over = F.coalesce(over, F.when(lost & percentage(start + k).isNotNull(), start + k))
-        rows = rows.withColumn("over", over)
-        yield start, count, rows
+            p = percentage(start + k)
+            steps += "".join(f", try_cast({c}{k - 1} * {p} AS {amount}) AS {c}{k}" for c in "lm")
+            lost += f" WHEN {p} IS NOT NULL AND (l{k} IS NULL AND l{k - 1} IS NOT NULL OR m{k} IS NULL AND m{k - 1} IS NOT NULL) THEN {start + k}"
+        # a column may use those before it
+        wide = rows.sparkSession.sql(f"SELECT *{steps}, CAST(CASE{lost} END AS int) AS over FROM {{rows}}", rows=rows)
+        yield start, count, wide
         start += count
         if start > found.depth:
             return
         deep = found.climbs.filter(F.col("height") >= start).select("tenantid", "entityid")
         rows = _written(
-            rows.filter("over is null").join(deep, ["tenantid", "entityid"], "left_semi")
+            wide.join(deep, ["tenantid", "entityid"], "left_semi")
             .select("tenantid", "entityid", *carry, F.col(f"l{count}").alias("l0"), F.col(f"m{count}").alias("m0")),
             "frontier",
         )
@@ -401,12 +444,15 @@ def _chains(rows: DataFrame, found: Hierarchy, percentage, carry: list[str]):
 def _unrolled(rows: DataFrame, found: Hierarchy, start: int, count: int, keep: list[str]) -> DataFrame:
     """Rows with amounts side by side as rows with a level each, as far up as the
     row's own entity climbs."""
-    height = F.coalesce(F.col("height"), F.lit(0))
-    entries = F.array(*[F.struct(F.lit(start + k).alias("level"), F.col(f"l{k}").alias("loc"), F.col(f"m{k}").alias("mkt")) for k in range(count)])
-    reached = F.when(F.col("over") <= height, F.raise_error(F.lit("roll-up amount beyond DECIMAL(20,10)")).cast("int")).otherwise(
-        F.least(F.lit(count), height - start + 1)
+    entries = ", ".join(f"struct({start + k} AS level, l{k} AS loc, m{k} AS mkt)" for k in range(count))
+    kept = "".join(f", r.{c}" for c in keep)
+    return rows.sparkSession.sql(
+        f"""SELECT r.tenantid, r.entityid{kept}, inline(slice(array({entries}), 1,
+              CASE WHEN over <= coalesce(height, 0) THEN CAST(raise_error('roll-up amount beyond {AMOUNT_TYPE.simpleString()}') AS int)
+                   ELSE least({count}, coalesce(height, 0) - {start - 1}) END))
+            FROM {{rows}} r LEFT JOIN {{climbs}} c ON r.tenantid = c.tenantid AND r.entityid = c.entityid""",
+        rows=rows, climbs=found.climbs.select("tenantid", "entityid", "height"),
     )
-    return rows.join(found.climbs, ["tenantid", "entityid"], "left").select(*keep, F.inline(F.slice(entries, F.lit(1), reached)))
 
 
 def _anchored(v: DataFrame, cols: HierarchyColumns) -> DataFrame:
@@ -416,8 +462,8 @@ def _anchored(v: DataFrame, cols: HierarchyColumns) -> DataFrame:
     )
 
 
-def _own_percentage(_: int) -> Column:
-    return F.col("percentage")
+def _own_percentage(_: int) -> str:
+    return "percentage"
 
 
 def level_amounts(v: DataFrame, found: Hierarchy, cols: HierarchyColumns = DEFAULT_COLUMNS) -> DataFrame:
@@ -429,42 +475,47 @@ def level_amounts(v: DataFrame, found: Hierarchy, cols: HierarchyColumns = DEFAU
     carry = ["percentage", "rows"]
     out = None
     for start, count, wide in _chains(rows, found, _own_percentage, carry):
-        part = _unrolled(wide, found, start, count, ["tenantid", "entityid", *carry])
+        part = _unrolled(wide, found, start, count, carry)
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def _summed(rows: DataFrame, found: Hierarchy, percentage, carry: list[str]) -> DataFrame:
-    """Written unscaled sums and row counts per (tenantid, entityid, level) of rows
-    with l0 and m0.
+    """Unscaled sums and row counts per (tenantid, entityid, level) of rows with l0 and
+    m0; written where it takes several passes.
 
     The levels are added up side by side, so an activity row enters one partial
     aggregate whatever its depth; they become rows at entity grain.
     """
     rounds = _Rounds(rows.sparkSession, "levels")
+    unscaled = {"loc": _unscaled("loc"), "mkt": _unscaled("mkt")}
     for k, (start, count, wide) in enumerate(_chains(rows, found, percentage, carry)):
-        sums = wide.groupBy("tenantid", "entityid").agg(
-            F.count(F.lit(1)).alias("rows"), F.min("over").alias("over"),
-            *[F.sum(f"{c}{i}").cast(_AMOUNT_SUM).alias(f"{c}{i}") for i in range(count) for c in "lm"],
-        )
-        long = _unrolled(sums, found, start, count, ["tenantid", "entityid", "rows"])
-        rounds.write(k, long.withColumns({"loc": _unscaled("loc"), "mkt": _unscaled("mkt")}))
+        sums = ", ".join(f"CAST(sum({c}{i}) AS {_AMOUNT_SUM}) AS {c}{i}" for i in range(count) for c in "lm")
+        sums = wide.sparkSession.sql(f"SELECT tenantid, entityid, count(*) AS rows, min(over) AS over, {sums} FROM {{wide}} GROUP BY ALL", wide=wide)
+        long = _unrolled(sums, found, start, count, ["rows"]).withColumns(unscaled)
+        if found.depth < BLOCK:
+            return long
+        rounds.write(k, long)
     return rounds.whole()
 
 
 def level_sums(v: DataFrame, found: Hierarchy, cols: HierarchyColumns = DEFAULT_COLUMNS) -> DataFrame:
-    """Unscaled sums and row counts per (tenantid, entityid, level), written."""
+    """Unscaled sums and row counts per (tenantid, entityid, level)."""
     return _summed(_anchored(v, cols), found, _own_percentage, ["percentage"])
 
 
 # ------------------------------------------------------------------ results
 def _found(v: DataFrame, cols: HierarchyColumns, max_depth: int | None) -> Hierarchy:
-    return hierarchy(edge_table(v, cols), max_depth)
+    rows = v.select(
+        F.col(cols.tenant).alias("tenantid"), F.col(cols.entity).alias("entityid"), F.col(cols.parent).alias("parententityid"),
+        F.lit(1).cast("long").alias("mult"),
+    )
+    return hierarchy(rows, max_depth)
 
 
 def _totals(levels: DataFrame, *by: Column) -> DataFrame:
     return levels.groupBy(*by).agg(
-        _total(_sum("loc")).alias("cumulative_locationbased"), _total(_sum("mkt")).alias("cumulative_marketbased")
+        _total(F.expr(_added("loc"))).alias("cumulative_locationbased"), _total(F.expr(_added("mkt"))).alias("cumulative_marketbased")
     )
 
 
@@ -473,7 +524,7 @@ def rollup_totals(
 ) -> DataFrame:
     """A1: ``id, cumulative_locationbased, cumulative_marketbased`` (NULL id kept)."""
     found = _found(v, cols, max_depth)
-    climbed = _folded(level_sums(v, found, cols).drop("rows"), found, _amounts)
+    climbed = _folded(level_sums(v, found, cols).drop("rows"), found, _measures("loc", "mkt"))
     return _totals(climbed, F.col("entityid").alias("id"))
 
 
@@ -485,12 +536,11 @@ def rollup_by_level(
     one beyond 38 digits raises)."""
     found = _found(v, cols, max_depth)
     sums = level_sums(v, found, cols).withColumns({"rows": F.col("rows").cast(_WHOLE), "climbed": F.col("level")})
-
-    def measure(paths: Column) -> list[Column]:
-        return [*_amounts(paths), _sum(_times("rows", paths)).alias("rows")]
-
-    return _folded(sums, found, measure, ["climbed"]).groupBy(F.col("entityid").alias("id"), F.col("climbed").alias("level")).agg(
-        _total(_sum("loc")).alias("amount_locationbased"), _total(_sum("mkt")).alias("amount_marketbased"), _sum("rows").alias("n")
+    return _folded(sums, found, _measures("loc", "mkt", "rows"), ["climbed"]).groupBy(
+        F.col("entityid").alias("id"), F.col("climbed").alias("level")
+    ).agg(
+        _total(F.expr(_added("loc"))).alias("amount_locationbased"), _total(F.expr(_added("mkt"))).alias("amount_marketbased"),
+        F.expr(_added("rows")).alias("n"),
     )
 
 
@@ -508,23 +558,14 @@ def rollup_contributions(
         .groupBy("tenantid", "entityid", "level", "percentage", "loc", "mkt").agg(F.sum("rows").cast(_WHOLE).alias("rows")),
         "levels",
     )
-    pairs = ancestor_closure(found).select(
-        F.col("tenantid").alias("c_tenant"), F.col("rootid").alias("c_root"), F.col("distance").alias("c_distance"),
-        F.col("ancestorid").alias("c_ancestor"), "paths",
-    )
-    above = detail.filter("level > 0").join(
-        pairs, (F.col("tenantid") == F.col("c_tenant")) & (F.col("entityid") == F.col("c_root")) & (F.col("level") == F.col("c_distance"))
-    ).select(*detail.columns, F.col("c_ancestor").alias("id"), "paths")
-    own = detail.filter("level = 0").select("*", F.col("entityid").alias("id"), F.lit(1).cast(_WHOLE).alias("paths"))
-    return own.unionByName(above).select(
-        "id",
-        "tenantid",
-        F.col("entityid").alias("rootid"),
-        F.col("loc").alias("amount_locationbased"),
-        F.col("mkt").alias("amount_marketbased"),
-        "percentage",
-        "level",
-        _times("rows", F.col("paths")).alias("n"),
+    return v.sparkSession.sql(
+        f"""SELECT id, tenantid, entityid AS rootid, loc AS amount_locationbased, mkt AS amount_marketbased, percentage, level,
+              {_times("rows", "paths")} AS n
+            FROM (SELECT *, entityid AS id, CAST(1 AS {_WHOLE}) AS paths FROM {{detail}} WHERE level = 0
+                  UNION ALL
+                  SELECT d.*, c.ancestorid, c.paths FROM {{detail}} d
+                  JOIN {{closure}} c ON d.tenantid = c.tenantid AND d.entityid = c.rootid AND d.level = c.distance)""",
+        detail=detail, closure=ancestor_closure(found),
     )
 
 
@@ -599,10 +640,9 @@ def entity_rollup_totals(
     parents without activity rows pass contributions on (Q5).  Rounding per
     step and NULL percentages behave as in the reference.
 
-    Plan: the entity table is written once; its ancestor pairs give every
-    entity the percentages along its path as an array (as long as the path);
-    per V row the chain of rounded amounts over that array; sums per (tenant,
-    entity, level); these climb as in the reference mode.
+    Plan: the rounds that make the jumps gather every entity's percentages on its
+    way up as an array; per V row the chain of rounded amounts over that array;
+    sums per (tenant, entity, level), which climb as in the reference mode.
     """
     ent = _written(
         (entity_table(v, cols) if entities is None else entities).select(
@@ -613,26 +653,10 @@ def entity_rollup_totals(
     dup = ent.groupBy("tenantid", "entityid").count().filter("count > 1").limit(1)
     if not dup.isEmpty():
         raise ValueError("entity mode needs one parent and percentage per (tenant, entity)")
-    edges = ent.select("tenantid", "entityid", "parententityid", F.lit(1).cast("long").alias("mult"))
-    found = hierarchy(edges, max_depth)
-    closure = ancestor_closure(found)
-    # percentage of the node at distance d (d = 0 is the root itself)
-    own = ent.select("tenantid", F.col("entityid").alias("rootid"), F.lit(0).alias("distance"), "percentage")
-    left = ent.select("tenantid", F.col("entityid").alias("ancestorid"), "percentage")
-    along = own.unionByName(
-        closure.join(left, ["tenantid", "ancestorid"]).select("tenantid", "rootid", "distance", "percentage")
-    )
-    paths = along.groupBy("tenantid", F.col("rootid").alias("entityid")).agg(
-        F.array_sort(F.collect_list(F.struct("distance", "percentage"))).getField("percentage").alias("ps")
-    )
-    rows = v.select(
-        F.col(cols.tenant).alias("tenantid"),
-        F.col(cols.entity).alias("entityid"),
-        coalesce_amount(cols.total, cols.location).alias("l0"),
-        coalesce_amount(cols.total, cols.market).alias("m0"),
-    ).join(paths, ["tenantid", "entityid"], "left")
-    sums = _summed(rows, found, lambda k: F.get("ps", F.lit(k - 1)), ["ps"]).drop("rows")
-    return _totals(_folded(sums, found, _amounts), F.col("tenantid"), F.col("entityid").alias("id"))
+    found = hierarchy(ent.withColumn("mult", F.lit(1).cast("long")), max_depth)
+    rows = _anchored(v, cols).drop("percentage").join(found.climbs.select("tenantid", "entityid", "ps"), ["tenantid", "entityid"], "left")
+    sums = _summed(rows, found, lambda k: f"get(ps, {k - 1})", ["ps"]).drop("rows")
+    return _totals(_folded(sums, found, _measures("loc", "mkt")), F.col("tenantid"), F.col("entityid").alias("id"))
 
 
 def entity_rollup_report(
