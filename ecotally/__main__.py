@@ -28,6 +28,7 @@ def main(argv: list[str] | None = None) -> int:
     batch.add_argument("--format", default=None, help="file format of path sources (json, parquet)")
     batch.add_argument("--publish-to", default=None, help="publish the report here (a folder; created, then refreshed)")
     batch.add_argument("--as-of", default=None, help="run date YYYY-MM-DD (default: today, UTC)")
+    batch.add_argument("--keep-commits", type=int, default=None, help="delete what only older commits of the published report list")
     batch.add_argument("--append", action="store_true", help="add to a same-day snapshot")
     args = parser.parse_args(argv)
 
@@ -41,6 +42,7 @@ def main(argv: list[str] | None = None) -> int:
         publish_to=args.publish_to,
         snapshot_mode="append" if args.append else "overwrite",
         build_report=args.publish_to is not None,
+        keep_commits=args.keep_commits,
     )
     release_scratch(spark)
     print(f"snapshot {result.run_date} written to {result.snapshot_path}", file=sys.stderr)

@@ -8,13 +8,20 @@ window replace the target's window.  The cut is ``as_of - days``, inclusive;
 
 from __future__ import annotations
 
-import uuid
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.snapshot import list_folders, publish
+from ..sources.committed import (
+    Commit,
+    commit,
+    merged_schema,
+    newest_commit,
+    read_committed,
+    replace_all,
+    write_version,
+)
 
 
 def _as_of(as_of) -> Column:
@@ -52,16 +59,16 @@ def incremental_refresh(
 DAY_PARTITION = "date_day"
 
 
+def _by_day(report: DataFrame, column: str, day_column: str) -> DataFrame:
+    """Rows with their day, a day's rows together; a large day in several parts."""
+    return report.withColumn(day_column, F.to_date(F.col(column))).hint("rebalance", day_column)
+
+
 def publish_by_day(
     report: DataFrame, target: str, column: str = "date", day_column: str = DAY_PARTITION
 ) -> None:
-    """First import of a published dataset: every row, partitioned by day."""
-    (
-        report.withColumn(day_column, F.to_date(F.col(column)))
-        .write.mode("overwrite")
-        .partitionBy(day_column)
-        .parquet(target)
-    )
+    """Import of a published dataset: every row, partitioned by day, as one commit."""
+    replace_all(_by_day(report, column, day_column), target, [day_column])
 
 
 def refresh_published(
@@ -80,51 +87,47 @@ def refresh_published(
     more go, as in ``incremental_refresh``.  Older days and the NULL-date
     folder stay, and the target is never read.
 
-    The window is written beside the dataset first (a name that readers skip)
-    and its day folders then take the old ones' places, so the report is
-    computed once, and a failure before that leaves the dataset as it was.
-    ``as_of`` is a time or a scalar column; take it from what the report is
-    built on.  By default it is the newest ``column`` value of ``report``.
+    The window's days are written as a new version, and one commit names them
+    and the older days that stay: a failure at any step leaves the old dataset or
+    the new one.  ``as_of`` is a time or a scalar column; take it from what the
+    report is built on.  By default it is the newest ``column`` value of ``report``.
     """
     spark = report.sparkSession
+    old = newest_commit(spark, target)
+    if old is None:
+        raise FileNotFoundError(f"no published dataset at {target}")
     if as_of is None:
         as_of = report.select(F.max(column)).scalar()
     first_day = F.to_date(lookback_cut(as_of, days))
     cut = spark.range(1).select(first_day.cast("string")).first()[0]
     if cut is None:  # no time to look back from: nothing to refresh
         return
-    staged = f"{target.rstrip('/')}/_refresh-{uuid.uuid4().hex[:12]}"
-    fresh = report.withColumn(day_column, F.to_date(F.col(column)))
-    fresh.filter(F.col(day_column) >= F.lit(cut).cast("date")).write.partitionBy(day_column).parquet(staged)
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(target).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    prefix = f"{day_column}="
-    for name in list_folders(spark, target):
-        if name.startswith(prefix) and name[len(prefix) :] >= cut and name[len(prefix)].isdigit():
-            fs.delete(path(f"{target}/{name}"), True)
-    for name in list_folders(spark, staged):
-        if name.startswith(prefix):
-            fs.rename(path(f"{staged}/{name}"), path(f"{target}/{name}"))
-    fs.delete(path(staged), True)
+    fresh = _by_day(report, column, day_column)
+    schema = merged_schema(old.schema, fresh.schema)
+    number = old.number + 1
+    window = write_version(fresh.filter(F.col(day_column) >= F.lit(cut).cast("date")), target, number, [day_column])
+    kept = [f for f in old.folders if (day := f.rpartition("=")[2]) < cut or not day[0].isdigit()]
+    commit(spark, target, Commit(number, (*kept, *window), schema, old.partitions))
 
 
 def publish_or_refresh(report: DataFrame, target: str, column: str = "date", as_of=None, days: int = 1) -> bool:
     """Create the published dataset if there is none at ``target`` (every row),
     else refresh its lookback window.  Returns whether it was created."""
-    spark = report.sparkSession
-    p = spark._jvm.org.apache.hadoop.fs.Path(target)
-    if p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p):
+    if newest_commit(report.sparkSession, target) is not None:
         refresh_published(report, target, column, as_of, days)
         return False
     publish_by_day(report, target, column)
     return True
 
 
-def read_published(spark: SparkSession, target: str, day_column: str = DAY_PARTITION) -> DataFrame:
-    """The published dataset without its partition column."""
-    return spark.read.option("mergeSchema", "true").parquet(target).drop(day_column)
+def read_published(spark: SparkSession, target: str, day_column: str | None = DAY_PARTITION) -> DataFrame:
+    """The published dataset as last committed, without its partition column."""
+    rows = read_committed(spark, target)
+    return rows.drop(day_column) if day_column else rows
 
 
-def full_refresh(source: DataFrame, target: str) -> None:
-    """M2: replace the published dataset with ``source``."""
-    publish(source, target, mode="overwrite")
+def full_refresh(source: DataFrame, target: str, base: Commit | None | str = "newest") -> None:
+    """M2: replace the published dataset with ``source`` in one commit.  Give the commit
+    that ``source`` was made from as ``base`` (None: there was none):
+    ``CommitConflict`` if it is no longer the newest."""
+    replace_all(source, target, base=base)

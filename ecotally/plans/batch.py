@@ -27,7 +27,8 @@ from ..operators.shape import (
     residual_mappings,
     tag_geo,
 )
-from ..sources.snapshot import list_folders, write_snapshot
+from ..sources.committed import CommitConflict, newest_commit, read_committed, vacuum
+from ..sources.snapshot import write_snapshot
 
 # Static mapping of the activity documents
 # (source, source type, target, target type), in this order.
@@ -118,8 +119,10 @@ def run_batch(
     snapshot_mode: str = "overwrite",
     sort: bool = True,
     build_report: bool = True,
+    keep_commits: int | None = None,
 ) -> BatchResult:
     """Run the whole batch; ``build_report=False`` stops behind the snapshot.
+    ``keep_commits`` deletes what only older commits of the published dataset list.
 
     The snapshot is written, and the roll-up's rounds run, here.  With
     ``publish_to`` the report is published there (created if there is nothing
@@ -140,6 +143,8 @@ def run_batch(
     if publish_to is not None:
         newest = dated(latest.select("date")).agg(F.max("date")).first()[0]
         created = publish_or_refresh(report, publish_to, "date", as_of=newest)
+        if keep_commits is not None:
+            vacuum(spark, publish_to, keep_commits)
         report = tag_geo(read_published(spark, publish_to))
         report = sort_report(report) if sort else report
     return BatchResult(report, snapshot_path, d, created)
@@ -150,20 +155,24 @@ def secured_report(report: DataFrame, rules_path: str, principal: str) -> DataFr
     return apply_rls(report, read_rules_dataset(report.sparkSession, rules_path), principal)
 
 
-def refresh_rules(spark: SparkSession, rules_path: str, events: DataFrame, admins, prefix: str) -> None:
+def refresh_rules(spark: SparkSession, rules_path: str, events: DataFrame, admins, prefix: str, tries: int = 3) -> None:
     """After tenant-created events: the rules (M4, M3), then a full refresh of the
-    rules dataset (M2).  A missing dataset counts as no rules."""
-    found = list_folders(spark, rules_path)
-    rules = (
-        read_rules_dataset(spark, rules_path) if found
-        else spark.createDataFrame([], "UserArn string, tenantid string")
-    )
-    granted = grant(rules, events, admins, prefix)
-    full_refresh(granted, f"{rules_path.rstrip('/')}/version={len(found)}")
+    rules dataset (M2).  A missing dataset counts as no rules.
+
+    The refresh is a commit after the very rules it was made from.  If another
+    writer's came between, the events are applied anew to the rules it left, so no
+    grant is lost.
+    """
+    for left in range(tries - 1, -1, -1):
+        base = newest_commit(spark, rules_path)
+        rules = read_rules_dataset(spark, rules_path) if base else spark.createDataFrame([], "UserArn string, tenantid string")
+        try:
+            return full_refresh(grant(rules, events, admins, prefix), rules_path, base)
+        except CommitConflict:
+            if not left:
+                raise
 
 
 def read_rules_dataset(spark: SparkSession, rules_path: str) -> DataFrame:
-    """The newest version of the rules dataset.  Each full refresh writes its own
-    folder, so no reader meets a half-written one."""
-    newest = max(list_folders(spark, rules_path), key=lambda n: int(n.partition("=")[2]))
-    return spark.read.parquet(f"{rules_path.rstrip('/')}/{newest}")
+    """The rules dataset as last committed."""
+    return read_committed(spark, rules_path)

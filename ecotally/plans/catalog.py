@@ -20,6 +20,7 @@ from ..operators.refresh import (
     incremental_refresh,
     lookback,
     publish_by_day,
+    read_published,
     refresh_published,
 )
 from ..operators.report_schema import report_schema
@@ -364,7 +365,7 @@ def q_refresh_published(spark, sf):
     newest = events.agg(F.max("ts")).first()[0]
     source = events.filter(F.to_date("ts") != F.date_sub(F.to_date(F.lit(newest)), 1))
     refresh_published(source, path, "ts", as_of=newest, days=2)
-    return spark.read.parquet(path).withColumn("date_day", F.col("date_day").cast("date"))
+    return read_published(spark, path, day_column=None)
 
 
 # ---------------------------------------------------------------- batch
@@ -386,7 +387,7 @@ def q_batch_report(spark, sf):
 
 def _rules_dataset(spark, sf) -> str:
     path = scratch_path(spark, "rules-dataset")
-    full_refresh(_rules(spark, sf, with_admins=True), f"{path}/version=0")
+    full_refresh(_rules(spark, sf, with_admins=True), path)
     refresh_rules(spark, path, fx.grant_events(spark, sf), fx.ADMIN_PRINCIPALS, fx.PRINCIPAL_PREFIX)
     return path
 

@@ -4,6 +4,7 @@ import os
 from pyspark.sql import functions as F
 
 from ecotally.operators.latest import create_latest_view
+from ecotally.operators.refresh import read_published
 from ecotally.operators.shape import geo_roles
 from ecotally.plans import fixtures as fx
 from ecotally.plans.batch import read_rules_dataset, refresh_rules, run_batch
@@ -28,7 +29,7 @@ def test_batch_snapshot_report_publish(spark, tmp_dir):
     assert len(rows) == docs.count()
     assert dict(res.report.dtypes)["date"] == "timestamp_ntz"
     assert geo_roles(res.report) == {"country": "COUNTRY", "province": "STATE"}
-    assert spark.read.parquet(pub).count() == len(rows)
+    assert read_published(spark, pub).count() == len(rows)
     # the report is ordered by entity, then parent (NULLs last)
     keys = [(r["entityid"], r["parententityid"] or "￿") for r in rows]
     assert keys == sorted(keys)
@@ -87,5 +88,5 @@ def test_command_line_batch(spark, tmp_dir):
     rc = main(["batch", "--activity-table", acts, "--entity-table", ents, "--format", "json",
                "--output-path", out, "--publish-to", pub, "--as-of", "2024-02-01"])
     assert rc == 0
-    assert spark.read.parquet(pub).count() == fx.activity_documents(spark, SF).count()
+    assert read_published(spark, pub).count() == fx.activity_documents(spark, SF).count()
     assert {r["partition_0"] for r in read_snapshots(spark, out).collect()} == {"2024-02-01"}
