@@ -26,6 +26,9 @@ def main(argv: list[str] | None = None) -> int:
     batch.add_argument("--entity-table", required=True, help="catalog table or path")
     batch.add_argument("--output-path", required=True, help="folder of the dated snapshots")
     batch.add_argument("--format", default=None, help="file format of path sources (json, parquet)")
+    batch.add_argument("--activity-schema", default=None, help="DDL of the activity documents, instead of inference")
+    batch.add_argument("--entity-schema", default=None, help="DDL of the entity documents, instead of inference")
+    batch.add_argument("--read-once", action="store_true", help="read JSON documents once, also without a schema")
     batch.add_argument("--publish-to", default=None, help="publish the report here (a folder; created, then refreshed)")
     batch.add_argument("--as-of", default=None, help="run date YYYY-MM-DD (default: today, UTC)")
     batch.add_argument("--keep-commits", type=int, default=None, help="delete what only older commits of the published report list")
@@ -35,8 +38,8 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("ecotally-batch").getOrCreate()
     result = run_batch(
         spark,
-        read_activity(spark, args.activity_table, args.format),
-        read_entity(spark, args.entity_table, args.format),
+        read_activity(spark, args.activity_table, args.format, args.activity_schema, args.read_once),
+        read_entity(spark, args.entity_table, args.format, args.entity_schema, args.read_once),
         args.output_path,
         as_of=args.as_of,
         publish_to=args.publish_to,

@@ -41,17 +41,25 @@ def latest_snapshot(spark: SparkSession, path: str, column: str = PARTITION_COLU
 
 
 def create_latest_view(
-    spark: SparkSession, path: str, name: str = "latest_partition_data", column: str = PARTITION_COLUMN
+    spark: SparkSession, path: str, name: str = "latest_partition_data", column: str = PARTITION_COLUMN, table: str | None = None
 ) -> DataFrame:
-    """V1: ``CREATE OR REPLACE VIEW name AS`` the newest partition under ``path``.
+    """V1: ``CREATE OR REPLACE VIEW name AS`` the newest snapshot under ``path``.
 
-    The view is kept as SQL text, so each use lists the folder again and it
-    follows snapshots written later.
+    The view is kept as SQL text, so each use lists the folders again and it
+    follows snapshots written later.  The newest date comes from the names of the
+    data files alone (a file listing that opens none of them), and is a partition
+    filter on the scan: only the newest folder's files are opened.  A folder counts
+    once it holds a data file.
+
+    ``table`` is the catalog table that ``register_snapshots`` keeps over the
+    folders; folders named by the date alone need it, as a scan of them has no
+    partitions of its own.
     """
-    source = f"parquet.`{path}`"
+    quoted = path.rstrip("/").replace("`", "``")
+    source = table or f"parquet.`{quoted}`"
     spark.sql(
         f"CREATE OR REPLACE TEMPORARY VIEW `{name}` AS"
         f" SELECT * EXCEPT (`{column}`), CAST(`{column}` AS STRING) AS `{column}` FROM {source}"
-        f" WHERE `{column}` = (SELECT max(`{column}`) FROM {source})"
+        f" WHERE `{column}` = (SELECT max(regexp_extract(path, r'(\\d{{4}}-\\d{{2}}-\\d{{2}})/[^/]*$', 1)) FROM binaryFile.`{quoted}/*/*.parquet`)"
     )
     return spark.table(name)

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import principal_name
@@ -43,6 +43,34 @@ def apply_rls(
     )
 
 
+def create_secured_view(
+    spark: SparkSession,
+    data: str,
+    rules: str,
+    name: str,
+    tenant_column: str = "tenantid",
+    principal: str = "session_user()",
+    null_is_unrestricted: bool = False,
+    temporary: bool = True,
+) -> None:
+    """F2 for whoever reads: a view of the table ``data`` that shows each principal
+    the rows that the rules grant, so that one dataset serves all of them.
+
+    ``data`` and ``rules`` are catalog tables or views.  Nothing of a principal is
+    fixed when the view is made: ``principal`` is SQL that each read evaluates, by
+    default the session's user, or e.g. ``concat('urn:user/', session_user())``.
+    The rules, and with them new grants, are read when the view is.  A view that is
+    not ``temporary`` needs tables that are not either.
+    """
+    granted = "coalesce(r.tenantid, '')" if null_is_unrestricted else "r.tenantid"
+    mine = f"SELECT {granted} AS granted FROM {rules} r WHERE r.UserArn = {principal}"
+    spark.sql(
+        f"CREATE OR REPLACE {'TEMPORARY ' if temporary else ''}VIEW {name} AS"
+        f" SELECT d.* FROM {data} d WHERE (SELECT coalesce(bool_or(granted = ''), false) FROM ({mine}))"
+        f" OR d.`{tenant_column}` IN (SELECT granted FROM ({mine}) WHERE granted IS NOT NULL)"
+    )
+
+
 def upsert_rules(rules: DataFrame, grants: DataFrame, order: str = "seq") -> DataFrame:
     """M3: keyed upsert, last write wins per ``UserArn``.
 

@@ -8,6 +8,7 @@ write below the session's shared checkpoint folder.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +34,7 @@ from ..operators.rollup import (
     rollup_totals,
     sort_report,
 )
-from ..operators.security import apply_rls, grant
+from ..operators.security import apply_rls, create_secured_view, grant
 from ..operators.shape import (
     apply_mapping,
     cast_date,
@@ -51,7 +52,7 @@ from ..sources.documents import (
     read_entity,
     read_rules,
 )
-from ..sources.snapshot import publish, read_snapshots, write_snapshot
+from ..sources.snapshot import publish, read_snapshots, register_snapshots, write_snapshot
 from . import fixtures as fx
 from .batch import (
     ACTIVITY_MAPPING,
@@ -85,6 +86,13 @@ def q_scan_entity(spark, sf):
     return shape_entity(read_entity(spark, path, fmt="json"))
 
 
+def q_scan_entity_once(spark, sf):
+    """S2 with inference in the pass that reads the documents."""
+    path = scratch_path(spark, "entity-docs")
+    fx.entity_documents(spark, sf).write.json(path)
+    return shape_entity(read_entity(spark, path, fmt="json", once=True))
+
+
 def q_infer_schema(spark, sf):
     """Two document sets with different fields merge into one schema."""
     ev = fx.table(spark, sf, "events")
@@ -169,6 +177,23 @@ def q_latest_view(spark, sf):
     return spark.table(name)
 
 
+def q_latest_view_bare(spark, sf):
+    """V1 over folders named by the date alone, registered as partitions of a catalog
+    table; the newest one is written and registered after the view is made."""
+    path = scratch_path(spark, "view-bare")
+    table, name = "snapshots_" + path.rpartition("-")[2], "latest_" + path.rpartition("-")[2]
+    days = _event_days(spark, sf)
+    newest = days.select(F.max("partition_0")).scalar()
+    before = days.filter(F.col("partition_0") < newest)
+    top = days.agg(F.max("partition_0")).first()[0]
+    write_snapshot(before.drop("partition_0"), path, before.agg(F.max("partition_0")).first()[0], layout="bare")
+    register_snapshots(spark, path, table)
+    create_latest_view(spark, path, name, table=table)
+    write_snapshot(days.filter(F.col("partition_0") == top).drop("partition_0"), path, top, layout="bare")
+    register_snapshots(spark, path, table)
+    return spark.table(name)
+
+
 def q_publish(spark, sf):
     """A published dataset is replaced by the next one."""
     path = scratch_path(spark, "published")
@@ -316,6 +341,18 @@ def q_rls_tenant(spark, sf):
     return _rls(spark, sf, _customer_principal(RLS_TENANT_PRINCIPAL_KEY))
 
 
+def q_rls_reader(spark, sf):
+    """F2 by a view that names no principal: the session's user holds the rule of one
+    customer here, and reads the dataset that all share."""
+    key = uuid.uuid4().hex[:12]
+    held = _rules(spark, sf).filter(F.col("UserArn") == _customer_principal(RLS_TENANT_PRINCIPAL_KEY))
+    rules = _rules(spark, sf).unionByName(held.withColumn("UserArn", F.concat(F.lit("urn:reader/"), F.session_user())))
+    rules.createOrReplaceTempView(f"rules_{key}")
+    fx.activity_rows(spark, sf).createOrReplaceTempView(f"data_{key}")
+    create_secured_view(spark, f"data_{key}", f"rules_{key}", f"seen_{key}", principal="concat('urn:reader/', session_user())")
+    return spark.table(f"seen_{key}")
+
+
 def q_rls_admin(spark, sf):
     return _rls(spark, sf, fx.ADMIN_PRINCIPALS[0])
 
@@ -407,6 +444,7 @@ def q_pipeline_rls(spark, sf):
 QUERIES: dict[str, Query] = {
     "scan_activity": q_scan_activity,
     "scan_entity": q_scan_entity,
+    "scan_entity_once": q_scan_entity_once,
     "infer_schema": q_infer_schema,
     "scan_rules": q_scan_rules,
     "snapshot_roundtrip": q_snapshot_roundtrip,
@@ -415,6 +453,7 @@ QUERIES: dict[str, Query] = {
     "latest_partition_filter": q_latest_partition_filter,
     "latest_snapshot_bare": q_latest_snapshot_bare,
     "latest_view": q_latest_view,
+    "latest_view_bare": q_latest_view_bare,
     "publish": q_publish,
     "flatten_struct": q_flatten_struct,
     "choice_extract": q_choice_extract,
@@ -435,6 +474,7 @@ QUERIES: dict[str, Query] = {
     "rollup_report": q_rollup_report,
     "rollup_report_entity": q_rollup_report_entity,
     "rls_tenant": q_rls_tenant,
+    "rls_reader": q_rls_reader,
     "rls_admin": q_rls_admin,
     "rls_no_rule": q_rls_no_rule,
     "principal_name": q_principal_name,
@@ -569,6 +609,7 @@ _EVENT_DAY = "strftime(ts, '%Y-%m-%d')"
 ORACLES: dict[str, str] = {
     "scan_activity": f"WITH {_ACTIVITY_CTE} SELECT * FROM act",
     "scan_entity": f"WITH {_ENTITY_CTE} SELECT * FROM ent",
+    "scan_entity_once": f"WITH {_ENTITY_CTE} SELECT * FROM ent",
     "scan_rules": f"WITH {_RULES} SELECT * FROM rules UNION ALL SELECT * FROM admins",
     "snapshot_roundtrip": f"WITH {_JOINED_CTE} SELECT *, '{SNAPSHOT_DATE}' AS partition_0 FROM joined",
     "scan_snapshots": f"SELECT *, {_EVENT_DAY} AS partition_0 FROM events",
@@ -626,6 +667,9 @@ ORACLES: dict[str, str] = {
     "latest_view": f"""
         SELECT *, {_EVENT_DAY} AS partition_0 FROM events
         WHERE {_EVENT_DAY} = (SELECT MAX({_EVENT_DAY}) FROM events)""",
+    "latest_view_bare": f"""
+        SELECT *, {_EVENT_DAY} AS partition_0 FROM events
+        WHERE {_EVENT_DAY} = (SELECT MAX({_EVENT_DAY}) FROM events)""",
     "publish": "SELECT c_custkey, c_name, c_nationkey FROM customer",
     "date_cast": """
         SELECT o_orderkey, strptime(strftime(o_orderdate, '%Y/%m/%d'), '%Y/%m/%d') AS date
@@ -690,6 +734,11 @@ ORACLES: dict[str, str] = {
         WHERE 't' || CAST(l_suppkey % 4 AS VARCHAR) IN (
           SELECT 't' || CAST(c_nationkey % 4 AS VARCHAR) FROM customer
           WHERE c_custkey = {RLS_TENANT_PRINCIPAL_KEY})""",
+    "rls_reader": f"""
+        {_ACTIVITY_ROWS}
+        WHERE 't' || CAST(l_suppkey % 4 AS VARCHAR) IN (
+          SELECT 't' || CAST(c_nationkey % 4 AS VARCHAR) FROM customer
+          WHERE c_custkey = {RLS_TENANT_PRINCIPAL_KEY})""",
     "rls_admin": _ACTIVITY_ROWS,
     "rls_no_rule": f"""
         WITH {_RULES}, held AS (

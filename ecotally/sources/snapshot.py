@@ -15,6 +15,7 @@ from datetime import date, datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.expressions import run_date
 
@@ -84,6 +85,43 @@ def snapshot_folders(spark: SparkSession, path: str, column: str = PARTITION_COL
     return sorted(found, reverse=True)
 
 
+def register_snapshots(spark: SparkSession, path: str, table: str, column: str = PARTITION_COLUMN) -> list[str]:
+    """Keep the catalog table ``table`` over the snapshots under ``path``, of either
+    layout: made if missing, new date folders become partitions, those of folders
+    that are gone go, and columns that the newest snapshot brought are added.
+    Returns the run dates registered now.  Folders are listed and one file's footer
+    is read, whatever the number of snapshots.
+    """
+    folders = dict(snapshot_folders(spark, path, column))
+    if not folders:
+        raise FileNotFoundError(f"no dated snapshot folder under {path}")
+
+    def text(value: str) -> str:
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    if not spark.catalog.tableExists(table):
+        columns = spark.read.parquet(folders[max(folders)]).schema
+        spark.sql(
+            f"CREATE TABLE {table} ({columns.toDDL()}, `{column}` STRING) USING parquet"
+            f" PARTITIONED BY (`{column}`) LOCATION {text(path.rstrip('/'))}"
+        )
+        known = set()
+    else:
+        known = {r[0].partition("=")[2] for r in spark.sql(f"SHOW PARTITIONS {table}").collect()}
+    new, gone = sorted(set(folders) - known), sorted(known - set(folders))
+    if known and new:
+        have = {c.lower() for c in spark.table(table).columns}
+        added = [f for f in spark.read.parquet(folders[max(folders)]).schema if f.name.lower() not in have]
+        if added:
+            spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({StructType(added).toDDL()})")
+    if new:
+        parts = " ".join(f"PARTITION (`{column}` = {text(d)}) LOCATION {text(folders[d])}" for d in new)
+        spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS {parts}")
+    for d in gone:
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (`{column}` = {text(d)})")
+    return new
+
+
 def publish(df: DataFrame, target: str, mode: str = "overwrite") -> None:
     """Materialise the published dataset (full refresh by default).
 

@@ -5,7 +5,7 @@ import pytest
 
 from ecotally.functions.expressions import principal_name
 from ecotally.operators.refresh import incremental_refresh, lookback
-from ecotally.operators.security import apply_rls, grant, upsert_rules
+from ecotally.operators.security import apply_rls, create_secured_view, grant, upsert_rules
 
 ADMINS = ["urn:u/admin", "urn:u/op", "urn:u/view"]
 PREFIX = "urn:u/"
@@ -33,6 +33,31 @@ def test_rls_tenant_admin_and_absent(spark):
     assert ids(apply_rls(data(spark), r, "nobody")) == []
 
 
+def test_one_view_serves_every_reader(spark, tmp_dir):
+    """The same view read by two users, an unrestricted one and one without a rule; a
+    grant made later is seen without making the view anew."""
+    key = tmp_dir.rpartition("-")[2].replace("-", "_")
+    path = f"{tmp_dir}/rules"
+    rules(spark, [("u1", "t1"), ("u2", "t2"), ("adm", ""), ("nul", None)]).write.parquet(path)
+    data(spark).createOrReplaceTempView(f"d_{key}")
+    spark.sql(f"CREATE TEMPORARY VIEW r_{key} AS SELECT * FROM parquet.`{path}`")
+    create_secured_view(spark, f"d_{key}", f"r_{key}", f"seen_{key}")
+    reader = spark._jvm.org.apache.spark.sql.catalyst.CurrentUserContext.CURRENT_USER()
+
+    def seen(user):
+        reader.set(user)
+        try:
+            return ids(spark.table(f"seen_{key}"))
+        finally:
+            reader.remove()
+
+    assert seen("u1") == [1] and seen("u2") == [2] and seen("adm") == [1, 2, 3]
+    assert seen("nul") == [] and seen("nobody") == []
+    rules(spark, [("nobody", "t2")]).write.mode("append").parquet(path)
+    assert seen("nobody") == [2]
+    assert "u1" not in spark.table(f"seen_{key}")._jdf.queryExecution().analyzed().toString()
+
+
 def test_rls_union_of_tenants_equals_granted_rows(spark):
     r = rules(spark, [("u1", "t1"), ("u2", "t2")])
     u = apply_rls(data(spark), r, "u1").unionByName(apply_rls(data(spark), r, "u2"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ecotally.operators.join import join_activity_entity
 from ecotally.operators.latest import create_latest_view, latest_partition, latest_snapshot
 from ecotally.sources.documents import read_documents, read_rules
-from ecotally.sources.snapshot import publish, read_snapshots, write_snapshot
+from ecotally.sources.snapshot import publish, read_snapshots, register_snapshots, write_snapshot
 
 
 def small(spark, tag):
@@ -138,3 +138,90 @@ def test_bare_layout_written_and_read(spark, tmp_dir):
 def test_latest_snapshot_without_folders(spark, tmp_dir):
     with pytest.raises(FileNotFoundError):
         latest_snapshot(spark, os.path.join(tmp_dir, "none"))
+
+
+def test_json_read_once_gives_what_the_reader_infers(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "docs")
+    spark.range(20).selectExpr(
+        "id", "id * 1.0 AS whole", "CAST(id AS string) AS s", "array() AS e", "CAST(null AS string) AS nul",
+        "if(id % 2 = 0, named_struct('b', id, 'a', array(1.5, 2)), null) AS o", "if(id = 3, 'x', null) AS rare",
+    ).write.option("ignoreNullFields", "false").json(path)
+    with open(f"{path}/more.json", "w") as f:
+        f.write('{"id": 1, "mix": 5, "we ird\'": 1.5}\n{"mix": "t", "o": {"c": {"d": null}}}\n')
+    twice, once = read_documents(spark, path), read_documents(spark, path, once=True)
+    assert once.schema == twice.schema
+    assert sorted(map(str, once.collect())) == sorted(map(str, twice.collect()))
+
+
+def test_json_read_once_reads_the_files_once(spark, tmp_dir):
+    """What is read afterwards is not the documents: they may be gone."""
+    path = os.path.join(tmp_dir, "docs")
+    spark.range(9).selectExpr("id", "named_struct('x', id / 2) AS data").write.json(path)
+    df = read_documents(spark, path, once=True)
+    for name in os.listdir(path):
+        os.remove(os.path.join(path, name))
+    assert sorted((r["id"], r["data"]["x"]) for r in df.collect()) == [(i, i / 2) for i in range(9)]
+    assert not any(f.startswith(f"file:{path}") for f in df.inputFiles())
+
+
+def test_json_read_once_of_nothing(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "docs")
+    os.makedirs(path)
+    open(f"{path}/a.json", "w").close()
+    assert read_documents(spark, path, once=True).columns == []
+
+
+def files_read(df):
+    """Data files that the parquet scans of an executed query opened."""
+    df.collect()
+    found, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        if "AdaptiveSparkPlan" in p.nodeName():
+            p = p.executedPlan()
+        if "QueryStage" in p.nodeName():
+            p = p.plan()
+        if "Scan parquet" in p.nodeName() and p.metrics().contains("numFiles"):
+            found += p.metrics().apply("numFiles").value()
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    return found
+
+
+@pytest.mark.parametrize("layout", ["hive", "bare"])
+def test_latest_view_opens_one_folder_and_follows(spark, tmp_dir, layout):
+    path, table = os.path.join(tmp_dir, "snap"), f"snaps_{layout}_{os.path.basename(tmp_dir).replace('-', '_')}"
+
+    def add(day, tag):
+        write_snapshot(small(spark, tag).coalesce(1), path, day, layout=layout)
+        return register_snapshots(spark, path, table) if layout == "bare" else None
+
+    for d in range(1, 8):
+        add(f"2024-01-0{d}", f"old{d}")
+    view = create_latest_view(spark, path, f"v_{layout}", table=table if layout == "bare" else None)
+    assert {(r["tag"], r["partition_0"]) for r in view.collect()} == {("old7", "2024-01-07")}
+    assert files_read(spark.table(f"v_{layout}")) == 1
+    plan = view._jdf.queryExecution().executedPlan().toString()
+    assert "binaryFile" in plan and "PartitionFilters" in plan
+    added = add("2024-02-01", "new")
+    now = spark.table(f"v_{layout}")
+    assert {(r["tag"], r["partition_0"]) for r in now.collect()} == {("new", "2024-02-01")}
+    assert files_read(spark.table(f"v_{layout}")) == 1
+    if layout == "bare":
+        assert added == ["2024-02-01"]
+        assert spark.table(table).count() == 8 * small(spark, "x").count()
+
+
+def test_registered_snapshots_follow_the_folders(spark, tmp_dir):
+    import shutil
+
+    path, table = os.path.join(tmp_dir, "snap"), f"snaps_{os.path.basename(tmp_dir).replace('-', '_')}"
+    with pytest.raises(FileNotFoundError):
+        register_snapshots(spark, path, table)
+    write_snapshot(small(spark, "a"), path, "2024-01-01")
+    write_snapshot(small(spark, "b"), path, "2024-01-02")
+    assert register_snapshots(spark, path, table) == ["2024-01-01", "2024-01-02"]
+    write_snapshot(small(spark, "c").withColumn("extra", F.lit(5)), path, "2024-01-03")
+    shutil.rmtree(f"{path}/partition_0=2024-01-01")
+    assert register_snapshots(spark, path, table) == ["2024-01-03"]
+    got = {(r["tag"], r["partition_0"], r["extra"]) for r in spark.table(table).collect()}
+    assert got == {("b", "2024-01-02", None), ("c", "2024-01-03", 5)}
