@@ -321,7 +321,7 @@ def _heights(edges: DataFrame, jumps: list[DataFrame], stride: DataFrame | None)
 def _guarded_sql(value: str, given: str) -> str:
     """``value``, or an error where it is NULL although ``given`` says it cannot be (an
     overflow, which is silent without ANSI mode)."""
-    return f"CASE WHEN {value} IS NULL AND {given} THEN CAST(raise_error('roll-up amount beyond 38 digits') AS {_WHOLE}) ELSE {value} END"
+    return f"coalesce({value}, CASE WHEN {given} THEN CAST(raise_error('roll-up amount beyond 38 digits') AS {_WHOLE}) END)"
 
 
 def _times(amount: str, paths: str) -> str:
@@ -382,12 +382,11 @@ def _folded(s: DataFrame, found: Hierarchy, measure: str, keep: list[str] = ())
     most = found.depth // found.fan ** len(found.jumps)
     gathered = s.filter(F.col("level") == most)
     for k in range(most, 0, -1):
-        moved = _climbed("{gathered}", "jump", 1, measure, keep, "1", str(k - 1), "INNER")
-        meet = f"(SELECT * FROM {moved} UNION ALL BY NAME SELECT * FROM {{s}} WHERE level = {k - 1})"
-        once = measure.replace("{paths}", f"CAST(1 AS {_WHOLE})")
-        by = ", ".join(["tenantid", "entityid", "level", *keep])
-        gathered = rounds.write(k - 1, s.sparkSession.sql(
-            f"SELECT {by}, {once} FROM {meet} GROUP BY {by}", gathered=gathered, jump=found.stride, s=s))
+        text = _climbed("{gathered}", "jump", 1, measure, keep, "1", str(k - 1), "INNER")
+        moved = s.sparkSession.sql(f"SELECT * FROM {text}", gathered=gathered, jump=found.stride)
+        once, by = measure.replace("{paths}", f"CAST(1 AS {_WHOLE})"), ", ".join(["tenantid", "entityid", "level", *keep])
+        meet = moved.unionByName(s.filter(F.col("level") == k - 1))
+        gathered = rounds.write(k - 1, s.sparkSession.sql(f"SELECT {by}, {once} FROM {{meet}} GROUP BY {by}", meet=meet))
         if k < most:
             rounds.drop(k)
     return gathered.drop("level")

@@ -5,6 +5,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from ecotally.operators import rollup
 from ecotally.operators.rollup import (
     HierarchyCycleError,
     ancestor_closure,
@@ -213,6 +214,126 @@ def test_multi_parent_dag_paths(spark):
     assert {k: (v[0], v[1]) for k, v in ref.items()} == got
 
 
+def random_dag(seed, cycle=False):
+    rnd = random.Random(seed)
+    rows = []
+    for t in ("t1", "t2"):
+        for i in range(14):
+            for _ in range(rnd.randint(1, 3)):  # a parent of its own for each row
+                parent = None if i == 0 or rnd.random() < 0.1 else str(rnd.randrange(max(0, i - 4), i))
+                rows.append((t, str(i), parent, rnd.choice([None, 7, 12.5]), 3, None, rnd.choice([None, 0.25, 0.33, 1.0])))
+    if cycle:
+        rows.append(("t1", "2", "9", 1, None, None, 0.5))
+        rows.append(("t1", "9", "2", 1, None, None, 0.5))
+    return rows
+
+
+@pytest.mark.parametrize("most", [0, 1, 100])
+def test_random_graphs_match_recursive_sql(spark, monkeypatch, most):
+    """Entities with several parents: by strides of one step, of some, and by doubling alone."""
+    monkeypatch.setattr(rollup, "MOST_JUMPS", most)
+    rows = random_dag(most + 3)
+    v = view(spark, rows)
+    found = hierarchy(edge_table(v))
+    assert (found.stride is not None) == (most < 100) and (most or not found.jumps)
+    ref = duck_recursive_totals(rows)
+    assert {k: (x[0], x[1]) for k, x in ref.items()} == totals_of(rollup_totals(v))
+    n = {}
+    for r in rollup_by_level(v).collect():
+        n[r["id"]] = n.get(r["id"], 0) + int(r["n"])
+    assert n == {k: x[2] for k, x in ref.items()}
+    n = {}
+    for r in rollup_contributions(v).collect():
+        n[r["id"]] = n.get(r["id"], 0) + int(r["n"])
+    assert n == {k: x[2] for k, x in ref.items()}
+
+
+@pytest.mark.parametrize("most", [0, 100])
+def test_cycle_in_a_graph_raises(spark, monkeypatch, most):
+    monkeypatch.setattr(rollup, "MOST_JUMPS", most)
+    with pytest.raises(HierarchyCycleError):
+        hierarchy(edge_table(view(spark, random_dag(9, cycle=True))))
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_counts_beyond_a_long_are_exact(spark, ansi):
+    """Chain of five entities with 10,000 rows each: 10**20 contributions at the top."""
+    rows = [("t", str(i), str(i - 1) if i else None, 0, None, None, 0.5) for i in range(5)]
+    v = view(spark, rows).crossJoin(spark.range(10_000)).drop("id")
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        by_level = {(r["id"], r["level"]): r["n"] for r in rollup_by_level(v).collect()}
+        assert by_level[("0", 4)] == Decimal(10) ** 20 and by_level[(None, 5)] == Decimal(10) ** 24
+        each = {(r["id"], r["rootid"], r["level"]): r["n"] for r in rollup_contributions(v).collect()}
+        assert each[("0", "4", 4)] == Decimal(10) ** 20 and each[("0", "0", 0)] == 10_000
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_counts_beyond_38_digits_raise_and_zeros_do_not_count(spark, ansi):
+    """200 entities with 3 rows: 3**200 paths.  Amounts have long become 0, so totals
+    are exact; a count of contributions has no type that holds it."""
+    rows = [("t", str(i), str(i - 1) if i else None, 8, None, None, 0.25) for i in range(200) for _ in range(3)]
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        got = totals_of(rollup_totals(view(spark, rows)))
+        want, x, k = Decimal(0), Decimal(8), 1
+        while x:
+            want, x, k = want + x * 3**k, (x * Decimal("0.25")).quantize(Decimal("1e-10"), "ROUND_HALF_UP"), k + 1
+        assert got["0"][0] == want
+        with pytest.raises(Exception):
+            rollup_by_level(view(spark, rows)).collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_amount_overflow_counts_only_where_it_is_reached(spark, ansi):
+    """A share of 50 passes DECIMAL(20,10) in six steps: an entity two steps below the
+    top does not get there, one eight steps below does."""
+    chain = [("t", str(i), str(i - 1) if i else None, 1, None, None, 0.5) for i in range(9)]
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        low = chain + [("t", "x", "1", 1, None, None, 50)]
+        got = totals_of(rollup_totals(view(spark, low)))
+        assert {k: (x[0], x[1]) for k, x in duck_recursive_totals(low).items()} == got
+        with pytest.raises(Exception, match="beyond"):
+            rollup_totals(view(spark, chain + [("t", "x", "8", 1, None, None, 50)])).collect()
+        with pytest.raises(Exception, match="beyond"):
+            rollup_contributions(view(spark, chain + [("t", "x", "8", 1, None, None, 50)])).collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+@pytest.mark.parametrize("depth", [15, 16, 17, 33, 64, 65])
+def test_depths_at_the_edges_of_passes_and_jumps(spark, depth):
+    rows = [("t", str(i), str(i - 1) if i else None, i + 1, None, None, 0.9) for i in range(depth)]
+    rows += [("t", f"s{i}", str(i % depth), 2, None, None, 0.33) for i in range(20)]
+    got = totals_of(rollup_totals(view(spark, rows)))
+    assert {k: (x[0], x[1]) for k, x in duck_recursive_totals(rows).items()} == got
+
+
+def test_depth_200_takes_few_rounds_and_a_flat_plan(spark, monkeypatch):
+    writes = []
+    real = rollup._Rounds.write
+    monkeypatch.setattr(rollup._Rounds, "write", lambda self, k, df: writes.append(k) or real(self, k, df))
+    plans = []
+    for n in (20, 200):
+        rows = [("t", str(i), str(i - 1) if i else None, 1, None, None, 0.5) for i in range(n)]
+        writes.clear()
+        found = hierarchy(edge_table(view(spark, rows)))
+        assert found.depth == n and len(found.jumps) <= 4
+        totals = rollup_totals(view(spark, rows))
+        plans.append(totals._jdf.queryExecution().optimizedPlan().toString().count("Join"))
+        assert len(writes) <= 0.5 * n
+        assert len(totals_of(totals)) == n + 1
+    assert plans[1] <= plans[0] + 3
+
+
 # ------------------------------------------------------------- entity mode
 from ecotally.operators.rollup import entity_rollup_report, entity_rollup_totals  # noqa: E402
 
