@@ -7,7 +7,7 @@ operator needs it.  Null texts are empty texts everywhere.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -103,6 +103,28 @@ def written(df: DataFrame, name: str, *folders: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_names(columns: Iterable[str], *stems: str) -> list[str]:
+    """A name for each stem that none of ``columns`` has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for stem in stems:
+        name = stem
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def same_columns(df: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of ``like`` out of ``df``, also where a name holds a dot or a backtick."""
+    return df.select([quoted(c) for c in like.columns])
+
+
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 class Scratch:
     """Written tables of one operator, and a session of its own to work on them.
 
