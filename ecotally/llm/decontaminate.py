@@ -9,9 +9,10 @@ misses, so the search loses nothing; partitions that need more shingles than a
 document has are skipped.  Each candidate is then verified by exact shingle
 containment.
 
-Documents are never shuffled: the sketches of a block of items travel to them,
-at most ``BLOCK`` hashes at a time.  Words are lower-cased runs of letters and
-digits, so punctuation does not hide a passage.
+Spark hashes the items into a written table, in blocks of ``BLOCK`` hashes by a
+running sum.  A block at a time travels to the documents, which are never
+shuffled for the search; what it finds is written, and the block released.  Words
+are lower-cased runs of letters and digits, so punctuation does not hide a passage.
 
 An item of fewer than five words is one shingle of its own length and is sought
 at every place of a document.  Items without words, null texts and empty tables
@@ -22,11 +23,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import PLACE, SHINGLE, appended, hash_words, mix64, shingle_hashes, table, text_bytes, utf8, words_alnum
+from .common import PLACE, SHINGLE, as_long, batch, free_names, hash_words, mix64, shingle_hashes, table, text_bytes, words_alnum, written
 
 #: Least share of an item's shingles.
 CONTAINMENT = 0.8
@@ -98,23 +100,34 @@ class ItemIndex:
                     yield at, shared
 
 
-def item_blocks(items: DataFrame, block: int = BLOCK):
-    """The items with words, as lists of ``(item_id, shingle length, hashes)`` of
-    at most ``block`` hashes; one item alone may be larger.  Streams partition by partition."""
-    held, size = [], 0
+def item_blocks(items: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The items with words, written: item_id, k (shingle length), hashes (distinct,
+    in unsigned order) and block, a folder each.  A block holds ``block`` hashes, and
+    what its last item has beyond them."""
+    schema = pa.schema([
+        ("item_id", pa.int64()), ("k", pa.int32()), ("hashes", pa.list_(pa.int64())), ("part", pa.int32()), ("before", pa.int64()),
+    ])
+
+    def hashed(batches):
+        part, before = TaskContext.get().partitionId(), 0
+        for b in batches:
+            for lo in range(0, b.num_rows, 1000):
+                rows = []
+                for i, raw in zip(*(b.slice(lo, 1000).column(c).to_pylist() for c in ("item_id", "text"))):
+                    words = words_alnum(raw)
+                    h = np.unique(shingle_hashes(words))
+                    if len(h):
+                        rows.append((i, min(SHINGLE, len(words)), as_long(h), part, before))
+                        before += len(h)
+                yield batch(schema, **dict(zip(schema.names, zip(*rows) if rows else [[]] * len(schema))))
+
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), text_bytes())
-    for r in rows.toLocalIterator():
-        words = words_alnum(bytes(r["text"]))
-        h = np.unique(shingle_hashes(words))
-        if not len(h):
-            continue
-        if held and size + len(h) > block:
-            yield held
-            held, size = [], 0
-        held.append((r["item_id"], min(SHINGLE, len(words)), h))
-        size += len(h)
-    if held:
-        yield held
+    laid = written(rows.mapInArrow(hashed, "item_id long, k int, hashes array<long>, part int, before long"), "items")
+    sums = laid.groupBy("part").agg(F.sum(F.size("hashes")).alias("n"))  # a row a partition
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    starts = sums.select("part", (F.sum("n").over(upto) - F.col("n")).alias("start"))
+    numbered = laid.join(starts, "part").withColumn("block", F.expr(f"cast((start + before) div {int(block)} as int)"))
+    return written(numbered.select("item_id", "k", "hashes", "block"), "item-blocks", "block")
 
 
 FOUND = T.ArrayType(T.StructType([
@@ -123,38 +136,66 @@ FOUND = T.ArrayType(T.StructType([
 ]))
 
 
-def marked(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, block: int = BLOCK, name: str = "items") -> DataFrame:
-    """``docs`` with the array ``name`` of the items that each text contains; one
-    pass per block of items."""
+def row_hash() -> Column:
+    """Tells rows of one doc_id apart by their texts."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+
+
+def found_items(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, block: int = BLOCK) -> DataFrame:
+    """(doc_id, row_hash, items, block): per row of ``docs`` and block of items with a
+    contained item, the items of the block that its text contains."""
     spark = docs.sparkSession
-    out = docs.withColumn(name, F.array().cast(FOUND))
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("n_item", pa.int64()), ("n_shared", pa.int64()), ("containment", pa.float64())]))
-    for held in item_blocks(items, block):
-        sent = spark.sparkContext.broadcast(held)  # bounded by block
-        index = []
-
-        def fill(part, sent=sent, index=index):
-            if not index:
-                index.append(ItemIndex(sent.value, containment))
-            found = []
-            for raw in utf8(part.column("text")):
-                hits = index[0].search(words_alnum(raw))
-                found.append([
-                    {"item_id": i, "n_item": len(h), "n_shared": n, "containment": n / len(h)}
-                    for at, n in hits for i, _, h in [index[0].items[at]]
-                ])
-            return [pa.array(found, kind)]
-
-        part = appended(out.withColumnRenamed(name, "_before"), {name: FOUND}, fill)
-        out = part.withColumn(name, F.concat("_before", name)).drop("_before")
-    return out
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash().alias("row_hash"), text_bytes())
+    kind = pa.struct([("item_id", pa.int64()), ("n_item", pa.int64()), ("n_shared", pa.int64()), ("containment", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("row_hash", pa.int64()), ("items", pa.list_(kind))])
+    out_type = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("row_hash", T.LongType()), T.StructField("items", FOUND)])
+    blocks = item_blocks(items, block)
+    out = None
+    for r in blocks.select("block").distinct().orderBy("block").toLocalIterator():
+        held = [
+            (x["item_id"], x["k"], np.array(x["hashes"], np.int64).view(np.uint64))
+            for x in blocks.filter(F.col("block") == r["block"]).collect()  # bounded by block
+        ]
+        sent = spark.sparkContext.broadcast(held)
+
+        def searched(batches, sent=sent):
+            index = ItemIndex(sent.value, containment)
+            for b in batches:
+                for lo in range(0, b.num_rows, 1000):
+                    part = b.slice(lo, 1000)
+                    ids, rows_of, found = [], [], []
+                    for i, h, raw in zip(*(part.column(c).to_pylist() for c in ("doc_id", "row_hash", "text"))):
+                        hits = [
+                            {"item_id": index.items[at][0], "n_item": len(index.items[at][2]), "n_shared": n, "containment": n / len(index.items[at][2])}
+                            for at, n in index.search(words_alnum(raw))
+                        ]
+                        if hits:
+                            ids.append(i), rows_of.append(h), found.append(hits)
+                    if found:
+                        yield batch(schema, doc_id=ids, row_hash=rows_of, items=found)
+
+        one = written(rows.mapInArrow(searched, out_type).withColumn("block", F.lit(r["block"])), "contained")
+        sent.destroy()
+        out = one if out is None else out.unionByName(one)
+    return spark.createDataFrame([], out_type.add("block", "int")) if out is None else out
+
+
+def marked(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, block: int = BLOCK, name: str = "items") -> DataFrame:
+    """``docs`` with the array ``name``, which replaces a column of that name, of the items that each text contains."""
+    own, own_hash, hits = free_names([*docs.columns, name], "own", "own_hash", "hits")
+    # rows that repeat a document found the same items each; blocks found different ones
+    found = found_items(docs, items, containment, block).distinct().groupBy("doc_id", "row_hash").agg(
+        F.flatten(F.collect_list("items")).alias(hits)
+    ).withColumnsRenamed({"doc_id": own, "row_hash": own_hash})
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (row_hash() == F.col(own_hash))
+    joined = docs.join(found, same, "left")
+    return joined.withColumn(name, F.coalesce(hits, F.array().cast(FOUND))).drop(own, own_hash, hits)
 
 
 def contained(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, block: int = BLOCK) -> DataFrame:
     """A row (doc_id, item_id, n_item, n_shared, containment) per document row and
     item row whose containment reaches the threshold."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return marked(rows, items, containment, block).select("doc_id", F.inline("items"))
+    return found_items(docs, items, containment, block).select("doc_id", F.inline("items"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
