@@ -5,17 +5,25 @@ more frequent in toxic documents.  A trie holds it; its intersection with the
 Levenshtein automaton of an edit bound is a deterministic automaton whose
 states are made when a word first needs them, so a word is looked up, exactly
 or misspelled, by following its characters until the automaton has no state.
+An edit adds, leaves out or replaces a character, or swaps two neighbours.
 
-Every hit looks at the window around it: quotation marks on both sides and
-reporting words speak for a quotation, further hits for abuse.  A logistic
-model turns the summed evidence of a document into its score.  Texts without
-any hit, empty and null ones included, share the score of no evidence.
+Every hit looks at its context: it counts as a quotation, in part, where it stands
+between an opening mark and the closing one that belongs to it, and wholly where
+a reporting word stands beside the quotation; further hits nearby speak for abuse.
+A logistic model turns the summed evidence of a document into its score.  What
+quoted evidence weighs is learned, starting from a share of the other's weight.
+Texts without any hit, empty and null ones included, share the score of no evidence.
+
+Rows that repeat a document are scored each; a null doc_id has a null held_out
+and is learned from by nothing.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
+from heapq import heapify, heappop, heappush
 from math import exp, log, log1p
 
 import numpy as np
@@ -30,13 +38,18 @@ from .common import LOWER, about, batch, table, text_bytes, words_alnum
 TRAIN_DOCS = 40_000
 #: A term must stand in so many toxic training documents, and be so much likelier there.
 LEAST_DOCS, LEAST_ODDS = 4, 25.0
-#: Terms kept, by evidence.
-LEXICON = 2_000
 #: Lengths of the word beginnings that may become terms.
 STEMS = (4, 5, 6, 7)
-#: Characters of context on both sides of a hit.
+#: Characters of context on both sides of a hit or a quotation.
 WINDOW = 60
-QUOTES = "\"“”„«»‘’'"
+#: Quotation marks that open, and what closes them.
+CLOSING = {'"': '"', "“": "”", "„": "“”", "«": "»", "»": "«", "‘": "’"}
+#: A mark without its like within so many characters opens nothing.
+LONGEST_QUOTATION = 1_000
+#: Share of a hit's weight that counts as quoted between marks alone; with a reporting word it is all.
+QUOTED = 0.5
+#: What quoted evidence weighs of the other before labelled rows say otherwise.
+QUOTED_PRIOR = 0.25
 REPORTING = frozenset(
     "said says quoted quote called wrote writes told claimed reported sagte schrieb zitat dit écrit citation dijo escribió cita".split()
 )
@@ -57,10 +70,11 @@ def edits_allowed(term: str) -> int:
 class FuzzyLexicon:
     """The trie of the terms intersected with Levenshtein automata.
 
-    A state is a set of (trie node, edits spent); transitions are computed once
-    and kept.  Terms ending in ``*`` match every word that begins with them,
-    without edits.  ``fuzzy`` has the weights of misspelled terms, a term's own if
-    it is not there; a misspelling that weighs nothing is no match.
+    A state is a set of (trie node, edits spent, character owed): after the second
+    of two swapped characters the first is owed, and nothing else may follow.
+    Transitions are computed once and kept.  Terms ending in ``*`` match every word
+    that begins with them, without edits.  ``fuzzy`` has the weights of misspelled
+    terms, a term's own if it is not there; a misspelling that weighs nothing is no match.
     """
 
     def __init__(self, terms: dict[str, float], fuzzy: dict[str, float] | None = None):
@@ -92,19 +106,20 @@ class FuzzyLexicon:
         self.step: list[dict[str, int]] = []
         self.verdict: list[tuple[float, int, str] | None] = []
         self.stem: list[tuple[float, int, str] | None] = []
-        self._state(self._closed({(0, 0)}))
+        self._state(self._closed({(0, 0, "")}))
 
     def _closed(self, pairs: set) -> frozenset:
         """With the edits that skip a character of the term; the least edits of a node suffice."""
-        least: dict[int, int] = {}
+        least: dict[tuple[int, str], int] = {}
         todo = list(pairs)
         while todo:
-            node, e = todo.pop()
-            if e > self.most[node] or least.get(node, 9) <= e:
+            node, e, owed = todo.pop()
+            if e > self.most[node] or least.get((node, owed), 9) <= e:
                 continue
-            least[node] = e
-            todo.extend((child, e + 1) for child in self.children[node].values())
-        return frozenset(least.items())
+            least[node, owed] = e
+            if not owed:
+                todo.extend((child, e + 1, "") for child in self.children[node].values())
+        return frozenset((node, e, owed) for (node, owed), e in least.items())
 
     def _state(self, pairs: frozenset) -> int:
         if pairs in self.number:
@@ -113,20 +128,26 @@ class FuzzyLexicon:
         self.states.append(pairs)
         self.step.append({})
         full = [
-            (-e, x[4] if e else x[0], x[3]) for n, e in pairs
-            if (x := self.ends[n]) and not x[2] and e <= x[1] and (not e or x[4] > 0)
+            (-e, x[4] if e else x[0], x[3]) for n, e, owed in pairs
+            if not owed and (x := self.ends[n]) and not x[2] and e <= x[1] and (not e or x[4] > 0)
         ]
-        stems = [(x[0], x[3]) for n, e in pairs if (x := self.ends[n]) and x[2] and e == 0]
+        stems = [(x[0], x[3]) for n, e, owed in pairs if not owed and (x := self.ends[n]) and x[2] and e == 0]
         self.verdict.append((max(full)[1], -max(full)[0], max(full)[2]) if full else None)
         self.stem.append((max(stems)[0], 0, max(stems)[1]) if stems else None)
         return k
 
     def _next(self, state: int, ch: str) -> int:
         pairs = set()
-        for node, e in self.states[state]:
-            pairs.add((node, e + 1))  # ch is too many
+        for node, e, owed in self.states[state]:
+            if owed:
+                if ch == owed:
+                    pairs.add((node, e, ""))
+                continue
+            pairs.add((node, e + 1, ""))  # ch is too many
             for c, child in self.children[node].items():
-                pairs.add((child, e if c == ch else e + 1))
+                pairs.add((child, e if c == ch else e + 1, ""))
+                if c != ch and ch in self.children[child]:  # ch and c are swapped
+                    pairs.add((self.children[child][ch], e + 1, c))
         closed = self._closed(pairs)
         return self._state(closed) if closed else -1
 
@@ -167,15 +188,41 @@ class _Remembered(dict):
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
-def quotation(text: str, start: int, end: int) -> bool:
-    """Does the window show a quotation: marks on both sides, or a mark and a reporting word?"""
-    before, after = text[max(0, start - WINDOW) : start], text[end : end + WINDOW]
-    left = max(before.rfind(q) for q in QUOTES[:-1])
-    right = min((i for q in QUOTES[:-1] if (i := after.find(q)) >= 0), default=-1)
-    if left >= 0 and right >= 0:
-        return True
-    reports = not REPORTING.isdisjoint((before + " " + after).lower().split())
-    return reports and (left >= 0 or right >= 0)
+_MARK = re.compile(f"[{''.join(CLOSING)}{''.join(set(''.join(CLOSING.values())))}]")
+_PLAIN = re.compile(r"\w+")
+
+
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Places of the opening and closing marks of each quotation, in order.
+
+    A mark between two letters is an apostrophe.  Marks that look alike on both sides
+    open before a character that is no space and close behind one.
+    """
+    found, opened = [], None
+    for m in _MARK.finditer(text):
+        mark, at = m[0], m.start()
+        before, after = text[at - 1 : at] if at else "", text[at + 1 : at + 2]
+        if before.isalpha() and after.isalpha():
+            continue
+        alike = CLOSING.get(mark) == mark
+        closes = opened is not None and mark in CLOSING[text[opened]] and at - opened <= LONGEST_QUOTATION
+        if closes and not (alike and before.isspace()):
+            found.append((opened, at))
+            opened = None
+        elif mark in CLOSING and not before.isalnum() and not (alike and (not after or after.isspace())):
+            opened = at
+    return found
+
+
+def quoted_share(text: str, spans: list[tuple[int, int]], starts: list[int], at: int) -> float:
+    """How far the hit at ``at`` is a quotation: not outside of quotations, ``QUOTED``
+    inside, wholly with a reporting word within the window around the quotation."""
+    k = bisect_right(starts, at) - 1
+    if k < 0 or spans[k][1] < at:
+        return 0.0
+    start, end = spans[k]
+    around = f"{text[max(0, start - WINDOW) : start]} {text[end + 1 : end + 1 + WINDOW]}".lower()
+    return QUOTED if REPORTING.isdisjoint(_PLAIN.findall(around)) else 1.0
 
 
 def evidence(text: bytes, known: _Remembered) -> list[float]:
@@ -185,17 +232,18 @@ def evidence(text: bytes, known: _Remembered) -> list[float]:
     if not any([known[w] for w in words]):
         return [0.0] * len(FEATURES)
     whole = text.decode("utf-8", "replace")
+    spans = quotations(whole)
+    starts = [s for s, _ in spans]
     direct, quoted, dense, strongest, last = 0.0, 0.0, 0, 0.0, None
     for m in _WORD.finditer(whole):
         found = known[m.group().encode().translate(LOWER)]
         if found is None:
             continue
         weight = found[0] * KEPT_AN_EDIT ** found[1]  # found: weight, edits, term
-        if quotation(whole, m.start(), m.end()):
-            quoted += weight
-        else:
-            direct += weight
-            strongest = max(strongest, weight)
+        share = quoted_share(whole, spans, starts, m.start())
+        quoted += weight * share
+        direct += weight * (1 - share)
+        strongest = max(strongest, weight * (1 - share))
         if last is not None and m.start() - last <= WINDOW:
             dense += 1
         last = m.end()
@@ -231,15 +279,14 @@ def terms_of(words: set[bytes]) -> set[str]:
     return out
 
 
-def _term_counts(rows: DataFrame, toxic: int, only: frozenset | None) -> DataFrame:
+def _term_counts(rows: DataFrame, toxic: int) -> DataFrame:
     schema = pa.schema([("term", pa.string()), ("n", pa.int64())])
 
     def counted(batches):
         n: Counter[str] = Counter()
         for b in batches:
             for raw in b.column("text").to_pylist():
-                t = terms_of(set(words_alnum(raw)))
-                n.update(t if only is None else only.intersection(t))
+                n.update(terms_of(set(words_alnum(raw))))
                 if len(n) > 1_000_000:
                     yield batch(schema, term=list(n), n=list(n.values()))
                     n.clear()
@@ -252,28 +299,25 @@ def _term_counts(rows: DataFrame, toxic: int, only: frozenset | None) -> DataFra
 
 
 def learn_lexicon(rows: DataFrame, least_docs: int = LEAST_DOCS, least_odds: float = LEAST_ODDS) -> dict[str, float]:
-    """Terms and weights (log odds), at most ``LEXICON``."""
+    """Terms and weights (log odds).  Spark counts all terms; those that are likely
+    enough reach the driver, bounded by the training rows."""
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic:
         return {}
-    often = (
-        _term_counts(rows, 1, None).filter(F.col("n") >= least_docs)
-        .orderBy(F.desc("n"), "term").limit(40 * LEXICON).collect()
+    both = _term_counts(rows, 1).filter(F.col("n") >= least_docs).join(
+        _term_counts(rows, 0).withColumnRenamed("n", "n_clean"), "term", "left"
     )
-    n_toxic = {r["term"]: r["n"] for r in often}
-    n_clean = {r["term"]: r["n"] for r in _term_counts(rows, 0, frozenset(n_toxic)).collect()}
-    odds = {}
-    for term, n in n_toxic.items():
-        ratio = ((n + 0.5) / (toxic + 1)) / ((n_clean.get(term, 0) + 0.5) / (clean + 1))
-        if ratio >= least_odds:
-            odds[term] = log(ratio)
+    ratio = ((F.col("n") + 0.5) / (toxic + 1)) / ((F.coalesce("n_clean", F.lit(0)) + 0.5) / (clean + 1))
+    likely = both.select("term", ratio.alias("ratio")).filter(F.col("ratio") >= least_odds)
+    odds = {r["term"]: log(r["ratio"]) for r in likely.collect()}
     kept = explaining(_held_terms(rows, frozenset(odds)), odds, least_docs)
     if kept:
         # words that explain no document alone, but are as telling as the chosen ones
         level = sorted(odds[t] for t in kept)[len(kept) // 2] - log(2)
-        kept += [t for t in sorted(odds) if odds[t] >= level and t not in kept and not t.endswith("*")]
-    return {t: odds[t] for t in kept[:LEXICON]}
+        chosen = set(kept)
+        kept += [t for t in sorted(odds) if odds[t] >= level and t not in chosen and not t.endswith("*")]
+    return {t: odds[t] for t in kept}
 
 
 def neighbours(rows: DataFrame, lexicon: dict[str, float]) -> tuple[frozenset, frozenset, dict[str, float]]:
@@ -344,17 +388,21 @@ def explaining(held: list[list[str]], odds: dict[str, float], least_docs: int) -
     for at, terms in enumerate(held):
         for t in terms:
             where.setdefault(t, set()).add(at)
+    order = {t: k for k, t in enumerate(sorted(where, key=lambda t: (not t.endswith("*"), t)))}
+    # a term's evidence only falls, so the first one that is still up to date is the best
+    queue = [(-len(docs) * odds[t], -order[t], t) for t, docs in where.items() if len(docs) >= least_docs]
+    heapify(queue)
     chosen: list[str] = []
-    while where and len(chosen) < LEXICON:
-        best = max(where, key=lambda t: (len(where[t]) * odds[t], not t.endswith("*"), t))
-        covered = where.pop(best)
-        if len(covered) < least_docs:
-            break
-        chosen.append(best)
-        for t in list(where):
-            where[t] -= covered
-            if len(where[t]) < least_docs:
-                del where[t]
+    covered: set[int] = set()
+    while queue:
+        old, rank, t = heappop(queue)
+        where[t] -= covered
+        now = -len(where[t]) * odds[t]
+        if now == old:
+            chosen.append(t)
+            covered |= where[t]
+        elif len(where[t]) >= least_docs:
+            heappush(queue, (now, rank, t))
     return chosen
 
 
@@ -380,13 +428,15 @@ def _features(
     return rows.select(key, "text").mapInArrow(featured, f"{key} {kind}, features array<double>")
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 40) -> np.ndarray:
-    """Logistic regression by Newton steps; the last weight is the intercept."""
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 40, prior: np.ndarray | None = None) -> np.ndarray:
+    """Logistic regression by Newton steps; the last weight is the intercept.  Weights
+    that the rows say nothing of are those of ``prior`` (0)."""
     x = np.column_stack((x, np.ones(len(x))))
-    w = np.zeros(x.shape[1])
+    prior = np.zeros(x.shape[1]) if prior is None else prior
+    w = prior.copy()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (y - p) - ridge * w
+        slope = x.T @ (y - p) - ridge * (w - prior)
         curve = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
         step = np.linalg.solve(curve, slope)
         w += np.clip(step, -4, 4)
@@ -403,7 +453,10 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> t
     seen = _features(rows, lexicon, near, "toxic", "int").collect()
     if not seen:
         return lexicon, near, np.zeros(len(FEATURES) + 1)
-    return lexicon, near, fit(np.array([r["features"] for r in seen]), np.array([r["toxic"] for r in seen], float))
+    x, y = np.array([r["features"] for r in seen]), np.array([r["toxic"] for r in seen], float)
+    prior = np.zeros(len(FEATURES) + 1)
+    prior[FEATURES.index("quoted")] = QUOTED_PRIOR * max(0.0, fit(x, y)[FEATURES.index("direct")])
+    return lexicon, near, fit(x, y, prior=prior)
 
 
 def score(docs: DataFrame, lexicon: dict[str, float], near: tuple[frozenset, frozenset, dict[str, float]], weights: np.ndarray) -> DataFrame:
