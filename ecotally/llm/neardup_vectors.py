@@ -3,15 +3,17 @@
 Vectors link when their cosine, in double precision, is at least ``COSINE``.
 
 Index
-    Unit vectors are dealt to coarse inverted lists (nearest centroid).  The
-    residual to the centroid is coded per subspace.  Centroids and codebooks
-    are fitted on a bounded sample; every vector is indexed.
+    Unit vectors are dealt to coarse inverted lists (nearest centroid).  The lists
+    grow in number with the table: beyond ``TOP_LISTS`` each is cut by a second,
+    shared set of centroids of the residuals, as many as keep a list at ``LIST_SIZE``
+    vectors.  The residual that is left is coded per subspace.  Centroids and
+    codebooks are fitted on a bounded sample; every vector is indexed.
 Search
     A vector probes each list whose boundary to its own list is near: linked
     vectors are at most ``r = sqrt(2 - 2 * COSINE)`` apart, and a gap of random
     direction has the share ``1/sqrt(d)`` of its length along the boundary's
-    normal, so lists beyond ``SPREAD * r / sqrt(d)`` of it are left out (the
-    only approximation; recall is measured in the tests).  In a list, a table
+    normal, so lists beyond ``SPREAD * r / sqrt(d)`` of it are left out, at either
+    level (the only approximation; recall is measured in the tests).  In a list, a table
     of each query's distances to the codes gives the distance to every coded
     vector; a coded vector is passed if that distance, less its own coding
     error, is within r, which loses nothing.  Passed pairs are ranked again by
@@ -22,7 +24,8 @@ Hot lists
     to the smallest vector that it reaches within the unit: rows as many as
     vectors, never pairs.
 
-Exact copies are indexed once.  Vectors that are null, empty, zero or hold null
+Exact copies, told by two 64-bit hashes of different seeds, are indexed once.  Each
+vector length has an index of its own; a table has few of them.  Vectors that are null, empty, zero or hold null
 or non-finite components link with nothing; vectors of different lengths do not
 link.  A null vec_id has no component.  Rows that repeat a vec_id count once
 each.
@@ -41,8 +44,8 @@ from .components import components
 COSINE = 0.95
 #: Vectors (about) that centroids and codebooks are fitted on.
 TRAIN_VECTORS = 16_384
-#: Vectors a list should hold, and the most lists.
-LIST_SIZE, MOST_LISTS = 512, 2_048
+#: Vectors a list should hold, and lists of the first level.
+LIST_SIZE, TOP_LISTS = 512, 2_048
 SUBSPACES, CODES = 8, 64
 #: Standard deviations of a random gap's share along one direction.
 SPREAD = 2.5
@@ -63,41 +66,63 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
     return c
 
 
+def near(x: np.ndarray, centroids: np.ndarray, slack: float) -> np.ndarray:
+    """Per vector and centroid: is it the nearest one, or lies the boundary to the nearest within ``slack``?"""
+    squares = (centroids**2).sum(axis=1)
+    d = np.maximum((x * x).sum(axis=1)[:, None] - 2 * (x @ centroids.T) + squares, 0)
+    own = d.argmin(axis=1)
+    gap = np.sqrt(np.maximum(squares[own][:, None] - 2 * (centroids[own] @ centroids.T) + squares, 0))
+    return d - d[np.arange(len(x)), own][:, None] <= 2 * slack * gap + 1e-12
+
+
 class Quantiser:
-    """Coarse centroids and the codebooks of residual subspaces."""
+    """Coarse centroids, those of their residuals, and the codebooks of subspaces of what is left.
 
-    def __init__(self, sample: np.ndarray, lists: int, subspaces: int = SUBSPACES, codes: int = CODES):
+    List ``a * len(fine) + b`` holds the vectors nearest to coarse centroid a whose
+    residual is nearest to fine centroid b."""
+
+    def __init__(self, sample: np.ndarray, lists: int, top: int | None = None, subspaces: int = SUBSPACES, codes: int = CODES):
         self.dim = sample.shape[1]
-        self.coarse = kmeans(sample, lists)
+        top = min(lists, top or TOP_LISTS)
+        self.coarse = kmeans(sample, top)
+        cells = -(-lists // top)
+        self.fine = np.zeros((1, self.dim))
+        if cells > 1:
+            self.fine = kmeans(sample - self.coarse[self.nearest(sample, self.coarse)], cells)
         self.cuts = [(a[0], a[-1] + 1) for a in np.array_split(np.arange(self.dim), min(subspaces, self.dim))]
-        rest = sample - self.coarse[self.nearest(sample)]
+        rest = sample - self.centre(self.own(sample))
         self.books = [kmeans(rest[:, a:b], codes) for a, b in self.cuts]
-        gaps = ((self.coarse[:, None, :] - self.coarse[None, :, :]) ** 2).sum(axis=2) if len(self.coarse) <= 512 else None
-        self.gaps = np.sqrt(gaps) if gaps is not None else None
 
-    def distances(self, x: np.ndarray) -> np.ndarray:
-        """Squared distances to the coarse centroids."""
-        return np.maximum((x * x).sum(axis=1)[:, None] - 2 * (x @ self.coarse.T) + (self.coarse**2).sum(axis=1), 0)
+    @staticmethod
+    def nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+        return (x @ centroids.T - 0.5 * (centroids**2).sum(axis=1)).argmax(axis=1)
+
+    def own(self, x: np.ndarray) -> np.ndarray:
+        """The list that holds each vector."""
+        top = self.nearest(x, self.coarse)
+        return top * len(self.fine) + self.nearest(x - self.coarse[top], self.fine)
 
-    def nearest(self, x: np.ndarray) -> np.ndarray:
-        return self.distances(x).argmin(axis=1)
+    def centre(self, lists) -> np.ndarray:
+        return self.coarse[lists // len(self.fine)] + self.fine[lists % len(self.fine)]
 
     def probes(self, x: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray]:
-        """(vector, list) pairs: each vector's own list and those whose boundary lies within ``slack``."""
-        d = self.distances(x)
-        own = d.argmin(axis=1)
-        if self.gaps is not None:
-            gap = self.gaps[own]
-        else:
-            c = self.coarse
-            g = (c[own] ** 2).sum(axis=1)[:, None] - 2 * (c[own] @ c.T) + (c**2).sum(axis=1)
-            gap = np.sqrt(np.maximum(g, 0))
-        near = d - d[np.arange(len(x)), own][:, None] <= 2 * slack * gap + 1e-12
-        return np.nonzero(near)
+        """(vector, list) pairs: each vector's own list and those whose boundary lies within ``slack``.
+
+        What links with x in a list of another coarse centroid lies as near to x
+        after that centroid is taken from both, so the second level is like the first."""
+        rows, top = np.nonzero(near(x, self.coarse, slack))
+        if len(self.fine) == 1:
+            return rows, top
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        for lo in range(0, len(rows), 1000):
+            i, t = rows[lo : lo + 1000], top[lo : lo + 1000]
+            a, b = np.nonzero(near(x[i] - self.coarse[t], self.fine, slack))
+            found.append((i[a], t[a] * len(self.fine) + b))
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
     def encode(self, x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the residuals and the coding errors."""
-        rest = x - self.coarse[own]
+        rest = x - self.centre(own)
         codes = np.empty((len(x), len(self.cuts)), np.uint8)
         error = np.zeros(len(x))
         for s, (a, b) in enumerate(self.cuts):
@@ -108,7 +133,7 @@ class Quantiser:
 
     def looked_up(self, queries: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
         """Distances from queries to the coded vectors of list ``which``, by tables."""
-        rest = queries - self.coarse[which]
+        rest = queries - self.centre(which)
         total = np.zeros((len(queries), len(codes)))
         for s, (a, b) in enumerate(self.cuts):
             part, book = rest[:, a:b], self.books[s]
@@ -150,7 +175,7 @@ def _listed(q: Quantiser, slack: float):
                 part = b.slice(lo, 1000)
                 x = _unit(_stacked(part.column("v")))
                 rows, lists = q.probes(x, slack)
-                own = q.nearest(x)
+                own = q.own(x)
                 at = np.concatenate((np.arange(len(x)), rows))
                 yield batch(
                     schema, list=np.concatenate((own, lists)).astype(np.int32),
@@ -220,7 +245,7 @@ def _links_of(classes: DataFrame, cosine: float) -> DataFrame:
     dim = classes.select(F.size("v")).first()[0]
     fitted = _stacked(pa.array([r["v"] for r in about(classes, "cid", TRAIN_VECTORS).select("v").collect()] or
                                [classes.select("v").first()["v"]], pa.list_(pa.float64())))
-    q = Quantiser(_unit(fitted), int(min(MOST_LISTS, max(1, n // LIST_SIZE))))
+    q = Quantiser(_unit(fitted), max(1, n // LIST_SIZE))
     slack = np.sqrt(max(0.0, 2 - 2 * cosine)) * min(1.0, SPREAD / np.sqrt(dim))
     rows = written(
         classes.select("cid", "v").mapInArrow(_listed(q, slack), "list int, member boolean, cid long"), "lists"
@@ -243,7 +268,7 @@ def _links_of(classes: DataFrame, cosine: float) -> DataFrame:
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """Per row of ``vectors``: vec_id, n_links, component_id, kept."""
-    usable = _rows(vectors).filter(_sound(F.col("v"))).withColumns({"h": F.xxhash64("v"), "g": F.xxhash64("v", F.lit(1))})
+    usable = _rows(vectors).filter(_sound(F.col("v"))).withColumns({"h": F.xxhash64("v"), "g": F.xxhash64(F.lit(1), "v")})
     digests = usable.groupBy("h", "g").agg(
         F.min("vec_id").alias("cid"), F.count(F.lit(1)).alias("weight")
     ).filter("cid is not null")
