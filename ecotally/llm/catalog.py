@@ -38,6 +38,7 @@ ORACLES = {
     "op6_vector_near_dedup": neardup_vectors.ORACLE_SQL,
     "op8_line_dedup": linededup.ORACLE_SQL,
     "op1_ngram_join": similarity.ORACLE_SQL,
+    "op9_license_scan": licenses.ORACLE_SQL,
     "op10_decontamination": decontaminate.ORACLE_SQL,
     "op11_merkle_manifest": manifest.ORACLE_SQL,
     "op12_centroid_clustering": centroids.ORACLE_SQL,

@@ -1,15 +1,16 @@
 """License scans as an exact set-similarity join (operator 9).
 
 Templates are small token sets, text blocks are lines and, across line breaks,
-windows of ``WIDTH`` times a template's words.  A block meets a template when it holds at least ``CONTAINMENT`` of the template's tokens.  The
-tokens of each template stand in one global order, rarest in the corpus first,
+windows of ``WIDTH`` times a template's words.  A block meets a template when it
+holds at least ``CONTAINMENT`` of the template's tokens.  The tokens of each template stand in one global order, rarest in the corpus first,
 so a block that meets it must hold one of its first ``size - needed + 1``
 tokens (prefix filter), must have ``needed`` tokens at all (length filter), and
 the first match must leave enough tokens behind it (positional filter).  What
 passes is counted exactly.
 
 Base phrases are found at every place where their words stand consecutively.
-Null and empty texts have no words and no labels.
+Null and empty texts have no words and no labels; rows that repeat a document, or
+lack a doc_id, are scanned each.
 """
 
 from __future__ import annotations
@@ -189,3 +190,49 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         " transform(blocks, x -> concat('notice:', x.template)))))) as labels",
         "cast(coalesce(array_max(transform(blocks, x -> x.containment)), if(size(places) > 0, 1.0, 0.0)) as double) as score",
     )
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+
+
+#: Lines, and windows that end at each of a template's tokens in the other lines, all
+#: compared with all templates: no filter and no index.
+ORACLE_SQL = rf"""
+WITH phrases(phrase, label) AS (VALUES {_values(PHRASES.items())}),
+templates(label, token) AS (VALUES {_values((label, w) for label, t in TEMPLATES.items() for w in sorted(set(t.split())))}),
+sizes(label, least, size, width) AS (VALUES {_values((label, needed(len(set(t.split())), CONTAINMENT), len(set(t.split())), WIDTH * len(t.split())) for label, t in TEMPLATES.items())}),
+docs AS (SELECT row_number() OVER () AS row_no, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+lines AS (
+  SELECT row_no, line, regexp_extract_all(translate(lines[line], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS line FROM docs)),
+words AS (
+  SELECT row_no, line, w[i] AS token, before + i - 1 AS pos
+  FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM (
+    SELECT *, coalesce(sum(len(w)) OVER (PARTITION BY row_no ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM lines))),
+follow AS (
+  SELECT row_no, pos, token, lead(token, 1) OVER o AS t1, lead(token, 2) OVER o AS t2 FROM words WINDOW o AS (PARTITION BY row_no ORDER BY pos)),
+places AS (
+  SELECT f.row_no, f.pos, p.label FROM follow f JOIN phrases p
+  ON p.phrase = concat_ws(' ', token, t1) OR p.phrase = concat_ws(' ', token, t1, t2)),
+base AS (
+  SELECT row_no, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS own FROM places GROUP BY row_no),
+held AS (SELECT row_no, line, t.label, count(DISTINCT token) AS n FROM words JOIN templates t USING (token) GROUP BY ALL),
+met AS (SELECT row_no, line, label, n, size FROM held JOIN sizes USING (label) WHERE n >= least),
+spread AS (
+  SELECT w.row_no, w.pos, w.token, t.label FROM words w JOIN templates t USING (token)
+  WHERE NOT EXISTS (SELECT 1 FROM met m WHERE m.row_no = w.row_no AND m.line = w.line AND m.label = t.label)),
+windows AS (
+  SELECT a.row_no, a.label, a.pos, count(DISTINCT b.token) AS n FROM spread a JOIN spread b ON a.row_no = b.row_no AND a.label = b.label
+  JOIN sizes s ON s.label = a.label AND b.pos <= a.pos AND b.pos > a.pos - s.width GROUP BY ALL),
+blocks AS (
+  SELECT row_no, label, n / size::DOUBLE AS containment FROM met
+  UNION ALL SELECT row_no, label, n / size::DOUBLE FROM windows JOIN sizes USING (label) WHERE n >= least),
+notices AS (SELECT row_no, list(DISTINCT 'notice:' || label) AS more, max(containment) AS score FROM blocks GROUP BY row_no)
+SELECT d.doc_id, (SELECT count(*) FROM words x WHERE x.row_no = d.row_no) AS n_words, coalesce(n_base, 0) AS n_base,
+       first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(array_to_string(list_sort(own), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_concat(coalesce(own, []), coalesce(more, []))), ','), '') AS labels,
+       coalesce(score, CASE WHEN n_base > 0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS score
+FROM docs d LEFT JOIN base USING (row_no) LEFT JOIN notices USING (row_no)
+"""
