@@ -8,8 +8,8 @@ Defined results: null and empty texts have no letter, so the first stage
 rejects them; a text that loses all its lines stays as an empty one; rows that
 repeat a doc_id are treated alike in every stage; rows without a doc_id are
 never near-duplicates.  Columns of documents beside doc_id and text pass
-through untouched, except lang where it was null and n_chars where the text
-changed.  Empty tables give empty tables.
+through untouched whatever their names, except lang where it was null and n_chars
+where the text changed.  Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ecotally.llm import decontaminate, language, linededup, pieces, similarity
-from ecotally.llm.common import table, written
+from ecotally.llm.common import free_names, same_columns, table, written
 
 #: Texts whose nearest profile is farther than this are in no known language.
 LEAST_LANGUAGE_SCORE = 0.15
@@ -26,31 +26,34 @@ LEAST_LANGUAGE_SCORE = 0.15
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: documents in no known language go; an unknown lang is filled in."""
-    found = language.identify(docs, language.train(docs), names=("_lang", "_score"))
-    kept = found.filter((F.col("_lang") != "und") & (F.col("_score") >= LEAST_LANGUAGE_SCORE))
-    return kept.withColumn("lang", F.coalesce("lang", "_lang")).select(docs.columns)
+    lang, score = free_names(docs.columns, "found_lang", "found_score")
+    found = language.identify(docs, language.train(docs), names=(lang, score))
+    kept = found.filter((F.col(lang) != "und") & (F.col(score) >= LEAST_LANGUAGE_SCORE))
+    return same_columns(kept.withColumn("lang", F.coalesce("lang", lang)), docs)
 
 
 def unrepeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: lines found in many documents go from all of them."""
-    found = linededup.drop_lines(docs, names=("_text", "_lines_before", "_dropped"))
-    changed = F.col("_dropped") > 0
-    return found.withColumns({
-        "text": F.when(changed, F.col("_text")).otherwise(F.col("text")),
-        "n_chars": F.when(changed, F.char_length("_text").cast("long")).otherwise(F.col("n_chars")),
-    }).select(docs.columns)
+    text, before, dropped = free_names(docs.columns, "kept_text", "lines_before", "lines_dropped")
+    found = linededup.drop_lines(docs, names=(text, before, dropped))
+    changed = F.col(dropped) > 0
+    return same_columns(found.withColumns({
+        "text": F.when(changed, F.col(text)).otherwise(F.col("text")),
+        "n_chars": F.when(changed, F.char_length(text).cast("long")).otherwise(F.col("n_chars")),
+    }), docs)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: of each group of linked documents the one with the smallest doc_id stays."""
     gone = similarity.similarity_classes(docs).filter("component_id != doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return same_columns(docs.join(gone, "doc_id", "left_anti"), docs)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: documents that contain a benchmark item go."""
-    found = decontaminate.marked(docs, table(spark, sf_dir, "benchmark"), name="_items")
-    return found.filter(F.size("_items") == 0).select(docs.columns)
+    [items] = free_names(docs.columns, "benchmark_items")
+    found = decontaminate.marked(docs, table(spark, sf_dir, "benchmark"), name=items)
+    return same_columns(found.filter(F.size(items) == 0), docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
