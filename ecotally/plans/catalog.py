@@ -706,29 +706,18 @@ ORACLES: dict[str, str] = {
     "rollup_report": f"WITH RECURSIVE {_V}, {_C} {_REPORT} ORDER BY entityid, parententityid",
     "rollup_report_entity": f"""
         WITH RECURSIVE {_V},
-        ent AS (SELECT DISTINCT tenantid, entityid, parententityid,
-                       parentcontributionpercentage AS percentage FROM v),
-        ce(id, tenantid, amount_locationbased, amount_marketbased, percentage) AS (
-          SELECT entityid, tenantid,
-                 COALESCE(emissioninkgco2, emissioninkgco2_forlocationbased, 0),
-                 COALESCE(emissioninkgco2, emissioninkgco2_formarketbased, 0),
-                 parentcontributionpercentage
-          FROM v
+        links AS (SELECT DISTINCT tenantid AS tenant, entityid AS child, parententityid AS above, parentcontributionpercentage AS share FROM v),
+        walk(tenant, place, by_location, by_market) AS (
+          SELECT tenantid, entityid, COALESCE(emissioninkgco2, emissioninkgco2_forlocationbased, 0),
+                 COALESCE(emissioninkgco2, emissioninkgco2_formarketbased, 0) FROM v
           UNION ALL
-          SELECT e.parententityid, ce.tenantid,
-                 CAST(ce.amount_locationbased * ce.percentage AS DECIMAL(20,10)),
-                 CAST(ce.amount_marketbased * ce.percentage AS DECIMAL(20,10)),
-                 pe.percentage
-          FROM ce JOIN ent e ON e.entityid = ce.id AND e.tenantid = ce.tenantid
-          LEFT JOIN ent pe ON pe.entityid = e.parententityid AND pe.tenantid = ce.tenantid
-        )
-        SELECT t.*, '{SNAPSHOT_DATE}' AS partition_0,
-               CAST(s.m AS DECIMAL(30,10)) AS total_emissions_marketbased,
-               CAST(s.l AS DECIMAL(30,10)) AS total_emissions_locationbased
-        FROM v t JOIN (SELECT tenantid, id, SUM(amount_locationbased) AS l,
-                              SUM(amount_marketbased) AS m
-                       FROM ce GROUP BY tenantid, id) s
-          ON t.tenantid = s.tenantid AND t.entityid = s.id""",
+          SELECT l.tenant, l.above, (by_location * share)::DECIMAL(20,10), (by_market * share)::DECIMAL(20,10)
+          FROM links l, walk w WHERE (l.tenant, l.child) = (w.tenant, w.place)),
+        gathered AS (
+          SELECT tenant, place, SUM(by_market)::DECIMAL(30,10) AS total_emissions_marketbased,
+                 SUM(by_location)::DECIMAL(30,10) AS total_emissions_locationbased FROM walk GROUP BY ALL)
+        SELECT v.*, '{SNAPSHOT_DATE}' AS partition_0, total_emissions_marketbased, total_emissions_locationbased
+        FROM v, gathered WHERE tenant = tenantid AND place = entityid""",
     "rls_tenant": f"""
         {_ACTIVITY_ROWS}
         WHERE 't' || CAST(l_suppkey % 4 AS VARCHAR) IN (
