@@ -8,7 +8,8 @@ place there; n-grams that the language's profile lacks cost the profile's
 length.  The nearest language wins, ties by name.
 
 Null texts and texts without a letter are ``und`` with score 0.  With no
-training document at all every text is ``und``.
+training document at all every text is ``und``.  Rows that repeat a document are
+judged each; a null doc_id has a null held_out and is learned from by nothing.
 """
 
 from __future__ import annotations

@@ -66,10 +66,13 @@ def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def keys_of(keyed: DataFrame) -> DataFrame:
-    """(doc_id, h, g) for the distinct keys of every row of ``line_keys``."""
+    """(doc_id, h, g) for the distinct keys of every row of ``line_keys``.
+
+    Sorted, equal keys are neighbours: array_distinct compares all pairs of structs."""
+    once = F.filter("sorted", lambda k, at: (at == 0) | ~k.eqNullSafe(F.get(F.col("sorted"), at - 1)))
     return (
-        keyed.select("doc_id", F.explode(F.array_distinct("keys")).alias("k")).filter("k is not null")
-        .select("doc_id", "k.h", "k.g")
+        keyed.select("doc_id", F.array_sort("keys").alias("sorted")).select("doc_id", F.explode(once).alias("k"))
+        .filter("k is not null").select("doc_id", "k.h", "k.g")
     )
 
 

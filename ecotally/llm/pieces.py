@@ -17,7 +17,7 @@ No piece spans the place before a run of U+2581 or beside a character that
 occurs in no longer piece, so the lattice falls into units there; paths of
 short units are remembered per Python worker, in bounded number.
 
-Null and empty texts have no ids.  Decoding drops the normaliser's prefix and
+Null and empty texts have no ids; repeated rows are coded each.  Decoding drops the normaliser's prefix and
 replaces byte sequences that are no UTF-8 by U+FFFD.
 """
 
