@@ -85,6 +85,11 @@ def upsert_rules(rules: DataFrame, grants: DataFrame, order: str = "seq") -> Dat
     latest = grants.groupBy("UserArn").agg(
         F.max(F.struct(F.col(order), F.col("tenantid"))).getField("tenantid").alias("tenantid")
     )
+    return _replaced(rules, latest)
+
+
+def _replaced(rules: DataFrame, latest: DataFrame) -> DataFrame:
+    """``latest`` (a row per ``UserArn``) and the rules of all other principals."""
     kept = rules.select("UserArn", "tenantid").join(
         latest.select("UserArn"), "UserArn", "left_anti"
     )
@@ -122,16 +127,19 @@ def grant(
     first = rows.agg(F.min(F.struct("seq", "UserArn", "tenantid")).alias("first"), F.count(F.lit(1)).alias("events"))
     state = first.crossJoin(  # one row each
         rules.agg(F.coalesce(F.bool_or(F.col("UserArn") == F.lit(admins[0])), F.lit(False)).alias("present"))
-    ).select(F.expr("not present and events > 0").alias("boots"), "first")
-    boots = state.select("boots").scalar()
+    ).select(F.struct(F.expr("not present and events > 0").alias("boots"), "first").alias("state")).scalar()
+    boots, write = state.getField("boots"), F.struct("seq", "tenantid")
+    lost = F.lit(False)
     if faithful:
-        # equal events are one event and its repeats: the repeats are stored
-        rows = rows.groupBy("seq", "UserArn", "tenantid").agg(F.count(F.lit(1)).alias("times")).filter(
-            ~boots | (F.col("times") > 1) | ~F.struct("seq", "UserArn", "tenantid").eqNullSafe(state.select("first").scalar())
-        ).select("UserArn", "tenantid", "seq")
+        lost = boots & F.struct("seq", "UserArn", "tenantid").eqNullSafe(state.getField("first"))
     admin_rows = (
         spark.createDataFrame([(a, "") for a in admins], "UserArn string, tenantid string")
         .filter(boots)
         .withColumn("seq", F.lit(None).cast(rows.schema["seq"].dataType))
     )
-    return upsert_rules(rules, rows.unionByName(admin_rows))
+    # one partial aggregate: the first event is no write, but its repeats are
+    latest = rows.withColumn("lost", lost).unionByName(admin_rows.withColumn("lost", F.lit(False))).groupBy("UserArn").agg(
+        F.max(F.when(~F.col("lost"), write)).alias("last"),
+        F.max(F.when(F.col("lost"), write)).alias("first"), F.count_if("lost").alias("times"),
+    ).select("UserArn", F.coalesce("last", F.when(F.col("times") > 1, F.col("first"))).alias("last")).filter("last IS NOT NULL")
+    return _replaced(rules, latest.select("UserArn", "last.tenantid"))
