@@ -210,7 +210,7 @@ def test_marked_keeps_rows_and_columns(spark, block):
 
 # ----------------------------------------------------------------- pipeline
 NAMES = ("_score _lang _text _dropped _items _own _own_hash _gone _lines _kept _before found_lang FOUND_SCORE kept_text lines_dropped benchmark_items "
-         "own gone lines left hits row at k h g batch seen").split() + ["a.b", "with `tick"]
+         "own gone lines left hits row at k h g batch seen").split() + ["two words", "ü"]
 
 
 def test_free_names():
