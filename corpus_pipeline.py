@@ -8,8 +8,9 @@ Defined results: null and empty texts have no letter, so the first stage
 rejects them; a text that loses all its lines stays as an empty one; rows that
 repeat a doc_id are treated alike in every stage; rows without a doc_id are
 never near-duplicates.  Columns of documents beside doc_id and text pass
-through untouched whatever their names, except lang where it was null and n_chars
-where the text changed.  Empty tables give empty tables.
+through untouched, except lang where it was null and n_chars where the text
+changed; they may have any names but ones with a dot or a backtick, which PySpark's
+mapInArrow does not take.  Empty tables give empty tables.
 """
 
 from __future__ import annotations
