@@ -177,7 +177,7 @@ def found_items(docs: DataFrame, items: DataFrame, containment: float = CONTAINM
         one = written(rows.mapInArrow(searched, out_type).withColumn("block", F.lit(r["block"])), "contained")
         sent.destroy()
         out = one if out is None else out.unionByName(one)
-    return spark.createDataFrame([], out_type.add("block", "int")) if out is None else out
+    return spark.createDataFrame([], out_type.add("block", T.IntegerType())) if out is None else out
 
 
 def marked(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, block: int = BLOCK, name: str = "items") -> DataFrame:

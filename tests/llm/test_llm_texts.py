@@ -218,3 +218,12 @@ def test_decontamination_equals_brute_force(spark, block):
     assert rows_of(got) == contained_items(rows, items)
     assert decontaminate.contained(docs(spark, rows), have.limit(0)).count() == 0
     assert decontaminate.contained(docs(spark, []), have).count() == 0
+
+
+@pytest.mark.parametrize("items", [[], [(1, None), (2, " .,! ")]])
+def test_decontamination_without_words_in_items_finds_nothing(spark, items):
+    given = spark.createDataFrame(items, "item_id long, text string")
+    d = docs(spark, [(1, "a b c d e f"), (None, None), (2, "")])
+    assert decontaminate.contained(d, given).count() == 0
+    assert [(r["doc_id"], r["items"]) for r in decontaminate.marked(d, given).collect()].count((1, [])) == 1
+    assert decontaminate.marked(d, given).count() == 3
