@@ -125,11 +125,16 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+#: Most rows of a batch that travels to Python in an operator's own session.
+ROWS = 1000
+
+
 class Scratch:
     """Written tables of one operator, and a session of its own to work on them.
 
-    The session has the caller's settings, and removes the shuffle files of each
-    job when the job ends; the caller's session is left as it is.
+    The session has the caller's settings, removes the shuffle files of each job when
+    the job ends, and sends Python at most ``ROWS`` rows at a time (a row holds a text
+    or whole sets, and both sides hold two batches); the caller's session is left as it is.
     """
 
     def __init__(self, spark: SparkSession):
@@ -138,6 +143,8 @@ class Scratch:
             if key.startswith("spark.sql.") and spark.conf.isModifiable(key):
                 self.work.conf.set(key, value)
         self.work.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+        rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))  # 0 and less: no limit
+        self.work.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows if 0 < rows < ROWS else ROWS))
         self.paths: dict[str, str] = {}
 
     def table(self, df: DataFrame, name: str, back: bool = False) -> DataFrame:

@@ -36,8 +36,9 @@ from .common import appended, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Units (twice as many) and pairs that a worker remembers, and the longest unit remembered.
-REMEMBERED, REMEMBERED_PAIRS, LONGEST = 150_000, 400_000, 48
+#: Units (twice as many) and pairs that a worker remembers, and the longest unit remembered:
+#: some 45 MB in all.  Both numbers lie just below those at which a dict doubles.
+REMEMBERED, REMEMBERED_PAIRS, LONGEST = 85_000, 340_000, 48
 
 
 def read_model(path: str = MODEL) -> dict:
@@ -79,7 +80,7 @@ class Transducer:
         inner = re.escape("".join(sorted(joining - {SPACE})))
         # a run of spaces with the joining characters behind it, or one character that joins nothing
         self.units = re.compile(rf"{SPACE}*[{inner}]+|{SPACE}+|.", re.S).findall if inner else re.compile(".", re.S).findall
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # by first piece * number of pieces + second
         self.paths: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}  # the generation before; what is met again moves up
         self.surface = [
@@ -104,12 +105,13 @@ class Transducer:
 
     def side_by_side(self, a: int, b: int) -> bool:
         """May piece b follow piece a?"""
-        known = self.pairs.get((a, b))
+        key = a * len(self.text) + b
+        known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= REMEMBERED_PAIRS:
                 self.pairs.clear()
             x, y = self.text[a], self.text[b]
-            known = self.pairs[a, b] = self.merged(x + y) == [x, y]
+            known = self.pairs[key] = self.merged(x + y) == [x, y]
         return known
 
     def shortest_path(self, unit: str) -> list[int]:
@@ -120,22 +122,24 @@ class Transducer:
         that leads nowhere is closed for good and the first complete path is the
         shortest.
         """
-        n, trie, pairs = len(unit), self.trie, self.pairs
-        out: list[tuple[int, list[int] | int]] = []  # (place before, piece or bytes)
+        n, trie, pairs, many = len(unit), self.trie, self.pairs.get, len(self.text)
+        places: list[int] = []  # where the pieces of the path so far begin
+        ids: list[int] = []  # and those pieces, -1 for a character's bytes
         open_arcs: list[list[tuple[int, int]]] = []
         closed: set[int] = set()
         p, last, arcs = 0, -1, None
         while p < n:
             if arcs is None:
-                node, arcs = trie, []
-                for q in range(p, n):
-                    node = node.get(unit[q])
+                node, q, arcs = trie, p, []
+                for ch in unit[p:]:
+                    node = node.get(ch)
                     if node is None:
                         break
+                    q += 1
                     t = node.get("")
                     if t is not None:
-                        arcs.append((q + 1, t))
-                if unit[p] not in trie or trie[unit[p]].get("") is None:
+                        arcs.append((q, t))
+                if not arcs or arcs[0][0] != p + 1:
                     # byte fallback: no piece covers the character, so no cheaper path does
                     arcs.append((p + 1, -1))
             while arcs:
@@ -144,30 +148,28 @@ class Transducer:
                     continue
                 if t < 0 or last < 0:
                     break
-                fits = pairs.get((last, t))
+                fits = pairs(last * many + t)
                 if fits or fits is None and self.side_by_side(last, t):
                     break
             else:
                 closed.add(p)
-                if not out:
+                if not ids:
                     raise ValueError(f"no path through {unit!r}")
-                p, _ = out.pop()
+                p = places.pop()
+                ids.pop()
                 arcs = open_arcs.pop()
-                last = out[-1][1] if out and isinstance(out[-1][1], int) else -1
+                last = ids[-1] if ids else -1
                 continue
-            if t < 0:
-                out.append((p, [self.bytes.get(x, self.unknown) for x in unit[p].encode("utf-8", "surrogatepass")]))
-            else:
-                out.append((p, t))
+            places.append(p)
+            ids.append(t)
             open_arcs.append(arcs)
             p, last, arcs = q, t, None
-        ids: list[int] = []
-        for _, x in out:
-            if isinstance(x, int):
-                ids.append(x)
-            else:
-                ids += x
-        return ids
+        if -1 not in ids:
+            return ids
+        out: list[int] = []
+        for p, t in zip(places, ids):
+            out += [t] if t >= 0 else [self.bytes.get(x, self.unknown) for x in unit[p].encode("utf-8", "surrogatepass")]
+        return out
 
     def path(self, unit: str) -> bytes:
         found = self.paths.get(unit)

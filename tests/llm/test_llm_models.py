@@ -1,5 +1,6 @@
 """Operators 2, 3, 4 and 6, and the pipeline."""
 import random
+import sys
 
 import numpy as np
 import pytest
@@ -152,6 +153,23 @@ def test_piece_paths_choose_other_pieces_than_greed(machine, library):
         assert np.frombuffer(machine.encode(unit), np.int32).tolist() == library.encode(unit)
 
 
+def test_piece_memos_stay_small(monkeypatch):
+    """What a worker remembers at most, filled up: executors hold several workers."""
+    m = pieces.Transducer(pieces.read_model())
+    monkeypatch.setattr(m, "shortest_path", lambda unit: [1, 2, 3])
+    monkeypatch.setattr(m, "merged", lambda s: [])
+    most = 0
+    for i in range(320_000):
+        assert m.path(f"▁{i:08d}") == b"".join(x.to_bytes(4, sys.byteorder) for x in (1, 2, 3))
+        most = max(most, len(m.paths) + len(m.older))
+    for i in range(pieces.REMEMBERED_PAIRS):
+        m.side_by_side(300 + i % 1000, 300 + i // 1000)
+    assert most == 2 * pieces.REMEMBERED and len(m.pairs) == pieces.REMEMBERED_PAIRS
+    size = sys.getsizeof
+    units = 2 * pieces.REMEMBERED * (size("▁00000000") + size(bytes(12))) + size(m.paths) + size(m.older)
+    assert units + size(m.pairs) + sum(map(size, m.pairs)) < 60e6
+
+
 # --------------------------------------------------------------------- html
 def page(i, body, extra=""):
     return (

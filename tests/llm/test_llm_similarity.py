@@ -7,7 +7,7 @@ from llm_helpers import components as brute_components
 from llm_helpers import docs, jaccard_components, near_copy, prose
 
 from ecotally.llm import similarity
-from ecotally.llm.common import shingle_hashes, words_ws
+from ecotally.llm.common import ROWS, Scratch, shingle_hashes, words_ws
 from ecotally.llm.components import components
 
 
@@ -76,3 +76,16 @@ def test_components_equal_union_find(spark):
     nodes = {x for e in edges for x in e}
     assert {n: got.get(n, n) for n in nodes} == brute_components(nodes, edges)
     assert components(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("callers,own", [("10000", ROWS), ("100", 100), ("0", ROWS), ("-1", ROWS)])
+def test_own_session_sends_small_batches(spark, callers, own):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    session = spark.newSession()
+    session.conf.set(key, callers)
+    work = Scratch(session).work
+    assert int(work.conf.get(key)) == own and session.conf.get(key) == callers
+    sizes = work.range(0, 2500, 1, 1).mapInArrow(
+        lambda batches: (type(b).from_pydict({"n": [b.num_rows]}) for b in batches), "n long"
+    ).collect()
+    assert max(r["n"] for r in sizes) == own and sum(r["n"] for r in sizes) == 2500
