@@ -37,7 +37,7 @@ from .common import appended, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Units (twice as many) and pairs that a worker remembers, and the longest unit remembered:
-#: some 45 MB in all.  Both numbers lie just below those at which a dict doubles.
+#: less than 60 MB in all.  Both numbers lie just below those at which a dict doubles.
 REMEMBERED, REMEMBERED_PAIRS, LONGEST = 85_000, 340_000, 48
 
 
